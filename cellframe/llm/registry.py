@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, urls
+from . import langid, mixing, quality, tokenfiles, tokens, urls
 
 _OPS = {
     "op1_url_filters": urls,
+    "op2_token_counts": tokens,
     "op3_quality_rules": quality,
+    "op4_token_files": tokenfiles,
     "op6_mixing": mixing,
+    "op9_language_id": langid,
 }
 
 

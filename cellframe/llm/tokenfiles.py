@@ -32,7 +32,7 @@ END = 2
 LENGTH = 2048
 BATCH = 64
 FILE_TOKENS = 8_000_000
-CACHE = 600_000
+CACHE = 1_500_000
 MANIFEST = "file string, first_id long, part int, seq int, n_tokens long, n_docs long"
 
 
@@ -62,31 +62,40 @@ class Encoder:
         self._reset()
 
     def _reset(self):
-        self.known: dict[str, int] = {}
+        import pyarrow as pa
+
+        self.known = pa.array([], pa.string())
         self.flat, self.begin = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def cuts(self, words: list[str]) -> np.ndarray:
-        """Rows of self.flat / self.begin of the words, each with a blank in front."""
+    def cuts(self, words) -> np.ndarray:
+        """Rows of self.flat / self.begin of the distinct words of an Arrow array, each with a blank in front."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.known) + len(words) > CACHE:
             self._reset()
-        new = [w for w in words if w not in self.known]
-        if new:
-            # encoded as a few texts, as a call costs more than a cut; their ids are told apart by the blank in front
-            texts = ["".join([" " + w for w in new[i : i + 2000]]) for i in range(0, len(new), 2000)]
-            ids = np.concatenate([np.array(e, dtype=np.uint32) for e in self._ids(texts)])
-            begin = np.append(np.flatnonzero(self.blank[ids]), len(ids))
-            if len(begin) != len(new) + 1:  # a cut that the vocabulary's rule splits oddly: one by one
-                each = self._ids([" " + w for w in new])
-                ids = np.array([x for e in each for x in e], dtype=np.uint32)
-                begin = np.concatenate([[0], np.cumsum([len(e) for e in each])])
-            base = len(self.begin) - 1
-            self.known.update(zip(new, range(base, base + len(new))))
-            self.begin = np.concatenate([self.begin, len(self.flat) + begin[1:]])
-            self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
+        rows = pc.index_in(words, value_set=self.known)
+        new = words.filter(rows.is_null())
+        if not len(new):
+            return np.asarray(rows).astype(np.int64)
+        # encoded as a few texts, as a call costs more than a cut; their ids are told apart by the blank in front
+        bounds = np.append(np.arange(0, len(new), 2000), len(new)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), new), " ").to_pylist()
+        ids = np.concatenate([np.array(e, dtype=np.uint32) for e in self._ids([" " + t for t in joined])])
+        begin = np.append(np.flatnonzero(self.blank[ids]), len(ids))
+        if len(begin) != len(new) + 1:  # a cut that the vocabulary's rule splits oddly: one by one
+            each = self._ids([" " + w for w in new.to_pylist()])
+            ids = np.array([x for e in each for x in e], dtype=np.uint32)
+            begin = np.concatenate([[0], np.cumsum([len(e) for e in each])])
+        rows = np.array(rows.fill_null(-1)).astype(np.int64)
+        rows[rows < 0] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.begin = np.concatenate([self.begin, len(self.flat) + begin[1:]])
+        self.flat = np.concatenate([self.flat, ids])
+        return rows
 
     def encode(self, text) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, number of ids of each) of an Arrow string column without nulls."""
@@ -105,7 +114,7 @@ class Encoder:
         rest = np.ones(len(flat), dtype=bool)
         rest[head] = False
         tail = pc.dictionary_encode(flat.filter(pa.array(rest)))
-        rows = self.cuts(tail.dictionary.to_pylist())[np.asarray(tail.indices)] if len(tail) else np.zeros(0, np.int64)
+        rows = self.cuts(tail.dictionary)[np.asarray(tail.indices)] if len(tail) else np.zeros(0, np.int64)
         strings = text.filter(pa.array(whole)).to_pylist()
         special = np.flatnonzero(whole)
         lone = list(dict.fromkeys(first))
