@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, tokenfiles, tokens, urls
+from . import decontaminate, html, jaccard, langid, mixing, quality, tokenfiles, tokens, urls
 
 _OPS = {
     "op1_url_filters": urls,
@@ -10,7 +10,10 @@ _OPS = {
     "op3_quality_rules": quality,
     "op4_token_files": tokenfiles,
     "op6_mixing": mixing,
+    "op7_html_extraction": html,
+    "op8_ngram_jaccard": jaccard,
     "op9_language_id": langid,
+    "op10_decontamination": decontaminate,
 }
 
 

@@ -13,17 +13,9 @@ _UPPER[65:91] += 32
 
 def _powers(n: int) -> np.ndarray:
     """_BASE ** 0 ... _BASE ** (n - 1), modulo 2 ** 64."""
-    out = np.empty(n, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        done = 1
-        step = _BASE
-        while done < n:
-            m = min(done, n - done)
-            out[done : done + m] = out[:m] * step
-            step = step * step
-            done += m
-    return out
+    out = np.ones(max(n, 1), dtype=np.uint64)
+    out[1:] = _BASE
+    return np.multiply.accumulate(out)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
