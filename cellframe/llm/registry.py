@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, langid, mixing, quality, tokenfiles, tokens, urls
+from . import decontaminate, html, jaccard, langid, mixing, quality, suffixdedup, tokenfiles, tokens, urls
 
 _OPS = {
     "op1_url_filters": urls,
     "op2_token_counts": tokens,
     "op3_quality_rules": quality,
     "op4_token_files": tokenfiles,
+    "op5_suffix_array_dedup": suffixdedup,
     "op6_mixing": mixing,
     "op7_html_extraction": html,
     "op8_ngram_jaccard": jaccard,
