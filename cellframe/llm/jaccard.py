@@ -182,15 +182,15 @@ def prefix_rows(texts: DataFrame, common: DataFrame, n_buckets: int, n_packs: in
         owner, value, rank = owner[order], value[order], rank[order]
         return _packed((textnum.mix(owner.astype(np.uint64)) % np.uint64(n_packs)).astype(np.int64), owner, value, rank)
 
-    def count_shared(key, tab):
+    def count_shared(bucket, tab):
         import pyarrow as pa
 
+        if bucket < 0:  # needs no counting: on to its pack
+            return tab.set_column(tab.column_names.index("bucket"), "bucket", pa.array(np.full(len(tab), -1 - bucket, dtype=np.int64)))
         return pa.Table.from_batches([shared(tab)])
 
-    dealt = staged(texts.mapInArrow(deal, PACKED), "dealt")
-    counted = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda key, tab: count_shared(key, tab), PACKED)
-    late = dealt.where("bucket < 0").withColumn("bucket", -F.col("bucket") - 1)
-    packs = counted.unionByName(late).groupBy("bucket")
+    counted = texts.mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(lambda key, tab: count_shared(key[0].as_py(), tab), PACKED)
+    packs = counted.groupBy("bucket")
 
     def choose(key, tab):
         import pyarrow as pa

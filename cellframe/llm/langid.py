@@ -36,7 +36,7 @@ UNKNOWN = 1e-7
 #: Words longer than this are scored in parts of this many characters.
 MAX_WORD = 48
 #: Distinct words whose scores a task keeps between batches.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -223,10 +223,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        from .tokenfiles import slices
+
         (names, given), known, scores = handed.value, {}, np.zeros((0, 0))
         vocab = loaded(path) if names else None
         scores = np.zeros((0, len(names)))
-        for batch in batches:
+        for batch in (part for big in batches for part in slices(big, kept.index("text"), 4_000_000)):
             n = batch.num_rows
             text = pc.fill_null(batch.column("text"), "")
             judged = np.asarray(pc.match_substring_regex(text, r"\p{L}"), dtype=bool) if names else np.zeros(n, bool)
