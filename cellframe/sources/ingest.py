@@ -14,10 +14,10 @@ from ..functions.expressions import cells, to_double, to_int, tokens
 
 def raw_lines(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
     """(path, line_no, line) of whole text files; line ends may be LF, CRLF or CR."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
+    text = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
     return text
 
 
