@@ -54,15 +54,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """All columns of docs and struct `_mix` (size, source_size, target, copies)."""
-    sized = docs.withColumn("_size", n_words_of(text_of()))
-    per_source = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    targets = small_side(staged(source_targets(per_source, weights, cap), "targets")).select(F.col("source").alias("_source"), "source_size", "target")
-    targets = targets.select("_source", F.struct("source_size", "target").alias("_t"))
-    rate = F.when(F.col("_t.source_size") == 0, F.lit(1.0)).otherwise(F.col("_t.target") / F.nullif(F.col("_t.source_size"), F.lit(0)).cast("double"))
+    sized = docs.withColumn("__mix_size", n_words_of(text_of()))
+    per_source = sized.groupBy("source").agg(F.sum("__mix_size").alias("source_size"))
+    targets = small_side(staged(source_targets(per_source, weights, cap), "targets")).select(F.col("source").alias("__mix_source"), "source_size", "target")
+    targets = targets.select("__mix_source", F.struct("source_size", "target").alias("__mix_t"))
+    rate = F.when(F.col("__mix_t.source_size") == 0, F.lit(1.0)).otherwise(F.col("__mix_t.target") / F.nullif(F.col("__mix_t.source_size"), F.lit(0)).cast("double"))
     coin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(2**48)
-    joined = sized.join(targets, sized["source"].eqNullSafe(F.col("_source")))
+    joined = sized.join(targets, sized["source"].eqNullSafe(F.col("__mix_source")))
     copies = (F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    mix = F.struct(F.col("_size").alias("size"), F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"), copies.alias("copies"))
+    mix = F.struct(F.col("__mix_size").alias("size"), F.col("__mix_t.source_size").alias("source_size"), F.col("__mix_t.target").alias("target"), copies.alias("copies"))
     return joined.select(*[docs[c] for c in docs.columns], mix.alias("_mix"))
 
 

@@ -96,7 +96,9 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothing
     every = docs.sparkSession.range(b).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts.where("bucket is not null")), "bucket", "left").na.fill(0)
     # both counts of all buckets stand in one row: 2^bits entries whatever the corpus
     packed = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "trusted"))).alias("c"), F.sum("raw").alias("r"), F.sum("trusted").alias("t"))
-    ratio = lambda x: F.log((x["trusted"] + smoothing) / (F.col("t") + smoothing * b)) - F.log((x["raw"] + smoothing) / (F.col("r") + smoothing * b))
+    # the trusted multinomial is shrunk towards the raw one by 2^bits counts: few trusted words say little
+    p = lambda x: (x["raw"] + smoothing) / (F.col("r") + smoothing * b)
+    ratio = lambda x: F.log((x["trusted"] + b * p(x)) / (F.col("t") + b)) - F.log(p(x))
     return packed.select(F.when(F.col("t") > 0, F.transform("c", ratio)).otherwise(F.array_repeat(F.lit(0.0), b)).alias("llr"))
 
 

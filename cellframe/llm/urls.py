@@ -11,7 +11,7 @@ Every step is a join or aggregate of built-in expressions; urls are counted per
 and each level is written to the shared folder, so that it is computed once.
 
 Defined cases: a url that is null or has no `://` has an empty host and path and is allowed; a url without
-a label counts for the tree's shape only; without any label everything is allowed but for the rules; the same
+a label counts for the tree's shape only; a host without any label is allowed, but for the rules; the same
 url in many rows is judged once; other columns of the input are kept.
 """
 
@@ -71,14 +71,14 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, min_children: int = MIN_C
 
 
 def template_verdicts(tree: DataFrame, smoothing: float = SMOOTHING, block_at: float = BLOCK_AT) -> DataFrame:
-    """(_host, _template, _labelled, _bad_share, _rejected)."""
+    """(_host, _template, _labelled, _host_labelled, _bad_share, _rejected); a host without labels is not rejected."""
     by_template = tree.groupBy("_host", "_template").agg(F.sum("n_lab").alias("lab"), F.sum("n_bad").alias("bad"))
     by_host = by_template.groupBy("_host").agg(F.sum("lab").alias("hlab"), F.sum("bad").alias("hbad"))
     every = by_template.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("lab"), F.lit(0)) + 4.0)).alias("p"))
     host_share = (F.col("hbad") + smoothing * every.scalar()) / (F.col("hlab") + smoothing)
     share = (F.col("bad") + smoothing * F.col("host_share")) / (F.col("lab") + smoothing)
-    df = by_template.join(by_host.select("_host", host_share.alias("host_share")), "_host").select("_host", "_template", F.col("lab").alias("_labelled"), share.alias("_bad_share"))
-    return df.withColumn("_rejected", (F.col("_host") != "") & (F.col("_bad_share") >= block_at))
+    df = by_template.join(by_host.select("_host", F.col("hlab").alias("_host_labelled"), host_share.alias("host_share")), "_host").select("_host", "_template", F.col("lab").alias("_labelled"), "_host_labelled", share.alias("_bad_share"))
+    return df.withColumn("_rejected", (F.col("_host") != "") & (F.col("_host_labelled") > 0) & (F.col("_bad_share") >= block_at))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, url: str = "url", rules=RULES, **tree_options) -> DataFrame:
@@ -153,9 +153,9 @@ with u as (
 t as (select host, path, n_lab, n_bad, case when len(seg) > {DEPTH} then template || '/**' else template end as template from t{DEPTH}),
 v as (select host, template, sum(n_lab)::bigint as lab, sum(n_bad)::bigint as bad from t group by all),
 g as (select (coalesce(sum(bad), 0)::bigint + 1.0::double) / (coalesce(sum(lab), 0)::bigint + 4.0::double) as p from v),
-w as (select host, (sum(bad)::bigint + {SMOOTHING}::double * any_value(p)) / (sum(lab)::bigint + {SMOOTHING}::double) as hs from v, g group by host),
-x as (select v.host, v.template, (bad + {SMOOTHING}::double * hs) / (lab + {SMOOTHING}::double) as share from v join w on v.host = w.host),
-j as (select t.host, t.path, t.template, share, t.host <> '' and share >= {BLOCK_AT}::double as rejected from t join x on t.host = x.host and t.template = x.template)
+w as (select host, sum(lab)::bigint as hlab, (sum(bad)::bigint + {SMOOTHING}::double * any_value(p)) / (sum(lab)::bigint + {SMOOTHING}::double) as hs from v, g group by host),
+x as (select v.host, v.template, hlab, (bad + {SMOOTHING}::double * hs) / (lab + {SMOOTHING}::double) as share from v join w on v.host = w.host),
+j as (select t.host, t.path, t.template, share, t.host <> '' and hlab > 0 and share >= {BLOCK_AT}::double as rejected from t join x on t.host = x.host and t.template = x.template)
 select page_id, q.host, q.path, {_rules_sql(0).replace("host", "q.host").replace("path", "q.path")} as rule,
   coalesce({_rules_sql(1).replace("host", "q.host").replace("path", "q.path")}, case when rejected then 'block' else 'allow' end) as verdict,
   template, round(share, 9) as bad_share
