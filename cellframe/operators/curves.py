@@ -118,3 +118,16 @@ def dashboard(files: DataFrame, metrics: DataFrame) -> DataFrame:
 def run_comparison(metrics: DataFrame) -> DataFrame:
     """Adds place: the rank of each file's rwp among its kind. metrics: (path, plot_kind, rwp)."""
     return metrics.where("rwp is not null").withColumn("place", F.rank().over(Window.partitionBy("plot_kind").orderBy("rwp")))
+
+
+def run_summary(files: DataFrame, metrics: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row per run: files, plottable files, kinds present, best rwp, last final chi and unreadable files.
+
+    files: (run_id, path, plot_kind); metrics: (path, rwp, final_chi); errors: (path, reason).
+    """
+    bad = errors.select("path").distinct().withColumn("bad", F.lit(1))
+    got = files.join(metrics, "path", "left").join(bad, "path", "left")
+    return got.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count("plot_kind").alias("n_plottable"), F.array_sort(F.collect_set("plot_kind")).alias("kinds"),
+        F.min("rwp").alias("best_rwp"), F.max_by("final_chi", F.when(F.col("final_chi").isNotNull(), F.col("path"))).alias("final_chi"), F.count("bad").alias("n_errors"),
+    )

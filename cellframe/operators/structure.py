@@ -152,3 +152,20 @@ def axis_ranges(folded: DataFrame) -> DataFrame:
     ends = [f(f"p{a}").alias(f"{a}_{n}") for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))]
     got = folded.groupBy("structure_id").agg(*ends)
     return got.select("structure_id", *[F.coalesce(f"{a}_{n}", F.lit(d)).alias(f"{a}_{n}") for a in AXES for n, d in (("min", 0.0), ("max", 1.0))])
+
+
+def extents(cells: DataFrame) -> DataFrame:
+    """Plot limits along x and y: by the cell's edges, and by the largest component of each of its vectors."""
+    got = cell_lengths(cells).select("structure_id", "cell_lengths").join(cells, "structure_id")
+    edge = lambda i: F.get("cell_lengths", F.lit(i))
+    largest = lambda i: F.array_max(_vector(i))
+    return got.select("structure_id", edge(0).alias("x_edge"), edge(1).alias("y_edge"), largest(0).alias("x_largest"), largest(1).alias("y_largest"))
+
+
+def slabs_in_length(slabs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Slabs given as fractions of the cell (slab_id, z_center, dz), in each structure's unit of length."""
+    c = cell_lengths(cells).select("structure_id", F.get("cell_lengths", F.lit(2)).alias("_c"))
+    # a few slabs for each structure: exploded, not joined
+    packed = slabs.agg(F.collect_list(F.struct("slab_id", "z_center", "dz")).alias("s"))
+    got = c.withColumn("s", packed.scalar()).select("structure_id", "_c", F.explode("s").alias("s"))
+    return got.select("structure_id", "s.slab_id", (F.col("s.z_center") * F.col("_c")).alias("z_center"), (F.col("s.dz") * F.col("_c")).alias("dz"))

@@ -531,3 +531,29 @@ def ingest_errors(spark, d):
     """Curve files with a cell that is no number give an error row."""
     lines = A.csv_lines(spark, d).withColumn("line", F.when(F.col("line").startswith("3,"), F.regexp_replace("line", "^3,", "x3,")).otherwise(F.col("line")))
     return ingest.ingest_errors(lines, lines.select("path").distinct().withColumn("kind", F.lit("csv")))
+
+
+# ---- summaries ----------------------------------------------------------------------------------------------------
+@query(
+    _METRICS + """select run_id, count(*) as n_files, count(plot_kind) as n_plottable, array_to_string(list(distinct plot_kind order by plot_kind) filter (where plot_kind is not null), ',') as kinds, min(rwp) as best_rwp,
+  arg_max(final_chi, case when final_chi is not null then path end) as final_chi, count(case when path like '%7' then 1 end) as n_errors from m group by run_id"""
+)
+def run_summary(spark, d):
+    m = _metrics(spark, d)
+    files = A.run_files(spark, d).select("run_id", "path", "plot_kind")
+    metrics = m.select("path", _r(F.col("metrics")["rwp"]).alias("rwp"), F.col("metrics")["final_chi_r"].alias("final_chi"))
+    errors = files.where("path like '%7'").select("path", F.lit("no rows").alias("reason"))
+    return curves.run_summary(files, metrics, errors).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(
+    ctes("cells", "atoms") + """, v as (select structure_id, [list_transform(lattice[1], lambda v: v / 10), list_transform(lattice[2], lambda v: v / 10), list_transform(lattice[3], lambda v: v / 10)] as v from cells)
+select structure_id, n_atoms, round(sqrt(list_sum(list_transform(v[1], lambda a: a * a))), 6) as x_edge, round(sqrt(list_sum(list_transform(v[2], lambda a: a * a))), 6) as y_edge,
+  round(list_max(v[1]), 6) as x_largest, round(list_max(v[2]), 6) as y_largest, round(0.05 * sqrt(list_sum(list_transform(v[3], lambda a: a * a))), 6) as dz
+from v join (select structure_id, count(*) as n_atoms from atoms group by 1) using (structure_id)"""
+)
+def extents(spark, d):
+    n = A.atoms(spark, d).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms"))
+    slab = structure.slabs_in_length(spark.createDataFrame([(0, 0.5, 0.05)], "slab_id int, z_center double, dz double"), A.cells(spark))
+    got = structure.extents(A.cells(spark)).join(n, "structure_id").join(slab.select("structure_id", "dz"), "structure_id")
+    return got.select("structure_id", "n_atoms", *[_r(c).alias(c) for c in ("x_edge", "y_edge", "x_largest", "y_largest", "dz")])
