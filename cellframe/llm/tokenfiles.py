@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id and ordered within; each task encodes it
 shared folder.  A file is an Arrow IPC stream whose batches have two columns: `ids`, a fixed-size list of
 `length` ids (16-bit where the vocabulary allows, else 32-bit), and `mask`, a fixed-size list of as many bits,
 false on the padding after the last id.  A memory-mapped or whole file gives any sequence without copying.
-A second stream, of the same name with `.docs`, has one row per document: doc_id and n_tokens, in order.
+After that stream's end follows a second one in the same file, with one row per document: doc_id and n_tokens, in order.
 A file holds about `file_tokens` ids at most, whatever the range holds, and one document at least.
 
 Encoding: the vocabulary's rule never joins across the place before a blank that is followed by something else, so
@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 LENGTH = 2048
 BATCH = 64
-FILE_TOKENS = 8_000_000
+FILE_TOKENS = 4_000_000
 CACHE = 1_500_000
 MANIFEST = "file string, first_id long, part int, seq int, n_tokens long, n_docs long"
 
@@ -147,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch, column: int, most: int = 8_000_000):
+def slices(batch, column: int, most: int = 4_000_000):
     """batch in parts whose texts have about `most` bytes, one row at least."""
     import pyarrow.compute as pc
 
@@ -160,7 +160,7 @@ def slices(batch, column: int, most: int = 8_000_000):
 
 
 class Writer:
-    """One task's files: <folder>/part-PPPPP-SSSSS.arrow and .docs, each put in place by a rename when it is whole."""
+    """One task's files: <folder>/part-PPPPP-SSSSS.arrow, each put in place by a rename when it is whole."""
 
     def __init__(self, folder: str, part: int, length: int, wide: bool):
         from pyarrow import fs
@@ -179,15 +179,23 @@ class Writer:
         self.sizes.append(sizes)
         self.held += len(ids)
 
-    def _put(self, name: str, schema, batches):
+    def _put(self, name: str, *streams):
+        """Write the streams, each (schema, batches), one after the other."""
         import uuid
 
         import pyarrow as pa
 
         temporary = f"{self.root}/_{uuid.uuid4().hex}"
-        with self.fs.open_output_stream(temporary) as out, pa.ipc.new_stream(out, schema) as writer:
-            for b in batches:
-                writer.write_batch(b)
+        with self.fs.open_output_stream(temporary) as out:
+            for schema, batches in streams:
+                with pa.ipc.new_stream(out, schema) as writer:
+                    for b in batches:
+                        writer.write_batch(b)
+        # a repeated attempt writes the same file again; not every store lets a rename replace one
+        from pyarrow.fs import FileType
+
+        if self.fs.get_file_info(f"{self.root}/{name}").type != FileType.NotFound:
+            self.fs.delete_file(f"{self.root}/{name}")
         self.fs.move(temporary, f"{self.root}/{name}")
 
     def close(self):
@@ -211,8 +219,8 @@ class Writer:
 
         name = f"part-{self.part:05d}-{self.seq:05d}"
         index = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
-        self._put(f"{name}.docs", index, [pa.RecordBatch.from_arrays([pa.array(self.docs, pa.int64()), pa.array(sizes)], schema=index)])
-        self._put(f"{name}.arrow", schema, batches())
+        docs = pa.RecordBatch.from_arrays([pa.array(self.docs, pa.int64()), pa.array(sizes)], schema=index)
+        self._put(f"{name}.arrow", (schema, batches()), (index, [docs]))
         self.made.append((f"{name}.arrow", self.docs[0], self.part, self.seq, n, len(self.docs)))
         self.seq += 1
         self._clear()
@@ -258,26 +266,25 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
     base = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
     # the window's rows are files, not documents
     based = small_side(staged(manifest.select("file", F.coalesce(base, F.lit(0)).alias("base")), "bases"))
-    kinds = spark.read.format("binaryFile").load(folder)
-    named = kinds.select(F.element_at(F.split("path", "/"), -1).alias("_name"), "content")
-    ids = named.where("_name like '%.arrow'").join(based, F.col("_name") == F.col("file")).select("file", "base", "content")
-    index = named.where("_name like '%.docs'").select(F.expr("replace(_name, '.docs', '.arrow')").alias("file"), F.col("content").alias("docs"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.arrow").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def read(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for base_, content, docs in zip(batch.column("base").to_pylist(), batch.column("content"), batch.column("docs")):
-                own = pa.ipc.open_stream(docs.as_buffer()).read_all()
+            for base_, content in zip(batch.column("base").to_pylist(), batch.column("content")):
+                source = pa.BufferReader(content.as_buffer())
+                sequences = list(pa.ipc.open_stream(source))
+                own = pa.ipc.open_stream(source).read_all()
                 sizes = own.column("n_tokens").to_numpy()
                 ends = np.cumsum(sizes)
-                values, crc, n, held, k = [], np.zeros(len(sizes), dtype=np.int64), 0, 0, 0
-                for b in pa.ipc.open_stream(content.as_buffer()):
-                    v = b.column(0).flatten().to_numpy()[b.column(1).flatten().to_numpy(zero_copy_only=False)]
+                crc, held, k = np.zeros(len(sizes), dtype=np.int64), 0, 0
+                for b in sequences:
+                    v = b.column(0).flatten().to_numpy()[b.column(1).flatten().to_numpy(zero_copy_only=False)].astype("<u4")
                     pos = 0
                     while pos < len(v):
                         take = min(len(v) - pos, int(ends[k]) - (held + pos))
-                        crc[k] = zlib.crc32(v[pos : pos + take].astype("<u4").tobytes(), int(crc[k]))
+                        crc[k] = zlib.crc32(v[pos : pos + take].tobytes(), int(crc[k]))
                         pos += take
                         if held + pos == ends[k]:
                             k += 1
@@ -285,7 +292,8 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
                 assert held == (ends[-1] if len(ends) else 0), "the ids and the documents of a file differ"
                 yield pa.RecordBatch.from_arrays([own.column("doc_id").combine_chunks(), pa.array(base_ + ends - sizes), pa.array(sizes), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return ids.join(index, "file").select("base", "content", "docs").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # only files of the manifest are read: a lost task's leftovers are not
+    return files.join(based, F.col("name") == F.col("file")).select("base", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenized(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
