@@ -38,8 +38,8 @@ SLICE_SHARE, SLICE_LEAST = 0.004, 16
 #: Shingles a shuffled bucket holds about, and bytes of text a pack of blocks.
 BUCKET, PACK = 2_000_000, 24_000_000
 LEAF = 64
-#: In packed arrays: the highest rank of a counted shingle, a class's number of common shingles, a common shingle.
-TOP_RANK, N_COMMON, LATE = 249, 250, 255
+#: In packed arrays: the highest rank of a counted shingle, a class's numbers of shingles, a common shingle.
+TOP_RANK, SIZES, LATE = 249, 250, 255
 
 
 def shingle_sets(text, size: int) -> list[np.ndarray]:
@@ -162,11 +162,11 @@ def prefix_rows(texts: DataFrame, common: DataFrame, n_buckets: int, n_packs: in
             extra = np.zeros(len(value), np.uint8)
             if len(value):
                 yield _packed((value >> np.uint64(33)).astype(np.int64) % n_buckets, owner, value, extra)
-            some = np.flatnonzero(n_hot > 0)
+            some = np.flatnonzero(n > 0)
             if len(some):  # negative buckets: these need no counting
                 o = np.concatenate([ids[some], *late_owner])
-                v = np.concatenate([n_hot[some].astype(np.uint64), *late_value])
-                kind = np.repeat(np.array([N_COMMON, LATE], np.uint8), [len(some), len(o) - len(some)])
+                v = np.concatenate([(n_hot[some].astype(np.uint64) << np.uint64(32)) | n[some].astype(np.uint64), *late_value])
+                kind = np.repeat(np.array([SIZES, LATE], np.uint8), [len(some), len(o) - len(some)])
                 yield _packed(-1 - (textnum.mix(o.astype(np.uint64)) % np.uint64(n_packs)).astype(np.int64), o, v, kind)
 
     def shared(tab):
@@ -198,18 +198,21 @@ def prefix_rows(texts: DataFrame, common: DataFrame, n_buckets: int, n_packs: in
         owner, value, rank = _unpacked(tab)
         order = np.lexsort((value, rank, owner))
         owner, value, rank = owner[order], value[order], rank[order]
+        # a repeated row sends its class twice
+        one = np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]) | (rank[1:] != rank[:-1]))[: len(owner)]
+        owner, value, rank = owner[one], value[one], rank[one]
         first, count = _runs(owner)
         if not len(first):
-            return pa.table({"class": owner, "shingle": value.view(np.int64), "place": owner, "late": rank == LATE, "m": owner})
+            return pa.table({"class": owner, "shingle": value.view(np.int64)})
         place = np.arange(len(owner)) - np.repeat(first, count)
-        # shared or common shingles of each class
-        m = np.add.reduceat((rank <= TOP_RANK).astype(np.int64), first) + np.add.reduceat(np.where(rank == N_COMMON, value, np.uint64(0)).astype(np.int64), first)
-        m, keep = np.repeat(m, count), rank != N_COMMON
-        return pa.table({"class": owner[keep], "shingle": value[keep].view(np.int64), "place": place[keep], "late": rank[keep] == LATE, "m": m[keep]})
+        # of a class's n shingles, those that nothing shares come first, then the shared ones, then the common ones
+        sizes = np.add.reduceat(np.where(rank == SIZES, value, np.uint64(0)), first)
+        n, n_hot = (sizes & np.uint64(0xFFFFFFFF)).astype(np.int64), (sizes >> np.uint64(32)).astype(np.int64)
+        alone = n - n_hot - np.add.reduceat((rank <= TOP_RANK).astype(np.int64), first)
+        keep = (rank == LATE) | ((rank <= TOP_RANK) & (place < np.repeat(prefix_length(n, percent) - alone, count)))
+        return pa.table({"class": owner[keep], "shingle": value[keep].view(np.int64)})
 
-    # `place` in the order of the shared shingles; the shingles of a class that nothing shares come before all of them
-    chosen = packs.applyInArrow(lambda key, tab: choose(key, tab), "class long, shingle long, place long, late boolean, m long")
-    return chosen
+    return packs.applyInArrow(lambda key, tab: choose(key, tab), "class long, shingle long")
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -315,10 +318,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     classes = staged(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("n").alias("n")), "classes")
     held = docs.join(classes.where("class is not null"), docs["doc_id"] == classes["class"]).select("class", "text", "k1", "k2", "n")
     n_buckets = max(1, math.ceil((total.shingles or 0) / BUCKET))
-    chosen = prefix_rows(held.select("class", "text", "k1", "k2", "n"), common, n_buckets, n_buckets, size, percent)
-    # of n shingles, those that nothing shares come first: n - m of them, before the m shared (the late ones were cut to fit)
-    need = F.expr(f"n - cast((n * {percent} + 99) div 100 as long) + 1")
-    prefix = chosen.join(classes.select("class", "n"), "class").where(F.col("late") | (F.col("place") < need - (F.col("n") - F.col("m")))).select("class", "shingle")
+    prefix = prefix_rows(held, common, n_buckets, n_buckets, size, percent)
     prefix = staged(prefix, "prefix")
     least = prefix.groupBy("shingle").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
     edges = prefix.join(least, "shingle").select(F.col("class").alias("a"), "b")

@@ -280,7 +280,7 @@ def test_jaccard(spark, common_share, monkeypatch):
         else:
             w = [r.choice(v) for _ in range(r.randrange(0, 60))]
         rows.append((i, " ".join(w)))
-    rows += [(900, None), (901, ""), (902, " \n "), (903, "a b"), (904, "A B"), (905, "a b c"), (906, "a b c d"), (5000, rows[0][1])]
+    rows += [(900, None), (901, ""), (902, " \n "), (903, "a b"), (904, "A B"), (905, "a b c"), (906, "a b c d"), (5000, rows[0][1]), rows[0], rows[3], rows[3], rows[6], rows[1]]
     assert sorted(tuple(x) for x in jaccard.components(docs_of(spark, rows)).collect()) == components_by_force(rows)
 
 
