@@ -34,6 +34,8 @@ SHARE = 0.08
 SAMPLED = 8
 RECALL = 0.99
 BLOCK = 20_000
+#: Steps after which a walk's coins repeat: bounds its table, however long an item is.
+PERIOD = 4096
 FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     "))
 SCHEMA = "item_id long, distance int, byte_start long, byte_end long"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -118,8 +120,8 @@ class Items:
         self.map[(self.keys * _B) >> np.uint64(43)] = True
         random = np.random.default_rng(seed)
         self.repeats = repeats_for(recall, sampled)
-        self.steps = 3 * int(self.n.max())
-        # one walk a repeat: whether to move on after a byte, by step and byte
+        self.steps = min(PERIOD, 3 * int(self.n.max()))
+        # one walk a repeat: whether to move on after a byte, by step (of a period) and byte
         self.walk = random.integers(0, 2, (self.repeats, self.steps, 257), dtype=np.int8)
         self.sample = random.random((self.repeats, sampled))
         self.signature = self.embed(self.bytes, np.arange(len(self.bytes)))
@@ -140,7 +142,7 @@ class Items:
             for j in range(last):
                 c = data[rows, at]
                 trail[j] = c
-                at = np.minimum(at + self.walk[r, j, c], width - 1)
+                at = np.minimum(at + self.walk[r, j % self.steps, c], width - 1)
             out[r] = trail[place[r].T, rows[None, :]].T
         return out
 
