@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows up to which a table keyed by source, host and the like is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
