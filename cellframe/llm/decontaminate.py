@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 Q = 12
 SHARE = 0.08
@@ -228,6 +228,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, samp
                             [batch.column(0).take(pa.array(who)), pa.array([ready.id[i] for i in item], pa.int64()), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                             names=[key, "item_id", "distance", "byte_start", "byte_end"],
                         )
+            give_back()
 
         one = docs.select(key, text).mapInArrow(search, schema)
         out = one if out is None else out.unionAll(one)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import small_side, staged, table
+from .common import give_back, small_side, staged, table
 
 SIZE = 4
 PERCENT = 85
@@ -91,6 +91,7 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
                 [pa.nulls(m, pa.int64()), pa.array(np.ones(m, np.int8)), pa.array(count[often].astype(np.int64)), pa.array(value[often].view(np.int64)), pa.array(np.zeros(m, np.int64))],
                 names=["doc_id", "kind", "n", "k1", "k2"],
             )
+        give_back()
 
     return docs.mapInArrow(work, "doc_id long, kind byte, n long, k1 long, k2 long")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_TRAIN_DOCS = 4000
@@ -256,6 +256,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
                 top = 1.0 / share.sum(axis=1)
                 label[judged], score[judged] = np.array(names, dtype=object)[best[judged]], top[judged]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(label, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+        known = scores = None
+        give_back()
 
     fields = [f for f in docs.schema.fields if f.name in kept]
     return docs.mapInArrow(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

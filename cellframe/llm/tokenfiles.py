@@ -25,14 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_side, staged, table
+from .common import give_back, shared_dir, small_side, staged, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 LENGTH = 2048
 BATCH = 64
 FILE_TOKENS = 4_000_000
-CACHE = 1_500_000
+CACHE = 600_000
 MANIFEST = "file string, first_id long, part int, seq int, n_tokens long, n_docs long"
 
 
@@ -236,6 +236,7 @@ def write_tokens(docs: DataFrame, folder: str, length: int = LENGTH, file_tokens
         import pyarrow as pa
         from pyspark import TaskContext
 
+        give_back()
         encode = encoder(path)
         writer = Writer(folder, TaskContext.get().partitionId(), length, encode.wide)
         for big in batches:
@@ -254,6 +255,7 @@ def write_tokens(docs: DataFrame, folder: str, length: int = LENGTH, file_tokens
                     if done < len(keys):
                         writer.close()
         writer.close()
+        give_back()
         cols = list(zip(*writer.made)) or [[]] * 6
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "first_id", "part", "seq", "n_tokens", "n_docs"])
