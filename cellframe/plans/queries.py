@@ -18,11 +18,18 @@ LIM = (0.0, 10.4116)
 BW = 0.05
 
 
-def query(sql: str | None = None):
+#: Rounded columns that can be just below zero: DuckDB's round gives them as -0.0, Spark's as 0.0.
+SIGNED = {
+    "residuals": ("residual",), "q_weighted": ("qy",), "y_domain": ("y_lo", "y_hi"), "nearest_point": ("y",), "visible_series": ("total",), "chi_log": ("log_chi",),
+    "reduce_coords": ("rx", "ry", "rz"), "frac_lines": ("fx",), "slab_cov": ("sxy",), "fold_cartesian": ("px", "py", "pz"),
+}
+
+
+def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        signed = SIGNED.get(f.__name__, ())
+        SQL[f.__name__] = f"select * replace ({', '.join(f'{c} + 0.0::double as {c}' for c in signed)}) from ({sql})" if signed else sql
         return f
 
     return add
