@@ -11,8 +11,12 @@
    bitmaps have too few places in common for any link, and pairs that are one component already; at the leaves
    the overlap is the exact number of common places.
 
-Only counts and packed arrays are shuffled; pairs are never emitted.  A block is held by one task (its sets, 8 bytes
-a shingle): blocks are groups of near copies, not common passages.
+4. A block of more than CHUNK shingles is split over tasks (see `link_large`): links within two random dealings of
+   its classes first, then every pair of chunks that may hold a link between two components.  Such tasks, and blocks
+   whose bitmaps would be large, count overlaps tile by tile from the sparse sets.
+
+Only counts and packed arrays are shuffled; pairs are never emitted.  A task holds two chunks at most (8 bytes a
+shingle), however large a group of near copies is.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; with fewer words than the
 shingle's size the whole sequence is the one shingle; rows that repeat a doc_id are rows of their own, and a
@@ -24,7 +28,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -38,6 +42,10 @@ SLICE_SHARE, SLICE_LEAST = 0.004, 16
 #: Shingles a shuffled bucket holds about, and bytes of text a pack of blocks.
 BUCKET, PACK = 2_000_000, 24_000_000
 LEAF = 64
+#: Shingles of a block that one task takes; bytes of bitmaps above which a block's overlaps are counted in tiles.
+CHUNK, DENSE = 1 << 20, 1 << 26
+#: Sets a side of a tile, shingles multiplied and pairs counted at once.
+TILE, COLUMNS, PAIRS = 1024, 4096, 1 << 20
 #: In packed arrays: the highest rank of a counted shingle, a class's numbers of shingles, a common shingle.
 TOP_RANK, SIZES, LATE = 249, 250, 255
 
@@ -216,6 +224,70 @@ def prefix_rows(texts: DataFrame, common: DataFrame, n_buckets: int, n_packs: in
     return packs.applyInArrow(lambda key, tab: choose(key, tab), "class long, shingle long")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a has in common with each set of b: frequent values by products, others by pairs."""
+    na, nb = len(a), len(b)
+    sets = [*a, *b]
+    owner = np.repeat(np.arange(na + nb), np.fromiter(map(len, sets), dtype=np.int64, count=na + nb))
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    out = np.zeros(na * nb, dtype=np.int64)
+    first, count = _runs(value)
+    if not len(first):
+        return out.reshape(na, nb)
+    left = np.add.reduceat((owner < na).astype(np.int64), first)
+    right = count - left
+    often = left * right * 256 > na * nb
+    run = np.repeat(np.arange(len(first)), count)
+    # owners ascend within a value: those of a, then those of b
+    mine = np.flatnonzero((owner < na) & (right[run] > 0) & ~often[run])
+    many = right[run[mine]]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(mine):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        m, k = mine[at:to], many[at:to]
+        step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        other = owner[np.repeat((first + left)[run[m]], k) + step] - na
+        out += np.bincount(np.repeat(owner[m], k) * nb + other, minlength=na * nb)
+        at = to
+    out = out.reshape(na, nb)
+    column = np.cumsum(often) - 1
+    hot = np.flatnonzero(often[run])
+    where, who = column[run[hot]], owner[hot]
+    for c in range(0, int(often.sum()), COLUMNS):
+        x, y = np.searchsorted(where, (c, c + COLUMNS))
+        holds = np.zeros((na + nb, COLUMNS), dtype=np.float32)  # counts stay far below 2^24
+        holds[who[x:y], where[x:y] - c] = 1
+        out += (holds[:na] @ holds[na:].T).astype(np.int64)
+    return out
+
+
+def merge_links(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int) -> None:
+    """Give the sets `left` and `right` (indices; right None: left with itself) that link one label, the smallest."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+
+    def tiles(x):
+        x = x[np.argsort(size[x], kind="stable")]
+        return [x[i : i + TILE] for i in range(0, len(x), TILE)]
+
+    one = tiles(left)
+    pairs = [(x, y) for i, x in enumerate(one) for y in one[: i + 1]] if right is None else [(x, y) for x in one for y in tiles(right)]
+    for x, y in pairs:
+        if 100 * size[x[-1]] < percent * size[y[0]] or 100 * size[y[-1]] < percent * size[x[0]]:
+            continue
+        if (label[x] == label[x[0]]).all() and (label[y] == label[x[0]]).all():
+            continue
+        common = overlaps([sets[i] for i in x], [sets[i] for i in y])
+        link = 100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)
+        link &= label[x][:, None] != label[y][None, :]
+        for i in np.flatnonzero(link.any(axis=1)):
+            met = np.unique(np.append(label[y[link[i]]], label[x[i]]))
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+
+
 def links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Component number (its smallest member) of each of a block's sets, by dual traversal of its signature tree."""
     n = len(sets)
@@ -230,6 +302,10 @@ def links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
     _, local = np.unique(local, return_inverse=True)
     width = int(local.max()) + 1 if len(local) else 1
     words = -(-width // 64)
+    if 8 * n * words > DENSE:
+        label = np.arange(n)
+        merge_links(sets, label, label.copy(), None, percent)
+        return label
     parent = np.arange(n)
 
     def root(x):
@@ -308,6 +384,78 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def in_chunks(rows: DataFrame, salt: int) -> DataFrame:
+    """rows (root, class, n, major, ...) with _chunk: neighbours in size, of about CHUNK shingles; major ones apart."""
+    bins = rows.groupBy("root", "major", "n").agg(F.sum("n").alias("_w"))
+    before = Window.partitionBy("root", "major").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # over sizes, not rows
+    bins = small_side(staged(bins.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0))), "bins"))
+    share = F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(1 << 20)) / F.lit(1 << 20)
+    chunk = F.floor((F.col("_before") + share * F.col("_w")) / F.lit(CHUNK)).cast("long")
+    return rows.join(bins, ["root", "major", "n"]).withColumn("_chunk", 2 * chunk + F.col("major")).drop("_w", "_before")
+
+
+def link_large(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(class, component) of the blocks (root, class, text, k1, k2) that are too large for one task.
+
+    Two random dealings into chunks are linked first, each chunk by itself, which joins most of a group whose members
+    link.  Then every pair of chunks is compared, but for those whose sizes are too far apart and those within the
+    block's major component (the heaviest one): all their classes are one component already.
+    """
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in _slices(batches):
+            own, k1, k2 = shingle_sets(batch.column(1), size), np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            good = np.array([set_key(s) == (k1[i], k2[i]) for i, s in enumerate(own)], dtype=bool)
+            at = np.flatnonzero(good)
+            n, packed = [len(own[i]) for i in at], [own[i].tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["root", "class", "n", "shingles"])
+        give_back()
+
+    def link(tab):
+        import pyarrow as pa
+
+        ids, first = np.unique(np.asarray(tab.column("class")), return_index=True)  # a repeated row counts once
+        own, label = tab.column("shingles").combine_chunks(), np.arange(len(ids))
+        merge_links([np.frombuffer(own[int(i)].as_buffer(), dtype=np.uint64) for i in first], label, label.copy(), None, percent)
+        return pa.table({"a": ids, "b": ids[label]})
+
+    def link_pair(key, tab):
+        import pyarrow as pa
+
+        own, side = tab.column("shingles").combine_chunks(), np.asarray(tab.column("_chunk"))
+        names, label = np.unique(np.asarray(tab.column("component")), return_inverse=True)
+        began, i, j = label.copy(), key[1].as_py(), key[2].as_py()
+        merge_links([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in own], label, np.flatnonzero(side == i), np.flatnonzero(side == j) if i < j else None, percent)
+        new = np.flatnonzero(label != began)
+        one = np.unique(np.stack([names[began[new]], names[label[new]]]), axis=1)
+        return pa.table({"a": one[0], "b": one[1]})
+
+    rows = staged(texts.select("root", "text", "class", "k1", "k2").mapInArrow(sets, "root long, class long, n long, shingles binary"), "sets").withColumn("major", F.lit(0))
+    edges = None
+    for salt in (1, 2):
+        one = in_chunks(rows, salt).select("root", "_chunk", "class", "shingles").groupBy("root", "_chunk").applyInArrow(lambda tab: link(tab), "a long, b long")
+        edges = one if edges is None else edges.unionAll(one)
+    found = staged(connected(edges), "found")
+    named = staged(rows.select("root", "class", "n").distinct().join(found, F.col("class") == F.col("node"), "left").select(rows["root"], "class", "n", F.coalesce(found["root"], F.col("class")).alias("component")), "components")
+    heavy = named.groupBy("root", "component").agg(F.sum("n").alias("w")).where(F.col("w") > CHUNK).groupBy("root").agg(F.max(F.struct("w", "component")).alias("h"))
+    heavy = small_side(staged(heavy.select(F.col("root").alias("_root"), F.col("h.component").alias("_heavy")), "heavy"))
+    named = named.join(heavy, F.col("root") == F.col("_root"), "left").select("class", "component", F.when(F.col("component") == F.col("_heavy"), 1).otherwise(0).alias("major"))
+    dealt = in_chunks(rows.drop("major").join(named, "class"), 3)
+    chunks = staged(dealt.groupBy("root", "_chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("least"), F.max("component").alias("most")), "chunks")
+    a, b = chunks.select("root", *[F.col(c).alias(c + "_a") for c in chunks.columns[1:]]), chunks.select("root", *[F.col(c).alias(c + "_b") for c in chunks.columns[1:]])
+    near = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
+    one = (F.col("least_a") == F.col("most_a")) & (F.col("least_b") == F.col("most_b")) & (F.col("least_a") == F.col("least_b"))
+    pairs = staged(a.join(b, "root").where((F.col("_chunk_a") <= F.col("_chunk_b")) & near & ~one).select("root", F.col("_chunk_a").alias("i"), F.col("_chunk_b").alias("j")), "pairs")
+    ends = pairs.withColumn("_chunk", F.explode(F.array_distinct(F.array("i", "j")))).groupBy("root", "_chunk").agg(F.collect_list(F.struct("i", "j")).alias("p"))
+    ends = small_side(staged(ends, "ends"))
+    sent = dealt.join(ends, ["root", "_chunk"]).select("root", F.explode("p").alias("p"), "_chunk", "component", "shingles").select("root", "p.i", "p.j", "_chunk", "component", "shingles")
+    more = sent.groupBy("root", "i", "j").applyInArrow(lambda key, tab: link_pair(key, tab), "a long, b long")
+    joined = staged(connected(more), "joined")
+    return named.join(joined, F.col("component") == F.col("node"), "left").select("class", F.coalesce("root", "component").alias("component"))
+
+
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id long, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -325,8 +473,15 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     edges = prefix.join(least, "shingle").select(F.col("class").alias("a"), "b")
     blocks = staged(connected(edges), "blocks")
     members = blocks.unionAll(blocks.select(F.col("root").alias("node"), "root").distinct())
+    members = staged(members, "members")
     packs = max(1, math.ceil((total.shingles or 0) * 8 / PACK))
-    inside = held.join(small_side(staged(members, "members")), F.col("class") == F.col("node")).select("root", "class", "text", "k1", "k2")
+    weights = classes.join(members, F.col("class") == F.col("node")).groupBy("root").agg(F.sum("n").alias("w"))
+    large = staged(weights.where(F.col("w") > CHUNK).select("root"), "large_blocks")
+    inside = held.join(small_side(members), F.col("class") == F.col("node")).select("root", "class", "text", "k1", "k2")
+    split = None
+    if large.head(1):
+        split = link_large(inside.join(small_side(large), "root", "left_semi"), size, percent)
+        inside = inside.join(small_side(large), "root", "left_anti")
 
     def link(key, tab):
         import pyarrow as pa
@@ -343,6 +498,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
         return pa.table({"class": ids[at], "component": out[at]})
 
     linked = inside.withColumn("pack", F.pmod(F.xxhash64("root"), F.lit(packs))).groupBy("pack").applyInArrow(lambda key, tab: link(key, tab), "class long, component long").distinct()
+    linked = linked if split is None else linked.unionAll(split)
     named = classes.join(linked, "class", "left").select("k1", "k2", F.coalesce("component", "class").alias("component"))
     named = small_side(staged(named, "named"))
     own = sets.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")

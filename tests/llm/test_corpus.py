@@ -304,6 +304,39 @@ def test_signature_tree_equals_all_pairs():
     assert got.tolist() == [root(i) for i in range(len(sets))]
 
 
+def test_large_block_is_split_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 2500)
+    r = random.Random(8)
+    v, rows = [f"w{i}" for i in range(400)], []
+    base = [r.choice(v) for _ in range(120)]
+    for i in range(400):
+        w = list(base[: r.choice((120, 120, 105, 90))])
+        for _ in range(r.choice((0, 1, 2, 4, 6))):
+            w[r.randrange(len(w))] = r.choice(v)
+        rows.append((i, " ".join(w)))
+    rows += [rows[0], rows[7], (5000, rows[9][1])]
+    want = components_by_force(rows)
+    assert len({c for _, _, c in want}) > 20
+    assert sorted(tuple(x) for x in jaccard.components(docs_of(spark, rows)).collect()) == want
+    blocks = spark.createDataFrame([(0, i, 120, 0) for i in range(400)], "root long, class long, n long, major int")
+    assert max(x["count"] for x in jaccard.in_chunks(blocks, 1).groupBy("_chunk").count().collect()) < 50
+
+
+def test_near_copies_with_many_variants_fit_in_memory():
+    """6,000 sets of 400,000 shared shingles took bitmaps of 300 MB."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    base, variants = r.integers(0, 1 << 60, 100, dtype=np.uint64), r.integers(0, 1 << 60, 400_000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, r.choice(variants, 200)])) for _ in range(6000)]
+    sets[5000] = np.unique(np.append(sets[17][:-3], np.uint64(1)))
+    tracemalloc.start()
+    got = jaccard.links_of(sets, 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and got[5000] == 17 and len(set(got.tolist())) == 5999
+
+
 # ---- op9 ----------------------------------------------------------------------------------------------------------
 def test_language_accuracy_on_held_out_rows(spark, sf_dir):
     out = langid.query(spark, sf_dir).toPandas().set_index("doc_id")
