@@ -5,10 +5,8 @@ bytes may differ in d = min(share * n, (n - q) // q) edits.
 
 1. Item-sized windows are proposed where a text and an item share at least n - q + 1 - q * d of the item's q-byte
    strings on close diagonals.  A passage within d edits always shares that many, so no window is lost here.
-2. The window and the item are embedded by the CGK random walk (their edit distance becomes a Hamming distance),
-   and `repeats` samples of `sampled` embedded places are compared; one equal sample makes the pair a candidate.
-   The number of repeats is set from the target recall at distance d.
-3. Candidates are verified by their exact edit distance (bit-parallel, over the window and d bytes around it).
+2. Every proposed window is verified by its exact edit distance (bit-parallel, over the window and d bytes around
+   it): nothing is sampled, so a passage is found at any distance up to d, however long the item is.
 
 Items are handed to tasks in blocks of at most `block` items, whatever their number; documents are read once a
 block and never leave their task.
@@ -21,7 +19,6 @@ reported once, at its best and first place; a repeated doc_id is searched row by
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,11 +28,7 @@ from .common import give_back, table
 
 Q = 12
 SHARE = 0.08
-SAMPLED = 8
-RECALL = 0.99
 BLOCK = 20_000
-#: Steps after which a walk's coins repeat: bounds its table, however long an item is.
-PERIOD = 4096
 FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     "))
 SCHEMA = "item_id long, distance int, byte_start long, byte_end long"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -89,18 +82,10 @@ def edit_distance(item: bytes, text: bytes, anchored: bool = False) -> tuple[int
     return best, end
 
 
-def repeats_for(recall: float, sampled: int) -> int:
-    """Repeats so that a pair whose embeddings differ in a quarter of their places is met with the given chance.
-
-    CGK's Hamming distance stays below that for pairs within SHARE of their length in most walks.
-    """
-    return math.ceil(math.log(1 - recall) / math.log(1 - 0.75**sampled))
-
-
 class Items:
     """One block of items, ready for search."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], share: float, q: int, sampled: int, recall: float, seed: int = 7):
+    def __init__(self, rows: list[tuple[int, bytes]], share: float, q: int):
         self.id = [i for i, _ in rows]
         self.bytes = [b for _, b in rows]
         self.n = np.array([len(b) for b in self.bytes], dtype=np.int64)
@@ -118,33 +103,6 @@ class Items:
         self.keys, self.first, self.count = np.unique(values, return_index=True, return_counts=True)
         self.map = np.zeros(1 << 21, dtype=bool)
         self.map[(self.keys * _B) >> np.uint64(43)] = True
-        random = np.random.default_rng(seed)
-        self.repeats = repeats_for(recall, sampled)
-        self.steps = min(PERIOD, 3 * int(self.n.max()))
-        # one walk a repeat: whether to move on after a byte, by step (of a period) and byte
-        self.walk = random.integers(0, 2, (self.repeats, self.steps, 257), dtype=np.int8)
-        self.sample = random.random((self.repeats, sampled))
-        self.signature = self.embed(self.bytes, np.arange(len(self.bytes)))
-
-    def embed(self, strings: list[bytes], item: np.ndarray) -> np.ndarray:
-        """(repeat, string, sampled place) bytes of the walks; 256 after a string's end."""
-        width = max(map(len, strings)) + 1
-        data = np.full((len(strings), width), 256, dtype=np.int64)
-        for k, s in enumerate(strings):
-            data[k, : len(s)] = np.frombuffer(s, dtype=np.uint8)
-        rows = np.arange(len(strings))
-        out = np.empty((self.repeats, len(strings), self.sample.shape[1]), dtype=np.int16)
-        place = (self.sample[:, None, :] * (3 * self.n[item])[None, :, None]).astype(np.int64)
-        last = int(3 * self.n[item].max())
-        for r in range(self.repeats):
-            at = np.zeros(len(strings), dtype=np.int64)
-            trail = np.empty((last, len(strings)), dtype=np.int16)
-            for j in range(last):
-                c = data[rows, at]
-                trail[j] = c
-                at = np.minimum(at + self.walk[r, j % self.steps, c], width - 1)
-            out[r] = trail[place[r].T, rows[None, :]].T
-        return out
 
     def search(self, data: np.ndarray, offs: np.ndarray, q: int):
         """(document, item, distance, start, end) of the folded bytes of several documents."""
@@ -173,21 +131,15 @@ class Items:
         new = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
         size = np.diff(np.append(new, key.shape[1]))
         diagonal = both(diagonal)[order]
-        lowest, highest, ahead = np.minimum.reduceat(diagonal, new), np.maximum.reduceat(diagonal, new), diagonal[new]
+        lowest, highest = np.minimum.reduceat(diagonal, new), np.maximum.reduceat(diagonal, new)
         ok = size >= self.least[key[1, new]]
         if not ok.any():
             return []
-        doc, item, lowest, highest, ahead = key[0, new][ok], key[1, new][ok], lowest[ok], highest[ok], ahead[ok]
-        one = np.unique(np.stack([doc, item, ahead]), axis=1, return_index=True)[1]
-        doc, item, lowest, highest, ahead = (x[one] for x in (doc, item, lowest, highest, ahead))
+        # the two sets of bins often propose the same window
+        doc, item, lowest, highest = np.unique(np.stack([key[0, new][ok], key[1, new][ok], lowest[ok], highest[ok]]), axis=1)
         begin = offs[doc]
-        windows = [data[max(b, b + a) : min(e, b + a + n)].tobytes() for b, a, e, n in zip(begin, ahead, offs[doc + 1], self.n[item])]
-        met = np.zeros(len(windows), dtype=bool)
-        for i in range(0, len(windows), 2000):
-            part = slice(i, i + 2000)
-            met[part] = (self.embed(windows[part], item[part]) == self.signature[:, item[part]]).all(axis=2).any(axis=0)
         best = {}
-        for k in np.flatnonzero(met):
+        for k in range(len(doc)):
             d, i = int(self.d[item[k]]), int(item[k])
             a = max(begin[k], begin[k] + lowest[k] - d)
             e = min(offs[doc[k] + 1], begin[k] + highest[k] + self.n[i] + d)
@@ -200,7 +152,7 @@ class Items:
         return [(int(doc), i, *row) for (doc, i), row in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sampled: int = SAMPLED, recall: float = RECALL, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and item found in it: key, item_id, distance, byte_start, byte_end (of the UTF-8 text)."""
     q = Q
     items = benchmark.where(F.col("text").isNotNull() & (F.octet_length("text") >= 2 * q)).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
@@ -216,7 +168,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, samp
             from .textnum import doc_bytes
             from .tokenfiles import slices
 
-            ready = Items(handed.value, share, q, sampled, recall)
+            ready = Items(handed.value, share, q)
             for big in batches:
                 for batch in slices(big, 1):
                     data, offs, _ = doc_bytes(batch.column(1))

@@ -402,6 +402,20 @@ def test_leaks_are_found_within_the_edits_allowed(spark):
         assert levenshtein(decontaminate.folded(items[x.item_id][1]), decontaminate.folded(text[x.doc_id])[x.byte_start : x.byte_end]) == x.distance
 
 
+def test_leaks_at_exactly_the_edits_allowed(spark):
+    r = random.Random(5)
+    items, rows = [], []
+    for k in range(40):
+        n, indels = (100, 230, 380, 1000, 3000)[k % 5], k % 2
+        s = [chr(r.randrange(97, 123)) for _ in range(n)]
+        items.append((k, "".join(s)))
+        for p in sorted(r.sample(range(5, n - 5), decontaminate.edits_allowed(n)), reverse=True):  # one place an edit
+            s[p : p + 1] = r.choice(([], [s[p], "#"])) if indels else ["#"]
+        rows.append((k, f"{prose(r, 20)} {''.join(s)} {prose(r, 20)}"))
+    found = decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(k, k) for k in range(40)}
+
+
 def test_edit_distance():
     r = random.Random(9)
     for _ in range(60):
