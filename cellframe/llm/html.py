@@ -5,7 +5,8 @@ finds the largest order-preserving match of two trees with equal roots.  Every b
 number of the seed's node it stands in (its slot), or none.  Over the host's different pages, a slot whose text
 stays the same in most pages, or takes few values, is template; other slots, and blocks without one, are content.
 Marks of the page go before that: what stands in menus, headers, footers, sidebars, forms, scripts, notices,
-adverts and comments is never content, and where the page marks its article (article, main), content lies within;
+adverts and comments is never content (a whole class, id or attribute name says so, and none around a page's only
+article does), and where the page marks its article (article, main), content lies within;
 paragraphs and headings there are always kept, so that copies of one article do not turn into template.
 
 The pages of a host never meet in one task: slots are counted by Spark per (host, slot, text), and only
@@ -54,20 +55,19 @@ CLOSES = {
 #: Elements across which an open one is not looked for.
 WALLS = frozenset("body html article main section div nav footer aside header table ul ol dl form blockquote".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
-    __slots__ = ("symbol", "tag", "children", "number", "noise", "main", "depth")
+    __slots__ = ("symbol", "tag", "children", "number", "noise", "hard", "main", "depth")
 
-    def __init__(self, symbol, tag, number, noise, main, depth):
-        self.symbol, self.tag, self.children, self.number, self.noise, self.main, self.depth = symbol, tag, [], number, noise, main, depth
+    def __init__(self, symbol, tag, number, noise, hard, main, depth):
+        self.symbol, self.tag, self.children, self.number, self.noise, self.hard, self.main, self.depth = symbol, tag, [], number, noise, hard, main, depth
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]], int]:
     """(root, blocks, nodes): each block is the element it stands in and its text, in page order."""
-    root = Node("", "", 0, False, False, 0)
+    root = Node("", "", 0, False, False, False, 0)
     stack, blocks, text, count, at = [root], [], [], 1, 0
 
     def flush():
@@ -120,13 +120,17 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]], int]:
             if tag in by:
                 close(open_tag, WALLS - {open_tag})
         up, words, marks = stack[-1], "", m.group(3)
-        noise = up.noise or tag in NEVER or (tag == "header" and not up.main)
+        never, named = tag in NEVER or (tag == "header" and not up.main), False
         if marks:
-            found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in NAMED.findall(marks)}
-            words = " ".join(sorted((found.get("class", "") + " " + found.get("id", "")).split()))
-            named = set(SPLIT.split(words)) | {"nav" if found.get("role") == "navigation" else "", "footer" if found.get("role") == "contentinfo" else ""}
-            noise = noise or (tag not in ("body", "html", "article", "main") and bool(named & NOISE)) or "hidden" in found
-        node = Node(f"{tag}.{words}" if words else tag, tag, count, noise, up.main or tag in MAIN, min(up.depth + 1, DEEP))
+            found = {}
+            for k, *value in ATTRIBUTE.findall(marks):
+                found.setdefault(k.lower(), "".join(value).lower())
+            tokens = (found.get("class", "") + " " + found.get("id", "")).split()
+            words = " ".join(sorted(tokens))
+            named = tag not in ("body", "html", "article", "main") and (not NOISE.isdisjoint(tokens) or found.get("role") in ("navigation", "contentinfo"))
+            never = never or "hidden" in found or found.get("aria-hidden") == "true"
+        # hard: also noise if the names of what is around the article do not count
+        node = Node(f"{tag}.{words}" if words else tag, tag, count, up.noise or never or named, up.hard or never or (named and up.main), up.main or tag in MAIN, min(up.depth + 1, DEEP))
         count += 1
         if up.depth < DEEP:
             up.children.append(node)
@@ -195,6 +199,9 @@ def page_blocks(page: str | None, seed: bytes | None) -> list[tuple[int, int, st
     root, blocks, _ = parse(page)
     inside = any(node.main and not node.noise for node, _ in blocks)
     wanted = [(node, text) for node, text in blocks if not node.noise and (node.main or not inside)]
+    if not inside and (held := [(node, text) for node, text in blocks if node.main and not node.hard]):
+        # the only article stands in an element that is named like noise
+        inside, wanted = True, held
     slots: dict[int, int] = {}
     if seed and wanted:
         match(root, pickle.loads(seed), slots, {})

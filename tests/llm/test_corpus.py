@@ -231,6 +231,15 @@ def test_html_blocks():
     assert text("<article><p>in</p><div class='ad'>no</div><script>if (a<b) '</article>'</script><p>out") == "in\nout"
 
 
+@pytest.mark.parametrize("marks", ['style="overflow:hidden"', 'title="a hidden gem"', 'aria-hidden="false"', "data-x='class=ad'", 'class="content has-sidebar"', 'class="article-header"', 'class="with-ads"', 'id="no-comments"', 'class="sidebar"'])
+def test_html_marks_spare_the_article(marks):
+    text = lambda h: "\n".join(t for _, _, t in html.page_blocks(h, None))
+    assert text(f"<div {marks}><article><p>in</p></article></div>") == "in"
+    if marks != 'class="sidebar"':
+        assert text(f"<div {marks}><p>in</p></div>") == "in"
+    assert text("<article><p>in</p><div class='x ads'>no</div><p hidden>no</p><p aria-hidden=true>no</p></article><div class=comments><article>no</article></div>") == "in"
+
+
 def test_tree_matching():
     a = html.parse("<div><ul><li>1</li><li>2</li></ul><p>x</p></div>")[0]
     b = html.outline(html.parse("<div><h1>t</h1><ul><li>1</li></ul><p>y</p><p>z</p></div>")[0])
