@@ -6,12 +6,12 @@
    anchors, so a window whose anchor stands at one place only cannot repeat.  Anchors are counted over all texts.
 3. Shards.  The windows left are cut out as segments, dealt to shards by anchor; equal windows meet in one shard.
    A shard sorts its windows' suffixes by Larsson-Sadakane refinement in numpy (ranks at 8, 16 ... 256 and then
-   `length` bytes; groups of one are left alone).  Suffixes that still share a group have a common prefix of at
-   least `length`.  Common prefixes are read in text order, as in Kasai's method: along a run of such starts the
-   common prefix shrinks by one a step, so a run is one span.  Prefixes beyond `length` make no difference here
-   and are not measured.
-4. Anchors that a large part of the texts hold would crowd one shard.  Their segments are dealt by text over many
-   shards, and the shards' sorted window fingerprints are merged by binary search.
+   `length` bytes; groups of one are left alone).  Kasai's method then gives the common prefix of neighbours in the
+   suffix array; a window repeats if it has `length` bytes in common with either neighbour.  Longer prefixes
+   make no difference and are not measured.
+4. Anchors that a large part of the texts hold would crowd one shard, and so would any shard that grows beyond its
+   size.  Such segments are dealt over many shards, and the shards' sorted window fingerprints are merged by
+   binary search.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all their bytes; strings never cross texts; a
 text of one repeated byte repeats itself from the second byte on, so all of it goes once it is longer than `length`;
@@ -84,11 +84,51 @@ def texts_of(batch, column: int, length: int):
         yield int(i), data[offs[i] : offs[i + 1]]
 
 
-def repeated_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window starts, group of each) for the windows of segments data[begin : begin + size]; equal group, equal window.
+def common_prefix(words: np.ndarray, i: np.ndarray, p: np.ndarray, cap: int) -> np.ndarray:
+    """Bytes, at most cap, that the suffixes at i and p have in common, eight at a time."""
+    h, at, k = np.full(len(i), cap, dtype=np.int64), np.arange(len(i)), 0
+    while len(at) and k < cap:
+        x = words[i[at] + k] ^ words[p[at] + k]
+        off = x != 0
+        low = x[off] & (~x[off] + np.uint64(1))  # the lowest bit that differs lies in the first byte that differs
+        h[at[off]] = np.minimum(cap, k + np.log2(low.astype(np.float64)).astype(np.int64) // 8)
+        at, k = at[~off], k + 8
+    return h
 
-    Larsson-Sadakane refinement: rank is the first place of a suffix's group in the suffix order so far.
-    Only ranks of suffixes with enough bytes left in their segment are asked for, so no end marks are needed.
+
+def kasai(data: np.ndarray, words: np.ndarray, suffixes: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix, at most cap bytes, of each of the ordered suffixes with the one before it; 0 for the first.
+
+    As in Kasai's algorithm, suffixes are taken in text order.  Where suffix and neighbour are both one byte on from
+    the pair before, the prefix is the last one less a byte, or if that was cut off at cap, grows by the byte that
+    comes into view.  Only where the neighbour changes is a prefix measured.  Each suffix has cap bytes or more.
+    """
+    before = np.full(len(data), -1, dtype=np.int64)
+    before[suffixes[1:]] = suffixes[:-1]
+    i = np.sort(suffixes)
+    p = before[i]
+    on = np.append(False, (i[1:] == i[:-1] + 1) & (p[1:] == p[:-1] + 1) & (p[:-1] >= 0) & (data[i[:-1]] == data[p[:-1]]))
+    start = np.flatnonzero(~on)
+    first = np.repeat(start, np.diff(np.append(start, len(i))))
+    h = np.zeros(len(i), dtype=np.int64)
+    known = start[p[start] >= 0]
+    h[known] = common_prefix(words, i[known], p[known], cap)
+    # where a chain's prefix ends: before the first byte seen to differ
+    ends = np.where(h[first] < cap, i[first] + h[first], np.iinfo(np.int64).max)
+    odd = np.flatnonzero(on & (data[i + cap - 1] != data[p + cap - 1]))
+    np.minimum.at(ends, first[odd], i[odd] + cap - 1)  # gathered at each chain's start
+    h = np.where(p >= 0, np.minimum(cap, ends[first] - i), 0)
+    out = np.zeros(len(data), dtype=np.int64)
+    out[i] = h
+    return out[suffixes]
+
+
+def repeated_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(window starts, group of each, number of grouped ones) for the windows of segments data[begin : begin + size].
+
+    Windows of a group are equal; those that repeat come first.  Larsson-Sadakane refinement: rank is the first place
+    of a suffix's group in the suffix order so far.  Only ranks of suffixes with enough bytes left in their segment
+    are asked for, so no end marks are needed.  Kasai's common prefixes of the suffix array tell the groups.
     """
     room = np.repeat(begin + size, size) - np.arange(len(data))  # bytes from each place to its segment's end
     active = np.flatnonzero(room >= 8)
@@ -110,16 +150,21 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, leng
         key = (old.astype(np.uint64) << np.uint64(32)) | rank[active + step].astype(np.uint64)
         order = np.argsort(key, kind="stable")
         active, key, old = active[order], key[order], old[order]
+        depth += step
+        if depth == length:
+            break
         first, count = _runs(key)
         group, members = _runs(old)
         start = np.repeat(first, count) - np.repeat(group, members)
         rank[active] = old + start
         unique = np.repeat(count, count) == 1
         singles.append(active[unique & (room[active] >= length)])
-        active, depth = active[~unique], depth + step
-    lone = np.concatenate(singles)
+        active = active[~unique]
+    same = kasai(data, eights(data), active, length) >= length if len(active) else np.zeros(0, bool)
+    group, twice = np.cumsum(~same), same | np.append(same[1:], False)[: len(same)]
+    lone = np.concatenate([*singles, active[~twice]])
     # a number of its own for each lone window, after the groups'
-    return np.concatenate([active, lone]), np.concatenate([rank[active], len(data) + np.arange(len(lone))]), len(active)
+    return np.concatenate([active[twice], lone]), np.concatenate([group[twice], len(data) + np.arange(len(lone))]), int(twice.sum())
 
 
 def suspects(reps: DataFrame, length: int, n_buckets: int) -> DataFrame:
@@ -366,12 +411,26 @@ def repeated_spans(cut: DataFrame, length: int) -> DataFrame:
     if not spread.head(1):
         return found
     runs = staged(spread.groupBy("shard").applyInArrow(lambda key, tab: prints(key, tab), f"{SPANS}, a long, b long, kind byte"), "prints")
-    parts = max(1, math.ceil(runs.count() / 500_000))
+    parts = max(1, math.ceil(runs.count() / 200_000))
     # a fingerprint stands once a shard at most, so a group holds at most as many rows of one as there are shards
     merged = runs.where("kind > 0").withColumn("part", F.pmod("a", F.lit(parts))).groupBy("part").applyInArrow(lambda key, tab: merge(key, tab), SPANS)
     return found.unionAll(runs.where("kind = 0").select("class", "first", "last")).unionAll(merged)
 
 
+def dealt_evenly(cut: DataFrame) -> DataFrame:
+    """Segments with their final shards of about SHARD bytes.
+
+    A fine shard of more than twice that (one anchor that very many texts hold, though not enough to be common) is
+    spread like the common anchors: its rows go to any shard, and fingerprints are merged across shards.
+    """
+    heavy = cut.where("not spread").groupBy("shard").agg(F.sum("n_bytes").alias("b")).where(F.col("b") > 2 * SHARD)
+    heavy = small_side(staged(heavy.select(F.col("shard").alias("_heavy")), "heavy"))
+    cut = cut.join(heavy, F.col("shard") == F.col("_heavy"), "left").withColumn("spread", F.col("spread") | F.col("_heavy").isNotNull()).drop("_heavy")
+    size = {r.spread: r.b for r in cut.groupBy("spread").agg(F.sum("n_bytes").alias("b")).collect()}
+    plain, wide = (max(1, math.ceil(size.get(k, 0) / SHARD)) for k in (False, True))
+    return cut.withColumn("shard", F.when(F.col("spread"), F.pmod(F.xxhash64("owners", "places"), F.lit(wide))).otherwise(F.col("shard") % plain))
+
+
 def cut_texts(reps: DataFrame, length: int) -> DataFrame:
     """(class, spans, kept) of the texts (class, text, n) that lose bytes; kept is the SHA-256 of what is left."""
     size = reps.agg(F.sum("n").alias("bytes"), F.count(F.lit(1)).alias("texts")).first()
@@ -381,8 +440,7 @@ def cut_texts(reps: DataFrame, length: int) -> DataFrame:
     anchors = staged(repeated_anchors(dealt, common, max(1, math.ceil(total / 150 / BUCKET))), "repeated").withColumnRenamed("class", "class_")
     joined = reps.join(anchors, F.col("class") == F.col("class_"), "left" if len(common.value) else "inner").select("class", "text", "anchors")
     cut = staged(segments(joined, common, max(1, math.ceil(total / 1_000_000)), length), "segments")
-    shards = max(1, math.ceil((cut.agg(F.sum("n_bytes")).first()[0] or 0) / SHARD))
-    spans = repeated_spans(cut.withColumn("shard", F.col("shard") % shards), length)
+    spans = repeated_spans(dealt_evenly(cut), length)
     merged = spans.groupBy("class").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
     merged = staged(merged.withColumnRenamed("class", "class_"), "spans")
 
@@ -416,7 +474,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = own.withColumn("sha", F.sha2("text", 256))
     meta = staged(own.select("id", "doc_id", F.octet_length("text").cast("long").alias("n"), "sha"), "meta")
     classes = meta.where(F.col("n") >= length).groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    classes = staged(classes.withColumn("class", F.xxhash64("sha")), "classes")
+    # numbered as they are written, and fixed from then on: no two texts share a number
+    classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     reps = own.select("id", "text", F.col("sha").alias("sha_")).join(classes.withColumnRenamed("rep", "rep_"), (F.col("sha_") == F.col("sha")) & (F.col("id") == F.col("rep_"))).select("class", "text", "n")
     cleaned = small_side(staged(cut_texts(reps, length).withColumnRenamed("class", "class_"), "cleaned"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("z")))
@@ -431,4 +490,5 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def query(spark, sf_dir):
     out = dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    share = F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", share.alias("removed_share"))
