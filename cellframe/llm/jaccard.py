@@ -19,8 +19,9 @@ Only counts and packed arrays are shuffled; pairs are never emitted.  A task hol
 shingle), however large a group of near copies is.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; with fewer words than the
-shingle's size the whole sequence is the one shingle; rows that repeat a doc_id are rows of their own, and a
-component's id is the smallest doc_id in it; a null doc_id is never a component's id unless all are null.
+shingle's size the whole sequence is the one shingle; rows that repeat a doc_id are rows of their own, whether their
+texts are equal or not, as classes are numbered by their sets and not by ids; a component's id is the smallest doc_id
+in it; a null doc_id is never a component's id unless all are null.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import give_back, small_side, staged, table
+from .common import fresh, give_back, small_side, staged, table
 
 SIZE = 4
 PERCENT = 85
@@ -81,7 +82,7 @@ def _slices(batches):
 
 
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: (doc_id, n, k1, k2) of each document; kind 1: (k1 = shingle, n = count) of a slice's frequent shingles."""
+    """kind 0: (doc_id, h, n, k1, k2) of each document (doc_id, text, h); kind 1: (k1 = shingle, n = count) of a slice's frequent shingles."""
 
     def work(batches):
         import pyarrow as pa
@@ -91,17 +92,17 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
             keys = np.array([set_key(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             kinds = [pa.array(np.zeros(len(sets), np.int8)), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *kinds], names=["doc_id", "kind", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *kinds], names=["doc_id", "h", "kind", "n", "k1", "k2"])
             value, count = np.unique(np.concatenate(sets), return_counts=True)
             often = count >= max(SLICE_LEAST, SLICE_SHARE * len(sets))
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.array(np.ones(m, np.int8)), pa.array(count[often].astype(np.int64)), pa.array(value[often].view(np.int64)), pa.array(np.zeros(m, np.int64))],
-                names=["doc_id", "kind", "n", "k1", "k2"],
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.ones(m, np.int8)), pa.array(count[often].astype(np.int64)), pa.array(value[often].view(np.int64)), pa.array(np.zeros(m, np.int64))],
+                names=["doc_id", "h", "kind", "n", "k1", "k2"],
             )
         give_back()
 
-    return docs.mapInArrow(work, "doc_id long, kind byte, n long, k1 long, k2 long")
+    return docs.mapInArrow(work, "doc_id long, h long, kind byte, n long, k1 long, k2 long")
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,7 +370,8 @@ def links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph (a, b) by alternating large and small stars; roots are smallest nodes."""
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    for _ in range(60):
+    # rounds grow with the logarithm of the longest path
+    for _ in range(200):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -381,6 +383,8 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = new
         if same:
             break
+    else:
+        raise RuntimeError("components are not found after 200 rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -456,16 +460,21 @@ def link_large(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return named.join(joined, F.col("component") == F.col("node"), "left").select("class", F.coalesce("root", "component").alias("component"))
 
 
-def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id long, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, h, n_shingles, best) of every row of docs (doc_id long, text, h = hash of the text).
+
+    best: (no_id, id, h) of the row that stands for the component, the smallest such; null for an empty set.
+    """
     seen = staged(profile(docs, size), "profile")
     sets = seen.where("kind = 0")
     total = sets.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).first()
     # common shingles: at most mean set size / COMMON of them, however many documents there are
     common = seen.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4 * SLICE_LEAST, COMMON * total.docs))
-    classes = staged(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("n").alias("n")), "classes")
-    held = docs.join(classes.where("class is not null"), docs["doc_id"] == classes["class"]).select("class", "text", "k1", "k2", "n")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "h")
+    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(row).alias("best"), F.first("n").alias("n"))
+    # numbered as they are written, and fixed from then on
+    classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    held = docs.join(classes, (docs["h"] == classes["best.h"]) & docs["doc_id"].eqNullSafe(classes["best.id"])).select("class", "text", "k1", "k2", "n")
     n_buckets = max(1, math.ceil((total.shingles or 0) / BUCKET))
     prefix = prefix_rows(held, common, n_buckets, n_buckets, size, percent)
     prefix = staged(prefix, "prefix")
@@ -499,17 +508,40 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
 
     linked = inside.withColumn("pack", F.pmod(F.xxhash64("root"), F.lit(packs))).groupBy("pack").applyInArrow(lambda key, tab: link(key, tab), "class long, component long").distinct()
     linked = linked if split is None else linked.unionAll(split)
-    named = classes.join(linked, "class", "left").select("k1", "k2", F.coalesce("component", "class").alias("component"))
+    found = classes.join(linked, "class", "left").select("k1", "k2", "best", F.coalesce("component", "class").alias("component"))
+    of_all = found.groupBy("component").agg(F.min("best").alias("best"))
+    named = found.drop("best").join(of_all, "component").select("k1", "k2", "best")
     named = small_side(staged(named, "named"))
-    own = sets.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
+    own = sets.select("doc_id", "h", F.col("n").alias("n_shingles"), "k1", "k2")
     out = own.join(named, (own["k1"] == named["k1"]) & (own["k2"] == named["k2"]) & (own["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "h", "n_shingles", "best")
+
+
+def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id long, text)."""
+    found = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")), size, percent)
+    return found.select("doc_id", "n_shingles", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that another of their component stands for: the smallest doc_id stays."""
-    found = staged(components(docs, **options), "components").where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(found, docs["doc_id"] == F.col("_dropped"), "left_anti")
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null ids last), then hash of text.
+
+    Rows without words all stay.  Of rows equal in doc_id and text, which links them, any one stays.  Rows are told
+    apart by doc_id and text, so that a repeated or null doc_id never takes another row with it; columns of docs are
+    kept whatever their names.
+    """
+    h, gone_id, gone_h = fresh(docs, "h", "gone_id", "gone_h")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    found = _components(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(h).alias("h")), size, percent)
+    found = staged(found.where("n_shingles > 0").select("doc_id", "h", (~(F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))).alias("gone")), "components")
+    apart = lambda rows: small_side(staged(rows.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)), "keys"))
+    same = lambda: (F.col(h) == F.col(gone_h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id))
+    left = keyed.join(apart(found.where("gone").distinct()), same(), "left_anti")
+    repeated = staged(found.where("not gone").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if repeated.head(1):
+        twice = apart(repeated)
+        left = left.join(twice, same(), "left_anti").unionAll(left.join(twice, same(), "left_semi").dropDuplicates(["doc_id", h]))
+    return left.drop(h)
 
 
 def query(spark, sf_dir):
