@@ -1,20 +1,26 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host are aligned with one seed page of that host by simple tree matching, the dynamic programme that
-finds the largest order-preserving match of two trees with equal roots.  Every block of text thereby gets the
-number of the seed's node it stands in (its slot), or none.  Over the host's different pages, a slot whose text
-stays the same in most pages, or takes few values, is template; other slots, and blocks without one, are content.
-Marks of the page go before that: what stands in menus, headers, footers, sidebars, forms, scripts, notices,
-adverts and comments is never content (a whole class, id or attribute name says so, and none around a page's only
-article does), and where the page marks its article (article, main), content lies within;
-paragraphs and headings there are always kept, so that copies of one article do not turn into template.
-
-The pages of a host never meet in one task: slots are counted by Spark per (host, slot, text), and only
-each host's template slots (at most the seed's nodes) come back to its pages.
-
-Defined cases: null and empty pages have the empty text; a host with fewer than `min_pages` different pages
-has no induced template, only marks count; unclosed and stray tags are mended as browsers do, roughly; a repeated
-page_id is extracted row by row.  The whole page is read; nothing is capped.
+Pages of a host that have the same kinds of structural tags (a layout) are aligned with one seed page of the layout by
+simple tree matching, the dynamic programme that finds the largest order-preserving match of two trees with equal
+roots.  Every block of text thereby gets the number of the seed's node it stands in (its slot; -1 if there is none)
+and of the closest matched node around it (its anchor).  Over the layout's different pages two things are induced:
+
+* template slots: those whose text is the same in most pages;
+* the region of the content: from the root on, the child is entered under which most of the varying text stands
+  (characters of distinct texts), as long as it holds at least `majority` of it and has children itself; a marked
+  article is not entered further.
+
+Blocks in the region whose slot is no template are content, and so is a varying h1 outside it.  What stands in menus,
+page headers and footers, sidebars, forms, scripts, and (a whole class, id or attribute name says so) notices, adverts
+and comments goes in any case, and where a page marks its article (article, main) nothing outside it is content.
+`marks=False` leaves names and article marks out of account, and only the induced template decides.  Layouts with
+fewer than `min_pages` different pages have no template: marks alone decide there.
+
+The pages of a host never meet in one task: slots are counted by Spark per (host, layout, slot, text), and only each
+layout's region and template slots (at most the seed's nodes) come back to its pages.
+
+Defined cases: null and empty pages have the empty text; copies of a page count once; unclosed and stray tags are
+mended as browsers do, roughly; a repeated page_id is extracted row by row.  The whole page is read; nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,18 +30,22 @@ import pickle
 import re
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, staged, table
+from .common import staged, table
 from .urls import host_and_path
 
 MIN_PAGES = 5
-#: A slot is template if its commonest text has this share of the host's different pages,
+#: A slot is template if its commonest text has this share of the layout's different pages.
 CONSTANT = 0.8
-#: or if it takes at most this many different texts a page.
-FEW = 0.3
+#: Share of the varying text that a child must hold for the content to lie within it.
+MAJORITY = 0.75
 DEEP = 100
+#: Bytes up to which a table of layouts is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8_000_000
+#: Tags whose presence tells layouts apart.
+STRUCTURE = "html body article main section div nav footer aside header table ul ol dl form h1 h2"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object textarea title select".split())
@@ -59,15 +69,16 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("symbol", "tag", "children", "number", "noise", "hard", "main", "depth")
+    __slots__ = ("symbol", "tag", "children", "number", "never", "noise", "hard", "main", "depth", "parent")
 
-    def __init__(self, symbol, tag, number, noise, hard, main, depth):
-        self.symbol, self.tag, self.children, self.number, self.noise, self.hard, self.main, self.depth = symbol, tag, [], number, noise, hard, main, depth
+    def __init__(self, symbol, tag, number, never, noise, hard, main, depth, parent):
+        self.symbol, self.tag, self.children, self.number, self.never, self.noise, self.hard = symbol, tag, [], number, never, noise, hard
+        self.main, self.depth, self.parent = main, depth, parent
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]], int]:
     """(root, blocks, nodes): each block is the element it stands in and its text, in page order."""
-    root = Node("", "", 0, False, False, False, 0)
+    root = Node("", "", 0, False, False, False, False, 0, None)
     stack, blocks, text, count, at = [root], [], [], 1, 0
 
     def flush():
@@ -130,7 +141,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]], int]:
             named = tag not in ("body", "html", "article", "main") and (not NOISE.isdisjoint(tokens) or found.get("role") in ("navigation", "contentinfo"))
             never = never or "hidden" in found or found.get("aria-hidden") == "true"
         # hard: also noise if the names of what is around the article do not count
-        node = Node(f"{tag}.{words}" if words else tag, tag, count, up.noise or never or named, up.hard or never or (named and up.main), up.main or tag in MAIN, min(up.depth + 1, DEEP))
+        noise, hard = up.noise or never or named, up.hard or never or (named and up.main)
+        node = Node(f"{tag}.{words}" if words else tag, tag, count, up.never or never, noise, hard, up.main or tag in MAIN, min(up.depth + 1, DEEP), up)
         count += 1
         if up.depth < DEEP:
             up.children.append(node)
@@ -192,69 +204,142 @@ def weigh(a: Node, b: tuple, memo: dict) -> int:
     return memo[key][0]
 
 
-def page_blocks(page: str | None, seed: bytes | None) -> list[tuple[int, int, str]]:
-    """(slot, kind, text) of the blocks that marks do not rule out; kind 2: sure content, 1: content unless template."""
+#: Kinds of blocks: ruled out by the page's own elements, by names, outside the marked article; sure to be looked at.
+ELEMENT, NAMED, OUTSIDE, OPEN = range(4)
+
+
+def page_blocks(page: str | None, seed: bytes | None) -> list[tuple[int, int, int, bool, str]]:
+    """(slot, anchor, kind, is h1, text) of each block of a page."""
     if not page:
         return []
     root, blocks, _ = parse(page)
     inside = any(node.main and not node.noise for node, _ in blocks)
-    wanted = [(node, text) for node, text in blocks if not node.noise and (node.main or not inside)]
-    if not inside and (held := [(node, text) for node, text in blocks if node.main and not node.hard]):
-        # the only article stands in an element that is named like noise
-        inside, wanted = True, held
+    # the only article may stand in an element that is named like noise
+    spared = not inside and any(node.main and not node.hard for node, _ in blocks)
     slots: dict[int, int] = {}
-    if seed and wanted:
+    if seed and blocks:
         match(root, pickle.loads(seed), slots, {})
-    return [(slots.get(node.number, -1), 2 if inside and node.tag in KEPT else 1, text) for node, text in wanted]
+    out = []
+    for node, text in blocks:
+        if node.never:
+            kind = ELEMENT
+        elif node.hard or (node.noise and not (spared and node.main)):
+            kind = NAMED
+        else:
+            kind = OUTSIDE if (inside or spared) and not node.main else OPEN
+        up = node
+        while up is not None and up.number not in slots:
+            up = up.parent
+        out.append((slots.get(node.number, -1), slots[up.number] if up is not None else -1, kind, node.tag == "h1", text))
+    return out
+
+
+def region_of(seed: tuple, mass: dict[int, int], majority: float = MAJORITY, marks: bool = True) -> tuple[int, int]:
+    """First and last node number of the part of a seed under which the varying text stands; marks: a marked article is not split."""
+    total: dict[int, int] = {}
+    last: dict[int, int] = {}
+
+    def weigh_(node):
+        total[node[1]], last[node[1]] = mass.get(node[1], 0), node[1]
+        for c in node[2]:
+            weigh_(c)
+            total[node[1]] += total[c[1]]
+            last[node[1]] = last[c[1]]
+
+    weigh_(seed)
+    node = seed
+    while node[2]:
+        best = max(node[2], key=lambda c: total[c[1]])
+        if total[best[1]] < majority * max(total[seed[1]], 1) or not best[2] or best[0].split(".")[0] in KEPT:
+            break
+        node = best
+        if marks and node[0].split(".")[0] in MAIN:
+            break
+    return node[1], last[node[1]]
+
+
+def layout_of(html: Column) -> Column:
+    """Hash of the set of structural tags that open in a page; null for none."""
+    tags = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(html), F.lit(f"<({STRUCTURE.replace(' ', '|')})[ \t\n\r/>]"), F.lit(1))))
+    return F.when(F.size(tags) > 0, F.xxhash64(tags))
+
+
+def by_layout(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on _host and _layout; the right side is broadcast if its bytes are few."""
+    size = right.select(F.sum(F.length(F.to_json(F.struct(*right.columns)))).alias("n")).first().n or 0
+    right = right.withColumnsRenamed({"_host": "_h", "_layout": "_l"})
+    right = F.broadcast(right) if size <= BROADCAST_BYTES else right
+    return left.join(right, (F.col("_host") == F.col("_h")) & (F.col("_layout") == F.col("_l")), "left").drop("_h", "_l")
 
 
 def seeds_of(pages: DataFrame) -> DataFrame:
-    """(_host, _seed): the outline of one page of each host, that with the smallest hash."""
-    least = pages.groupBy("_host").agg(F.min("_hash").alias("_least"))
-    chosen = pages.join(small_side(staged(least.withColumnRenamed("_host", "_h"), "least")), (F.col("_host") == F.col("_h")) & (F.col("_hash") == F.col("_least")))
+    """(_host, _layout, _seed): the outline of one page of each layout, that with the smallest hash."""
+    least = staged(pages.where("_layout is not null").groupBy("_host", "_layout").agg(F.min("_hash").alias("_least")), "least")
+    chosen = by_layout(pages.where("_layout is not null"), least).where(F.col("_hash") == F.col("_least"))
 
     def outlines(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = [pickle.dumps(outline(parse(x or "")[0])) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["_host", "_seed"])
+            made = [pickle.dumps(outline(parse(x or "")[0])) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["_host", "_layout", "_seed"])
+
+    return chosen.select("_host", "_layout", "_html").mapInArrow(outlines, "_host string, _layout long, _seed binary").dropDuplicates(["_host", "_layout"])
+
+
+def templates(blocks: DataFrame, seeds: DataFrame, min_pages: int, constant: float, majority: float, marks: bool) -> DataFrame:
+    """(_host, _layout, _first, _last, _template) of the layouts with enough different pages."""
+    keys = ["_host", "_layout"]
+    each = blocks.where("_layout is not null").select(*keys, "_sig", F.explode("_blocks").alias("b"))
+    # copies of a page count once
+    each = each.where(f"b.anchor >= 0 and b.kind >= {NAMED}").select(*keys, "_sig", "b.slot", "b.anchor", F.xxhash64("b.text").alias("value"), F.length("b.text").alias("n")).distinct()
+    values = staged(each.groupBy(*keys, "slot", "anchor", "value").agg(F.count_distinct("_sig").alias("pages"), F.first("n").alias("n")), "values")
+    different = blocks.select(*keys, "_sig").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("different")).where(F.col("different") >= min_pages)
+    fixed = values.where("slot >= 0").groupBy(*keys, "slot").agg(F.max("pages").alias("top")).join(different, keys)
+    fixed = fixed.where(F.col("top") >= constant * F.col("different")).groupBy(*keys).agg(F.collect_set("slot").alias("_template"))  # at most the seed's nodes
+    mass = values.groupBy(*keys, "anchor", "value").agg(F.first("n").alias("n")).groupBy(*keys, "anchor").agg(F.sum("n").alias("n"))
+    mass = mass.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("anchor", "n"))).alias("_mass"))
+
+    def find(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = [region_of(pickle.loads(s), dict(m), majority, marks) for s, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            ends = [pa.array([x[k] for x in at], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ends], names=["_host", "_layout", "_first", "_last"])
 
-    return chosen.select("_host", "_html").mapInArrow(outlines, "_host string, _seed binary").dropDuplicates(["_host"])
+    found = seeds.join(different, keys, "left_semi").join(mass, keys).select(*keys, "_seed", "_mass").mapInArrow(find, "_host string, _layout long, _first int, _last int")
+    return found.join(fixed, keys, "left").select(*keys, "_first", "_last", F.coalesce("_template", F.array().cast("array<int>")).alias("_template"))
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, constant: float = CONSTANT, few: float = FEW) -> DataFrame:
+def extract_text(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, constant: float = CONSTANT, majority: float = MAJORITY, marks: bool = True
+) -> DataFrame:
     """key, url, text and n_chars of every page."""
     own = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"))
-    own = own.withColumns({"_host": host_and_path(F.col("_url"))[0], "_hash": F.xxhash64("_key", "_url", F.length("_html"))})
-    seeds = small_side(staged(seeds_of(own), "seeds"), 2_000)
+    own = own.withColumns({"_host": host_and_path(F.col("_url"))[0], "_layout": layout_of(F.col("_html")), "_hash": F.xxhash64("_key", "_url", F.length("_html"))})
+    seeds = staged(seeds_of(own), "seeds")
     kind = dict(own.dtypes)["_key"]
 
     def align(batches):
         import pyarrow as pa
 
-        block = pa.list_(pa.struct([("slot", pa.int32()), ("kind", pa.int32()), ("text", pa.string())]))
+        block = pa.list_(pa.struct([("slot", pa.int32()), ("anchor", pa.int32()), ("kind", pa.int32()), ("h1", pa.bool_()), ("text", pa.string())]))
         for batch in batches:
-            made = [page_blocks(p, s) for p, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            sig = [zlib.crc32("\n".join(t for _, _, t in b).encode()) for b in made]
-            rows = [[{"slot": s, "kind": k, "text": t} for s, k, t in b] for b in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, block), pa.array(sig, pa.int64())], names=["_key", "_url", "_host", "_blocks", "_sig"])
-
-    joined = own.join(seeds.withColumnRenamed("_host", "_h"), F.col("_host") == F.col("_h"), "left").select("_key", "_url", "_host", "_html", "_seed")
-    blocks = staged(joined.mapInArrow(align, f"_key {kind}, _url string, _host string, _blocks array<struct<slot:int,kind:int,text:string>>, _sig long"), "blocks")
-    # copies of a page count once; sure content is not counted
-    slots = blocks.select("_host", "_sig", F.explode(F.filter("_blocks", lambda b: (b["kind"] == 1) & (b["slot"] >= 0))).alias("b"))
-    values = slots.select("_host", "_sig", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("value")).distinct().groupBy("_host", "slot", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_slot = values.groupBy("_host", "slot").agg(F.sum("n").alias("uses"), F.max("n").alias("top"), F.count(F.lit(1)).alias("kinds"))
-    distinct = blocks.select("_host", "_sig").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("different"))
-    template = per_slot.join(distinct.withColumnRenamed("_host", "_h"), F.col("_host") == F.col("_h")).where(
-        (F.col("different") >= min_pages) & ((F.col("top") >= constant * F.col("different")) | ((F.col("uses") >= constant * F.col("different")) & (F.col("kinds") <= few * F.col("uses"))))
-    )
-    template = template.groupBy("_host").agg(F.collect_set("slot").alias("_template"))  # at most the seed's nodes
-    template = small_side(staged(template.withColumnRenamed("_host", "_h"), "template"))
-    out = blocks.join(template, F.col("_host") == F.col("_h"), "left")
-    is_content = lambda b: (b["kind"] == 2) | ~F.coalesce(F.array_contains("_template", b["slot"]), F.lit(False))
-    text = F.array_join(F.transform(F.filter("_blocks", is_content), lambda b: b["text"]), "\n")
+            made = [page_blocks(p, s) for p, s in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            sig = [zlib.crc32("\n".join(x[-1] for x in b).encode()) for b in made]
+            rows = [[dict(zip(("slot", "anchor", "kind", "h1", "text"), x)) for x in b] for b in made]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(rows, block), pa.array(sig, pa.int64())], names=["_key", "_url", "_host", "_layout", "_blocks", "_sig"])
+
+    joined = by_layout(own, seeds).select("_key", "_url", "_host", "_layout", "_html", "_seed")
+    kinds = "array<struct<slot:int,anchor:int,kind:int,h1:boolean,text:string>>"
+    blocks = staged(joined.mapInArrow(align, f"_key {kind}, _url string, _host string, _layout long, _blocks {kinds}, _sig long"), "blocks")
+    out = by_layout(blocks, staged(templates(blocks, seeds, min_pages, constant, majority, marks), "templates"))
+    induced = F.col("_first").isNotNull()
+    allowed = lambda b: b["kind"] >= (OPEN if marks else NAMED)
+    wanted = lambda b: ((b["anchor"].between(F.col("_first"), F.col("_last"))) | b["h1"]) & ~F.array_contains("_template", b["slot"])
+    kept = F.when(induced, F.filter("_blocks", lambda b: allowed(b) & wanted(b))).otherwise(F.filter("_blocks", lambda b: b["kind"] == OPEN))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return out.select(F.col("_key").alias(key), F.col("_url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
