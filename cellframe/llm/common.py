@@ -48,6 +48,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def boxed(df: DataFrame) -> Column:
+    """All columns of df in one struct `_row`, so that names used on the way cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unboxed(df: DataFrame, replaced=()) -> list[Column]:
+    """The columns of df's own rows out of `_row`, without those that an operator's results replace."""
+    lost = {c.lower() for c in replaced}
+    return [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in lost]
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (already staged) with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffle join."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df

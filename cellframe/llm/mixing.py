@@ -6,7 +6,7 @@ That coin is an MD5 hash of seed and doc_id, so reruns and retried tasks toss it
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source of size 0
 has target 0 and rate 1 (its documents have no words); an empty table gives an empty mix; rows that repeat a
-doc_id share its coin; columns of the input are kept whatever their names.
+doc_id share its coin, whatever their texts; columns of the input are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, small_side, staged, text_of
+from .common import boxed, n_words_of, small_side, staged, text_of, unboxed
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -52,24 +52,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return level.select("source", F.col("size_").cast("long").alias("source_size"), target.alias("target"))
 
 
-def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """All columns of docs and struct `_mix` (size, source_size, target, copies)."""
-    sized = docs.withColumn("__mix_size", n_words_of(text_of()))
-    per_source = sized.groupBy("source").agg(F.sum("__mix_size").alias("source_size"))
-    targets = small_side(staged(source_targets(per_source, weights, cap), "targets")).select(F.col("source").alias("__mix_source"), "source_size", "target")
-    targets = targets.select("__mix_source", F.struct("source_size", "target").alias("__mix_t"))
-    rate = F.when(F.col("__mix_t.source_size") == 0, F.lit(1.0)).otherwise(F.col("__mix_t.target") / F.nullif(F.col("__mix_t.source_size"), F.lit(0)).cast("double"))
-    coin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(2**48)
-    joined = sized.join(targets, sized["source"].eqNullSafe(F.col("__mix_source")))
+def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """_row (all columns of docs) and _mix (size, source_size, target, copies) of every row."""
+    sized = docs.select(boxed(docs), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words_of(text_of()).alias("_size"))
+    per_source = docs.select("source", n_words_of(text_of()).alias("_size")).groupBy("source").agg(F.sum("_size").alias("source_size"))
+    targets = small_side(staged(source_targets(per_source, weights, cap), "targets")).withColumnRenamed("source", "_of")
+    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)).cast("double"))
+    coin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(2**48)
+    joined = sized.join(targets, F.col("_source").eqNullSafe(F.col("_of")))
     copies = (F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    mix = F.struct(F.col("__mix_size").alias("size"), F.col("__mix_t.source_size").alias("source_size"), F.col("__mix_t.target").alias("target"), copies.alias("copies"))
-    return joined.select(*[docs[c] for c in docs.columns], mix.alias("_mix"))
+    return joined.select("_row", F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies")).alias("_mix"))
+
+
+def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """All columns of docs (but for a `_mix` of its own) and struct `_mix` (size, source_size, target, copies)."""
+    return _mixed(docs, weights, cap, seed).select(*unboxed(docs, ["_mix"]), "_mix")
 
 
-def emit_copies(mixed: DataFrame) -> DataFrame:
-    """Each document as many times as the mix takes it, without the `_mix` column."""
-    copies = F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int"))
-    return mixed.where("_mix.copies > 0").select("*", F.explode(copies).alias("_copy")).drop("_copy", "_mix")
+def emit_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of docs, with its own columns only, as many times as the mix takes it."""
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int"))).alias("_copy")
+    return _mixed(docs, weights, cap, seed).where("_mix.copies > 0").select("_row", copies).select(*unboxed(docs))
 
 
 def query(spark, sf_dir):

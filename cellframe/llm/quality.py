@@ -11,7 +11,7 @@ smallest hash of doc_id; corpus counts cover every document.
 
 Defined cases: a null text is empty; a text without words has score 0 and fails the base rules; without labels
 both multinomials are the raw one, so every score is 0; a repeated doc_id is judged row by row; other columns
-are kept.
+are kept, whatever their names, but for those that the results replace.
 """
 
 from __future__ import annotations
@@ -19,20 +19,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table, text_of, words_of
+from .common import BLANKS, boxed, table, text_of, unboxed, words_of
 
 BITS = 16
 SMOOTHING = 0.5
 #: Bound on the trusted sample, and so on what is broadcast: 8 bytes each.
 MAX_TRUSTED = 100_000
 THRESHOLD = -0.2
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
 def base_columns(df: DataFrame, text: str = "_text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; needs array _words."""
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
     df = df.withColumns(
         {
@@ -40,12 +41,17 @@ def base_columns(df: DataFrame, text: str = "_text") -> DataFrame:
             "word_chars": F.length(F.translate(F.col(text), BLANKS, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(F.col(text), SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.when(F.size("_hashes") < WINDOW, F.array().cast("array<bigint>")).otherwise(
-                # eight lookups: slice() would copy the whole array for every window
-                F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)]))
-            ),
+            "_runs": F.col("_hashes"),
         }
     ).drop("_lines")
+    # hashes of runs of two words, of four from those, of eight: a column each, as an array that a lambda looks into must stand
+    def longer(k: int) -> Column:
+        return F.transform("_runs", lambda h, i: F.xxhash64(h, F.get("_runs", i + k)))
+
+    for k in (1, 2, 4):
+        df = df.withColumn("_runs", longer(k))
+    # the last WINDOW - 1 runs are cut short
+    df = df.withColumn("_windows", F.slice("_runs", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0)))).drop("_runs")
     # only texts with a repeated window sort theirs
     df = df.withColumn(
         "_sorted",
@@ -68,8 +74,8 @@ def base_columns(df: DataFrame, text: str = "_text") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def with_buckets(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Adds _text, _words, _hashes (one hash a word) and _grams (buckets of its unigrams and bigrams)."""
+def with_words(docs: DataFrame) -> DataFrame:
+    """Adds _text, _words and _hashes (one hash a word)."""
     df = docs.withColumn("_text", text_of())
     df = df.withColumn("_words", words_of(F.col("_text")))
     return df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -89,7 +95,7 @@ def gram_buckets(bits: int = BITS) -> Column:
 def ratio_table(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row: array of 2^bits log ratios, from all docs and those whose doc_id is in trusted (distinct, bounded)."""
     b = 1 << bits
-    marked = with_buckets(docs.select("doc_id", "text")).join(F.broadcast(trusted.select(F.col("doc_id").alias("_tid"))), F.col("doc_id") == F.col("_tid"), "left")
+    marked = with_words(docs.select("doc_id", "text")).join(F.broadcast(trusted.select(F.col("doc_id").alias("_tid"))), F.col("doc_id") == F.col("_tid"), "left")
     grams = marked.select(F.col("_tid").isNotNull().cast("long").alias("t"), gram_buckets(bits).alias("g")).select("t", F.explode_outer("g").alias("bucket"))
     # explode_outer: for explode, Catalyst infers a filter on the array's size and would compute the array twice, nested
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("trusted"))
@@ -108,13 +114,18 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """docs with the base columns, base_failed, llr (null-free double) and kept."""
+    """docs with the base columns, base_failed, llr (null-free double) and kept, which replace columns of these names."""
     llr = ratio_table(docs, trusted_ids(labels, max_trusted), bits)
-    df = with_buckets(docs).withColumn("_llr", llr.scalar())
-    total = F.aggregate(gram_buckets(bits), F.lit(0.0), lambda a, g: a + F.element_at("_llr", g + 1))
-    df = df.withColumn("_n", F.greatest(2 * F.size("_hashes") - 1, F.lit(1)))
-    df = base_columns(df.withColumn("llr", F.round(total / F.col("_n"), 9)).drop("_llr", "_n"))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_text", "_words", "_hashes")
+    df = with_words(docs.select(boxed(docs), "text")).withColumn("_llr", llr.scalar())
+    mask = (1 << bits) - 1
+    at = lambda h: F.element_at("_llr", h.bitwiseAND(mask).cast("int") + 1)
+    # a word's unigram and the bigram that ends with it, in one pass over the hashes
+    pair = lambda h, i: F.when(i == 0, 0.0).otherwise(at(F.xxhash64(h, F.get("_hashes", i - 1))))
+    total = F.aggregate(F.transform("_hashes", lambda h, i: at(h) + pair(h, i)), F.lit(0.0), lambda a, x: a + x)
+    n = F.greatest(2 * F.size("_hashes") - 1, F.lit(1))
+    df = base_columns(df.withColumn("llr", F.round(total / n, 9)).drop("_llr"))
+    out = df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return out.select(*unboxed(docs, RESULTS), *RESULTS)
 
 
 def query(spark, sf_dir):
