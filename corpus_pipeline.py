@@ -2,6 +2,11 @@
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
 return the columns of documents.  run() writes each stage's result to the shared folder and reads it again.
+
+Every stage judges rows, not ids: rows that repeat a doc_id, or have none, are judged by their own texts.  Null and
+empty texts have no language and go in the first stage; an empty table stays empty; columns beyond those of documents
+pass through unchanged, whatever their names; texts are read whole, however long.  Of rows equal in doc_id and text one
+stays after the near copies; the mix may repeat rows, which then stand one after the other in the token files.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or dropped so that sources come near their targets."""
-    return mixing.emit_copies(mixing.mix_to_targets(docs))
+    return mixing.emit_copies(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
