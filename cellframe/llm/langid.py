@@ -4,14 +4,17 @@ Every language has probabilities over the pieces of a fixed public vocabulary.
 sum over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words (the
 vocabulary's pieces do not cross white space).  The probabilities are learned by expectation maximisation:
 expected piece counts by forward and backward sums over the training words, added up by Spark per language and
-piece.  The forward sums run in numpy over all distinct words of a batch at once.
+piece.  The forward sums run in numpy over all distinct words of a batch at once; words of more than WIDE characters
+are summed one by one in logarithms, which do not underflow.  All pieces of the vocabulary count, as they are; a word
+is never cut, so the sum has every segmentation.
 
 Training uses at most `max_train_docs` labelled documents (those with the smallest hash of doc_id); prediction
 covers every whole text.  The model holds pieces x languages numbers, whatever the corpus.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without training rows every text is
 `und`; characters outside the vocabulary get a fixed small probability; ties go to the language first by code
-point; a repeated doc_id is judged row by row; other columns are kept.
+point; a repeated doc_id is judged row by row; rows without a doc_id are predicted, but do not train; other columns
+are kept, but for lang_pred and score, which the results replace.
 """
 
 from __future__ import annotations
@@ -30,11 +33,10 @@ from .common import give_back, table
 VOCABULARY = "piece_bpe_32k.model"
 MAX_TRAIN_DOCS = 4000
 ROUNDS = 3
-MAX_PIECE = 8
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
-#: Words longer than this are scored in parts of this many characters.
-MAX_WORD = 48
+#: Words of more characters, with the blank in front, are summed one by one.
+WIDE = 64
 #: Distinct words whose scores a task keeps between batches.
 CACHE = 250_000
 
@@ -47,12 +49,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @functools.lru_cache(2)
 def pieces(path: str) -> tuple[str, ...]:
-    """The distinct pieces of 1 to MAX_PIECE characters, sorted; the mark of a word's start is a blank."""
+    """The distinct pieces, sorted; the mark of a word's start is a blank."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {sp.id_to_piece(i).replace("▁", " ").lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return tuple(sorted(p for p in found if 0 < len(p) <= MAX_PIECE))
+    found = {sp.id_to_piece(i).replace("▁", " ") for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    return tuple(sorted(p for p in found if p))
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -64,26 +66,29 @@ def _extend(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The vocabulary as sorted hashes."""
+    """The vocabulary as a dictionary and as sorted hashes with a bitmap of their first bits."""
 
     def __init__(self, path: str):
         names = pieces(path)
-        hashes = np.zeros(len(names), dtype=np.uint64)
-        for n in range(1, MAX_PIECE + 1):
-            at = [i for i, p in enumerate(names) if len(p) == n]
-            if at:
-                codes = np.array([[ord(c) for c in names[i]] for i in at], dtype=np.uint64)
-                h = np.full(len(at), n, dtype=np.uint64)
-                for k in range(n):
-                    h = _extend(h, codes[:, k])
-                hashes[at] = h
+        self.number, self.size, self.longest = {p: i for i, p in enumerate(names)}, len(names), max(map(len, names))
+        hashes = np.full(self.size, 1, dtype=np.uint64)
+        length = np.fromiter(map(len, names), dtype=np.int64, count=self.size)
+        for k in range(self.longest):
+            at = np.flatnonzero(length > k)
+            hashes[at] = _extend(hashes[at], np.array([ord(names[i][k]) for i in at], dtype=np.uint64))
         order = np.argsort(hashes)
-        self.sorted, self.ids, self.size = hashes[order], order.astype(np.int32), len(names)
+        self.sorted, self.ids = hashes[order], order.astype(np.int32)
+        self.map = np.zeros(1 << 20, dtype=bool)
+        self.map[hashes >> np.uint64(44)] = True
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
-        return np.where(self.sorted[at] == h, self.ids[at], -1)
+        out = np.full(h.shape, -1, dtype=np.int32)
+        hit = self.map[h >> np.uint64(44)]
+        some = h[hit]
+        at = np.minimum(np.searchsorted(self.sorted, some), self.size - 1)
+        out[hit] = np.where(self.sorted[at] == some, self.ids[at], -1)
+        return out
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -111,15 +116,40 @@ def lattice(vocab: Pieces, codes: np.ndarray) -> list[tuple[int, int, np.ndarray
     """(start, end, piece numbers) of the spans in which some word has a piece."""
     out = []
     width = codes.shape[1]
-    for n in range(1, min(MAX_PIECE, width) + 1):
-        h = np.full((len(codes), width - n + 1), n, dtype=np.uint64)
-        for k in range(n):
-            h = _extend(h, codes[:, k : width - n + 1 + k])
+    h = np.full(codes.shape, 1, dtype=np.uint64)
+    for n in range(1, min(vocab.longest, width) + 1):
+        h = _extend(h[:, : width - n + 1], codes[:, n - 1 :])  # a span's hash is that of the span shorter by one, carried on
         found = vocab.find(h)
-        out += [(s, s + n, found[:, s]) for s in range(width - n + 1) if n == 1 or (found[:, s] >= 0).any()]
+        some = (found >= 0).any(axis=0)
+        out += [(s, s + n, found[:, s]) for s in range(width - n + 1) if n == 1 or some[s]]
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def spans_of(vocab: Pieces, word: str) -> list[tuple[int, int, int]]:
+    """(start, end, piece number or -1) of one word with a blank in front, by end."""
+    text, get, out = " " + word, vocab.number.get, []
+    for e in range(1, len(text) + 1):
+        for s in range(max(0, e - vocab.longest), e):
+            p = get(text[s:e], -1)
+            if p >= 0 or s == e - 1:
+                out.append((s, e, p))
+    return out
+
+
+def log_forward(spans: list[tuple[int, int, int]], logs: np.ndarray, n: int) -> np.ndarray:
+    """[position, language]: logarithm of the summed probability of all segmentations up to there."""
+    la, at = np.zeros((n + 1, logs.shape[1])), 0
+    unknown = np.full(logs.shape[1], np.log(UNKNOWN))
+    for e in range(1, n + 1):
+        terms = []
+        while at < len(spans) and spans[at][1] == e:
+            s, _, p = spans[at]
+            terms.append(la[s] + (logs[p] if p >= 0 else unknown))
+            at += 1
+        la[e] = np.logaddexp.reduce(terms, axis=0)
+    return la
+
+
 def forward(edges, table_: np.ndarray, n: int, width: int) -> np.ndarray:
     """alpha[position, word, language]: summed probability of all segmentations up to there."""
     alpha = np.zeros((width + 1, n, table_.shape[1]))
@@ -137,6 +167,12 @@ def word_scores(vocab: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarra
     out = np.zeros((len(words), probs.shape[1]))
     order = np.argsort([len(w) for w in words], kind="stable")
     padded = np.vstack([probs, np.zeros((1, probs.shape[1]))])
+    wide = [i for i in order if len(words[i]) >= WIDE]
+    order = order[: len(order) - len(wide)]
+    if wide:
+        logs = np.log(np.maximum(probs, 1e-300))
+        for i in wide:
+            out[i] = log_forward(spans_of(vocab, words[i]), logs, len(words[i]) + 1)[-1]
     for part in np.array_split(order, max(1, len(order) // 4000)):
         if not len(part):
             continue
@@ -151,6 +187,18 @@ def expected_counts(vocab: Pieces, probs: np.ndarray, words: list[str], counts:
     out = np.zeros(vocab.size)
     p = np.vstack([probs[:, [lang]], np.zeros((1, 1))])
     order = np.argsort([len(w) for w in words], kind="stable")
+    wide = [i for i in order if len(words[i]) >= WIDE]
+    order = order[: len(order) - len(wide)]
+    if wide:
+        logs = np.log(np.maximum(probs[:, [lang]], 1e-300))
+        for i in wide:
+            spans, n = spans_of(vocab, words[i]), len(words[i]) + 1
+            la = log_forward(spans, logs, n)[:, 0]
+            # the backward sums are forward sums of the mirrored spans
+            lb = log_forward(sorted(((n - e, n - s, q) for s, e, q in spans), key=lambda x: (x[1], x[0])), logs, n)[::-1, 0]
+            for s, e, q in spans:
+                if q >= 0:
+                    out[q] += counts[i] * np.exp(la[s] + logs[q, 0] + lb[e] - la[-1])
     for part in np.array_split(order, max(1, len(order) // 4000)):
         if not len(part):
             continue
@@ -180,7 +228,7 @@ def train(docs: DataFrame, path: str, rounds: int = ROUNDS, max_train_docs: int
     spark = docs.sparkSession
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).distinct()
     sample = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("_c"))), F.col("doc_id") == F.col("_c"), "left_semi")
-    counted = sample.select("lang", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = sample.select("lang", F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.repartition(8, "word").persist()
     try:
         langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
@@ -198,8 +246,7 @@ def train(docs: DataFrame, path: str, rounds: int = ROUNDS, max_train_docs: int
                     for i, name in enumerate(names):
                         own = pdf[pdf["lang"] == name]
                         if len(own):
-                            parts = [(w[k : k + MAX_WORD], n) for w, n in zip(own["word"], own["n"]) for k in range(0, len(w), MAX_WORD)]
-                            sums[:, i] += expected_counts(vocab, given, [w for w, _ in parts], np.array([n for _, n in parts], dtype=float), i)
+                            sums[:, i] += expected_counts(vocab, given, own["word"].tolist(), own["n"].to_numpy(dtype=float), i)
                 at = np.nonzero(sums)
                 yield pd.DataFrame({"lang": at[1].astype("int32"), "piece": at[0].astype("int32"), "n": sums[at]})
 
@@ -213,6 +260,44 @@ def train(docs: DataFrame, path: str, rounds: int = ROUNDS, max_train_docs: int
         counted.unpersist()
 
 
+def _judged(batches, column: int, handed, path: str):
+    """(slice of a batch, its languages, their scores) of all batches; texts are in the given column."""
+    import pyarrow.compute as pc
+
+    from .tokenfiles import slices
+
+    (names, given), known, scores = handed.value, {}, np.zeros((0, 0))
+    vocab = loaded(path) if names else None
+    scores = np.zeros((0, len(names)))
+    for batch in (part for big in batches for part in slices(big, column, 4_000_000)):
+        n = batch.num_rows
+        text = pc.fill_null(batch.column(column), "")
+        judged = np.asarray(pc.match_substring_regex(text, r"\p{L}"), dtype=bool) if names else np.zeros(n, bool)
+        lists = pc.utf8_split_whitespace(text)
+        words = pc.dictionary_encode(lists.flatten())
+        where = np.asarray(lists.offsets)
+        vocabulary, at = words.dictionary.to_pylist(), np.asarray(words.indices)
+        if len(known) + len(vocabulary) > CACHE:
+            known, scores = {}, np.zeros((0, len(names)))
+        new = [w for w in vocabulary if w not in known]
+        if new and names:
+            known.update(zip(new, range(len(scores), len(scores) + len(new))))
+            scores = np.concatenate([scores, word_scores(vocab, given, new)])
+        label, score = np.full(n, "und", dtype=object), np.zeros(n)
+        if names and len(at):
+            own = scores[np.fromiter((known[w] for w in vocabulary), dtype=np.int64, count=len(vocabulary))]
+            sums = np.vstack([np.zeros((1, len(names))), np.cumsum(own[at], axis=0)])
+            total, count = sums[where[1:]] - sums[where[:-1]], np.maximum(np.diff(where), 1)
+            best = np.argmax(total, axis=1)
+            # tempered by length, so that long texts do not all score exactly 1
+            share = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(count)[:, None])
+            top = 1.0 / share.sum(axis=1)
+            label[judged], score[judged] = np.array(names, dtype=object)[best[judged]], top[judged]
+        yield batch, label, score
+    known = scores = None
+    give_back()
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
     """docs with lang_pred and score; score is the predicted language's share of the mean word likelihoods."""
     langs, probs = model
@@ -221,46 +306,25 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
 
     def predict(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        from .tokenfiles import slices
-
-        (names, given), known, scores = handed.value, {}, np.zeros((0, 0))
-        vocab = loaded(path) if names else None
-        scores = np.zeros((0, len(names)))
-        for batch in (part for big in batches for part in slices(big, kept.index("text"), 4_000_000)):
-            n = batch.num_rows
-            text = pc.fill_null(batch.column("text"), "")
-            judged = np.asarray(pc.match_substring_regex(text, r"\p{L}"), dtype=bool) if names else np.zeros(n, bool)
-            lists = pc.utf8_split_whitespace(pc.utf8_lower(text))
-            words = pc.dictionary_encode(lists.flatten())
-            where = np.asarray(lists.offsets)
-            vocabulary, at = words.dictionary.to_pylist(), np.asarray(words.indices)
-            if len(known) + len(vocabulary) > CACHE:
-                known, scores = {}, np.zeros((0, len(names)))
-            new = [w for w in vocabulary if w not in known]
-            if new and names:
-                parts = [(w[k : k + MAX_WORD], i) for i, w in enumerate(new) for k in range(0, max(len(w), 1), MAX_WORD)]
-                own = np.zeros((len(new), len(names)))
-                np.add.at(own, [i for _, i in parts], word_scores(vocab, given, [w for w, _ in parts]))
-                known.update(zip(new, range(len(scores), len(scores) + len(new))))
-                scores = np.concatenate([scores, own])
-            label, score = np.full(n, "und", dtype=object), np.zeros(n)
-            if names and len(at):
-                own = scores[np.fromiter((known[w] for w in vocabulary), dtype=np.int64, count=len(vocabulary))]
-                sums = np.vstack([np.zeros((1, len(names))), np.cumsum(own[at], axis=0)])
-                total, count = sums[where[1:]] - sums[where[:-1]], np.maximum(np.diff(where), 1)
-                best = np.argmax(total, axis=1)
-                # tempered by length, so that long texts do not all score exactly 1
-                share = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(count)[:, None])
-                top = 1.0 / share.sum(axis=1)
-                label[judged], score[judged] = np.array(names, dtype=object)[best[judged]], top[judged]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(label, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
-        known = scores = None
-        give_back()
+
+        for batch, label, score in _judged(batches, kept.index("text"), handed, path):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     fields = [f for f in docs.schema.fields if f.name in kept]
-    return docs.mapInArrow(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.select(*kept).mapInArrow(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, least_score: float) -> DataFrame:
+    """The rows of docs, with all their own columns, whose language is known with at least this score."""
+    handed, at = docs.sparkSession.sparkContext.broadcast((list(model[0]), model[1])), docs.columns.index("text")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch, label, score in _judged(batches, at, handed, path):
+            yield batch.filter(pa.array((label != "und") & (score >= least_score)))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def fold():
@@ -277,7 +341,7 @@ def query(spark, sf_dir):
     path = vocabulary_path()
     model = fit(docs, path)
     out = identify(docs.select("doc_id", "text"), model, path)
-    return out.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def crc_fold(doc_id) -> int:
