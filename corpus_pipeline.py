@@ -25,8 +25,7 @@ SHINGLE, PERCENT = 5, 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; `und` and scores below LEAST_SCORE go."""
     path = langid.vocabulary_path()
-    judged = langid.identify(docs, langid.fit(docs, path), path)
-    return judged.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
+    return langid.identified(docs, langid.fit(docs, path), path, LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
