@@ -6,7 +6,7 @@ vocabulary's pieces do not cross white space).  The probabilities are learned by
 expected piece counts by forward and backward sums over the training words, added up by Spark per language and
 piece.  The forward sums run in numpy over all distinct words of a batch at once; words of more than WIDE characters
 are summed one by one in logarithms, which do not underflow.  All pieces of the vocabulary count, as they are; a word
-is never cut, so the sum has every segmentation.
+is never cut, so the sum has every segmentation.  Texts are lower-cased, so that capitals do not hide a language.
 
 Training uses at most `max_train_docs` labelled documents (those with the smallest hash of doc_id); prediction
 covers every whole text.  The model holds pieces x languages numbers, whatever the corpus.
@@ -228,7 +228,7 @@ def train(docs: DataFrame, path: str, rounds: int = ROUNDS, max_train_docs: int
     spark = docs.sparkSession
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).distinct()
     sample = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("_c"))), F.col("doc_id") == F.col("_c"), "left_semi")
-    counted = sample.select("lang", F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = sample.select("lang", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.repartition(8, "word").persist()
     try:
         langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
@@ -273,7 +273,7 @@ def _judged(batches, column: int, handed, path: str):
         n = batch.num_rows
         text = pc.fill_null(batch.column(column), "")
         judged = np.asarray(pc.match_substring_regex(text, r"\p{L}"), dtype=bool) if names else np.zeros(n, bool)
-        lists = pc.utf8_split_whitespace(text)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(text))
         words = pc.dictionary_encode(lists.flatten())
         where = np.asarray(lists.offsets)
         vocabulary, at = words.dictionary.to_pylist(), np.asarray(words.indices)

@@ -65,6 +65,32 @@ def test_url_rules_and_templates(spark):
     assert got[200].host == "sub.example.com"
 
 
+def test_url_tree_goes_as_deep_as_labels_are_mixed(spark):
+    rows = [(i, f"http://a.com/2024/05/11/{'casino' if i % 2 else 'news'}/x{i % 7}/{i}") for i in range(400)] + [(1000 + i, f"http://b.com/1/2/3/4/5/6/{1000 + i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "url_key long, bad int")
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(400))
+    assert got[1].template == "/*/*/*/casino/**" and got[1000].template == "/*/*/*/**"
+
+
+def test_url_siblings_merge_only_if_labels_and_shapes_agree(spark):
+    sections = {"a": "a/1", "b": "b/2", "few": "few/3", "long": "long/x/y/4", "bad": "bad/5"}
+    rows = [(1000 * k + i, f"http://h.org/{p[:-1]}{1000 * k + i}") for k, p in enumerate(sections.values()) for i in range(4 if "few" in p else 200)]
+    labels = spark.createDataFrame([(i, int(i // 1000 == 4 or i % 10 == 0)) for i, _ in rows], "url_key long, bad int")
+    got = {r.page_id // 1000: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert [got[k].template.split("/")[1] for k in range(5)] == ["a", "b", "few", "long", "bad"] or [got[k].template.split("/")[1] for k in range(5)] == ["~", "~", "few", "long", "bad"]
+    assert [got[k].verdict for k in range(5)] == ["allow"] * 4 + ["block"]
+
+
+def test_url_query_rejects_a_planted_branch(spark, tmp_path):
+    pages = [(i, f"https://www.Site.example.org/{'win' if i % 4 == 0 else 'en'}/{i}.html?x=1", "") for i in range(240)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    # two thirds of the pages have labels; the branch is judged on those and rejected as a whole
+    spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(240) if i % 3], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = urls.query(spark, str(tmp_path)).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(0, 240, 4))
+
+
 # ---- op2 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("rule", tokens.RULES)
 def test_token_counts(spark, rule):
@@ -132,6 +158,29 @@ def test_quality_keeps_clean_and_drops_odd(spark):
     assert sum(got[i].kept for i in range(300)) >= 297 and not any(got[300 + i].kept for i in range(30))
 
 
+def test_quality_ratio_by_force(spark):
+    import xxhash
+
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42)
+    number = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=seed)
+    r = random.Random(2)
+    texts = [None, "", "one", "a b", "a b a b"] + [prose(r, r.randrange(20, 60), "abc") for _ in range(40)]
+    bits, trusted = 8, {7, 9, 11}
+    grams = []
+    for t in texts:
+        h = [word(w) for w in WORD.findall(t or "")]
+        grams.append([x % 2**bits for x in h] + [number(b, number(x, 42)) % 2**bits for x, b in zip(h[1:], h)])
+    raw, good = (np.bincount([g for i, own in enumerate(grams) if i in ids for g in own], minlength=2**bits) for ids in (range(len(texts)), trusted))
+    p = (raw + quality.SMOOTHING) / (raw.sum() + quality.SMOOTHING * 2**bits)
+    llr = np.log((good + 2**bits * p) / (good.sum() + 2**bits)) - np.log(p)
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(8, 1, 1), (10, 0, 0)], "doc_id long, quality int, toxic int")
+    for x in quality.quality_rules(docs_of(spark, list(enumerate(texts))), labels, bits=bits).collect():
+        own = grams[x.doc_id]
+        want = float(np.sum(llr[own]) / len(own)) if own else 0.0
+        assert x.llr == pytest.approx(want, abs=2e-9)
+        assert x.kept == (not base_rules(texts[x.doc_id])[-1] and round(want, 9) >= quality.THRESHOLD)
+
+
 # ---- op4 ----------------------------------------------------------------------------------------------------------
 def test_token_files_round_trip(spark, edge_rows, tmp_path):
     rows = [(r[0], r[1]) for r in edge_rows[0] if r[0] is not None]
@@ -165,9 +214,35 @@ def cut_by_force(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("trial", range(40))
+def test_repeated_windows_and_common_prefixes(trial):
+    r = np.random.default_rng(trial)
+    base, n = r.integers(0, 3, 60), int(r.choice([16, 18, 20, 24]))
+    parts = [np.concatenate([r.integers(0, 3, r.integers(0, 20)), base[r.integers(0, 30) : r.integers(30, 60)], np.zeros(r.integers(0, 30), int)]).astype(np.uint8) for _ in range(6)]
+    parts = [x for x in parts if len(x) >= n]
+    data, size = np.concatenate(parts), np.array([len(x) for x in parts])
+    begin = np.cumsum(size) - size
+    window, group, grouped = suffixdedup.repeated_windows(data, begin, size, n)
+    text = {int(b) + i: x[i : i + n].tobytes() for b, x in zip(begin, parts) for i in range(len(x) - n + 1)}
+    many = collections.Counter(text.values())
+    assert sorted(window.tolist()) == sorted(text)
+    assert all((many[text[a]] > 1) == (k < grouped) for k, a in enumerate(window.tolist()))
+    named = collections.defaultdict(set)
+    for a, g in zip(window.tolist(), group.tolist()):
+        named[g].add(text[a])
+    assert len(named) == len(many) and all(len(x) == 1 for x in named.values())
+    suffixes = np.array(sorted(text, key=lambda a: (text[a], a)))
+    got = suffixdedup.kasai(data, suffixdedup.eights(data), suffixes, n)
+    assert got.tolist() == [0] + [len(os.path.commonprefix([text[a], text[b]])) for a, b in zip(suffixes, suffixes[1:])]
+
+
+@pytest.mark.parametrize("spread", [False, True, "heavy"])
 def test_suffix_dedup(spark, spread, monkeypatch):
-    if spread:  # treat frequent anchors as common
+    if spread == "heavy":  # small shards, of which some are spread; shuffle joins
+        monkeypatch.setattr(suffixdedup, "SHARD", 2_000)
+        monkeypatch.setattr(suffixdedup, "BUCKET", 2_000)
+        monkeypatch.setattr(suffixdedup, "small_side", lambda df, rows=0: df)
+    elif spread:  # treat frequent anchors as common
         monkeypatch.setattr(suffixdedup, "COMMON", 0.02)
         monkeypatch.setattr(suffixdedup, "SLICE_SHARE", 0.02)
         monkeypatch.setattr(suffixdedup, "SLICE_LEAST", 2)
@@ -204,6 +279,7 @@ def test_mixing_comes_near_its_targets(spark):
     per = mixed.groupBy("source").agg(F.first("_mix.target").alias("t"), F.sum(F.col("_mix.size") * F.col("_mix.copies")).alias("n")).collect()
     assert all(abs(x.n - x.t) < 0.1 * x.t for x in per)
     assert mixing.emit_copies(mixed).count() == mixed.agg(F.sum("_mix.copies")).first()[0]
+    assert mixing.emit_copies(mixed).columns == mixed.columns
 
 
 # ---- op7 ----------------------------------------------------------------------------------------------------------
@@ -224,7 +300,7 @@ def test_html_induces_the_wrapper_without_marks(spark):
 
 
 def test_html_blocks():
-    text = lambda h: "\n".join(t for _, _, t in html.page_blocks(h, None))
+    text = lambda h: "\n".join(b[-1] for b in html.page_blocks(h, None) if b[2] == html.OPEN)
     assert text("<article><p>a  <b>b</b>\n c<br>d<p>e &lt; f</article><footer>x</footer>") == "a b c d\ne < f"
     assert text("<article><h1>T</h1><p><b>x<br><p>y</article>") == "T\nx\ny"
     assert text("<p>1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
@@ -233,13 +309,79 @@ def test_html_blocks():
 
 @pytest.mark.parametrize("marks", ['style="overflow:hidden"', 'title="a hidden gem"', 'aria-hidden="false"', "data-x='class=ad'", 'class="content has-sidebar"', 'class="article-header"', 'class="with-ads"', 'id="no-comments"', 'class="sidebar"'])
 def test_html_marks_spare_the_article(marks):
-    text = lambda h: "\n".join(t for _, _, t in html.page_blocks(h, None))
+    text = lambda h: "\n".join(b[-1] for b in html.page_blocks(h, None) if b[2] == html.OPEN)
     assert text(f"<div {marks}><article><p>in</p></article></div>") == "in"
     if marks != 'class="sidebar"':
         assert text(f"<div {marks}><p>in</p></div>") == "in"
     assert text("<article><p>in</p><div class='x ads'>no</div><p hidden>no</p><p aria-hidden=true>no</p></article><div class=comments><article>no</article></div>") == "in"
 
 
+def test_html_induced_template_decides_without_marks(spark, sf_dir):
+    """With names and article marks off, the template alone gives the same text."""
+    pages = common.table(spark, sf_dir, "pages")
+    marked = {r.page_id: r.text for r in html.extract_text(pages, min_pages=1 << 30).collect()}
+    small = {r.page_id for r in pages.withColumn("h", F.regexp_extract("url", "://([^/?#]*)", 1)).collect() if not r.h}
+    induced = {r.page_id: r.text for r in html.extract_text(pages, min_pages=3, marks=False).collect()}
+    assert sum(induced[k] == marked[k] for k in marked) >= 0.95 * (len(marked) - len(small))
+
+
+def test_html_constant_paragraphs_inside_the_article_go(spark):
+    r = random.Random(5)
+    want, rows = {}, []
+    for k in range(20):
+        ps = [prose(r, 12) for _ in range(3)]
+        rows.append((k, "http://h.com/a", f"<body><nav>x</nav><article><h1>T {k}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "<div>Subscribe to our letter</div></article><div>below</div></body>"))
+        want[k] = "\n".join([f"T {k}", *ps])
+    rows += [(100 + k, "http://h.com/b", rows[0][2]) for k in range(50)]  # copies of one page turn nothing into template
+    got = {x.page_id: x.text for x in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == want[k] for k in want) and all(got[100 + k] == want[0] for k in range(50))
+
+
+def test_html_layouts_of_a_host_are_apart(spark):
+    """A seed of one layout says nothing about pages of another."""
+    r = random.Random(6)
+    news = [(k, "http://h.com/n", f"<body><div><h1>N {k}</h1><p>{prose(r, 20)}</p></div><section><p>same</p></section></body>") for k in range(8)]
+    lists = [(50 + k, "http://h.com/l", f"<body><ul><li>{prose(r, 9)}</li><li>{prose(r, 9)}</li></ul><ol><li>same too</li></ol></body>") for k in range(8)]
+    got = {x.page_id: x.text for x in html.extract_text(spark.createDataFrame(news + lists + [(99, "http://h.com/", "")], "page_id long, url string, html string")).collect()}
+    assert not any("same" in t for t in got.values()) and all(got[k].startswith(f"N {k}\n") for k in range(8)) and all(got[50 + k].count("\n") == 1 for k in range(8)) and got[99] == ""
+
+
+def test_region_holds_the_varying_text():
+    seed = html.outline(html.parse("<body><ul><li>a</li></ul><div><section><p>x</p><p>y</p></section></div><div><p>z</p></div></body>")[0])
+    names = {}
+
+    def walk(node):
+        names.setdefault(node[0], node[1])
+        for c in node[2]:
+            walk(c)
+
+    walk(seed)
+    first, last = html.region_of(seed, {names["section"]: 900, names["li"]: 50}, 0.75)
+    assert first == names["section"] and last == first + 2
+    assert html.region_of(seed, {}, 0.75)[0] == 0
+
+
+@pytest.mark.parametrize("trial", range(30))
+def test_tree_matching_by_force(trial):
+    r = random.Random(trial)
+    grow = lambda depth: "".join(f"<{t}>{grow(depth - 1)}</{t}>" for t in r.choices(("div", "section", "span2"), k=r.randrange(0, 4))) if depth else ""
+    a, b = html.parse(f"<div>{grow(3)}</div>")[0], html.outline(html.parse(f"<div>{grow(3)}</div>")[0])
+
+    def best(x, y):
+        """Largest match by trying all order-preserving pairings of children."""
+        if x.symbol != y[0]:
+            return 0
+
+        def pair(xs, ys):
+            return max(best(xs[0], ys[0]) + pair(xs[1:], ys[1:]), pair(xs[1:], ys), pair(xs, ys[1:])) if xs and ys else 0
+
+        return 1 + pair(tuple(x.children), y[2])
+
+    found = {}
+    html.match(a, b, found, memo := {})
+    assert memo[0, 0][0] == best(a, b) == len(found)
+
+
 def test_tree_matching():
     a = html.parse("<div><ul><li>1</li><li>2</li></ul><p>x</p></div>")[0]
     b = html.outline(html.parse("<div><h1>t</h1><ul><li>1</li></ul><p>y</p><p>z</p></div>")[0])
@@ -268,8 +410,8 @@ def components_by_force(rows, size=4, percent=85):
                 up[max(root(i), root(j))] = min(root(i), root(j))
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[root(i)] = min(least.get(root(i), d), d)
-    return sorted((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
+        least[root(i)] = min(least.get(root(i), d), d, key=lambda x: (x is None, x or 0))
+    return sorted(((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize("common_share", [0.002, 0.05])
@@ -290,7 +432,25 @@ def test_jaccard(spark, common_share, monkeypatch):
             w = [r.choice(v) for _ in range(r.randrange(0, 60))]
         rows.append((i, " ".join(w)))
     rows += [(900, None), (901, ""), (902, " \n "), (903, "a b"), (904, "A B"), (905, "a b c"), (906, "a b c d"), (5000, rows[0][1]), rows[0], rows[3], rows[3], rows[6], rows[1]]
-    assert sorted(tuple(x) for x in jaccard.components(docs_of(spark, rows)).collect()) == components_by_force(rows)
+    assert sorted((tuple(x) for x in jaccard.components(docs_of(spark, rows)).collect()), key=str) == components_by_force(rows)
+
+
+def odd_ids():
+    """Rows that share a doc_id or have none, with equal, near and other texts."""
+    r = random.Random(12)
+    w = [f"w{r.randrange(300)}" for _ in range(120)]
+    near = lambda k: " ".join(w[:k] + ["odd"] + w[k + 1 :])
+    other = " ".join(f"v{r.randrange(300)}" for _ in range(80))
+    return [(5, near(3)), (5, other), (2, near(3)), (9, other), (None, near(119)), (7, prose(r, 50)), (None, prose(r, 60)), (8, "a b c d e"), (8, "a b c d e"), (3, None), (3, ""), (None, other + " x")]
+
+
+def test_jaccard_with_repeated_and_null_ids(spark):
+    rows = odd_ids()
+    got = sorted((tuple(x) for x in jaccard.components(docs_of(spark, rows)).collect()), key=str)
+    assert got == components_by_force(rows) and len(got) == len(rows)
+    assert sorted(jaccard.one_of_each(docs_of(spark, rows), size=4, percent=85).collect(), key=str) == sorted(
+        [rows[1], rows[2], rows[5], rows[6], rows[7], rows[9], rows[10]], key=str
+    )
 
 
 def test_signature_tree_equals_all_pairs():
@@ -326,7 +486,7 @@ def test_large_block_is_split_over_tasks(spark, monkeypatch):
     rows += [rows[0], rows[7], (5000, rows[9][1])]
     want = components_by_force(rows)
     assert len({c for _, _, c in want}) > 20
-    assert sorted(tuple(x) for x in jaccard.components(docs_of(spark, rows)).collect()) == want
+    assert sorted((tuple(x) for x in jaccard.components(docs_of(spark, rows)).collect()), key=str) == want
     blocks = spark.createDataFrame([(0, i, 120, 0) for i in range(400)], "root long, class long, n long, major int")
     assert max(x["count"] for x in jaccard.in_chunks(blocks, 1).groupBy("_chunk").count().collect()) < 50
 
@@ -367,7 +527,7 @@ def test_forward_sums_all_segmentations():
         if not text:
             return 1.0
         total = 0.0
-        for n in range(1, min(len(text), langid.MAX_PIECE) + 1):
+        for n in range(1, len(text) + 1):
             p = probs[at[text[:n]], k] if text[:n] in at else langid.UNKNOWN if n == 1 else 0.0
             total += p * brute(text[n:], k) if p else 0.0
         return total
@@ -379,6 +539,48 @@ def test_forward_sums_all_segmentations():
             assert got[i, k] == pytest.approx(np.log(brute(" " + w, k)))
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """Words summed one by one in logarithms score and count as those in the batch."""
+    vocab = langid.loaded(langid.vocabulary_path())
+    r = np.random.default_rng(3)
+    probs = r.random((vocab.size, 2)) ** 4
+    probs /= probs.sum(axis=0)
+    words, counts = ["international", "Straßenbahnhaltestelle", "x", "中国人", "a" * 60], np.array([1.0, 3, 2, 1, 5])
+    batch = langid.word_scores(vocab, probs, words), langid.expected_counts(vocab, probs, words, counts, 1)
+    monkeypatch.setattr(langid, "WIDE", 1)
+    assert np.allclose(batch[0], langid.word_scores(vocab, probs, words)) and np.allclose(batch[1], langid.expected_counts(vocab, probs, words, counts, 1))
+    long = langid.word_scores(vocab, probs, ["ab" * 3000])[0]
+    assert np.isfinite(long).all() and (long < -3000).all()
+
+
+def test_expected_counts_by_force():
+    path = langid.vocabulary_path()
+    vocab, names = langid.loaded(path), langid.pieces(path)
+    r = np.random.default_rng(4)
+    probs = r.random((vocab.size, 1))
+    probs /= probs.sum(axis=0)
+    at = {p: i for i, p in enumerate(names)}
+
+    def segmentations(text):
+        if not text:
+            yield ()
+        for n in range(1, len(text) + 1):
+            if text[:n] in at or n == 1:
+                for rest in segmentations(text[n:]):
+                    yield (text[:n], *rest)
+
+    words, counts = ["strasse", "The", "the", "中x"], np.array([2.0, 1.0, 4.0, 1.0])
+    want = np.zeros(vocab.size)
+    for w, c in zip(words, counts):
+        ways = [(s, np.prod([probs[at[p], 0] if p in at else langid.UNKNOWN for p in s])) for s in segmentations(" " + w)]
+        whole = sum(p for _, p in ways)
+        for s, p in ways:
+            for piece in s:
+                if piece in at:
+                    want[at[piece]] += c * p / whole
+    assert np.allclose(langid.expected_counts(vocab, probs, words, counts, 0), want)
+
+
 # ---- op10 ---------------------------------------------------------------------------------------------------------
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
@@ -425,6 +627,78 @@ def test_leaks_at_exactly_the_edits_allowed(spark):
     assert {(x.doc_id, x.item_id) for x in found} == {(k, k) for k in range(40)}
 
 
+def test_leaks_equal_all_windows(spark):
+    """Brute force over every window of every text: nothing else is found, and hardly anything is missed."""
+    r = random.Random(14)
+    items = [(k, prose(r, r.randrange(5, 25), "abcde")) for k in range(12)]
+    items += [(20, "zebra Crossing"), (21, "qq"), (22, " "), (23, "ab"), (24, None)]
+    rows = [(90, "a zebra crossing."), (91, "zebra crossings"), (92, "abab ab, qq"), (93, "aqq"), (94, "x\tqq"), (None, items[3][1]), (None, "clean text"), (95, "")]
+    for k in range(120):
+        s = list(r.choice(items[:12])[1])
+        for _ in range(r.randrange(0, 14)):
+            p = r.randrange(len(s))
+            s[p : p + 1] = r.choice([["x"], [], [s[p], "y"]])
+        rows.append((k, f"{prose(r, 10, 'abcde')} {''.join(s)} {prose(r, 10, 'abcde')}"))
+    want = set()
+    for d, t in rows:
+        t = decontaminate.folded(t)
+        for i, x in items:
+            x = decontaminate.folded(x or " ")
+            n = decontaminate.edits_allowed(len(x))
+            if not x.strip():
+                continue
+            if len(x) < 24:
+                found = re.search(rb"(?<![0-9a-z\x80-\xff])" + re.escape(x) + rb"(?![0-9a-z\x80-\xff])", t) is not None
+            else:
+                least = [0] * (len(t) + 1)  # of a prefix of the item against any substring that ends here
+                for a in x:
+                    row = [least[0] + 1]
+                    for j, b in enumerate(t, 1):
+                        row.append(min(least[j] + 1, row[-1] + 1, least[j - 1] + (a != b)))
+                    least = row
+                found = min(least) <= n
+            if found:
+                want.add((d, i))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=5).collect()}
+    assert got <= want and len(want - got) <= 0.02 * len(want) and {(90, 20), (92, 21), (92, 23), (94, 21), (None, 3)} <= got and len(want) > 30
+
+
+def test_leaking_rows_take_no_other_rows_with_them(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    rows = [(3, "clean"), (3, f"x {item} y"), (None, item), (None, "clean too"), (4, "c"), (4, "c"), (5, None)]
+    kept = decontaminate.without_leaks(docs_of(spark, rows), spark.createDataFrame([(1, item), (None, None)], "item_id long, text string"))
+    assert sorted(kept.collect(), key=str) == sorted([rows[0], rows[3], rows[4], rows[5], rows[6]], key=str)
+
+
+def test_long_and_many_items_fit_in_memory():
+    """2,000 short items and one of 20 KB took over 90 s to set up."""
+    import time
+
+    r = random.Random(3)
+    began = time.monotonic()
+    items = [(k, prose(r, 8).encode()) for k in range(2000)] + [(5000, prose(r, 4500).encode())]
+    ready = decontaminate.Items(items, decontaminate.SHARE, decontaminate.Q)
+    text = b"before " + items[-1][1] + b" after"
+    found = ready.search(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), decontaminate.Q)
+    assert (0, 5000) in {x[:2] for x in found} and time.monotonic() - began < 30
+
+
+def test_walks_of_pieces_agree_as_measured():
+    """A piece with the edits allowed is proposed with the recall that the samplings are laid out for."""
+    r, left, right = random.Random(2), [], []
+    for _ in range(600):
+        x = [r.randrange(97, 123) for _ in range(decontaminate.PIECE)]
+        y = list(x)
+        for _ in range(4):
+            p = r.randrange(len(y))
+            y[p : p + 1] = r.choice([[35], [], [y[p], 35]])
+        left.append(bytes(x))
+        right.append(bytes(y[: decontaminate.PIECE]))
+    n = decontaminate.repeats_for(decontaminate.RECALL)
+    near, far = decontaminate.collide(left, right, n), decontaminate.collide(left, right[1:] + right[:1], n)
+    assert near.mean() > 0.8 and far.mean() < 0.02  # one piece; an item has several, and several diagonals
+
+
 def test_edit_distance():
     r = random.Random(9)
     for _ in range(60):
@@ -434,6 +708,55 @@ def test_edit_distance():
         assert decontaminate.edit_distance(a, b, True)[0] == min(levenshtein(a, b[:j]) for j in range(len(b) + 1))
 
 
+# ---- clashing names -----------------------------------------------------------------------------------------------
+CLASHES = ("h", "n", "class", "best", "_row", "_mix", "_copy", "_size", "_dropped", "_leak", "gone_id", "gone_h", "lang_pred", "score", "_text", "_llr", "_n", "n_words", "llr", "_host", "_path", "_template", "copies", "target", "source_size", "component_id", "kept")
+
+
+def clashing(df):
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES if c not in df.columns])
+
+
+def test_stages_keep_columns_of_any_name(spark, edge_dir):
+    import corpus_pipeline as p
+
+    docs = clashing(common.table(spark, edge_dir, "documents"))
+    had = {c: docs.where(F.col(c).isNotNull()).count() for c in docs.columns}
+    for _, stage in p.STAGES[:4]:
+        out = common.staged(stage(spark, docs, edge_dir))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHES if c not in ("h", "n", "class", "_size") and had[c])
+    assert tokenfiles.tokenized(docs).count() == docs.count()
+
+
+def test_operators_keep_columns_of_any_name(spark, edge_dir):
+    docs, pages, labels = (clashing(common.table(spark, edge_dir, t)) for t in ("documents", "pages", "labels"))
+    kept = lambda out, lost: all(r[c] == f"own {c}" for r in out.collect() for c in CLASHES if c not in lost and c not in ("h", "n", "class", "_size"))
+    assert kept(quality.quality_rules(docs, labels), quality.RESULTS)
+    assert kept(mixing.mix_to_targets(docs), ("_mix",))
+    assert kept(urls.url_filter(pages, labels.select(F.col("doc_id").alias("url_key"), F.lit(1).alias("bad"))), ())
+    assert kept(langid.identify(docs, (["en"], np.full((langid.loaded(langid.vocabulary_path()).size, 1), 1e-4)), langid.vocabulary_path()), ("lang_pred", "score"))
+    assert kept(jaccard.one_of_each(docs), ()) and kept(decontaminate.without_leaks(docs, common.table(spark, edge_dir, "benchmark")), ())
+    n = docs.count()
+    for out in (jaccard.components(docs), suffixdedup.dedup(docs), tokens.token_counts(docs).select("doc_id", "section").where("section = 0"), html.extract_text(pages)):
+        assert out.count() == (7 if "n_chars" in out.columns else n)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
 # ---- pipeline -----------------------------------------------------------------------------------------------------
 def test_pipeline_by_hand(spark, sf_dir, edge_dir, empty_dir):
     import corpus_pipeline as p
