@@ -95,6 +95,34 @@ def series_payload(points: DataFrame) -> DataFrame:
     return got.select("path", "label", F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["y"]).alias("ys"))
 
 
+#: Schema of a plot's record, as JSON carries it.
+PAYLOAD = "kind string, title string, metrics map<string,double>, xLabel string, yLabel string, series array<struct<label:string,x:array<double>,y:array<double>>>"
+
+
+def chi_series(steps: DataFrame) -> DataFrame:
+    """Points (path, point_no, col_no, label, x, y) of convergence logs: x the step, y the clamped logarithm of chi_r."""
+    got = chi_log(steps)
+    return got.select(F.col("run_id").alias("path"), F.col("step").alias("point_no"), F.lit(1).alias("col_no"), F.lit("R").alias("label"), F.col("step").cast("double").alias("x"), F.col("log_chi").alias("y"))
+
+
+def plot_payload(described: DataFrame, points: DataFrame) -> DataFrame:
+    """(path, payload): the record of each plot as JSON: kind, title, metrics, labels of the axes and series as arrays.
+
+    described: (path, plot_kind, title, x_label, y_label, metrics map).  A series is gathered by one aggregate; the
+    arrays of one file stand in one row, as its reader wants them.
+    """
+    one = points.groupBy("path", "col_no", "label").agg(F.sort_array(F.collect_list(F.struct("point_no", "x", "y"))).alias("p"))
+    one = one.select("path", F.struct("col_no", "label", F.transform("p", lambda p: p["x"]).alias("x"), F.transform("p", lambda p: p["y"]).alias("y")).alias("s"))
+    series = one.groupBy("path").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: F.struct(s["label"].alias("label"), s["x"].alias("x"), s["y"].alias("y"))).alias("series"))
+    record = F.struct(F.col("plot_kind").alias("kind"), "title", "metrics", F.col("x_label").alias("xLabel"), F.col("y_label").alias("yLabel"), "series")
+    return described.join(series, "path").select("path", F.to_json(record).alias("payload"))
+
+
+def read_payload(payloads: DataFrame) -> DataFrame:
+    """(path, r): the records back from their JSON."""
+    return payloads.select("path", F.from_json("payload", PAYLOAD).alias("r"))
+
+
 def run_metrics(files: DataFrame, points: DataFrame, finals: DataFrame) -> DataFrame:
     """files with metrics map: rwp for compared kinds, pdf_index for neutron PDFs, final_chi_r for logs.
 
@@ -120,14 +148,17 @@ def run_comparison(metrics: DataFrame) -> DataFrame:
     return metrics.where("rwp is not null").withColumn("place", F.rank().over(Window.partitionBy("plot_kind").orderBy("rwp")))
 
 
-def run_summary(files: DataFrame, metrics: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row per run: files, plottable files, kinds present, best rwp, last final chi and unreadable files.
+def run_summary(files: DataFrame, metrics: DataFrame, errors: DataFrame, structures: DataFrame | None = None) -> DataFrame:
+    """One row per run: files, plottable files, kinds present, best rwp, last final chi, unreadable files and warnings.
 
-    files: (run_id, path, plot_kind); metrics: (path, rwp, final_chi); errors: (path, reason).
+    files: (run_id, path, plot_kind); metrics: (path, rwp, final_chi); errors: (path, reason); structures, if given:
+    (run_id, lattice, elements), of which those two columns are added.
     """
-    bad = errors.select("path").distinct().withColumn("bad", F.lit(1))
+    bad = errors.groupBy("path").agg(F.min("reason").alias("reason"))
     got = files.join(metrics, "path", "left").join(bad, "path", "left")
-    return got.groupBy("run_id").agg(
+    got = got.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_files"), F.count("plot_kind").alias("n_plottable"), F.array_sort(F.collect_set("plot_kind")).alias("kinds"),
-        F.min("rwp").alias("best_rwp"), F.max_by("final_chi", F.when(F.col("final_chi").isNotNull(), F.col("path"))).alias("final_chi"), F.count("bad").alias("n_errors"),
+        F.min("rwp").alias("best_rwp"), F.max_by("final_chi", F.when(F.col("final_chi").isNotNull(), F.col("path"))).alias("final_chi"), F.count("reason").alias("n_errors"),
+        F.array_sort(F.collect_set("reason")).alias("warnings"),
     )
+    return got if structures is None else got.join(structures.select("run_id", "lattice", "elements"), "run_id", "left")

@@ -187,10 +187,34 @@ def densest_band(folded: DataFrame, bins: int = 50) -> DataFrame:
     return best.select("structure_id", (-F.col("best.m")).alias("bin"), F.col("best.n").alias("n"), ((-F.col("best.m") + 0.5) / bins).alias("z_center"))
 
 
-def quantile_limits(points: DataFrame, lo: float = 0.01, hi: float = 0.99, exact: bool = True) -> DataFrame:
-    """Quantiles of each coordinate, interpolated between neighbours; exact=False for structures too big to sort values of."""
-    f = (lambda a, q: F.percentile(a, q)) if exact else (lambda a, q: F.percentile_approx(a, q, 100_000))
-    return points.groupBy("structure_id").agg(*[f(f"p{a}", F.lit(q)).alias(f"{a}_{n}") for a in "xyz" for q, n in ((lo, "lo"), (hi, "hi"))])
+def quantile_limits(points: DataFrame, lo: float = 0.01, hi: float = 0.99, bins: int = 4096) -> DataFrame:
+    """Exact quantiles of each coordinate, interpolated between neighbours, in two passes.
+
+    The first counts the points of each structure in equal bins of each coordinate, with partial sums.  Running totals
+    over the bins tell which hold the ranks in question; the second pass takes the values of those bins only, counted
+    by value, and picks the ranks by running totals.  No task holds the values of a structure.
+    """
+    long = points.select("structure_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"p{a}").alias("v")) for a in "xyz"])).alias("p"))
+    long = long.select("structure_id", "p.axis", "p.v").where("v is not null")
+    keys = ["structure_id", "axis"]
+    ends = long.groupBy(*keys).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("total"))
+    bin_ = _bin(F.col("v"), F.col("least"), F.col("most"), bins).alias("bin")
+    counts = long.join(ends, keys).groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("n"))
+    # windows over at most `bins` rows of a structure and axis
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), up.alias("rank"), (q * (F.col("total") - 1) - F.floor(q * (F.col("total") - 1))).alias("share"), F.lit(k).alias("end"))
+                      for q, name in ((lo, "lo"), (hi, "hi")) for k, up in enumerate((F.floor(q * (F.col("total") - 1)), F.ceil(q * (F.col("total") - 1))))])
+    wanted = counts.withColumn("before", before).join(ends.select(*keys, "total").withColumn("r", F.explode(ranks)), keys)
+    wanted = wanted.where((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("n"))).select(*keys, "bin", "before", "r.*")
+    held = long.join(ends, keys).select(*keys, bin_, "v").join(wanted.select(*keys, "bin", "before").distinct(), [*keys, "bin"])
+    values = held.groupBy(*keys, "bin", "before", "v").agg(F.count(F.lit(1)).alias("n"))
+    up_to = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.select(*keys, "bin", "v", (up_to - F.col("n")).alias("from"), up_to.alias("to"))
+    found = wanted.join(values, [*keys, "bin"]).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    pick = lambda k: F.max(F.when(F.col("end") == k, F.col("v")))
+    limits = found.groupBy(*keys, "name").agg((pick(0) + (pick(1) - pick(0)) * F.max("share")).alias("limit"))
+    at = lambda a, name: F.max(F.when((F.col("axis") == a) & (F.col("name") == name), F.col("limit"))).alias(f"{a}_{name}")
+    return limits.groupBy("structure_id").agg(*[at(a, name) for a in "xyz" for name in ("lo", "hi")])
 
 
 def contour_levels(density: DataFrame, n_levels: int = 8) -> DataFrame:

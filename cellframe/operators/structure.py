@@ -92,6 +92,12 @@ def element_semi(frac: DataFrame, site_table: DataFrame, element: str) -> DataFr
     return frac.join(own, ["structure_id", "rn"], "left_semi")
 
 
+def element_errors(frac: DataFrame, site_table: DataFrame, element: str) -> DataFrame:
+    """(structure_id, reason) of the structures of a fractional table that have no such element."""
+    own = site_table.where(F.col("element") == element).select("structure_id")
+    return frac.select("structure_id").distinct().join(own, "structure_id", "left_anti").select("structure_id", F.lit(f"no element {element}").alias("reason"))
+
+
 def site_sample(atoms: DataFrame, max_points: int = 12_000) -> DataFrame:
     """A sample of at most max_points atoms a structure, even over its sites.
 

@@ -16,6 +16,8 @@ GRID = 16
 #: Extent of the density grids and where the fit range lies.
 LIM = (0.0, 10.4116)
 BW = 0.05
+#: Distance of neighbouring nodes, in SQL.
+STEP = f"({LIM[1]}::double / {GRID - 1})"
 
 
 #: Rounded columns that can be just below zero: DuckDB's round gives them as -0.0, Spark's as 0.0.
@@ -118,19 +120,62 @@ def pdf_index(spark, d):
     return f.select("run_id", "path", "pdf_index", F.row_number().over(Window.partitionBy("run_id").orderBy("pdf_index", "name", "path")).alias("place"))
 
 
+#: First labels of curve tables, by number of the run.
+LABELS = ("Q", " r ", "Q (A^-1)", "d (A)", "s (A^{-1}) ", "")
+_LABELS = """l as (select *, trim(([{labels}])[run_id % {n} + 1]) as label, string_split(regexp_replace(name, '\\.[^.]*$', ''), '_')[-1] as last_part from files where plot_kind is not null),
+described as (select run_id, path, name, plot_kind, pdf_index,
+  case when plot_kind = 'xpdf' then 'xPDF' when plot_kind in ('npdf', 'pdf_partials') then last_part when plot_kind = 'xray_sq' then 'S(Q) (x-ray)' when plot_kind = 'neutron_sq' then 'S(Q) (neutron)'
+    when plot_kind = 'bragg' then 'BRAGG' when plot_kind = 'r_value' then 'R-value' when plot_kind = 'stog' then name end as title,
+  case when plot_kind = 'r_value' then 'Time steps' when plot_kind = 'stog' then case when ends_with(name, '.gr') then 'r (Å)' else 'Q (Å^{{-1}})' end
+    when plot_kind in ('xpdf', 'npdf', 'pdf_partials') then 'r (Å)' when plot_kind = 'bragg' then 'Q (Å^{{-1}})' when label = 'Q' then 'Q (Å^{{-1}})' when label in ('r', 'R') then 'r (Å)'
+    else replace(replace(replace(label, '(A^-1)', '(Å^{{-1}})'), '(A^{{-1}})', '(Å^{{-1}})'), '(A)', '(Å)') end as x_label,
+  case when plot_kind = 'r_value' then 'log(χ)' when plot_kind = 'stog' then case when ends_with(name, '.gr') then 'G(r)' else 'S(Q)' end else 'data' end as y_label from l)
+""".format(labels=", ".join(f"'{x}'" for x in LABELS), n=len(LABELS))
+
+
+def _described(spark, d):
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.col("run_id") % len(LABELS) + 1)
+    return catalog.labelled(A.run_files(spark, d).withColumn("first_label", label))
+
+
+@query(ctes("files") + ", " + _LABELS + "select run_id, path, plot_kind, title, x_label, y_label from described")
+def plot_labels(spark, d):
+    return _described(spark, d).select("run_id", "path", "plot_kind", "title", "x_label", "y_label")
+
+
 @query(
-    ctes("files") + """select run_id, path, plot_kind, case plot_kind when 'xpdf' then 'X-ray PDF' when 'npdf' then 'Neutron PDF' || case when pdf_index in (0, 1) then '' else ' #' || pdf_index end
-  when 'pdf_partials' then 'PDF partials' when 'bragg' then 'Bragg' when 'r_value' then 'R-value' when 'stog' then name else string_split(regexp_replace(name, '\\.[^.]*$', ''), '_')[-1] end as title,
-  case when plot_kind in ('xpdf', 'npdf', 'pdf_partials') then 'r (Å)' when plot_kind in ('xray_sq', 'neutron_sq') then 'Q (Å^{-1})' when plot_kind = 'r_value' then 'Time' when plot_kind = 'bragg' then 'd (Å)' else 'x' end as x_label,
-  case when plot_kind in ('xpdf', 'npdf', 'pdf_partials') then 'G(r)' when plot_kind = 'xray_sq' then 'F(Q)' when plot_kind = 'neutron_sq' then 'S(Q)' when plot_kind = 'r_value' then 'log(χ)' when plot_kind = 'bragg' then 'Intensity' else 'y' end as y_label,
-  'd (Å)' as cleaned from files where plot_kind is not null"""
+    ctes("files", "cp", "pairs") + ", " + _LABELS + f""", rw as (select path, {RWP} as rwp from pairs group by path),
+s as (select path, count(distinct col_no) as n_series, count(*) as n_points, string_agg(distinct label, '|' order by label desc) as labels, sum(x) as sum_x, sum(y) as sum_y from cp group by path)
+select f.path, plot_kind as kind, title, x_label, y_label, n_series, n_points, labels, round(sum_x, 3) as sum_x, round(sum_y, 4) + 0.0::double as sum_y,
+  round(case when plot_kind in ('xpdf', 'npdf', 'xray_sq', 'neutron_sq', 'bragg') then rwp end, 6) as rwp, case when plot_kind = 'npdf' then pdf_index::double end as pdf_index
+from described f join s on s.path = 'v' || substr(f.path, 3) left join rw on rw.path = s.path"""
 )
-def plot_labels(spark, d):
-    f = catalog.plottable(A.run_files(spark, d))
-    paths = f.select("path", F.col("name").alias("name_"), "run_id")
-    got = catalog.labelled(f.withColumn("run_id", F.col("path")))
-    got = got.select(F.col("run_id").alias("path"), "plot_kind", "title", "x_label", "y_label", axis_label(F.lit("d (A)")).alias("cleaned"))
-    return got.join(paths.select("path", "run_id"), "path").select("run_id", "path", "plot_kind", "title", "x_label", "y_label", "cleaned")
+def plot_payload(spark, d):
+    """Each plot's record written as JSON and read back."""
+    points = A.curve_points(spark, d).withColumn("path", F.concat(F.lit("d/"), F.substr("path", F.lit(2))))
+    described = _described(spark, d).where("plot_kind <> 'r_value'").withColumn("pdf_index", catalog.pdf_index(F.col("name"))).select("path", "plot_kind", "pdf_index", "title", "x_label", "y_label")
+    logs = _described(spark, d).where("plot_kind = 'r_value'").withColumn("pdf_index", F.lit(0)).select(*described.columns)
+    files = curves.run_metrics(described.unionAll(logs), points, spark.createDataFrame([], "path string, final_chi double"))
+    r = curves.read_payload(curves.plot_payload(files, points))
+    ys = F.aggregate(F.flatten(F.transform("r.series", lambda s: s["y"])), F.lit(0.0), lambda a, y: a + y)
+    xs = F.aggregate(F.flatten(F.transform("r.series", lambda s: s["x"])), F.lit(0.0), lambda a, y: a + y)
+    return r.select(
+        "path", "r.kind", "r.title", F.col("r.xLabel").alias("x_label"), F.col("r.yLabel").alias("y_label"), F.size("r.series").cast("long").alias("n_series"),
+        F.aggregate("r.series", F.lit(0).cast("long"), lambda a, s: a + F.size(s["x"])).alias("n_points"), F.array_join(F.transform("r.series", lambda s: s["label"]), "|").alias("labels"),
+        _r(xs, 3).alias("sum_x"), _r(ys, 4).alias("sum_y"), _r(F.col("r.metrics")["rwp"]).alias("rwp"), F.col("r.metrics")["pdf_index"].alias("pdf_index"),
+    )
+
+
+@query(ctes("files") + "select run_id, path, name from files where ends_with(name, '.csv') or ends_with(name, '.log') or contains(name, 'PDF')")
+def distinct_files(spark, d):
+    """Files that several patterns match stand once."""
+    f, name = A.run_files(spark, d).select("run_id", "path", "name"), F.col("name")
+    return catalog.union_distinct(f.where(name.endswith(".csv")), f.where(name.endswith(".log")), f.where(name.contains("PDF")))
+
+
+@query(ctes("files") + "select run_id, min('Frac_' || name) as name from files where ends_with(name, '.txt') group by run_id")
+def first_fraction_file(spark, d):
+    return catalog.first_fraction_file(A.run_files(spark, d).withColumn("name", F.concat(F.lit("Frac_"), "name")))
 
 
 @query(ctes("files") + "select run_id, min(name) as name from files where ends_with(name, '.rmc6f') group by run_id")
@@ -140,11 +185,7 @@ def first_structure_file(spark, d):
 
 @query(ctes("files") + "select run_id, path, row_number() over (partition by run_id order by is_directory desc, lower(name), name, path)::int as position from files")
 def file_listing(spark, d):
-    f = A.run_files(spark, d)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id").orderBy(F.col("is_directory").desc(), F.lower("name"), "name", "path")
-    return f.select("run_id", "path", F.row_number().over(order).alias("position"))
+    return catalog.listing(A.run_files(spark, d)).select("run_id", "path", "position")
 
 
 _METRICS = ctes("files", "pairs", "chi") + f""", rw as (select path, round({RWP}, 6) as rwp from pairs group by path),
@@ -241,6 +282,28 @@ def element_semi(spark, d):
     return structure.element_semi(frac, structure.sites(a), "Nb").groupBy("structure_id", "rn").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    ctes("atoms") + """, s as (select distinct structure_id, element, ref from atoms where not (structure_id = 1 and element = 'Nb')) select distinct structure_id, 'no element Nb' as reason from atoms where structure_id not in (select structure_id from s where element = 'Nb')"""
+)
+def element_errors(spark, d):
+    """A structure without the element gives an error row."""
+    atoms = A.atoms(spark, d)
+    table = atoms.select("structure_id", F.col("reference_number").alias("rn"))
+    return structure.element_errors(table, structure.sites(atoms.where("not (structure_id = 1 and element = 'Nb')")), "Nb")
+
+
+@query(ctes("folded") + f"select structure_id, element, {SEQ.rsplit(',', 1)[0]}, round(ux, 6) as px, round(uy, 6) as py, round(uz, 6) as pz from folded where element = 'Nb'")
+def positions_fractional(spark, d):
+    """Atoms of one element, as fractions of the cell."""
+    return structure.positions(A.atoms(spark, d), A.cells(spark), "Nb", "fractional").select("structure_id", "element", *_keys(), *[_r(f"p{a}").alias(f"p{a}") for a in "xyz"])
+
+
+@query(ctes("points") + f"select structure_id, element, {SEQ.rsplit(',', 1)[0]}, round(px, 6) + 0.0::double as px, round(py, 6) + 0.0::double as py, round(pz, 6) + 0.0::double as pz from points where element = 'Se'")
+def positions_cartesian(spark, d):
+    """Atoms of one element, in the structure's unit of length."""
+    return structure.positions(A.atoms(spark, d), A.cells(spark), "Se").select("structure_id", "element", *_keys(), *[_r(f"p{a}").alias(f"p{a}") for a in "xyz"])
+
+
 _SAMPLE = ctes("atoms") + f""", t as (select structure_id, count(*) as total, count(distinct ref) as n_sites from atoms group by 1),
 k as (select a.*, total, n_sites, row_number() over (partition by structure_id, ref order by {SEQ}) - 1 as k, count(*) over (partition by structure_id, ref) as c from atoms a join t using (structure_id)),
 q as (select *, greatest(1, 2000 // n_sites) as quota, greatest(1, c // greatest(1, 2000 // n_sites)) as step from k),
@@ -332,8 +395,11 @@ def grid_nodes(spark, d):
 
 _KDE = _COV + f""", nodes as (select cov.*, ix, iy, {LIM[0]}::double + ix * ({LIM[1]}::double / {GRID - 1}) as gx, {LIM[0]}::double + iy * ({LIM[1]}::double / {GRID - 1}) as gy
   from cov, (select unnest(range({GRID}))::int as ix), (select unnest(range({GRID}))::int as iy)),
-sums as (select structure_id, element, slab_id, ix, iy, sum(exp(-0.5::double * (syy * (gx - px) * (gx - px) - 2 * sxy * (gx - px) * (gy - py) + sxx * (gy - py) * (gy - py)) / det)) as k
-  from nodes join inslab using (structure_id, element, slab_id) where status = 'ok' group by all),
+box as (select *, unnest(range(greatest(0, ceil((px - 8 * sqrt(sxx) - {LIM[0]}) / {STEP}))::bigint, least({GRID - 1}, floor((px + 8 * sqrt(sxx) - {LIM[0]}) / {STEP}))::bigint + 1))::int as ix
+  from inslab join cov using (structure_id, element, slab_id) where status = 'ok'),
+pairs_ as (select *, unnest(range(greatest(0, ceil((py - 8 * sqrt(syy) - {LIM[0]}) / {STEP}))::bigint, least({GRID - 1}, floor((py + 8 * sqrt(syy) - {LIM[0]}) / {STEP}))::bigint + 1))::int as iy from box),
+dist as (select structure_id, element, slab_id, ix, iy, sxx, sxy, syy, det, {LIM[0]}::double + ix * ({LIM[1]}::double / {GRID - 1}) - px as dx, {LIM[0]}::double + iy * ({LIM[1]}::double / {GRID - 1}) - py as dy from pairs_),
+sums as (select structure_id, element, slab_id, ix, iy, sum(exp(-0.5::double * (syy * dx * dx - 2 * sxy * dx * dy + sxx * dy * dy) / det)) as k from dist group by all),
 kde as (select n.structure_id, n.element, n.slab_id, n.ix, n.iy, n.n, n.status, case n.status when 'singular' then null when 'few' then 0.0::double else coalesce(k, 0) / (n.n * 2 * pi() * sqrt(det)) end as density
   from nodes n left join sums using (structure_id, element, slab_id, ix, iy))
 """
@@ -532,7 +598,7 @@ def stog_input_join(spark, d):
 
 
 @query(
-    ctes("numbered") + """, l as (select distinct l_suppkey, max(case when l_linenumber = 3 then 1 else 0 end) as odd from numbered group by 1) select 'f' || l_suppkey as path, 'no csv rows' as reason from l where odd = 1"""
+    ctes("numbered") + """, l as (select distinct l_suppkey, max(case when l_linenumber = 3 then 1 else 0 end) as odd from numbered group by 1) select 'f' || l_suppkey as path, 'not a number' as reason from l where odd = 1"""
 )
 def ingest_errors(spark, d):
     """Curve files with a cell that is no number give an error row."""
@@ -543,14 +609,20 @@ def ingest_errors(spark, d):
 # ---- summaries ----------------------------------------------------------------------------------------------------
 @query(
     _METRICS + """select run_id, count(*) as n_files, count(plot_kind) as n_plottable, array_to_string(list(distinct plot_kind order by plot_kind) filter (where plot_kind is not null), ',') as kinds, min(rwp) as best_rwp,
-  arg_max(final_chi, case when final_chi is not null then path end) as final_chi, count(case when path like '%7' then 1 end) as n_errors from m group by run_id"""
+  arg_max(final_chi, case when final_chi is not null then path end) as final_chi, count(case when path like '%7' then 1 end) as n_errors,
+  coalesce(array_to_string(list_sort(list(distinct case when path like '%77' then 'empty file' else 'not a number' end) filter (where path like '%7')), ','), '') as warnings,
+  any_value(case when run_id < 4 then 'Ga,Nb,Se' end) as elements, any_value(case when run_id < 4 then 104.116::double end) as lattice_xx from m group by run_id"""
 )
 def run_summary(spark, d):
     m = _metrics(spark, d)
     files = A.run_files(spark, d).select("run_id", "path", "plot_kind")
     metrics = m.select("path", _r(F.col("metrics")["rwp"]).alias("rwp"), F.col("metrics")["final_chi_r"].alias("final_chi"))
-    errors = files.where("path like '%7'").select("path", F.lit("no rows").alias("reason"))
-    return curves.run_summary(files, metrics, errors).withColumn("kinds", F.array_join("kinds", ","))
+    errors = files.where("path like '%7'").select("path", F.when(F.col("path").endswith("77"), "empty file").otherwise("not a number").alias("reason"))
+    elements = structure.element_counts(A.atoms(spark, d)).groupBy("structure_id").agg(F.sort_array(F.collect_list("element")).alias("elements"))
+    structures = elements.join(A.cells(spark), "structure_id").withColumnRenamed("structure_id", "run_id")
+    got = curves.run_summary(files, metrics, errors, structures)
+    joined = {c: F.array_join(c, ",") for c in ("kinds", "warnings", "elements")}
+    return got.withColumns(joined | {"lattice_xx": F.get(F.get("lattice", F.lit(0)), F.lit(0))}).drop("lattice")
 
 
 @query(

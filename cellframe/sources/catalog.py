@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import axis_label
+
 PATTERNS = ("*.csv", "*.log", "*.rmc6f", "Frac*.txt", "scale_ft.*", "stog_input.dat")
 #: Order in which a dashboard shows kinds.
 KIND_ORDER = ("r_value", "bragg", "xray_sq", "neutron_sq", "xpdf", "npdf", "pdf_partials", "stog")
@@ -55,16 +59,31 @@ def plottable(files: DataFrame) -> DataFrame:
 
 
 def labelled(files: DataFrame) -> DataFrame:
-    """Adds title, x_label, y_label and tag of each plottable file."""
-    kind, index = F.col("plot_kind"), pdf_index(F.col("name"))
-    last = F.element_at(F.split(stem(F.col("name")), "_"), -1)
+    """Adds title, x_label and y_label of each plottable file; first_label, if there is such a column, is the first label of its curve table."""
+    kind, name = F.col("plot_kind"), F.col("name")
+    last, gr = F.element_at(F.split(stem(name), "_"), -1), name.endswith(".gr")
+    first = F.col("first_label") if "first_label" in files.columns else F.lit(None).cast("string")
+    # fixed values
     title = (
-        F.when(kind == "xpdf", "X-ray PDF").when(kind == "npdf", F.concat(F.lit("Neutron PDF"), F.when(index.isin(0, 1), "").otherwise(F.concat(F.lit(" #"), index.cast("string")))))
-        .when(kind == "pdf_partials", "PDF partials").when(kind == "bragg", "Bragg").when(kind == "r_value", "R-value").when(kind == "stog", F.col("name")).otherwise(last)
+        F.when(kind == "xpdf", "xPDF").when(kind.isin("npdf", "pdf_partials"), last).when(kind == "xray_sq", "S(Q) (x-ray)")
+        .when(kind == "neutron_sq", "S(Q) (neutron)").when(kind == "bragg", "BRAGG").when(kind == "r_value", "R-value").otherwise(name)
     )
-    x = F.when(kind.isin("xpdf", "npdf", "pdf_partials"), "r (Å)").when(kind.isin("xray_sq", "neutron_sq"), "Q (Å^{-1})").when(kind == "r_value", "Time").when(kind == "bragg", "d (Å)").otherwise("x")
-    y = F.when(kind.isin("xpdf", "npdf", "pdf_partials"), "G(r)").when(kind == "xray_sq", "F(Q)").when(kind == "neutron_sq", "S(Q)").when(kind == "r_value", "log(χ)").when(kind == "bragg", "Intensity").otherwise("y")
-    return files.select("run_id", "name", "plot_kind", title.alias("title"), x.alias("x_label"), y.alias("y_label"), index.alias("pdf_index"))
+    x = (
+        F.when(kind == "r_value", "Time steps").when(kind.isin("xpdf", "npdf", "pdf_partials") | ((kind == "stog") & gr), "r (Å)")
+        .when(kind.isin("bragg", "stog"), "Q (Å^{-1})").otherwise(F.coalesce(axis_label(first), F.lit("x")))
+    )
+    y = F.when(kind == "r_value", "log(χ)").when((kind == "stog") & gr, "G(r)").when(kind == "stog", "S(Q)").otherwise("data")
+    return files.where(kind.isNotNull()).withColumns({"title": title, "x_label": x, "y_label": y})
+
+
+def union_distinct(*matches: DataFrame) -> DataFrame:
+    """The files that any of the pattern matches found, each path once."""
+    return reduce(DataFrame.unionByName, matches).dropDuplicates(["path"])
+
+
+def first_fraction_file(files: DataFrame) -> DataFrame:
+    """The first fractional table of each run, by name."""
+    return files.where(F.col("name").startswith("Frac") & F.col("name").endswith(".txt")).groupBy("run_id").agg(F.min("name").alias("name"))
 
 
 def first_structure_file(files: DataFrame) -> DataFrame:
@@ -74,5 +93,5 @@ def first_structure_file(files: DataFrame) -> DataFrame:
 
 def listing(files: DataFrame) -> DataFrame:
     """Adds position: directories first, then names without regard to case."""
-    order = Window.partitionBy("run_id").orderBy(F.col("is_directory").desc(), F.lower("name"), "name")
+    order = Window.partitionBy("run_id").orderBy(F.col("is_directory").desc(), F.lower("name"), "name", "path")
     return files.withColumn("position", F.row_number().over(order))

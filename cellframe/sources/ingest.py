@@ -79,9 +79,9 @@ def cell_metadata(lines: DataFrame) -> DataFrame:
     t = t.withColumn("next", F.array(*[F.lead("t", i).over(order) for i in (1, 2, 3)]))
     three = lambda x: F.transform(F.slice(x, -3, 3), to_double)
     head = F.get("t", F.lit(0))
-    sizes = t.where(head.startswith("Supercell") & (F.size("t") >= 4)).groupBy("path").agg(F.max_by(three(F.col("t")), "line_no").alias("supercell"))
+    sizes = t.where((head == "Supercell") & (F.size("t") >= 4)).groupBy("path").agg(F.max_by(three(F.col("t")), "line_no").alias("supercell"))
     vectors = F.transform("next", lambda r: F.transform(F.slice(r, 1, 3), to_double))
-    lattice = t.where(head.startswith("Lattice")).groupBy("path").agg(F.max_by(vectors, "line_no").alias("lattice"))
+    lattice = t.where((head == "Lattice")).groupBy("path").agg(F.max_by(vectors, "line_no").alias("lattice"))
     return sizes.join(lattice, "path")
 
 
@@ -99,13 +99,33 @@ def stog_inputs(lines: DataFrame, files: DataFrame) -> DataFrame:
     return named.join(files.select("run_id", "name", "path"), ["run_id", "name"])
 
 
+#: First data line of a kind of file.
+FIRST_LINE = {"csv": 1, "chi": 2, "stog": 2, "atoms": 0, "cell": 0, "frac": 5}
+
+
 def ingest_errors(lines: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(path, reason) of files of which the reader of their kind returns nothing. kinds: (path, kind)."""
-    readers = {"csv": csv_points, "chi": chi_rows, "stog": stog_points, "atoms": atoms, "cell": cell_metadata, "frac": frac_rows}
-    out = None
-    for kind, reader in readers.items():
-        own = kinds.where(F.col("kind") == kind).select("path")
-        read = reader(lines.join(own, "path", "left_semi")).select("path").distinct()
-        bad = own.join(read, "path", "left_anti").select("path", F.lit(f"no {kind} rows").alias("reason"))
-        out = bad if out is None else out.unionAll(bad)
-    return out
+    """(path, reason) of files that break the format of their kind. kinds: (path, kind).
+
+    All lines are read once, and every fault is counted in one aggregate over the files.  Logs and tables that merely
+    hold no rows are no errors, except for curves and plain tables, which need one.
+    """
+    kind = F.col("kind")
+    first = F.coalesce(*[F.when(kind == k, n) for k, n in FIRST_LINE.items()])
+    own = lines.join(kinds, "path").withColumn("t", F.when(kind == "csv", cells(F.col("line"))).otherwise(tokens(F.col("line"))))
+    data = (F.col("line_no") >= first) & (F.size("t") > F.when(kind == "chi", 1).otherwise(0))
+    # of a log only the last two tokens are numbers
+    numbers = F.when(kind == "chi", F.slice("t", -2, 2)).otherwise(F.col("t"))
+    odd = kind.isin("csv", "chi", "stog") & data & F.exists(numbers, lambda x: to_double(x).isNull())
+    head, width = F.get("t", F.lit(0)), F.when(data & kind.isin("csv", "stog"), F.size("t"))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    got = own.groupBy("path", "kind").agg(
+        any_(data).alias("rows"), any_(odd).alias("odd"), F.min(width).alias("lo"), F.max(width).alias("hi"), any_(F.trim("line") != "").alias("text"),
+        any_(head == "Atoms:").alias("atoms"), any_((head == "Supercell") & (F.size("t") >= 4)).alias("supercell"), any_(head == "Lattice").alias("lattice"),
+    )
+    reason = (
+        F.when(kind.isin("csv", "stog") & ~F.col("text"), "empty file").when(kind.isin("csv", "stog") & ~F.col("rows"), "no numeric rows").when(F.col("odd"), "not a number")
+        .when(F.col("lo") < F.col("hi"), "rows of different length").when((kind == "atoms") & ~F.col("atoms"), "no Atoms section")
+        .when((kind == "cell") & ~(F.col("supercell") & F.col("lattice")), "no lattice or supercell")
+    )
+    missing = kinds.join(lines.select("path").distinct(), "path", "left_anti").select("path", F.lit("empty file").alias("reason"))
+    return got.select("path", reason.alias("reason")).where("reason is not null").unionAll(missing)

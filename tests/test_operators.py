@@ -188,7 +188,45 @@ def test_ingest(spark, folder):
     assert len(cell) == 1 and list(cell[0].supercell) == [10.0] * 3 and cell[0].lattice[1][1] == 104.0
     assert [(r.rn, r.fx) for r in ingest.frac_rows(lines.where("path = 'Frac_x.txt'")).collect()] == [(4, 0.07507)]
     kinds = spark.createDataFrame([(f"{c}_FQ1.csv", "csv") for c in "ABCD"] + [("E-1.log", "chi"), ("F-1.log", "chi"), ("H.rmc6f", "atoms")], "path string, kind string")
-    assert sorted(r.path for r in ingest.ingest_errors(lines, kinds).collect()) == ["B_FQ1.csv", "C_FQ1.csv", "D_FQ1.csv", "F-1.log", "H.rmc6f"]
+    assert sorted(tuple(r) for r in ingest.ingest_errors(lines, kinds).collect()) == [
+        ("B_FQ1.csv", "rows of different length"), ("C_FQ1.csv", "empty file"), ("D_FQ1.csv", "no numeric rows"), ("F-1.log", "not a number"), ("H.rmc6f", "no Atoms section"),
+    ]
+    cell = spark.createDataFrame([("H.rmc6f", "cell"), ("G.rmc6f", "cell")], "path string, kind string")
+    assert [tuple(r) for r in ingest.ingest_errors(lines, cell).collect()] == [("H.rmc6f", "no lattice or supercell")]
+
+
+def test_titles_and_labels(spark):
+    names = ["G_FT_XFQ1.csv", "G_PDF2.csv", "G_PDFpartials.csv", "G_FQ1.csv", "G_SQ1.csv", "G_bragg.csv", "G-02.log", "scale_ft.gr", "scale_ft.sq"]
+    files = catalog.with_kind(spark.createDataFrame([(n, " Q " if "FQ1" in n else " x (A^-1)") for n in names], "name string, first_label string"))
+    got = {r.name: (r.title, r.x_label, r.y_label) for r in catalog.labelled(files).collect()}
+    assert [got[n] for n in names] == [
+        ("xPDF", "r (Å)", "data"), ("PDF2", "r (Å)", "data"), ("PDFpartials", "r (Å)", "data"), ("S(Q) (x-ray)", "Q (Å^{-1})", "data"), ("S(Q) (neutron)", "x (Å^{-1})", "data"),
+        ("BRAGG", "Q (Å^{-1})", "data"), ("R-value", "Time steps", "log(χ)"), ("scale_ft.gr", "r (Å)", "G(r)"), ("scale_ft.sq", "Q (Å^{-1})", "S(Q)"),
+    ]
+
+
+def test_payload_of_a_log(spark):
+    import json
+
+    steps = spark.createDataFrame([("a.log", 0, 1.0), ("a.log", 1, 0.0)], "run_id string, step long, chi_r double")
+    files = catalog.labelled(catalog.with_kind(spark.createDataFrame([("a.log", "a.log")], "path string, name string"))).withColumn("metrics", F.create_map(F.lit("final_chi_r"), F.lit(0.0)))
+    payloads = curves.plot_payload(files, curves.chi_series(steps))
+    got = json.loads(payloads.first().payload)
+    assert got["kind"] == "r_value" and got["metrics"] == {"final_chi_r": 0.0} and got["xLabel"] == "Time steps"
+    assert [s["label"] for s in got["series"]] == ["R"] and got["series"][0]["x"] == [0.0, 1.0] and got["series"][0]["y"] == pytest.approx([0.0, -27.631021])
+    assert curves.read_payload(payloads).first().r.title == "R-value"
+
+
+def test_quantiles_with_ties_and_one_value(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(0, float(x), 1.0, float(round(y, 1))) for x, y in zip(r.normal(size=500), r.normal(size=500))] + [(1, 5.0, 5.0, 5.0)]
+    got = {x.structure_id: x for x in density.quantile_limits(spark.createDataFrame(rows, "structure_id int, px double, py double, pz double"), bins=16).collect()}
+    own = np.array([x[1:] for x in rows[:-1]])
+    for k, a in enumerate("xyz"):
+        assert (got[0][f"{a}_lo"], got[0][f"{a}_hi"]) == pytest.approx(tuple(np.quantile(own[:, k], [0.01, 0.99])))
+        assert got[1][f"{a}_lo"] == got[1][f"{a}_hi"] == 5.0
 
 
 def test_scan_files(spark, folder):
