@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import staged
 from .density import KEYS, contour_levels
 
 #: Edges that a contour joins, by the case number: bit i is set if corner i is above the level.
@@ -26,6 +27,7 @@ def grid_squares(density: DataFrame) -> DataFrame:
 
 def contour_segments(density: DataFrame, n_levels: int = 8, grid_step=(1.0, 1.0), origin=(0.0, 0.0)) -> DataFrame:
     """Line segments KEYS, level_no, level, ix, iy, seg_no, x0, y0, x1, y1 of every level; x = origin + ix * step."""
+    density = staged(density)  # the grid is read for the levels and for the squares
     got = grid_squares(density).join(contour_levels(density, n_levels), list(KEYS))
     c, level = F.col, F.col("level")
     case = sum((F.when(c(f"v{i}") > level, 1 << i).otherwise(0) for i in range(4)), F.lit(0))

@@ -6,6 +6,8 @@ points: structure_id, element, px, py, pz (and seq for the seeded cap).  slabs:
 from __future__ import annotations
 
 import math
+from itertools import product
+from math import prod
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,6 +158,43 @@ def kde_self_3d(points: DataFrame, reach: float = REACH) -> DataFrame:
     return total.select(*keys, "point_id", (c("k") / (c("n") * F.sqrt(c("det") * (2 * math.pi) ** 3))).alias("density"))
 
 
+def kde_self_grid(points: DataFrame, step: float = 0.25, reach: float = 4.0) -> DataFrame:
+    """As kde_self_3d, by way of a grid: work and shuffles grow with the points and the occupied nodes, not with pairs.
+
+    Whitened by the Cholesky factor of its covariance, a group's kernel is the same along each axis, so it is summed
+    axis by axis.  Points are shared out linearly over the eight nodes around them (`step` bandwidths apart), the
+    nodes are smoothed along one axis after the other up to `reach` bandwidths, and a point reads its density from the
+    eight nodes around it, linearly too.  Either linear step errs by at most step^2 / 8 times a second derivative of
+    the kernel along each axis: 3 * step^2 / 4 of the kernel's peak in all, 4.7 % at the default; cutting off at
+    `reach` loses under 4e-4 of the peak.  The nodes of a group number about (extent / (step * bandwidth))^3 at most.  `reach` and `step` are parameters; nothing switches by size.
+    """
+    keys, c = ["structure_id", "element"], F.col
+    v = [("xx", "px", "px"), ("xy", "px", "py"), ("xz", "px", "pz"), ("yy", "py", "py"), ("yz", "py", "pz"), ("zz", "pz", "pz")]
+    m = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(a, b).alias(f"m{k}") for k, a, b in v], *[F.avg(f"p{a}").alias(f"a{a}") for a in "xyz"])
+    factor = F.pow(c("n").cast("double"), F.lit(-2.0 / 7.0))
+    m = m.where("n >= 5").select(*keys, "n", "ax", "ay", "az", *[(c(f"m{k}") * factor).alias(k) for k, _, _ in v]).where("xx > 0")
+    # covariance = L L', L lower triangular
+    m = m.withColumn("l1", F.sqrt("xx")).withColumns({"l2": c("xy") / c("l1"), "l4": c("xz") / c("l1")}).withColumn("s3", c("yy") - c("l2") * c("l2")).where("s3 > 0")
+    m = m.withColumn("l3", F.sqrt("s3")).withColumn("l5", (c("yz") - c("l4") * c("l2")) / c("l3")).withColumn("s6", c("zz") - c("l4") * c("l4") - c("l5") * c("l5")).where("s6 > 0")
+    m = m.withColumn("l6", F.sqrt("s6")).select(*keys, "n", "ax", "ay", "az", "l1", "l2", "l3", "l4", "l5", "l6")
+    pts = points.join(m, keys).withColumn("wx", (c("px") - c("ax")) / c("l1")).withColumn("wy", (c("py") - c("ay") - c("l2") * c("wx")) / c("l3"))
+    pts = pts.withColumn("wz", (c("pz") - c("az") - c("l4") * c("wx") - c("l5") * c("wy")) / c("l6"))
+    pts = pts.select(*keys, "point_id", *[F.floor(c(f"w{a}") / step).cast("int").alias(f"b{a}") for a in "xyz"], *[(c(f"w{a}") / step - F.floor(c(f"w{a}") / step)).alias(f"f{a}") for a in "xyz"])
+    corner = F.explode(F.array(*[F.struct(*[(c(f"b{a}") + o).alias(f"g{a}") for a, o in zip("xyz", at)], prod([c(f"f{a}") if o else 1 - c(f"f{a}") for a, o in zip("xyz", at)]).alias("s"))
+                                 for at in product((0, 1), repeat=3)]))
+    near = pts.select(*keys, "point_id", corner.alias("q")).select(*keys, "point_id", "q.*")
+    grid = near.groupBy(*keys, "gx", "gy", "gz").agg(F.sum("s").alias("w"))
+    far = int(math.ceil(reach / step))
+    kernel = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(math.exp(-0.5 * (i * step) ** 2)).alias("e")) for i in range(-far, far + 1)])
+    for a in "xyz":
+        spread = grid.select(*keys, *[f"g{b}" for b in "xyz" if b != a], c(f"g{a}").alias("g"), "w", F.explode(kernel).alias("k"))
+        spread = spread.select(*keys, *[f"g{b}" for b in "xyz" if b != a], (c("g") + c("k.i")).alias(f"g{a}"), (c("w") * c("k.e")).alias("w"))
+        # only nodes that a point lies next to along this axis are read in the end
+        grid = spread.join(near.select(*keys, f"g{a}").distinct(), [*keys, f"g{a}"], "left_semi").groupBy(*keys, "gx", "gy", "gz").agg(F.sum("w").alias("w"))
+    got = near.join(grid, [*keys, "gx", "gy", "gz"]).groupBy(*keys, "point_id").agg(F.sum(c("s") * c("w")).alias("k")).join(m, keys)
+    return got.select(*keys, "point_id", (c("k") / (c("n") * c("l1") * c("l3") * c("l6") * (2 * math.pi) ** 1.5)).alias("density"))
+
+
 def _bin(x, lo, hi, n):
     """Bin of x among n from lo to hi; the last one holds its upper edge."""
     return F.least(F.floor((x - lo) * n / F.when(hi > lo, hi - lo).otherwise(1.0)).cast("int"), F.lit(n - 1))

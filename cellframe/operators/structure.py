@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import floor_mod
+from ..functions.storage import ranked
 
 AXES = ("x", "y", "z")
 
@@ -105,13 +106,15 @@ def site_sample(atoms: DataFrame, max_points: int = 12_000) -> DataFrame:
     Adds sample_no and stride (total // max_points, 1 at least).
     """
     max_points = min(75_000, max(100, max_points))
-    by_site = Window.partitionBy("structure_id", "reference_number")
-    counts = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("total"), F.count_distinct("reference_number").alias("n_sites"))
-    got = atoms.join(counts, "structure_id").withColumns({"k": F.row_number().over(by_site.orderBy("seq")) - 1, "c": F.count(F.lit(1)).over(by_site)})
+    by_site = atoms.groupBy("structure_id", "reference_number").agg(F.count(F.lit(1)).alias("c"))
+    # over sites, not atoms
+    of_all = by_site.groupBy("structure_id").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n_sites"))
     quota = F.greatest(F.lit(1), F.expr(f"{max_points} div n_sites"))
-    got = got.withColumn("quota", quota).withColumn("step", F.greatest(F.lit(1), F.expr("c div quota")))
+    site = by_site.join(of_all, "structure_id").withColumn("quota", quota).withColumn("step", F.greatest(F.lit(1), F.expr("c div quota")))
+    got = ranked(atoms, ["structure_id", "reference_number"], ["seq"], k=["structure_id", "reference_number"]).join(site, ["structure_id", "reference_number"])
     small = F.col("total") <= max_points
     got = got.where(small | ((F.col("k") % F.col("step") == 0) & (F.expr("k div step") < F.col("quota"))))
+    # at most max_points and a site's quota more of a structure
     order = Window.partitionBy("structure_id").orderBy("reference_number", "seq")
     got = got.withColumn("sample_no", F.row_number().over(order)).where(small | (F.col("sample_no") <= max_points))
     return got.withColumn("stride", F.greatest(F.lit(1), F.expr(f"total div {max_points}"))).drop("k", "c", "quota", "step", "total", "n_sites")
@@ -120,7 +123,7 @@ def site_sample(atoms: DataFrame, max_points: int = 12_000) -> DataFrame:
 def stride_sample(atoms: DataFrame, target: int = 9_000) -> DataFrame:
     """Every stride-th atom of a structure; stride = max(1, n // min(n, target))."""
     counts = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"))
-    got = atoms.join(counts, "structure_id").withColumn("k", F.row_number().over(Window.partitionBy("structure_id").orderBy("seq")) - 1)
+    got = ranked(atoms, ["structure_id"], ["seq"], k=["structure_id"]).join(counts, "structure_id")
     return got.where(F.col("k") % F.greatest(F.lit(1), F.expr(f"n div least(n, {target})")) == 0).drop("n", "k")
 
 

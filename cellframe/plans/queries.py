@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expressions import axis_label
+from ..functions.storage import shared_folder
 from ..operators import contours, curves, density, structure
 from ..sources import catalog, ingest
+from ..streaming import monitor
 from . import adapters as A
 from .adapters import ctes
 
@@ -465,6 +466,19 @@ def kde_self_3d(spark, d):
     return density.kde_self_3d(pts).withColumn("density", _r("density", 7))
 
 
+def kde_self_grid(spark, d):
+    """Density at every atom, over all atoms; no SQL, as all pairs of atoms are too many: tests hold it against brute force."""
+    points = A.points(spark, d)
+    one = points.select("structure_id", "element", *[_r(f"p{a}").alias(f"p{a}") for a in "xyz"]).groupBy("structure_id", "element", "px", "py", "pz").agg(F.count(F.lit(1)).alias("n_atoms"))
+    ids = one.withColumn("point_id", F.struct("px", "py", "pz"))
+    each = ids.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_atoms"))))
+    got = density.kde_self_grid(each.select("structure_id", "element", "point_id", "px", "py", "pz"))
+    return got.select("structure_id", "element", "point_id.*", _r(F.col("density") / 1.0, 7).alias("density"))
+
+
+QUERIES["kde_self_grid"] = kde_self_grid
+
+
 @query(
     ctes("points") + """, p as (select structure_id, round(pz, 6) as z from points), e as (select structure_id, min(z) as lo, max(z) as hi, count(*) as total from p group by 1),
 c as (select structure_id, least(floor((z - lo) * 150 / (hi - lo))::int, 149) as bin, count(*) as n from p join e using (structure_id) group by 1, 2)
@@ -636,3 +650,17 @@ def extents(spark, d):
     slab = structure.slabs_in_length(spark.createDataFrame([(0, 0.5, 0.05)], "slab_id int, z_center double, dz double"), A.cells(spark))
     got = structure.extents(A.cells(spark)).join(n, "structure_id").join(slab.select("structure_id", "dz"), "structure_id")
     return got.select("structure_id", "n_atoms", *[_r(c).alias(c) for c in ("x_edge", "y_edge", "x_largest", "y_largest", "dz")])
+
+
+@query("select 'u' || user_id as run_id, arg_max(value, event_id) as final_chi, min(value) as best_chi, count(*) as n_steps from events group by user_id")
+def chi_monitor(spark, d):
+    """The live monitor, run as a stream over the events until all that has landed is read."""
+    folder = shared_folder(spark)
+    landed = spark.read.parquet(f"{d}/events.parquet").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_id").cast("long").alias("step"), (F.col("value") / 2).alias("chi_q"), F.col("value").alias("chi_r")
+    )
+    landed.write.parquet(f"{folder}/in")
+    sink = lambda frame, epoch: frame.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/epoch_no={epoch}")
+    monitor.start(monitor.read_chunks(spark, f"{folder}/in"), sink, f"{folder}/checkpoint").awaitTermination()
+    newest = F.max_by(F.struct("final_chi", "best_chi", "n_steps"), "epoch").alias("m")
+    return spark.read.parquet(f"{folder}/out").groupBy("run_id").agg(newest).select("run_id", "m.*")

@@ -277,3 +277,39 @@ def test_entry_imports():
 
     assert {"rwp", "kde_slice"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert os.path.exists(e.__file__)
+
+
+def test_self_density_on_a_grid_comes_near_the_exact_one(spark, sf_dir):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [(0, "Ga", i, *map(float, x)) for i, x in enumerate(r.multivariate_normal([1, 2, 3], [[2, 0.8, 0.1], [0.8, 1, 0.2], [0.1, 0.2, 3]], 150))] + [(0, "Nb", i, 1.0, 1.0, 1.0) for i in range(9)]
+    points = spark.createDataFrame(rows, "structure_id int, element string, point_id int, px double, py double, pz double")
+    got = {x.point_id: x.density for x in density.kde_self_grid(points, step=0.125, reach=5.0).collect()}
+    want = {x.point_id: x.density for x in density.kde_self_3d(points).collect()}
+    assert len(got) == len(want) == 150
+    p = np.array([x[3:] for x in rows[:150]])
+    s = np.cov(p.T) * 150 ** (-2 / 7)
+    peak = 1 / (150 * np.sqrt(np.linalg.det(s) * (2 * np.pi) ** 3))
+    assert all(abs(got[k] - want[k]) < 0.0125 * max(want.values()) + 0.012 * peak for k in want)
+    brute = [np.sum(np.exp(-0.5 * np.einsum("ij,jk,ik->i", p - x, np.linalg.inv(s), p - x))) * peak for x in p]
+    assert [want[k] for k in range(150)] == pytest.approx(brute)
+    everything = adapters.points(spark, sf_dir).groupBy("structure_id", "element").count().count()
+    from cellframe.plans import queries
+
+    assert queries.kde_self_grid(spark, sf_dir).select("structure_id", "element").distinct().count() == everything
+
+
+def test_row_numbers_without_a_window(spark):
+    from cellframe.functions.storage import ranked
+
+    r = random.Random(1)
+    rows = [(int(r.random() < 0.9), r.randrange(5), i) for i in range(3000)]
+    r.shuffle(rows)
+    got = ranked(spark.createDataFrame(rows, "g int, s int, i int").repartition(7), ["g", "s"], ["i"], k=["g", "s"], of_g=["g"]).collect()
+    want, seen = {}, {}
+    for g, s, i in sorted(rows):
+        want[i] = (seen.setdefault((g, s), 0), seen.setdefault(g, 0))
+        seen[g, s] += 1
+        seen[g] += 1
+    assert len(got) == 3000 and all((x.k, x.of_g) == want[x.i] for x in got)
