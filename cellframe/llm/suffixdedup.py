@@ -35,6 +35,8 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of segments a shard holds about; anchors a counting bucket holds about; share of all texts of a common anchor.
 SHARD = 3_000_000
+#: Bytes of spread segments, and so windows at most, whose fingerprints are merged in one task.
+PART = 200_000
 BUCKET = 1_000_000
 COMMON, SLICE_SHARE, SLICE_LEAST = 0.002, 0.004, 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
@@ -353,8 +355,9 @@ def _as_spans(segment, offset, places):
     return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
 
 
-def repeated_spans(cut: DataFrame, length: int) -> DataFrame:
-    """(class, first, last): runs of starts of windows that stand elsewhere too."""
+def repeated_spans(cut: DataFrame, wide_bytes: int, length: int) -> DataFrame:
+    """(class, first, last): runs of starts of windows that stand elsewhere too; wide_bytes: of the segments that are spread."""
+    parts = max(1, math.ceil(wide_bytes / PART))
     plain, spread = cut.where("not spread"), cut.where("spread")
 
     def within(key, tab):
@@ -365,60 +368,59 @@ def repeated_spans(cut: DataFrame, length: int) -> DataFrame:
         return pa.table(dict(zip(("class", "first", "last"), rows)))
 
     def prints(key, tab):
-        """Each place of each distinct window as (a, b) fingerprints: sorted runs for the merge."""
+        """Each place of each distinct window as (a, b) fingerprints, packed by part; part -1 has the spans found."""
         import pyarrow as pa
 
         data, begin, places, window, segment, twice, p = spans_of(tab, length, True)
         group, _, _, one, a, b, _, _ = p
         at = np.searchsorted(group[one], group)
         offset = window - begin[segment]
-        known = twice.copy()
         # a window that repeats here goes on once, to tell the other shards; one that does not, with its places
         head = np.zeros(len(window), dtype=bool)
         head[one] = True
-        send = head | ~known
-        rows = _as_spans(segment[known], offset[known], places)
-        w = np.flatnonzero(send)
-        own = np.array([places[s][0][0] for s in segment[w]], dtype=np.int64) if len(w) else np.zeros(0, np.int64)
-        start = np.array([places[s][1][0] for s in segment[w]], dtype=np.int64) + offset[w] if len(w) else np.zeros(0, np.int64)
-        n = len(rows[0])
-        zeros = np.zeros(n, np.int64)
-        return pa.table(
-            {
-                "class": np.concatenate([rows[0], own]), "first": np.concatenate([rows[1], start]), "last": np.concatenate([rows[2], start]),
-                "a": np.concatenate([zeros, a[at[w]].view(np.int64)]), "b": np.concatenate([zeros, b[at[w]].view(np.int64)]),
-                "kind": np.concatenate([np.zeros(n, np.int8), np.where(known[w], 2, 1).astype(np.int8)]),
-            }
-        )
+        w = np.flatnonzero(head | ~twice)
+        own, first = (np.array([places[s][k][0] for s in segment[w]], dtype=np.int64) for k in (0, 1))
+        part = (a[at[w]] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        sent = [x[order] for x in (own, first + offset[w], a[at[w]].view(np.int64), b[at[w]].view(np.int64), twice[w].astype(np.int64))]
+        cuts, n = _runs(part[order])
+        rows = [(-1, *(x.tobytes() for x in _as_spans(segment[twice], offset[twice], places)), b"", b"")]
+        rows += [(int(part[order][i]), *(x[i : i + c].tobytes() for x in sent)) for i, c in zip(cuts, n)]
+        kinds = (pa.int64(), *[pa.binary()] * 5)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "c0", "c1", "c2", "c3", "c4"])
+
+    def columns(tab, n):
+        return [np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in tab.column(f"c{k}")]) for k in range(n)]
 
     def merge(key, tab):
         """Binary search of every fingerprint in the sorted run of all: one that stands twice is in two shards."""
         import pyarrow as pa
 
-        a, b = np.asarray(tab.column("a")), np.asarray(tab.column("b"))
+        if key[0].as_py() < 0:
+            return pa.table(dict(zip(("class", "first", "last"), columns(tab, 3))))
+        own, first, a, b, known = columns(tab, 5)
         order = np.lexsort((b, a))
         sa, sb = a[order], b[order]
         low, high = np.searchsorted(sa, sa, side="left"), np.searchsorted(sa, sa, side="right")
         # equal first halves are told apart by the second, in order too
         near = np.append(False, (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1]))
         near[:-1] |= near[1:].copy()
-        ok = (high - low > 1) & near
-        at = order[ok]
-        at = at[np.asarray(tab.column("kind"))[at] == 1]
-        return pa.table({c: np.asarray(tab.column(c))[at] for c in ("class", "first", "last")})
+        at = order[(high - low > 1) & near]
+        at = at[known[at] == 0]
+        return pa.table({"class": own[at], "first": first[at], "last": first[at]})
 
     found = plain.groupBy("shard").applyInArrow(lambda key, tab: within(key, tab), SPANS)
-    if not spread.head(1):
+    if not wide_bytes:
         return found
-    runs = staged(spread.groupBy("shard").applyInArrow(lambda key, tab: prints(key, tab), f"{SPANS}, a long, b long, kind byte"), "prints")
-    parts = max(1, math.ceil(runs.count() / 200_000))
-    # a fingerprint stands once a shard at most, so a group holds at most as many rows of one as there are shards
-    merged = runs.where("kind > 0").withColumn("part", F.pmod("a", F.lit(parts))).groupBy("part").applyInArrow(lambda key, tab: merge(key, tab), SPANS)
-    return found.unionAll(runs.where("kind = 0").select("class", "first", "last")).unionAll(merged)
+    runs = staged(spread.groupBy("shard").applyInArrow(lambda key, tab: prints(key, tab), "part long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"), "prints")
+    # a fingerprint stands once a shard at most, so a part holds at most as many rows of one as there are shards;
+    # the shards' own spans, which have no part, are dealt to as many tasks
+    dealt = runs.withColumn("salt", F.when(F.col("part") < 0, F.pmod(F.xxhash64("c0", "c1"), F.lit(parts))).otherwise(F.lit(0)))
+    return found.unionAll(dealt.groupBy("part", "salt").applyInArrow(lambda key, tab: merge(key, tab), SPANS))
 
 
-def dealt_evenly(cut: DataFrame) -> DataFrame:
-    """Segments with their final shards of about SHARD bytes.
+def dealt_evenly(cut: DataFrame) -> tuple[DataFrame, int]:
+    """(segments with their final shards of about SHARD bytes, bytes of those that are spread).
 
     A fine shard of more than twice that (one anchor that very many texts hold, though not enough to be common) is
     spread like the common anchors: its rows go to any shard, and fingerprints are merged across shards.
@@ -428,7 +430,7 @@ def dealt_evenly(cut: DataFrame) -> DataFrame:
     cut = cut.join(heavy, F.col("shard") == F.col("_heavy"), "left").withColumn("spread", F.col("spread") | F.col("_heavy").isNotNull()).drop("_heavy")
     size = {r.spread: r.b for r in cut.groupBy("spread").agg(F.sum("n_bytes").alias("b")).collect()}
     plain, wide = (max(1, math.ceil(size.get(k, 0) / SHARD)) for k in (False, True))
-    return cut.withColumn("shard", F.when(F.col("spread"), F.pmod(F.xxhash64("owners", "places"), F.lit(wide))).otherwise(F.col("shard") % plain))
+    return cut.withColumn("shard", F.when(F.col("spread"), F.pmod(F.xxhash64("owners", "places"), F.lit(wide))).otherwise(F.col("shard") % plain)), size.get(True, 0)
 
 
 def cut_texts(reps: DataFrame, length: int) -> DataFrame:
@@ -440,7 +442,7 @@ def cut_texts(reps: DataFrame, length: int) -> DataFrame:
     anchors = staged(repeated_anchors(dealt, common, max(1, math.ceil(total / 150 / BUCKET))), "repeated").withColumnRenamed("class", "class_")
     joined = reps.join(anchors, F.col("class") == F.col("class_"), "left" if len(common.value) else "inner").select("class", "text", "anchors")
     cut = staged(segments(joined, common, max(1, math.ceil(total / 1_000_000)), length), "segments")
-    spans = repeated_spans(dealt_evenly(cut), length)
+    spans = repeated_spans(*dealt_evenly(cut), length)
     merged = spans.groupBy("class").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
     merged = staged(merged.withColumnRenamed("class", "class_"), "spans")
 
