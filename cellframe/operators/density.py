@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import interior_levels
+from ..functions.storage import staged
 
 KEYS = ("structure_id", "element", "slab_id")
 #: Fewer atoms than this in a slab give the density 0 everywhere.
@@ -182,7 +183,7 @@ def kde_self_grid(points: DataFrame, step: float = 0.25, reach: float = 4.0) ->
     pts = pts.select(*keys, "point_id", *[F.floor(c(f"w{a}") / step).cast("int").alias(f"b{a}") for a in "xyz"], *[(c(f"w{a}") / step - F.floor(c(f"w{a}") / step)).alias(f"f{a}") for a in "xyz"])
     corner = F.explode(F.array(*[F.struct(*[(c(f"b{a}") + o).alias(f"g{a}") for a, o in zip("xyz", at)], prod([c(f"f{a}") if o else 1 - c(f"f{a}") for a, o in zip("xyz", at)]).alias("s"))
                                  for at in product((0, 1), repeat=3)]))
-    near = pts.select(*keys, "point_id", corner.alias("q")).select(*keys, "point_id", "q.*")
+    near = staged(pts.select(*keys, "point_id", corner.alias("q")).select(*keys, "point_id", "q.*"))  # read five times
     grid = near.groupBy(*keys, "gx", "gy", "gz").agg(F.sum("s").alias("w"))
     far = int(math.ceil(reach / step))
     kernel = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(math.exp(-0.5 * (i * step) ** 2)).alias("e")) for i in range(-far, far + 1)])

@@ -467,13 +467,16 @@ def kde_self_3d(spark, d):
 
 
 def kde_self_grid(spark, d):
-    """Density at every atom, over all atoms; no SQL, as all pairs of atoms are too many: tests hold it against brute force."""
+    """Density at every place of an atom, from all atoms, on nodes 0.4 bandwidths apart; no SQL, as all pairs of atoms are too many.
+
+    Tests hold the operator against brute force.
+    """
     points = A.points(spark, d)
     one = points.select("structure_id", "element", *[_r(f"p{a}").alias(f"p{a}") for a in "xyz"]).groupBy("structure_id", "element", "px", "py", "pz").agg(F.count(F.lit(1)).alias("n_atoms"))
     ids = one.withColumn("point_id", F.struct("px", "py", "pz"))
     each = ids.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_atoms"))))
-    got = density.kde_self_grid(each.select("structure_id", "element", "point_id", "px", "py", "pz"))
-    return got.select("structure_id", "element", "point_id.*", _r(F.col("density") / 1.0, 7).alias("density"))
+    got = density.kde_self_grid(each.select("structure_id", "element", "point_id", "px", "py", "pz"), step=0.4, reach=3.5)
+    return got.select("structure_id", "element", "point_id.*", _r("density", 7).alias("density"))
 
 
 QUERIES["kde_self_grid"] = kde_self_grid
