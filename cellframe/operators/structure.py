@@ -165,10 +165,9 @@ def axis_ranges(folded: DataFrame) -> DataFrame:
 
 def extents(cells: DataFrame) -> DataFrame:
     """Plot limits along x and y: by the cell's edges, and by the largest component of each of its vectors."""
-    got = cell_lengths(cells).select("structure_id", "cell_lengths").join(cells, "structure_id")
-    edge = lambda i: F.get("cell_lengths", F.lit(i))
+    edge = lambda i: _norm(_vector(i))
     largest = lambda i: F.array_max(_vector(i))
-    return got.select("structure_id", edge(0).alias("x_edge"), edge(1).alias("y_edge"), largest(0).alias("x_largest"), largest(1).alias("y_largest"))
+    return cells.select("structure_id", edge(0).alias("x_edge"), edge(1).alias("y_edge"), largest(0).alias("x_largest"), largest(1).alias("y_largest"))
 
 
 def slabs_in_length(slabs: DataFrame, cells: DataFrame) -> DataFrame:

@@ -56,6 +56,24 @@ def cells(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "structure_id int, supercell array<double>, lattice array<array<double>>")
 
 
+def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One structure per part: box vectors and supercell from its price, size and number."""
+    c = F.col
+    price, size = c("p_retailprice") / 10, c("p_size").cast("double")
+    rest = lambda name, n: (c(name) % n).cast("double")
+    none = F.lit(0.0)
+    return _table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("structure_id"),
+        F.array(8.0 + rest("p_partkey", 5), F.lit(10.0), 8.0 + rest("p_size", 3)).alias("supercell"),
+        F.array(F.array(price, rest("p_partkey", 7), none), F.array(rest("p_partkey", 11) - 5.0, price + size, none), F.array(none, rest("p_size", 9), 100.0 + size)).alias("lattice"),
+    )
+
+
+def part_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many atoms each structure of part_cells has: its order lines."""
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("structure_id")).agg(F.count(F.lit(1)).alias("n_atoms"))
+
+
 def slabs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SLABS, "slab_id int, z_center double, dz double")
 
@@ -108,6 +126,9 @@ SQL = {
     "cells": "cells as (select * from (values "
     + ", ".join(f"({i}, [10.0::double, 10.0, 10.0], {[[f'{x}::double' for x in v] for v in LATTICES.get(i, LATTICES[0])]})".replace("'", "") for i in range(4))
     + ") c(structure_id, supercell, lattice))",
+    "part_cells": """part_cells as (select p_partkey as structure_id, coalesce(n, 0)::bigint as n_atoms, [list_transform([price, p_partkey % 7, 0.0], lambda x: x::double / (8 + p_partkey % 5)::double),
+  list_transform([p_partkey % 11 - 5, price + p_size, 0.0], lambda x: x::double / 10.0::double), list_transform([0.0, p_size % 9, 100.0::double + p_size], lambda x: x::double / (8 + p_size % 3)::double)] as v
+  from (select *, p_retailprice / 10::double as price from part) p left join (select l_partkey, count(*) as n from lineitem group by 1) on p_partkey = l_partkey)""",
     "folded": """folded as (select atoms.*, cx * 10.0::double - floor(cx * 10.0::double) as ux, cy * 10.0::double - floor(cy * 10.0::double) as uy, cz * 10.0::double - floor(cz * 10.0::double) as uz from atoms)""",
     "points": """points as (select f.*, ux * (lattice[1][1] / 10) + uy * (lattice[2][1] / 10) + uz * (lattice[3][1] / 10) as px,
   ux * (lattice[1][2] / 10) + uy * (lattice[2][2] / 10) + uz * (lattice[3][2] / 10) as py,

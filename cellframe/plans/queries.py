@@ -233,12 +233,12 @@ def _keys():
 
 
 @query(
-    ctes("cells", "atoms") + """, l as (select structure_id, [sqrt(list_sum(list_transform(lattice[i], lambda v: (v / 10) * (v / 10)))) for i in [1, 2, 3]] as e from cells)
+    ctes("part_cells") + """, l as (select structure_id, n_atoms, [sqrt(list_sum(list_transform(x, lambda y: y * y))) for x in v] as e from part_cells)
 select structure_id, n_atoms, round(e[1], 6) as a, round(e[2], 6) as b, round(e[3], 6) as c, round(e[1] / greatest(list_max(e), 1e-9), 6) as rel_a, round(e[2] / greatest(list_max(e), 1e-9), 6) as rel_b,
-  round(e[1] / e[2], 6) as aspect from l join (select structure_id, count(*) as n_atoms from atoms group by 1) using (structure_id)"""
+  round(e[1] / e[2], 6) as aspect from l"""
 )
 def cell_lengths(spark, d):
-    got = structure.cell_lengths(A.cells(spark)).join(A.atoms(spark, d).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms")), "structure_id")
+    got = structure.cell_lengths(A.part_cells(spark, d)).join(A.part_atoms(spark, d), "structure_id", "left").fillna(0, "n_atoms")
     at = lambda c, i: _r(F.get(c, F.lit(i)))
     return got.select("structure_id", "n_atoms", at("cell_lengths", 0).alias("a"), at("cell_lengths", 1).alias("b"), at("cell_lengths", 2).alias("c"), at("relative", 0).alias("rel_a"), at("relative", 1).alias("rel_b"), _r("aspect").alias("aspect"))
 
@@ -643,15 +643,14 @@ def run_summary(spark, d):
 
 
 @query(
-    ctes("cells", "atoms") + """, v as (select structure_id, [list_transform(lattice[1], lambda v: v / 10), list_transform(lattice[2], lambda v: v / 10), list_transform(lattice[3], lambda v: v / 10)] as v from cells)
-select structure_id, n_atoms, round(sqrt(list_sum(list_transform(v[1], lambda a: a * a))), 6) as x_edge, round(sqrt(list_sum(list_transform(v[2], lambda a: a * a))), 6) as y_edge,
+    ctes("part_cells") + """select structure_id, n_atoms, round(sqrt(list_sum(list_transform(v[1], lambda a: a * a))), 6) as x_edge, round(sqrt(list_sum(list_transform(v[2], lambda a: a * a))), 6) as y_edge,
   round(list_max(v[1]), 6) as x_largest, round(list_max(v[2]), 6) as y_largest, round(0.05 * sqrt(list_sum(list_transform(v[3], lambda a: a * a))), 6) as dz
-from v join (select structure_id, count(*) as n_atoms from atoms group by 1) using (structure_id)"""
+from part_cells"""
 )
 def extents(spark, d):
-    n = A.atoms(spark, d).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms"))
-    slab = structure.slabs_in_length(spark.createDataFrame([(0, 0.5, 0.05)], "slab_id int, z_center double, dz double"), A.cells(spark))
-    got = structure.extents(A.cells(spark)).join(n, "structure_id").join(slab.select("structure_id", "dz"), "structure_id")
+    cells = A.part_cells(spark, d)
+    slab = structure.slabs_in_length(spark.createDataFrame([(0, 0.5, 0.05)], "slab_id int, z_center double, dz double"), cells)
+    got = structure.extents(cells).join(slab.select("structure_id", "dz"), "structure_id").join(A.part_atoms(spark, d), "structure_id", "left").fillna(0, "n_atoms")
     return got.select("structure_id", "n_atoms", *[_r(c).alias(c) for c in ("x_edge", "y_edge", "x_largest", "y_largest", "dz")])
 
 

@@ -313,3 +313,12 @@ def test_row_numbers_without_a_window(spark):
         seen[g, s] += 1
         seen[g] += 1
     assert len(got) == 3000 and all((x.k, x.of_g) == want[x.i] for x in got)
+
+
+def test_cell_edges_and_extents_by_hand(spark):
+    cells = spark.createDataFrame([(1, [2.0, 10.0, 5.0], [[6.0, 8.0, 0.0], [-30.0, 40.0, 0.0], [0.0, 0.0, 60.0]])], "structure_id int, supercell array<double>, lattice array<array<double>>")
+    got = structure.cell_lengths(cells).first()
+    assert got.cell_lengths == pytest.approx([5.0, 5.0, 12.0]) and got.relative == pytest.approx([5 / 12, 5 / 12, 1.0]) and got.aspect == pytest.approx(1.0)
+    assert tuple(structure.extents(cells).first()) == pytest.approx((1, 5.0, 5.0, 4.0, 4.0))
+    slab = structure.slabs_in_length(spark.createDataFrame([(7, 0.5, 0.25)], "slab_id int, z_center double, dz double"), cells).first()
+    assert tuple(slab) == pytest.approx((1, 7, 6.0, 3.0))
