@@ -1,5 +1,6 @@
 """Known answers, edge cases and properties of the operators."""
 
+import hashlib
 import math
 import os
 import random
@@ -322,3 +323,16 @@ def test_cell_edges_and_extents_by_hand(spark):
     assert tuple(structure.extents(cells).first()) == pytest.approx((1, 5.0, 5.0, 4.0, 4.0))
     slab = structure.slabs_in_length(spark.createDataFrame([(7, 0.5, 0.25)], "slab_id int, z_center double, dz double"), cells).first()
     assert tuple(slab) == pytest.approx((1, 7, 6.0, 3.0))
+
+
+@pytest.mark.parametrize("cap", [0, 1, 40, 5000])
+def test_fit_sample_takes_the_smallest_digests(spark, cap):
+    rows = [(k % 3 or None, "Nb", k % 2, None if k % 97 == 0 else f"a{k % 700}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "structure_id int, element string, slab_id int, seq_key string")
+    groups = {}
+    for s, _, slab, key in rows:
+        groups.setdefault((s, slab), []).append((key is not None, key and hashlib.md5(f"5:{key}".encode()).hexdigest(), key))
+    want = sorted((repr(g), n + 1, repr(x[2])) for g, v in groups.items() for n, x in enumerate(sorted(v, key=lambda x: (x[0], x[1] or "", x[2] or ""))[:cap]))
+    got = density.fit_sample(df, cap, 5)
+    assert got.columns == [*df.columns, "fit_no"]
+    assert sorted((repr((r.structure_id, r.slab_id)), r.fit_no, repr(r.seq_key)) for r in got.collect()) == want
