@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedjoin, html, jaccard, langid, mixing, quality, suffixdedup, tokenfiles, tokens, urls
+from . import decontaminate, embedjoin, html, jaccard, langid, mixing, prefixtrie, quality, suffixdedup, tokenfiles, tokens, urls
 
 _OPS = {
     "op1_url_filters": urls,
@@ -16,6 +16,7 @@ _OPS = {
     "op9_language_id": langid,
     "op10_decontamination": decontaminate,
     "op11_embedding_near_dedup": embedjoin,
+    "op12_conversation_trie": prefixtrie,
 }
 
 
