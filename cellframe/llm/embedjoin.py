@@ -3,7 +3,7 @@
 1. Vectors become classes of equal (label, direction as stored); a class has one copy of its vector and a count.
 2. Principal axes from the scatter of all classes, summed by Spark; the leading ones carry a grid whose cells are as
    wide as the largest distance of a link.  Classes are sorted by label and grid cell, coordinate after coordinate
-   (the epsilon grid order), and cut into blocks of consecutive ones of one label.
+   (the epsilon grid order), and cut into blocks of consecutive ones of one label, equally many in each.
 3. A block is joined with itself where it is made.  Block pairs come from a recursion over intervals of the order:
    a pair of intervals whose boxes on the leading axes are farther apart than a link is dropped, others are split in
    FAN parts a side.  Within a pair of blocks the recursion goes on down to LEAF vectors, with balls about the centres
@@ -22,15 +22,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import ranked
 from .common import give_back, small_side, staged, table
 from .jaccard import connected
 
 LEAST = 0.98
 #: Leading principal axes with a grid; classes of a block, by bytes of its vectors; vectors of a leaf; parts of a split.
-AXES, BLOCK_BYTES, LEAF, FAN = 8, 1 << 21, 64, 16
+AXES, BLOCK_BYTES, LEAF, FAN = 8, 1 << 20, 64, 16
 #: Lengths of vectors that get principal axes: the most common ones; others take their first coordinates.
 LENGTHS = 8
 #: Bounds are widened by this, far above rounding; cosines this near the bound are summed exactly.
@@ -233,50 +234,38 @@ def blocks_of(classes: DataFrame, axes: dict[int, np.ndarray], least: float) ->
                 cell[at] = np.floor(on_axes(units(np.frombuffer(b"".join(raw[i] for i in at)).reshape(-1, b // 8)), axes) / eps)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), *(pa.array(cell[:, k]) for k in range(AXES))], names=[*batch.schema.names, "bytes", *cells])
 
-    def cut(batches):
+    def cut(key, tab):
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, number, held = TaskContext.get().partitionId() << 32, 0, []
-
-        def block(rows):
-            nonlocal number
-            label, size = rows[0][0], rows[0][3]
-            x = np.frombuffer(b"".join(r[4] for r in rows)).reshape(-1, size // 8)
-            weight, root = np.array([r[2] for r in rows], dtype=np.int64), np.arange(len(rows))
-            links = join(x, None, weight, axes, least, root)
-            y, ids = on_axes(units(x), axes), np.array([r[1] for r in rows], dtype=np.int64)
-            box = [v for k in range(AXES) for v in (y[:, k].min(), y[:, k].max())]
-            number += 1
-            row = [label, part + number, len(rows), size, ids.tobytes(), weight.tobytes(), x.tobytes(), ids[root].tobytes(), links.tobytes(), *box]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5, *[pa.float64()] * (2 * AXES)]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("label", "class", "n", "bytes", "x"))):
-                if held and (row[0] != held[0][0] or row[3] != held[0][3] or len(held) * row[3] >= BLOCK_BYTES):
-                    yield block(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield block(held)
+        label, size, number = (k.as_py() for k in key)
+        tab = tab.sort_by([("rank", "ascending")])
+        x = np.frombuffer(b"".join(tab.column("x").to_pylist())).reshape(-1, size // 8)
+        ids, weight = (np.asarray(tab.column(c)) for c in ("class", "n"))
+        root = np.arange(len(x))
+        links = join(x, None, weight, axes, least, root)
+        y = on_axes(units(x), axes)
+        box = [v for k in range(AXES) for v in (y[:, k].min(), y[:, k].max())]
+        row = [label, number, len(x), size, ids.tobytes(), weight.tobytes(), x.tobytes(), ids[root].tobytes(), links.tobytes(), *box]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5, *[pa.float64()] * (2 * AXES)]
         give_back()
+        return pa.table({c.split()[0]: pa.array([v], k) for c, v, k in zip(BLOCK.split(", "), row, kinds)})
 
     kinds = ", ".join(f"{c} long" for c in ["bytes", *cells])
     dealt = staged(classes.select("label", "class", "n", "x").mapInArrow(place, f"label string, class long, n long, x binary, {kinds}"), "cells")
-    order = ["label", "bytes", *cells, "class"]
-    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, BLOCK)
+    order = ranked(dealt, ["label", "bytes"], [*cells, "class"], rank=["label", "bytes"])
+    number = F.floor(F.col("rank") / F.greatest(F.lit(LEAF), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes")))).alias("block")
+    return order.select("label", "bytes", number, "rank", "class", "n", "x").groupBy("label", "bytes", "block").applyInArrow(lambda key, tab: cut(key, tab), BLOCK)
 
 
 def block_pairs(boxes: DataFrame, least: float) -> DataFrame:
-    """(i, j) of the blocks (label, bytes, block, lo.., hi..) that a link can bridge, i before j in the order.
+    """(label, bytes, i, j) of the blocks (label, bytes, block, lo.., hi..) that a link can bridge, i before j in the order.
 
     Nodes of level k are FAN ** k consecutive blocks of one label.  From the topmost node of each label down, a pair of
     nodes is split into the pairs of its children, and those too far apart are dropped.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
     bounds = [c for k in range(AXES) for c in (f"lo{k}", f"hi{k}")]
-    nodes = [boxes.withColumn("node", F.row_number().over(Window.partitionBy("label", "bytes").orderBy("block")).cast("long") - 1)]
+    nodes = [boxes.withColumnRenamed("block", "node")]
     most = nodes[0].agg(F.max("node")).first()[0] or 0
     while most:
         most //= FAN
@@ -290,9 +279,7 @@ def block_pairs(boxes: DataFrame, least: float) -> DataFrame:
         both = up.join(sides(level, "i"), ["label", "bytes", "i_up"]).join(sides(level, "j"), ["label", "bytes", "j_up"])
         near = sum((gap(k) * gap(k) for k in range(AXES)), F.lit(0.0)) <= eps * eps
         pairs = staged(both.where((F.col("i") <= F.col("j")) & near).select("label", "bytes", "i", "j"), "node_pairs")
-    name = lambda s: nodes[0].select("label", "bytes", F.col("node").alias(s), F.col("block").alias(f"block_{s}"))
-    found = pairs.where("i < j").join(name("i"), ["label", "bytes", "i"]).join(name("j"), ["label", "bytes", "j"])
-    return found.select(F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    return pairs.where("i < j")
 
 
 def links_of(vectors: DataFrame, least: float = LEAST) -> DataFrame:
@@ -328,10 +315,10 @@ def links_of(vectors: DataFrame, least: float = LEAST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, ids)), pa.array(np.append(np.full(len(ids), -1), roots)), pa.array(np.append(links, np.zeros(len(ids), np.int64)))], names=["a", "b", "links"])
 
     schema = "a long, b long, links long"
-    ends = pairs.select("i", "j", F.explode(F.array("i", "j")).alias("block"))
-    sent = blocks.select("block", "bytes", "ids", "weights", "x", "roots").join(ends, "block")
+    ends = pairs.withColumn("block", F.explode(F.array("i", "j")))
+    sent = blocks.select("label", "bytes", "block", "ids", "weights", "x", "roots").join(ends, ["label", "bytes", "block"])
     found = blocks.select("ids", "roots", "links").mapInArrow(within, schema).where("links > 0 or (b >= 0 and a <> b)")
-    found = staged(found.unionAll(sent.groupBy("i", "j").applyInArrow(lambda tab: across(tab), schema)), "found")
+    found = staged(found.unionAll(sent.groupBy("label", "bytes", "i", "j").applyInArrow(lambda tab: across(tab), schema)), "found")
     counts = found.where("b < 0").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     roots = connected(found.where("b >= 0").select("a", "b"))
     named = classes.select("class", "k1", "k2", "n", "least").join(roots, F.col("class") == F.col("node"), "left").join(counts, "class", "left")
