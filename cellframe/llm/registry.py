@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedjoin, html, jaccard, langid, mixing, prefixtrie, quality, suffixdedup, tokenfiles, tokens, urls
+from . import decontaminate, embedjoin, html, jaccard, langid, mixing, prefixtrie, quality, spelling, suffixdedup, tokenfiles, tokens, urls
 
 _OPS = {
     "op1_url_filters": urls,
@@ -17,6 +17,7 @@ _OPS = {
     "op10_decontamination": decontaminate,
     "op11_embedding_near_dedup": embedjoin,
     "op12_conversation_trie": prefixtrie,
+    "op13_spelling_variants": spelling,
 }
 
 
