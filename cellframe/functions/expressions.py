@@ -31,6 +31,11 @@ def cells(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, ","), lambda c: F.trim(c)), lambda c: c != "")
 
 
+def header_cells(line: Column) -> Column:
+    """The comma-separated cells of a header, trimmed; blank ones keep their places."""
+    return F.transform(F.split(line, ","), lambda c: F.trim(c))
+
+
 def floor_mod(x: Column) -> Column:
     """x modulo 1, never negative."""
     return x - F.floor(x)

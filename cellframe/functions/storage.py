@@ -31,6 +31,17 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df (already staged) with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder in whatever store its path names; False if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], **names: list[str]) -> DataFrame:
     """df with row numbers from 0 within groups of keys, in the order of `order`, without a window over a group.
 
@@ -43,6 +54,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], **names: list[str])
     for name, own in names.items():
         part = held.groupBy(*own, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
         before = F.coalesce(F.sum("_n").over(Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        held = held.join(part.withColumn("_before", before).drop("_n"), [*own, "_part"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_first", "_before")
+        part = part.select(*[F.col(c).alias(f"_key_{c}") for c in own], F.col("_part").alias("_of"), "_first", before.alias("_before"))
+        same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in own]  # rows with a null key are a group like any other
+        held = held.join(part, [F.col("_part") == F.col("_of"), *same]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop(*part.columns)
     return held.drop("_part", "_at")
 

@@ -49,3 +49,10 @@ def contour_segments(density: DataFrame, n_levels: int = 8, grid_step=(1.0, 1.0)
 def contour_counts(segments: DataFrame) -> DataFrame:
     """Segments of each level; levels without one are left out."""
     return segments.groupBy(*KEYS, "level_no").agg(F.count(F.lit(1)).alias("n_segments"))
+
+
+def contour_lines(segments: DataFrame) -> DataFrame:
+    """(KEYS, level_no, level, lines) of the levels that have lines: all segments of a level in order, as a drawing takes them."""
+    line = F.struct("iy", "ix", "seg_no", "x0", "y0", "x1", "y1")
+    got = segments.groupBy(*KEYS, "level_no", "level").agg(F.sort_array(F.collect_list(line)).alias("s"))
+    return got.select(*KEYS, "level_no", "level", F.transform("s", lambda s: F.struct(s["x0"].alias("x0"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["y1"].alias("y1"))).alias("lines"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite
+from ..functions.storage import ranked, staged
 from ..sources.catalog import COMPARED, KIND_ORDER
 
 
@@ -46,8 +47,8 @@ def q_weighted(points: DataFrame) -> DataFrame:
 
 
 def chi_steps(chi: DataFrame) -> DataFrame:
-    """Adds step: the row's number over a run's files, which follow one another."""
-    return chi.withColumn("step", F.row_number().over(Window.partitionBy("run_id").orderBy("file_no", "line_no")) - 1)
+    """Adds step: the row's number over a run's files, which follow one another; a run of any length, without a window over it."""
+    return ranked(chi, ["run_id"], ["file_no", "line_no"], step=["run_id"]).withColumn("step", F.col("step").cast("int"))
 
 
 def chi_log(steps: DataFrame, clamped: bool = True) -> DataFrame:
@@ -80,13 +81,32 @@ def y_domain(points: DataFrame, x_lo: float, x_hi: float, pad: float = 0.05) ->
 
 
 def nearest_point(points: DataFrame, probes: DataFrame) -> DataFrame:
-    """For each probe (path, probe), the nearest point of each series of that path, the first of equals.
+    """For each probe (path, probe), the nearest point of each series of that path, the first of equals: an as-of join.
 
-    A few probes a path: both sides meet on path, and min_by keeps one row a group on the map side.
+    Points and probes of a series go into one stream, ordered by x and dealt by ranges of (path, label, x), so that a
+    series of any length lies in many tasks.  A probe takes the last point before it and the next one after it in its own
+    part, or, where its part has none, from the nearest part before or after, whose outermost points are a row a part.
+    Points whose x is null or NaN are near nothing.  Work grows with the points and with probes times series of their paths.
     """
-    near = F.struct(F.abs(F.col("x") - F.col("probe")), F.col("point_no"))
-    got = points.join(probes, "path").groupBy("path", "label", "probe").agg(F.min_by(F.struct("point_no", "x", "y"), near).alias("p"))
-    return got.select("path", "label", "probe", "p.point_no", "p.x", "p.y")
+    keys = ["path", "label"]
+    seen = points.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    # the first of points at one place answers for all of them
+    ends = seen.groupBy(*keys, "x").agg(F.min(F.struct("point_no", "y")).alias("p"))
+    own = ends.select(*keys, F.col("x").alias("at"), F.lit(False).alias("asks"), F.struct(F.col("p.point_no").alias("point_no"), "x", F.col("p.y").alias("y")).alias("p"))
+    asked = seen.select(*keys).distinct().join(probes.select("path", "probe").where("probe is not null").distinct(), "path")
+    stream = own.unionAll(asked.select(*keys, F.col("probe").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast(own.schema["p"].dataType).alias("p")))
+    held = staged(stream.repartitionByRange(*keys, "at", "asks").withColumn("_part", F.spark_partition_id()))
+    near = Window.partitionBy(*keys, "_part").orderBy("at", "asks")
+    last = F.last("p", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.first("p", ignorenulls=True).over(near.rowsBetween(0, Window.unboundedFollowing))
+    parts = held.groupBy(*keys, "_part").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("at"))).alias("_last"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("at"))).alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_part")  # a row a part
+    parts = parts.select(*keys, "_part", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    asks = held.withColumns({"a": last, "b": following}).where("asks").join(parts, [*keys, "_part"])
+    a, b = F.coalesce("a", "_before"), F.coalesce("b", "_behind")
+    far = lambda p: F.abs(p["x"] - F.col("at"))
+    takes_b = a.isNull() | (b.isNotNull() & ((far(b) < far(a)) | ((far(b) == far(a)) & (b["point_no"] < a["point_no"]))))
+    return asks.select(*keys, F.col("at").alias("probe"), F.when(takes_b, b).otherwise(a).alias("p")).select(*keys, "probe", "p.point_no", "p.x", "p.y")
 
 
 def series_payload(points: DataFrame) -> DataFrame:
@@ -144,8 +164,10 @@ def dashboard(files: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def run_comparison(metrics: DataFrame) -> DataFrame:
-    """Adds place: the rank of each file's rwp among its kind. metrics: (path, plot_kind, rwp)."""
-    return metrics.where("rwp is not null").withColumn("place", F.rank().over(Window.partitionBy("plot_kind").orderBy("rwp")))
+    """Adds place: the rank of each file's rwp among its kind, equals sharing the first. metrics: (path, plot_kind, rwp)."""
+    held = staged(ranked(metrics.where("rwp is not null"), ["plot_kind"], ["rwp"], k=["plot_kind"]))
+    first = held.groupBy(F.col("plot_kind").alias("_kind"), F.col("rwp").alias("_rwp")).agg((F.min("k") + 1).cast("int").alias("place"))
+    return held.join(first, F.col("plot_kind").eqNullSafe(F.col("_kind")) & (F.col("rwp") == F.col("_rwp"))).drop("k", "_kind", "_rwp")
 
 
 def run_summary(files: DataFrame, metrics: DataFrame, errors: DataFrame, structures: DataFrame | None = None) -> DataFrame:

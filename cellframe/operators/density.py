@@ -12,7 +12,7 @@ from math import prod
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import interior_levels
+from ..functions.expressions import finite, interior_levels
 from ..functions.storage import staged
 
 KEYS = ("structure_id", "element", "slab_id")
@@ -20,23 +20,35 @@ KEYS = ("structure_id", "element", "slab_id")
 LEAST = 5
 #: Kernels are cut at this many standard deviations: nothing is left beyond double precision.
 REACH = 8.0
+#: Powers of two that bins of slabs are wide.  Thinner slabs share bins of the least.
+LEVELS = (-30, 1000)
 
 
 def clamp_grid(grid: int) -> int:
     return min(400, max(16, grid))
 
 
-def slab_filter(points: DataFrame, slabs: DataFrame, bin_width: float = 0.5) -> DataFrame:
+def slab_filter(points: DataFrame, slabs: DataFrame) -> DataFrame:
     """Atoms with each slab they lie in, both faces included.
 
-    A range join by bins: a slab is exploded into the z bins it touches, atoms meet it on their own bin, and the
-    exact bounds decide.  Every atom is in one bin, so no pair comes twice; overlapping slabs each get their atoms.
+    A range join by dyadic bins: a slab is entered at the level whose bins, 2 ** level wide, are as thick as it at least,
+    so it touches two of them at most, whatever its thickness.  An atom meets, at each level that some slab uses, the
+    slabs of its own bin, and the exact bounds decide; overlapping slabs each get their atoms.  Slabs with a
+    structure_id (those of `structure.slabs_in_length`) hold atoms of that structure only.
     """
     half = F.greatest(F.col("dz"), F.lit(1e-12)) * 0.5
-    bounds = slabs.withColumns({"z_lo": F.col("z_center") - half, "z_hi": F.col("z_center") + half})
-    bin_of = lambda z: F.floor(z / bin_width).cast("long")
-    binned = bounds.select("slab_id", "z_lo", "z_hi", F.explode(F.sequence(bin_of(F.col("z_lo")), bin_of(F.col("z_hi")))).alias("z_bin"))
-    return points.withColumn("z_bin", bin_of(F.col("pz"))).join(binned, "z_bin").where(F.col("pz").between(F.col("z_lo"), F.col("z_hi"))).drop("z_bin", "z_lo", "z_hi")
+    own = ["structure_id"] if "structure_id" in slabs.columns else []
+    low, high = LEVELS
+    # a step more than the logarithm asks for costs nothing, one less would need a third bin
+    level = F.least(F.greatest(F.ceil(F.log2(half * 2) + 1e-9), F.lit(low)), F.lit(high)).cast("int")
+    bounds = slabs.withColumns({"z_lo": F.col("z_center") - half, "z_hi": F.col("z_center") + half, "z_level": level}).where(finite(F.col("z_lo")) & finite(F.col("z_hi")))
+    bin_of = lambda z: F.floor(z / F.pow(F.lit(2.0), F.col("z_level"))).cast("long")
+    binned = bounds.select(*own, "slab_id", "z_lo", "z_hi", "z_level", F.explode(F.array_distinct(F.sequence(bin_of(F.col("z_lo")), bin_of(F.col("z_hi"))))).alias("z_bin"))
+    used = sorted(r.z_level for r in bounds.select("z_level").distinct().collect())  # as many as LEVELS spans at most
+    if not used:
+        used = [high]
+    at = points.where(finite(F.col("pz"))).withColumn("z_level", F.explode(F.array(*[F.lit(k) for k in used]))).withColumn("z_bin", bin_of(F.col("pz")))
+    return at.join(binned, [*own, "z_level", "z_bin"]).where(F.col("pz").between(F.col("z_lo"), F.col("z_hi"))).select(*points.columns, "slab_id")
 
 
 def slab_flag(points: DataFrame, z_center: float, dz: float) -> DataFrame:
@@ -88,9 +100,11 @@ def grid_nodes(spark, grid: int, xlim=(0.0, 1.0), ylim=(0.0, 1.0)) -> DataFrame:
     return got.select("ix", "iy", step("ix", xlim).alias("gx"), step("iy", ylim).alias("gy"))
 
 
-def kde_slice(in_slab: DataFrame, bw: float = 0.03, grid: int = 120, xlim=(0.0, 1.0), ylim=(0.0, 1.0), log: bool = False, reach: float = REACH) -> DataFrame:
+def kde_slice(in_slab: DataFrame, bw: float = 0.03, grid: int = 120, xlim=(0.0, 1.0), ylim=(0.0, 1.0), log: bool = False, reach: float = REACH, fit_cap: int | None = None, seed: int = 0) -> DataFrame:
     """Gaussian density of each slab on a grid: KEYS, ix, iy, density, status.
 
+    fit_cap: of slabs with more atoms only that many, drawn by `fit_sample`, are fitted: moments, kernels and the divisor are theirs.
+
     The moments are one aggregate.  Then an atom reaches only the nodes inside the box that bounds its kernel at
     `reach` deviations; it is exploded into those and summed by node, with partial sums on the map side.  Atoms of
     one structure may be most of the table: sums by node spread over keys and combine before the shuffle.
@@ -98,7 +112,9 @@ def kde_slice(in_slab: DataFrame, bw: float = 0.03, grid: int = 120, xlim=(0.0,
     n = clamp_grid(grid)
     (x0, x1), (y0, y1) = xlim, ylim
     sx, sy = (x1 - x0) / (n - 1), (y1 - y0) / (n - 1)
-    cov = slab_cov(in_slab, bw)
+    if fit_cap:
+        in_slab = staged(fit_sample(in_slab, fit_cap, seed).select(*KEYS, "px", "py"))
+    cov = staged(slab_cov(in_slab, bw))  # a row a slab, read for the atoms and for the nodes
     pts = in_slab.select(*KEYS, "px", "py").join(cov.where("status = 'ok'"), list(KEYS))
     span = lambda p, s, lo, d: F.sequence(
         F.greatest(F.lit(0), F.ceil((F.col(p) - reach * F.sqrt(s) - lo) / d).cast("int")), F.least(F.lit(n - 1), F.floor((F.col(p) + reach * F.sqrt(s) - lo) / d).cast("int"))
@@ -170,27 +186,37 @@ def kde_self_3d(points: DataFrame, reach: float = REACH) -> DataFrame:
     return total.select(*keys, "point_id", (c("k") / (c("n") * F.sqrt(c("det") * (2 * math.pi) ** 3))).alias("density"))
 
 
-def kde_self_grid(points: DataFrame, step: float = 0.25, reach: float = 4.0) -> DataFrame:
-    """As kde_self_3d, by way of a grid: work and shuffles grow with the points and the occupied nodes, not with pairs.
+def whitened(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """points with wx, wy, wz, in which the kernel of their (structure, element) group is the same along each axis, and the groups.
 
-    Whitened by the Cholesky factor of its covariance, a group's kernel is the same along each axis, so it is summed
-    axis by axis.  Points are shared out linearly over the eight nodes around them (`step` bandwidths apart), the
-    nodes are smoothed along one axis after the other up to `reach` bandwidths, and a point reads its density from the
-    eight nodes around it, linearly too.  Either linear step errs by at most step^2 / 8 times a second derivative of
-    the kernel along each axis: 3 * step^2 / 4 of the kernel's peak in all, 4.7 % at the default; cutting off at
-    `reach` loses under 4e-4 of the peak.  The nodes of a group number about (extent / (step * bandwidth))^3 at most.  `reach` and `step` are parameters; nothing switches by size.
+    The kernel's covariance is the sample's by Scott's rule, L L' with L lower triangular; l1, l3, l6 are its diagonal.
+    Groups of fewer than five points, or flat ones, have no kernel and are left out.
     """
     keys, c = ["structure_id", "element"], F.col
     v = [("xx", "px", "px"), ("xy", "px", "py"), ("xz", "px", "pz"), ("yy", "py", "py"), ("yz", "py", "pz"), ("zz", "pz", "pz")]
     m = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(a, b).alias(f"m{k}") for k, a, b in v], *[F.avg(f"p{a}").alias(f"a{a}") for a in "xyz"])
     factor = F.pow(c("n").cast("double"), F.lit(-2.0 / 7.0))
     m = m.where("n >= 5").select(*keys, "n", "ax", "ay", "az", *[(c(f"m{k}") * factor).alias(k) for k, _, _ in v]).where("xx > 0")
-    # covariance = L L', L lower triangular
     m = m.withColumn("l1", F.sqrt("xx")).withColumns({"l2": c("xy") / c("l1"), "l4": c("xz") / c("l1")}).withColumn("s3", c("yy") - c("l2") * c("l2")).where("s3 > 0")
     m = m.withColumn("l3", F.sqrt("s3")).withColumn("l5", (c("yz") - c("l4") * c("l2")) / c("l3")).withColumn("s6", c("zz") - c("l4") * c("l4") - c("l5") * c("l5")).where("s6 > 0")
     m = m.withColumn("l6", F.sqrt("s6")).select(*keys, "n", "ax", "ay", "az", "l1", "l2", "l3", "l4", "l5", "l6")
     pts = points.join(m, keys).withColumn("wx", (c("px") - c("ax")) / c("l1")).withColumn("wy", (c("py") - c("ay") - c("l2") * c("wx")) / c("l3"))
     pts = pts.withColumn("wz", (c("pz") - c("az") - c("l4") * c("wx") - c("l5") * c("wy")) / c("l6"))
+    return pts, m
+
+
+def kde_self_grid(points: DataFrame, step: float = 0.25, reach: float = 4.0) -> DataFrame:
+    """As kde_self_3d, by way of a grid: work and shuffles grow with the points and the occupied nodes, not with pairs.
+
+    Whitened by the Cholesky factor of its covariance, a group's kernel is the same along each axis, so it is summed
+    axis by axis.  Points are shared out linearly over the eight nodes around them (`step` bandwidths apart), the
+    nodes are smoothed along one axis after the other up to `reach` bandwidths, and a point reads its density from the
+    eight nodes around it, linearly too.  Either linear step errs by at most step^2 / 8 times a second derivative of
+    the kernel along each axis: 3 * step^2 / 4 of the kernel's peak in all, 4.7 % at the default; cutting off at
+    `reach` loses under 4e-4 of the peak.  The nodes of a group number about (extent / (step * bandwidth))^3 at most.  `reach` and `step` are parameters; nothing switches by size.
+    """
+    keys, c = ["structure_id", "element"], F.col
+    pts, m = whitened(points)
     pts = pts.select(*keys, "point_id", *[F.floor(c(f"w{a}") / step).cast("int").alias(f"b{a}") for a in "xyz"], *[(c(f"w{a}") / step - F.floor(c(f"w{a}") / step)).alias(f"f{a}") for a in "xyz"])
     corner = F.explode(F.array(*[F.struct(*[(c(f"b{a}") + o).alias(f"g{a}") for a, o in zip("xyz", at)], prod([c(f"f{a}") if o else 1 - c(f"f{a}") for a, o in zip("xyz", at)]).alias("s"))
                                  for at in product((0, 1), repeat=3)]))
@@ -213,12 +239,18 @@ def _bin(x, lo, hi, n):
 
 
 def z_histogram(points: DataFrame, bins: int = 150) -> DataFrame:
-    """Count and density of z in equal bins between a structure's least and greatest; empty bins are there too."""
+    """Count and density of z in equal bins between a structure's least and greatest; empty bins are there too.
+
+    Only finite z count; n_odd says how many others there are.
+    """
+    odd = points.groupBy("structure_id").agg(F.count_if(~finite(F.col("pz"))).alias("n_odd"))
+    points = points.where(finite(F.col("pz")))
     ends = points.groupBy("structure_id").agg(F.min("pz").alias("lo"), F.max("pz").alias("hi"), F.count(F.lit(1)).alias("total"))
     counts = points.join(ends, "structure_id").groupBy("structure_id", _bin(F.col("pz"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     full = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, ["structure_id", "bin"], "left")
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) / bins
-    return full.select("structure_id", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density"))
+    full = full.select("structure_id", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density"))
+    return full.join(odd, "structure_id")
 
 
 def xz_histogram(points: DataFrame, bins: int = 150, xlim=(0.0, 1.0), zlim=(0.0, 1.0)) -> DataFrame:
@@ -238,34 +270,44 @@ def densest_band(folded: DataFrame, bins: int = 50) -> DataFrame:
     return best.select("structure_id", (-F.col("best.m")).alias("bin"), F.col("best.n").alias("n"), ((-F.col("best.m") + 0.5) / bins).alias("z_center"))
 
 
-def quantile_limits(points: DataFrame, lo: float = 0.01, hi: float = 0.99, bins: int = 4096) -> DataFrame:
-    """Exact quantiles of each coordinate, interpolated between neighbours, in two passes.
+def quantile_limits(points: DataFrame, lo: float = 0.01, hi: float = 0.99, bins: int = 4096, small: int = 10_000) -> DataFrame:
+    """Exact quantiles of each coordinate over its finite values, interpolated between neighbours; n_odd: values that are not finite.
 
-    The first counts the points of each structure in equal bins of each coordinate, with partial sums.  Running totals
-    over the bins tell which hold the ranks in question; the second pass takes the values of those bins only, counted
-    by value, and picks the ranks by running totals.  No task holds the values of a structure.
+    The bin that holds a rank is refined until it has `small` values at most, or equal ones only: values are counted in
+    `bins` bins between the least and the greatest value of the bin before, with partial sums.  The first round bins the
+    logarithms of the magnitudes, so later bins hold values of one sign and size, and a dozen bits of a double go with
+    each round: outliers cost a round, not the bins.  No task holds more than `bins` counts or `small` values of a structure and axis.
     """
-    long = points.select("structure_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"p{a}").alias("v")) for a in "xyz"])).alias("p"))
-    long = long.select("structure_id", "p.axis", "p.v").where("v is not null")
-    keys = ["structure_id", "axis"]
-    ends = long.groupBy(*keys).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("total"))
-    bin_ = _bin(F.col("v"), F.col("least"), F.col("most"), bins).alias("bin")
-    counts = long.join(ends, keys).groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("n"))
-    # windows over at most `bins` rows of a structure and axis
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), up.alias("rank"), (q * (F.col("total") - 1) - F.floor(q * (F.col("total") - 1))).alias("share"), F.lit(k).alias("end"))
-                      for q, name in ((lo, "lo"), (hi, "hi")) for k, up in enumerate((F.floor(q * (F.col("total") - 1)), F.ceil(q * (F.col("total") - 1))))])
-    wanted = counts.withColumn("before", before).join(ends.select(*keys, "total").withColumn("r", F.explode(ranks)), keys)
-    wanted = wanted.where((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("n"))).select(*keys, "bin", "before", "r.*")
-    held = long.join(ends, keys).select(*keys, bin_, "v").join(wanted.select(*keys, "bin", "before").distinct(), [*keys, "bin"])
-    values = held.groupBy(*keys, "bin", "before", "v").agg(F.count(F.lit(1)).alias("n"))
-    up_to = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    values = values.select(*keys, "bin", "v", (up_to - F.col("n")).alias("from"), up_to.alias("to"))
-    found = wanted.join(values, [*keys, "bin"]).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
-    pick = lambda k: F.max(F.when(F.col("end") == k, F.col("v")))
-    limits = found.groupBy(*keys, "name").agg((pick(0) + (pick(1) - pick(0)) * F.max("share")).alias("limit"))
+    keys, v = ["structure_id", "axis"], F.col("v")
+    long = points.select("structure_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"p{a}").alias("v")) for a in "xyz"])).alias("p")).select("structure_id", "p.*")
+    long = staged(long.where("v is not null"))
+    odd = long.groupBy("structure_id").agg(F.count_if(~finite(v)).alias("n_odd"))
+    long = long.where(finite(v))
+    total = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    at = lambda q: F.lit(q) * (F.col("n") - 1)
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), up(at(q)).alias("rank"), (at(q) - F.floor(at(q))).alias("share")) for name, q in (("lo", lo), ("hi", hi)) for end, up in ((0, F.floor), (1, F.ceil))])
+    wanted = staged(total.withColumn("r", F.explode(ranks)).select(*keys, "least", "most", "n", "r.*"))
+    first = True
+    while wanted.where((F.col("n") > small) & (F.col("least") < F.col("most"))).head(1):
+        scale = (lambda x: F.when(F.abs(x) > 1e-300, F.signum(x) * (F.ln(F.abs(x)) + 691.0)).otherwise(0.0)) if first else (lambda x: x)
+        open_ = wanted.where((F.col("n") > small) & (F.col("least") < F.col("most"))).select(*keys, "least", "most").distinct()
+        share = (scale(v) - scale(F.col("least"))) / F.nullif(scale(F.col("most")) - scale(F.col("least")), F.lit(0.0))
+        bin_ = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).alias("bin")
+        counts = long.join(open_, keys).where(v.between(F.col("least"), F.col("most"))).groupBy(*keys, "least", "most", bin_).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        # windows over at most `bins` rows
+        before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "least", "most").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = wanted.join(counts.withColumn("before", before), [*keys, "least", "most"], "left").where("c is null or (rank >= before and rank < before + c)")
+        wanted = staged(found.select(*keys, F.coalesce("low", "least").alias("least"), F.coalesce("high", "most").alias("most"), F.coalesce("c", "n").alias("n"), "name", "end", (F.col("rank") - F.coalesce("before", F.lit(0))).alias("rank"), "share"))
+        first = False
+    near = long.join(wanted.select(*keys, "least", "most").distinct(), keys).where(v.between(F.col("least"), F.col("most")))
+    values = near.groupBy(*keys, "least", "most", "v").agg(F.count(F.lit(1)).alias("c"))
+    up_to = F.sum("c").over(Window.partitionBy(*keys, "least", "most").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.select(*keys, "least", "most", "v", (up_to - F.col("c")).alias("from"), up_to.alias("to"))
+    got = wanted.join(values, [*keys, "least", "most"]).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    pick = lambda k: F.max(F.when(F.col("end") == k, v))
+    limits = got.groupBy(*keys, "name").agg((pick(0) + (pick(1) - pick(0)) * F.max("share")).alias("limit"))
     at = lambda a, name: F.max(F.when((F.col("axis") == a) & (F.col("name") == name), F.col("limit"))).alias(f"{a}_{name}")
-    return limits.groupBy("structure_id").agg(*[at(a, name) for a in "xyz" for name in ("lo", "hi")])
+    return odd.join(limits.groupBy("structure_id").agg(*[at(a, name) for a in "xyz" for name in ("lo", "hi")]), "structure_id", "left")
 
 
 def contour_levels(density: DataFrame, n_levels: int = 8) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import floor_mod
+from ..functions.expressions import finite, floor_mod
 from ..functions.storage import ranked
 
 AXES = ("x", "y", "z")
@@ -150,15 +150,9 @@ def frac_lines(table: DataFrame) -> DataFrame:
     return table.select("structure_id", "seq", line.alias("line"))
 
 
-def write_frac_lines(table: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Text files of the table's lines, a folder per structure, in the order of atoms; fails if path exists."""
-    lines = frac_lines(table).repartition("structure_id").sortWithinPartitions("structure_id", "seq").select("structure_id", "line")
-    lines.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("structure_id").text(path)
-
-
 def axis_ranges(folded: DataFrame) -> DataFrame:
-    """Least and greatest coordinate along each axis; 0 and 1 where there is none."""
-    ends = [f(f"p{a}").alias(f"{a}_{n}") for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))]
+    """Least and greatest finite coordinate along each axis; 0 and 1 where there is none."""
+    ends = [f(F.when(finite(F.col(f"p{a}")), F.col(f"p{a}"))).alias(f"{a}_{n}") for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))]
     got = folded.groupBy("structure_id").agg(*ends)
     return got.select("structure_id", *[F.coalesce(f"{a}_{n}", F.lit(d)).alias(f"{a}_{n}") for a in AXES for n, d in (("min", 0.0), ("max", 1.0))])
 

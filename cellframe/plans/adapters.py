@@ -7,6 +7,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
+from ..sources import export, ingest
+
 #: Slabs: three that overlap, an empty one and a very thin one.  Parameters of the density queries.
 SLABS = [(0, 5.0, 0.52), (1, 5.2, 0.52), (2, 2.6, 1.04), (3, 500.0, 0.5), (4, 0.013, 0.0004)]
 LATTICES = {0: [[104.116, 0.0, 0.0], [0.0, 104.116, 0.0], [0.0, 0.0, 104.116]], 3: [[104.116, 0.0, 0.0], [20.0, 100.0, 0.0], [0.0, 10.0, 104.116]]}
@@ -90,24 +93,46 @@ def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Text lines of one file per part of the table, built from integers: csv, chi, stog, atoms, frac."""
+    """Text lines of one file per supplier, built from integers: csv, chi, stog, atoms, frac, cell.
+
+    Some files break their format or use its odd cases: curves with a blank label (suppliers 5k + 1) or one column (7k + 3), tables with rows
+    of one token (5k + 1), lines of atoms too short for an atom but not for a site, cells with a bad number (9k + 4) or two sizes (11k + 5).
+    """
     t = _table(spark, sf_dir, "lineitem")
     c = F.col
     number = F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    every = lambda n, k: c("l_suppkey") % n == k
+    path = F.concat(F.lit("f"), c("l_suppkey").cast("string")).alias("path")
+    if kind == "cell":
+        of = t.groupBy("l_suppkey").agg(F.max("l_orderkey").alias("o"), F.min("l_partkey").alias("p"), F.count(F.lit(1)).alias("n"))
+        text = lambda *parts: F.concat_ws(" ", *[x if not isinstance(x, (str, int)) else F.lit(str(x)) for x in parts])
+        sizes = F.when(every(11, 5), "Supercell: 10 10").otherwise("")
+        body = F.array(F.lit("Supercell 1 1 1"), text("Supercell dimensions:", c("n"), 10, 10), F.lit("Lattice vectors (Ang):"), F.lit("9 0 0"), F.lit("0 9 0"), F.lit("0 0 9"), F.lit("Lattice vectors (Ang):"),
+                       text(c("o"), 0, 0), text(0, c("p"), 0), text(0, F.when(every(9, 4), "x").otherwise("0"), 7), sizes, F.when(every(11, 5), "Supercell 5").otherwise(""), F.lit("Atoms:"))
+        return of.select(path, F.posexplode(body).alias("line_no", "line"))
     line = {
-        "csv": F.concat_ws(", ", "l_linenumber", "l_partkey", "l_suppkey", F.lit("")),
+        "csv": F.when(every(7, 3), c("l_partkey").cast("string")).otherwise(F.concat_ws(", ", "l_linenumber", "l_partkey", "l_suppkey", F.lit(""))),
         "chi": F.concat_ws("  ", F.lit("step"), "l_orderkey", "l_partkey", "l_linenumber"),
-        "stog": F.concat(F.lit("  "), F.concat_ws(" ", "l_orderkey", "l_partkey", "l_suppkey")),
-        "atoms": F.concat_ws(" ", "l_orderkey", "l_returnflag", F.lit("[1]"), "l_linenumber", "l_partkey", "l_suppkey", "l_linenumber", F.lit("0"), F.when(c("l_linenumber") == 3, "x").otherwise("1"), F.lit("2")),
+        "stog": F.when(every(5, 1) & (c("l_linenumber") == 1), c("l_orderkey").cast("string")).otherwise(F.concat(F.lit("  "), F.concat_ws(" ", "l_orderkey", "l_partkey", "l_suppkey"))),
+        "atoms": F.when(c("l_linenumber") == 5, F.concat_ws(" ", "l_orderkey", "l_returnflag", c("l_linenumber") + 100, F.lit("0"), F.lit("1"), F.lit("2"))).otherwise(F.concat_ws(
+            " ", "l_orderkey", "l_returnflag", F.lit("[1]"), "l_linenumber", "l_partkey", "l_suppkey", "l_linenumber", F.lit("0"), F.when(c("l_linenumber") == 3, "x").otherwise("1"), F.lit("2"))),
         "frac": F.concat_ws("    ", "l_linenumber", "l_orderkey", "l_partkey", F.when(c("l_linenumber") == 2, "bad").otherwise("7")),
-    }[kind]
+    }[kind]
     skip = {"csv": 1, "chi": 2, "stog": 2, "atoms": 1, "frac": 5}[kind]
-    own = t.select(F.concat(F.lit("f"), c("l_suppkey").cast("string")).alias("path"), (number - 1 + skip).cast("int").alias("line_no"), line.alias("line")).distinct()
-    head = {"csv": ["Q, F(Q)_RMC, F(Q)_Expt"], "chi": ["h", "h"], "stog": ["1490 1", "head"], "atoms": ["Atoms:"], "frac": ["h"] * 5}[kind]
-    heads = t.select(F.concat(F.lit("f"), c("l_suppkey").cast("string")).alias("path")).distinct().select("path", F.posexplode(F.array(*[F.lit(x) for x in head])).alias("line_no", "line"))
+    own = t.select(path, (number - 1 + skip).cast("int").alias("line_no"), line.alias("line")).distinct()
+    head = {"csv": [F.when(every(5, 1), "Q,, F(Q)_Expt ").otherwise("Q, F(Q)_RMC, F(Q)_Expt")], "chi": ["h", "h"], "stog": ["1490 1", "head"], "atoms": ["Atoms:"], "frac": ["h"] * 5}[kind]
+    heads = t.select("l_suppkey").distinct().select(path, F.posexplode(F.array(*[F.lit(x) for x in head])).alias("line_no", "line"))
     return own.unionAll(heads)
 
 
+def landed(spark: SparkSession, lines: DataFrame, split_bytes: int | None = None) -> DataFrame:
+    """Lines (path, line_no, line) written as texts to the shared folder and read back from there, under the same paths."""
+    root = f"{shared_folder(spark)}/texts"
+    export.write_texts(lines.select(F.col("path").alias("name"), F.col("line_no").alias("place"), "line"), root)
+    got = ingest.raw_lines(spark, root, folders=True, split_bytes=split_bytes)
+    return got.withColumn("path", export.text_name(F.col("path")))
+
+
 SQL = {
     "cp": """cp as (select 'v' || c as path, point_no, col_no, case col_no when 1 then 'F(Q)_RMC' else 'F(Q)_Expt' end as label, point_no::double as x, y from (
   select vec_id as c, 1 as col_no, generate_subscripts(embedding, 1)::int - 1 as point_no, unnest(embedding)::double as y from embeddings
@@ -179,4 +204,8 @@ def in_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slab_filter(points(spark, sf_dir), slabs(spark))
 
 
-csv_lines, chi_lines, stog_lines, atom_lines, frac_lines = (partial(raw_lines, kind=k) for k in ("csv", "chi", "stog", "atoms", "frac"))
+def kind_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return landed(spark, raw_lines(spark, sf_dir, kind))
+
+
+csv_lines, chi_lines, stog_lines, atom_lines, frac_lines = (partial(kind_lines, kind=k) for k in ("csv", "chi", "stog", "atoms", "frac"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_folder
-from ..operators import contours, curves, density, structure
-from ..sources import catalog, ingest
+from ..functions.storage import remove, shared_folder, staged
+from ..operators import contours, curves, density, selfdensity, structure
+from ..sources import archive, catalog, export, ingest
 from ..streaming import monitor
 from . import adapters as A
 from .adapters import ctes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-GRID = 16
+GRID = 120
 #: Extent of the density grids and where the fit range lies.
 LIM = (0.0, 10.4116)
 BW = 0.05
@@ -24,7 +26,7 @@ STEP = f"({LIM[1]}::double / {GRID - 1})"
 #: Rounded columns that can be just below zero: DuckDB's round gives them as -0.0, Spark's as 0.0.
 SIGNED = {
     "residuals": ("residual",), "q_weighted": ("qy",), "y_domain": ("y_lo", "y_hi"), "nearest_point": ("y",), "visible_series": ("total",), "chi_log": ("log_chi",),
-    "reduce_coords": ("rx", "ry", "rz"), "frac_lines": ("fx",), "slab_cov": ("sxy",), "fold_cartesian": ("px", "py", "pz"),
+    "reduce_coords": ("rx", "ry", "rz"), "frac_lines": ("fx",), "slab_cov": ("sxy",), "fold_cartesian": ("px", "py", "pz"), "kde_slice_log": ("density",),
 }
 
 
@@ -74,14 +76,17 @@ def y_domain(spark, d):
     return curves.y_domain(A.curve_points(spark, d), 10.0, 20.0).select("path", _r("y_lo").alias("y_lo"), _r("y_hi").alias("y_hi"))
 
 
-@query(
-    ctes("cp") + f"""select path, label, probe, point_no, x, round(y, 6) as y from (select *, row_number() over (partition by path, label, probe order by abs(x - probe), point_no) as k
-from cp, (select unnest([{", ".join(f"{p}::double" for p in A.PROBES)}]) as probe)) where k = 1"""
-)
+_PROBES = """probes as (select distinct 'v' || (l_orderkey % (select count(*) from embeddings)) as path, (l_partkey % 700)::double / 10 - 3 as probe from lineitem)"""
+
+
+@query(ctes("cp") + ", " + _PROBES + """ select path, label, probe, point_no, x, round(y, 6) as y from (select *, row_number() over (partition by path, label, probe order by abs(x - probe), point_no) as k
+from cp join probes using (path)) where k = 1""")
 def nearest_point(spark, d):
-    pts = A.curve_points(spark, d)
-    probes = pts.select("path").distinct().select("path", F.explode(F.array(*[F.lit(p) for p in A.PROBES])).alias("probe"))
-    return curves.nearest_point(pts, probes).withColumn("y", _r("y"))
+    """Probes of every curve from the order lines: up to 700 places a curve, some between points, some outside them."""
+    c, n = F.col, spark.read.parquet(f"{d}/embeddings.parquet").count()
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    probes = lines.select(F.concat(F.lit("v"), (c("l_orderkey") % n).cast("string")).alias("path"), ((c("l_partkey") % 700).cast("double") / 10 - 3).alias("probe"))
+    return curves.nearest_point(A.curve_points(spark, d), probes).withColumn("y", _r("y"))
 
 
 @query(ctes("cp") + "select path, label, count(*) as n, round(sum(y), 5) as total from cp where not (label = 'F(Q)_Expt' and path like '%3') group by path, label")
@@ -113,12 +118,12 @@ def plot_kind(spark, d):
     return A.run_files(spark, d).select("run_id", "path", "name", "plot_kind")
 
 
-@query(ctes("files") + "select run_id, path, pdf_index, row_number() over (partition by run_id order by pdf_index, name, path)::int as place from files where plot_kind = 'npdf'")
+@query(ctes("files") + "select run_id, path, pdf_index, case when pdf_index in (0, 1) then '' else ' #' || pdf_index end as tag, row_number() over (partition by run_id order by pdf_index, name, path)::int as place from files where plot_kind = 'npdf'")
 def pdf_index(spark, d):
     from pyspark.sql import Window
 
     f = A.run_files(spark, d).where("plot_kind = 'npdf'").withColumn("pdf_index", catalog.pdf_index(F.col("name")))
-    return f.select("run_id", "path", "pdf_index", F.row_number().over(Window.partitionBy("run_id").orderBy("pdf_index", "name", "path")).alias("place"))
+    return f.select("run_id", "path", "pdf_index", catalog.neutron_tag(F.col("pdf_index")).alias("tag"), F.row_number().over(Window.partitionBy("run_id").orderBy("pdf_index", "name", "path")).alias("place"))
 
 
 #: First labels of curve tables, by number of the run.
@@ -437,6 +442,7 @@ def kde_normalised(spark, d):
     return got.select(*density.KEYS, "ix", "iy", "level", F.least(F.greatest(F.floor(F.col("level") * 255 + 0.5), F.lit(0)), F.lit(255)).cast("int").alias("index"))
 
 
+_ODD_Z = ctes("points") + """, odd as (select * replace (case when l_partkey % 101 = 7 then 'nan'::double else pz end as pz) from points)"""
 _SEQKEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag)"
 
 
@@ -449,28 +455,39 @@ def kde_fit_sample(spark, d):
     return density.fit_sample(A.in_slab(spark, d).withColumn("seq_key", key), 100).select(*density.KEYS, "seq_key", "fit_no")
 
 
-_SELF = ctes("points") + """, s as (select structure_id, element, (nx * 10 + ny) * 10 + nz as point_id, avg(px) as px, avg(py) as py, avg(pz) as pz from points group by all),
+@query(
+    ctes("inslab").replace("inslab as (", "inslab0 as (") + f""", inslab as (select * from (select *, row_number() over (partition by structure_id, element, slab_id order by md5('0:' || {_SEQKEY}), {_SEQKEY}) as fit_no from inslab0) where fit_no <= 100)"""
+    + _KDE[len(ctes("inslab")):] + """, whole as (select structure_id, element, slab_id, count(*) as slab_count from inslab0 group by all)
+select structure_id, element, slab_id, any_value(slab_count) as slab_count, case when any_value(slab_count) < 5 then 0 else least(any_value(slab_count), 100) end as fit_count, round(min(density), 6) as vmin, round(max(density), 6) as vmax
+from kde join whole using (structure_id, element, slab_id) group by 1, 2, 3"""
+)
+def kde_capped(spark, d):
+    """The density of at most 100 atoms of each slab, drawn by digest, and what it says of itself."""
+    key = F.concat_ws("-", *[F.col(f"seq.{c}") for c in SEQ.split(", ")])
+    inside = A.in_slab(spark, d).withColumn("seq_key", key)
+    got = density.kde_slice_stats(density.kde_slice(inside, BW, GRID, LIM, LIM, fit_cap=100), density.slab_cov(inside, BW), 100)
+    return got.select(*density.KEYS, "slab_count", "fit_count", _r("vmin").alias("vmin"), _r("vmax").alias("vmax"))
+
+
+_SELF = ctes("points") + """, s as (select structure_id, element, px, py, pz, count(*) as w from points group by all),
 m as (select structure_id, element, count(*) as n, covar_samp(px, px) * pow(count(*), -2.0 / 7) as xx, covar_samp(px, py) * pow(count(*), -2.0 / 7) as xy, covar_samp(px, pz) * pow(count(*), -2.0 / 7) as xz,
-  covar_samp(py, py) * pow(count(*), -2.0 / 7) as yy, covar_samp(py, pz) * pow(count(*), -2.0 / 7) as yz, covar_samp(pz, pz) * pow(count(*), -2.0 / 7) as zz from s group by all having count(*) >= 5),
+  covar_samp(py, py) * pow(count(*), -2.0 / 7) as yy, covar_samp(py, pz) * pow(count(*), -2.0 / 7) as yz, covar_samp(pz, pz) * pow(count(*), -2.0 / 7) as zz from points group by all having count(*) >= 5),
 i as (select *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) as det from m),
-p as (select a.structure_id, a.element, a.point_id, i.*, a.px - b.px as dx, a.py - b.py as dy, a.pz - b.pz as dz from s a join s b on a.structure_id = b.structure_id and a.element = b.element join i on a.structure_id = i.structure_id and a.element = i.element)
-select structure_id, element, point_id, round(sum(exp(-0.5 * ((yy * zz - yz * yz) * dx * dx + (xx * zz - xz * xz) * dy * dy + (xx * yy - xy * xy) * dz * dz + 2 * (xz * yz - xy * zz) * dx * dy
-  + 2 * (xy * yz - xz * yy) * dx * dz + 2 * (xy * xz - xx * yz) * dy * dz) / det)) / (any_value(n) * sqrt(any_value(det) * pow(2 * pi(), 3))), 7) as density from p group by structure_id, element, point_id"""
+p as (select a.structure_id, a.element, a.px, a.py, a.pz, a.w as w_a, b.w, i.* exclude (structure_id, element), a.px - b.px as dx, a.py - b.py as dy, a.pz - b.pz as dz from s a join s b on a.structure_id = b.structure_id and a.element = b.element join i on a.structure_id = i.structure_id and a.element = i.element)
+select structure_id, element, round(px, 4) + 0.0::double as px, round(py, 4) + 0.0::double as py, round(pz, 4) + 0.0::double as pz, any_value(w_a) as n_here, round(sum(w * exp(-0.5 * ((yy * zz - yz * yz) * dx * dx + (xx * zz - xz * xz) * dy * dy + (xx * yy - xy * xy) * dz * dz + 2 * (xz * yz - xy * zz) * dx * dy
+  + 2 * (xy * yz - xz * yy) * dx * dz + 2 * (xy * xz - xx * yz) * dy * dz) / det)) / (any_value(n) * sqrt(any_value(det) * pow(2 * pi(), 3))), 7) as density from p group by structure_id, element, p.px, p.py, p.pz"""
 
 
 @query(_SELF)
 def kde_self_3d(spark, d):
-    """Density at the mean atom of each cell of the box and element."""
-    cell = ((F.col("nx") * 10 + F.col("ny")) * 10 + F.col("nz")).alias("point_id")
-    pts = A.points(spark, d).groupBy("structure_id", "element", cell).agg(*[F.avg(f"p{a}").alias(f"p{a}") for a in "xyz"])
-    return density.kde_self_3d(pts).withColumn("density", _r("density", 7))
+    """Density of each element of each structure at the place of every atom, from all atoms; places that atoms share stand once."""
+    points = A.points(spark, d).select("structure_id", "element", "px", "py", "pz", F.struct("px", "py", "pz").alias("point_id"))
+    got = selfdensity.kde_self(points).groupBy("structure_id", "element", "point_id").agg(F.count(F.lit(1)).alias("n_here"), F.avg("density").alias("density"))
+    return got.select("structure_id", "element", *[_r(f"point_id.p{a}", 4).alias(f"p{a}") for a in "xyz"], "n_here", _r("density", 7).alias("density"))
 
 
 def kde_self_grid(spark, d):
-    """Density at every place of an atom, from all atoms, on nodes 0.4 bandwidths apart; no SQL, as all pairs of atoms are too many.
-
-    Tests hold the operator against brute force.
-    """
+    """As kde_self_3d by linear sharing over nodes 0.4 bandwidths apart: approximate, so without SQL; tests hold it against brute force."""
     points = A.points(spark, d)
     one = points.select("structure_id", "element", *[_r(f"p{a}").alias(f"p{a}") for a in "xyz"]).groupBy("structure_id", "element", "px", "py", "pz").agg(F.count(F.lit(1)).alias("n_atoms"))
     ids = one.withColumn("point_id", F.struct("px", "py", "pz"))
@@ -483,12 +500,14 @@ QUERIES["kde_self_grid"] = kde_self_grid
 
 
 @query(
-    ctes("points") + """, p as (select structure_id, round(pz, 6) as z from points), e as (select structure_id, min(z) as lo, max(z) as hi, count(*) as total from p group by 1),
-c as (select structure_id, least(floor((z - lo) * 150 / (hi - lo))::int, 149) as bin, count(*) as n from p join e using (structure_id) group by 1, 2)
-select structure_id, bin, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / (total * ((hi - lo) / 150)), 6) as density from (select e.*, unnest(range(150))::int as bin from e) left join c using (structure_id, bin)"""
+    _ODD_Z + """, p as (select structure_id, round(pz, 6) as z from odd where isfinite(pz)), e as (select structure_id, min(z) as lo, max(z) as hi, count(*) as total from p group by 1),
+c as (select structure_id, least(floor((z - lo) * 150 / (hi - lo))::int, 149) as bin, count(*) as n from p join e using (structure_id) group by 1, 2),
+o as (select structure_id, count(case when not isfinite(pz) then 1 end) as n_odd from odd group by 1)
+select structure_id, bin, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / (total * ((hi - lo) / 150)), 6) as density, n_odd from (select e.*, unnest(range(150))::int as bin from e) left join c using (structure_id, bin) join o using (structure_id)"""
 )
 def z_histogram(spark, d):
-    return density.z_histogram(A.points(spark, d).withColumn("pz", _r("pz"))).withColumn("density", _r("density"))
+    odd = A.points(spark, d).withColumn("pz", F.when(F.col("seq.l_partkey") % 101 == 7, float("nan")).otherwise(_r("pz")))
+    return density.z_histogram(odd).withColumn("density", _r("density"))
 
 
 @query(
@@ -509,10 +528,19 @@ def densest_band(spark, d):
     return density.densest_band(A.folded(spark, d).withColumn("uz", _r("uz"))).withColumn("z_center", _r("z_center"))
 
 
-@query(ctes("points") + "select structure_id, " + ", ".join(f"round(quantile_cont(p{a}, {q}), 5) as {a}_{n}" for a in "xyz" for q, n in ((0.01, "lo"), (0.99, "hi"))) + " from points group by 1")
+#: Points some of whose coordinates are no finite numbers, or outliers.
+_ODD = ctes("points") + """, odd as (select * replace (case when l_partkey % 101 = 7 then 'nan'::double when l_partkey % 101 = 8 then 'inf'::double when l_partkey % 1009 = 9 then 1e12::double else pz end as pz) from points)"""
+
+
+def _odd_points(spark, d):
+    part = F.col("seq.l_partkey")
+    return A.points(spark, d).withColumn("pz", F.when(part % 101 == 7, float("nan")).when(part % 101 == 8, float("inf")).when(part % 1009 == 9, 1e12).otherwise(F.col("pz")))
+
+
+@query(_ODD + "select structure_id, count(case when not isfinite(pz) then 1 end) as n_odd, " + ", ".join(f"round(quantile_cont(p{a}, {q}) filter (where isfinite(p{a})), 5) as {a}_{n}" for a in "xyz" for q, n in ((0.01, "lo"), (0.99, "hi"))) + " from odd group by 1")
 def quantile_limits(spark, d):
-    got = density.quantile_limits(A.points(spark, d))
-    return got.select("structure_id", *[_r(f"{a}_{n}", 5).alias(f"{a}_{n}") for a in "xyz" for n in ("lo", "hi")])
+    got = density.quantile_limits(_odd_points(spark, d))
+    return got.select("structure_id", "n_odd", *[_r(f"{a}_{n}", 5).alias(f"{a}_{n}") for a in "xyz" for n in ("lo", "hi")])
 
 
 @query(
@@ -524,6 +552,20 @@ def slab_defaults(spark, d):
     return got.select("structure_id", _r("z_center").alias("z_center"), _r("dz").alias("dz"))
 
 
+FRACTIONS = [(0, 0.5, 0.05), (1, 0.52, 0.1), (2, 0.3, 0.9)]
+
+
+@query(
+    ctes("points") + f""", len as (select structure_id, sqrt(list_sum(list_transform(lattice[3], lambda x: (x / 10) * (x / 10)))) as c from cells),
+sl as (select structure_id, slab_id, z * c as z_center, t * c as dz from len, (values {", ".join(f"({i}, {z}::double, {t}::double)" for i, z, t in FRACTIONS)}) s(slab_id, z, t))
+select structure_id, slab_id, count(*) as n, round(sum(pz), 4) as z from points join sl using (structure_id) where pz between z_center - dz * 0.5::double and z_center + dz * 0.5::double group by all"""
+)
+def slabs_by_structure(spark, d):
+    """Slabs given as fractions of the cell, in each structure's own length, thin and thick."""
+    slabs = structure.slabs_in_length(spark.createDataFrame(FRACTIONS, "slab_id int, z_center double, dz double"), A.cells(spark))
+    return density.slab_filter(A.points(spark, d), slabs).groupBy("structure_id", "slab_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("pz"), 4).alias("z"))
+
+
 # ---- contours -----------------------------------------------------------------------------------------------------
 _LEVELS = _KDE.replace(", kde as (", ", kde0 as (").replace("\nkde as (", "\nkde0 as (") + """, kde as (select * replace (round(density, 8) as density) from kde0),
 ends as (select structure_id, element, slab_id, min(density) as lo, max(density) as hi from kde group by all having max(density) > 0 and max(density) > min(density)),
@@ -564,46 +606,149 @@ def contour_counts(spark, d):
     return contours.contour_counts(contours.contour_segments(_grid(spark, d)))
 
 
+@query(_SEGMENTS + "select structure_id, element, slab_id, level_no, round(any_value(level), 6) as level, count(*) as n_lines, round(sum(x0 + x1), 2) as sum_x, round(sum(y0 + y1), 2) as sum_y from out group by structure_id, element, slab_id, level_no")
+def contour_lines(spark, d):
+    """The lines of each level as one array."""
+    got = contours.contour_lines(contours.contour_segments(_grid(spark, d)))
+    total = lambda a, b: _r(F.aggregate("lines", F.lit(0.0), lambda t, s: t + s[a] + s[b]), 2)
+    return got.select(*density.KEYS, "level_no", _r("level").alias("level"), F.size("lines").cast("long").alias("n_lines"), total("x0", "x1").alias("sum_x"), total("y0", "y1").alias("sum_y"))
+
+
 # ---- text ---------------------------------------------------------------------------------------------------------
 @query(
-    ctes("numbered") + """, n as (select distinct l_suppkey, no, l_linenumber, l_partkey from numbered)
-select 'f' || l_suppkey as path, (row_number() over (partition by l_suppkey, col_no order by no) - 1)::int as point_no, col_no, case col_no when 1 then 'F(Q)_RMC' else 'F(Q)_Expt' end as label, l_linenumber::double as x,
+    ctes("numbered") + """, n as (select distinct l_suppkey, no, l_linenumber, l_partkey from numbered where l_suppkey % 7 <> 3)
+select 'f' || l_suppkey as path, (row_number() over (partition by l_suppkey, col_no order by no) - 1)::int as point_no, col_no, case when col_no = 1 and l_suppkey % 5 = 1 then 'Series 1' when col_no = 1 then 'F(Q)_RMC' else 'F(Q)_Expt' end as label, l_linenumber::double as x,
   (case col_no when 1 then l_partkey else l_suppkey end)::double as y from n, (select unnest([1, 2]) as col_no)"""
 )
 def csv_points(spark, d):
+    """Curve files of the shared folder, some with a blank label; those of one column give nothing."""
     return ingest.csv_points(A.csv_lines(spark, d))
 
 
-@query(ctes("numbered") + "select distinct 'f' || l_suppkey as path, no + 1 as line_no, l_partkey::double as chi_q, l_linenumber::double as chi_r from numbered")
+@query(ctes("numbered") + "select distinct 'f' || l_suppkey as path, (no + 1)::bigint as line_no, l_partkey::double as chi_q, l_linenumber::double as chi_r from numbered")
 def chi_parse(spark, d):
     return ingest.chi_rows(A.chi_lines(spark, d))
 
 
-@query(ctes("numbered") + ", n as (select distinct l_suppkey, no, l_orderkey, l_partkey from numbered) select 'f' || l_suppkey as path, (row_number() over (partition by l_suppkey order by no) - 1)::int as point_no, l_orderkey::double as x, l_partkey::double as y, 3::bigint as n_cols from n")
+@query(
+    ctes("numbered") + """, n as (select distinct l_suppkey, no, l_orderkey, l_partkey from numbered where l_suppkey not in (select l_suppkey from numbered where l_suppkey % 5 = 1 and l_linenumber = 1))
+select 'f' || l_suppkey as path, (row_number() over (partition by l_suppkey order by no) - 1)::int as point_no, l_orderkey::double as x, l_partkey::double as y, 3::bigint as n_cols from n"""
+)
 def stog_parse(spark, d):
+    """Plain tables of the shared folder; those with rows of one token give nothing."""
     return ingest.stog_points(A.stog_lines(spark, d)).select("path", "point_no", "x", "y", F.size("cols").cast("long").alias("n_cols"))
 
 
-@query(ctes("numbered") + "select distinct 'f' || l_suppkey as path, no::bigint as seq, l_orderkey::int as atom_number, l_returnflag as element, l_linenumber::double as cx, l_partkey::double as cy, l_linenumber::int as reference_number from numbered where l_linenumber <> 3")
+@query(ctes("numbered") + "select distinct 'f' || l_suppkey as path, no::bigint as seq, l_orderkey::int as atom_number, l_returnflag as element, l_linenumber::double as cx, l_partkey::double as cy, l_linenumber::int as reference_number from numbered where l_linenumber not in (3, 5)")
 def atoms_parse(spark, d):
     return ingest.atoms(A.atom_lines(spark, d)).select("path", "seq", "atom_number", "element", "cx", "cy", "reference_number")
 
 
+@query(ctes("numbered") + "select 'f' || l_suppkey as path, l_returnflag as element, array_to_string(list(distinct l_linenumber + case when l_linenumber = 5 then 100 else 0 end order by l_linenumber + case when l_linenumber = 5 then 100 else 0 end), ',') as sites from numbered group by 1, 2")
+def site_index(spark, d):
+    """Sites of configuration files by their own rule, which takes shorter lines than atoms need."""
+    return ingest.site_index(A.atom_lines(spark, d)).withColumn("sites", F.array_join("sites", ","))
+
+
 @query(ctes("numbered") + "select distinct 'f' || l_suppkey as path, (no + 4)::bigint as seq, l_linenumber::int as rn, l_orderkey::double as fx, l_partkey::double as fy, 7.0::double as fz from numbered where l_linenumber <> 2")
 def frac_parse(spark, d):
     return ingest.frac_rows(A.frac_lines(spark, d))
 
 
 @query(
-    ctes("atoms") + """select 's' || structure_id as path, 10.0::double as supercell_x, max(nx)::double + 5 as lattice_xx, (max(ny) + 1)::double as lattice_yy from atoms group by structure_id"""
+    """select 'f' || l_suppkey as path, count(*)::double as supercell_x, max(l_orderkey)::double as lattice_xx, min(l_partkey)::double as lattice_yy from lineitem where l_suppkey % 9 <> 4 and l_suppkey % 11 <> 5 group by l_suppkey"""
 )
 def cell_metadata(spark, d):
-    a = A.atoms(spark, d).groupBy("structure_id").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    text = lambda *parts: F.concat_ws(" ", *[p if not isinstance(p, (str, int)) else F.lit(str(p)) for p in parts])
-    lines = F.array(F.lit("Supercell 1 1 1"), F.lit("Supercell dimensions: 10 10 10"), F.lit("Lattice vectors (Ang):"), text(F.col("nx") + 5, 0, 0), text(0, F.col("ny") + 1, 0), text(0, 0, 7), F.lit("Atoms:"))
-    raw = a.select(F.concat(F.lit("s"), F.col("structure_id").cast("string")).alias("path"), F.posexplode(lines).alias("line_no", "line"))
+    """The last lattice and supercell of each file; files with a bad number give nothing."""
     at = lambda i: F.get(F.get("lattice", F.lit(i)), F.lit(i))
-    return ingest.cell_metadata(raw).select("path", F.get("supercell", F.lit(0)).alias("supercell_x"), at(0).alias("lattice_xx"), at(1).alias("lattice_yy"))
+    return ingest.cell_metadata(A.kind_lines(spark, d, "cell")).select("path", F.get("supercell", F.lit(0)).alias("supercell_x"), at(0).alias("lattice_xx"), at(1).alias("lattice_yy"))
+
+
+@query(
+    ctes("numbered") + """, n as (select distinct (l_suppkey % 3) as f, l_orderkey, l_linenumber, l_partkey, l_suppkey from numbered)
+select 't' || f as path, (row_number() over (partition by f order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1)::bigint as line_no, concat_ws(' ', l_orderkey, l_linenumber, l_partkey, l_suppkey) as line from n"""
+)
+def line_numbers(spark, d):
+    """Three large texts, read in blocks of 64 KB each."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(*keys).distinct()
+    lines = rows.select(F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("path"), F.struct(*keys).alias("line_no"), F.concat_ws(" ", *keys).alias("line"))
+    return A.landed(spark, lines, 1 << 16)
+
+
+@query(
+    ctes("atoms") + f"""select 'Frac_coord_S' || structure_id || '.txt' as name, (row_number() over (partition by structure_id order by {SEQ}) + 4)::bigint as seq, ref as rn, round(cx - nx / 10.0::double, 5) + 0.0::double as fx,
+  round(cy - ny / 10.0::double, 5) + 0.0::double as fy, round(cz - nz / 10.0::double, 5) + 0.0::double as fz from atoms"""
+)
+def frac_round_trip(spark, d):
+    """The fractional tables of all structures, written as texts with their headers and read back."""
+    root = f"{shared_folder(spark)}/frac"
+    export.write_frac(structure.frac_table(A.atoms(spark, d), A.cells(spark)), root, stem=F.concat(F.lit("S"), F.col("structure_id").cast("string")))
+    rows = ingest.frac_rows(ingest.raw_lines(spark, root, folders=True, split_bytes=1 << 18))
+    return rows.select(export.text_name(F.col("path")).alias("name"), "seq", "rn", *[(F.col(c) + 0.0).alias(c) for c in ("fx", "fy", "fz")])
+
+
+@query(
+    """with e as (select *, event_id % 3 as k from events) select 'S' || user_id as run_id, (row_number() over (partition by user_id order by k, ts, event_id) - 1)::int as step, k::int as file_no, value as chi_r from e"""
+)
+def chi_history(spark, d):
+    """Three logs a run, read from the shared folder, follow one another by name."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value", (F.col("event_id") % 3).alias("k"))
+    name = F.concat(F.lit("S"), F.col("user_id").cast("string"), F.lit("-0"), F.col("k").cast("string"), F.lit(".log"))
+    rows = e.select(name.alias("path"), F.struct("ts", "event_id").alias("line_no"), F.concat_ws(" ", "event_id", F.lit("0.5"), F.col("value").cast("string")).alias("line"))
+    none = F.lit(None).cast(rows.schema["line_no"].dataType)
+    heads = e.select(name.alias("path")).distinct().select("path", none.alias("line_no"), F.explode(F.array(F.lit("head"), F.lit("head"))).alias("line"))
+    got = ingest.chi_rows(A.landed(spark, rows.unionAll(heads)))
+    steps = curves.chi_steps(ingest.run_logs(got, lambda p: (F.regexp_extract(p, r"^(.*)-[^-]*$", 1), p)))
+    return steps.select("run_id", "step", "file_no", "chi_r")
+
+
+def _catalogued(k):
+    """Name of a supplier's file."""
+    return F.concat(F.lit("S"), k.cast("string"), F.element_at(F.array(*[F.lit(x) for x in A.SUFFIXES]), (k % len(A.SUFFIXES)).cast("int") + 1))
+
+
+_CATALOGUED = f"'S' || k || ({list(A.SUFFIXES)})[(k % {len(A.SUFFIXES)})::int + 1]"
+
+
+@query(
+    ctes("numbered") + f""", k as (select l_suppkey as k, count(distinct no) + 1 as n_lines, count(distinct case when no < 9 then no end) + 1 as short from numbered group by 1),
+s as (select {_CATALOGUED} as name, n_lines, short, case when k % 4 = 0 then 'new' when k % 7 = 1 then 'gone' when k % 5 = 2 then 'changed' else 'same' end as status from k)
+select name, status, case status when 'new' then n_lines when 'changed' then short else 0 end as n_lines from s"""
+)
+def catalog_changes(spark, d):
+    """Two snapshots of a folder; only texts that are new or changed are read again."""
+    root, k = f"{shared_folder(spark)}/texts", F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    lines = staged(A.raw_lines(spark, d, "csv").withColumn("k", k).select(_catalogued(F.col("k")).alias("name"), "k", F.col("line_no").alias("place"), "line"))
+    new, gone = F.col("k") % 4 == 0, F.col("k") % 7 == 1
+    changed = ~new & ~gone & (F.col("k") % 5 == 2)
+    export.write_texts(lines.where(~new), root)
+    before = staged(catalog.scan_files(spark, root, ("*",), folders=True))
+    for name in [r.name for r in lines.where(~new & (gone | changed)).select("name").distinct().collect()]:
+        remove(spark, f"{root}/name={name}")
+    export.write_texts(lines.where(new | (changed & (F.col("place") < 9))), root, "append")
+    found = staged(catalog.changes(before, catalog.scan_files(spark, root, ("*",), folders=True)))
+    name = export.text_name(F.col("path")).alias("name")
+    read = ingest.raw_lines(spark, catalog.to_read(found), folders=True).groupBy(name).agg(F.count(F.lit(1)).alias("n_lines"))
+    return found.select(name, "status").join(read, "name", "left").fillna(0, "n_lines")
+
+
+@query(
+    f"""with k as (select distinct l_suppkey as k from lineitem), n as (select 'run' || k % 3 as run_id, {_CATALOGUED} as name, false as is_directory from k union all select distinct 'root', 'run' || k % 3, true from k),
+files as (select *, case when ends_with(name, '_FT_XFQ1.csv') then 'xpdf' when contains(name, 'PDF') and ends_with(name, '.csv') then case when contains(name, 'PDFpartials') then 'pdf_partials' else 'npdf' end
+  when ends_with(name, '_FQ1.csv') then 'xray_sq' when ends_with(name, '_SQ1.csv') then 'neutron_sq' when ends_with(name, '_bragg.csv') then 'bragg' when ends_with(name, '.log') then 'r_value' end as plot_kind from n)
+select run_id, name, is_directory, plot_kind, row_number() over (partition by run_id order by lower(name), name)::int as position from files where is_directory or ends_with(name, '.csv') or ends_with(name, '.log') or ends_with(name, '.rmc6f')"""
+)
+def file_catalog(spark, d):
+    """What lies in the folders of three runs: folders and the files that match a pattern."""
+    root, k = f"{shared_folder(spark)}/runs", F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    lines = staged(A.raw_lines(spark, d, "csv").withColumn("k", k).select(_catalogued(F.col("k")).alias("name"), "k", F.col("line_no").alias("place"), "line"))
+    for run in range(3):
+        export.write_texts(lines.where(F.col("k") % 3 == run), f"{root}/run{run}")
+    files = catalog.scan_files(spark, root, folders=True).select("run_id", "path", "name", "plot_kind", F.lit(False).alias("is_directory"))
+    folders = catalog.scan_folders(spark, root).where(~F.col("name").startswith("name="))
+    folders = folders.select(F.lit("root").alias("run_id"), "path", "name", F.lit(None).cast("string").alias("plot_kind"), F.lit(True).alias("is_directory"))
+    return catalog.listing(files.unionAll(folders)).select("run_id", "name", "is_directory", "plot_kind", "position")
 
 
 @query(ctes("files") + "select f.run_id, f.name, min(f.path) as path from files f join (select run_id, min(name) as name from files where plot_kind is not null group by 1) n on n.run_id = f.run_id and n.name = f.name group by 1, 2")
@@ -615,12 +760,20 @@ def stog_input_join(spark, d):
 
 
 @query(
-    ctes("numbered") + """, l as (select distinct l_suppkey, max(case when l_linenumber = 3 then 1 else 0 end) as odd from numbered group by 1) select 'f' || l_suppkey as path, 'not a number' as reason from l where odd = 1"""
+    ctes("numbered") + """, k as (select l_suppkey as k, bool_or(l_linenumber = 3) as third, bool_or(l_linenumber = 1) as one, bool_and(l_linenumber = 1) as solo from numbered group by 1),
+e as (select 'csv/f' || k as path, case when k % 7 = 3 then 'fewer than two numeric columns' when third then 'not a number' end as reason from k
+  union all select 'stog/f' || k, case when k % 5 = 1 and solo then 'fewer than two numeric columns' when k % 5 = 1 and one then 'rows of different length' end from k
+  union all select 'cell/f' || k, case when k % 9 = 4 or k % 11 = 5 then 'lattice or supercell is not numeric' end from k)
+select path, reason from e where reason is not null"""
 )
 def ingest_errors(spark, d):
-    """Curve files with a cell that is no number give an error row."""
-    lines = A.csv_lines(spark, d).withColumn("line", F.when(F.col("line").startswith("3,"), F.regexp_replace("line", "^3,", "x3,")).otherwise(F.col("line")))
-    return ingest.ingest_errors(lines, lines.select("path").distinct().withColumn("kind", F.lit("csv")))
+    """Files of three kinds whose format is broken, each with its reason."""
+    odd = F.when(F.col("line").startswith("3,"), F.regexp_replace("line", "^3,", "x3,")).otherwise(F.col("line"))
+    raw = {kind: A.raw_lines(spark, d, kind).withColumn("path", F.concat(F.lit(f"{kind}."), "path")) for kind in ("csv", "stog", "cell")}
+    raw["csv"] = raw["csv"].withColumn("line", odd)
+    lines = A.landed(spark, raw["csv"].unionAll(raw["stog"]).unionAll(raw["cell"])).withColumn("path", F.replace("path", F.lit("."), F.lit("/")))
+    kinds = lines.select("path").distinct().withColumn("kind", F.substring_index("path", "/", 1))
+    return ingest.ingest_errors(lines, kinds)
 
 
 # ---- summaries ----------------------------------------------------------------------------------------------------
@@ -666,3 +819,43 @@ def chi_monitor(spark, d):
     monitor.start(monitor.read_chunks(spark, f"{folder}/in"), sink, f"{folder}/checkpoint").awaitTermination()
     newest = F.max_by(F.struct("final_chi", "best_chi", "n_steps"), "epoch").alias("m")
     return spark.read.parquet(f"{folder}/out").groupBy("run_id").agg(newest).select("run_id", "m.*")
+
+
+@query(ctes("chi") + "select 'u' || run_id as run_id, step::bigint as step, chi_r, min(chi_r) over (partition by run_id order by step) as best_chi, chi_r as final_chi from chi")
+def chi_stream(spark, d):
+    """Logs that land in six chunks without steps, numbered as a stream that stops in the middle and is started again."""
+    folder = shared_folder(spark)
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    ends = e.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    e = e.withColumn("file_no", F.least(F.floor((F.col("t") - ends.a) * 6 / max(1, ends.b - ends.a)), F.lit(5)))
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"), "file_no", "ts", "event_id", (F.col("value") / 2).alias("chi_q"), F.col("value").alias("chi_r"))
+    rows = staged(curves.ranked(rows, ["run_id", "file_no"], ["ts", "event_id"], line_no=["run_id", "file_no"]).select("run_id", "file_no", "line_no", "chi_q", "chi_r"))
+    for half in (range(3), range(3, 6)):
+        for chunk in half:  # a run's rows of a chunk are in one file
+            rows.where(F.col("file_no") == chunk).repartition(4, "run_id").write.parquet(f"{folder}/in/{chunk}")
+        monitor.start_steps(monitor.read_chunks(spark, f"{folder}/in", monitor.ROWS, files_per_epoch=4), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("run_id", "step", "chi_r", "best_chi", "final_chi")
+
+
+# ---- archive ------------------------------------------------------------------------------------------------------
+def _stored(spark, df, key, *order):
+    return archive.store(df, f"archive_{uuid.uuid4().hex}", key, f"{shared_folder(spark)}/table", 8, order=order)
+
+
+@query(ctes("pairs") + f"select path, round({RWP}, 6) as rwp from pairs group by path")
+def archived_rwp(spark, d):
+    """Goodness of fit from curves that lie bucketed by path: no exchange after the table is written."""
+    return curves.rwp(_stored(spark, A.curve_points(spark, d), "path", "point_no")).select("path", _r("rwp").alias("rwp"))
+
+
+@query(
+    ctes("atoms", "part_cells") + """, s as (select structure_id, v, [(8 + structure_id % 5)::double, 10.0::double, (8 + p_size % 3)::double] as sc from part_cells join part on p_partkey = structure_id),
+u as (select l_partkey as structure_id, l_orderkey, l_linenumber, l_suppkey, cx * sc[1] - floor(cx * sc[1]) as ux, cy * sc[2] - floor(cy * sc[2]) as uy, cz * sc[3] - floor(cz * sc[3]) as uz, v from atoms join s on s.structure_id = l_partkey)
+select structure_id, l_orderkey, l_linenumber, l_suppkey, round(ux * v[1][1] + uy * v[2][1] + uz * v[3][1], 5) + 0.0::double as px, round(ux * v[1][2] + uy * v[2][2] + uz * v[3][2], 5) + 0.0::double as py, round(ux * v[1][3] + uy * v[2][3] + uz * v[3][3], 5) + 0.0::double as pz from u"""
+)
+def archived_fold(spark, d):
+    """Atoms and cells of one structure per part, both bucketed by structure: they fold without an exchange."""
+    atoms = A.atoms(spark, d).withColumn("structure_id", F.col("seq.l_partkey"))
+    atoms, cells = _stored(spark, atoms, "structure_id"), _stored(spark, A.part_cells(spark, d), "structure_id")
+    got = structure.positions(atoms, cells)
+    return got.select("structure_id", *[F.col(f"seq.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey")], *[(_r(f"p{a}", 5) + 0.0).alias(f"p{a}") for a in "xyz"])

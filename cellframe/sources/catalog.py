@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,25 +10,64 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import axis_label
 
+#: Names of run files, order of kinds on a dashboard, kinds whose curves are compared by Rwp.
 PATTERNS = ("*.csv", "*.log", "*.rmc6f", "Frac*.txt", "scale_ft.*", "stog_input.dat")
-#: Order in which a dashboard shows kinds.
 KIND_ORDER = ("r_value", "bragg", "xray_sq", "neutron_sq", "xpdf", "npdf", "pdf_partials", "stog")
-#: Kinds whose curves are compared by Rwp.
 COMPARED = ("xpdf", "npdf", "xray_sq", "neutron_sq", "bragg")
 
 
-def scan_files(spark: SparkSession, root: str, patterns=PATTERNS) -> DataFrame:
-    """(run_id, path, name, ext, size, mtime, plot_kind) of all matching files below root; contents are not read."""
-    glob = "{" + ",".join(patterns) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length", "modificationTime")
+def _matches(name: Column, patterns) -> Column:
+    return name.rlike("^(" + "|".join(re.escape(p).replace(r"\*", ".*") for p in patterns) + ")$")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names it, with its store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def scan_files(spark: SparkSession, root: str, patterns=PATTERNS, folders: bool = False) -> DataFrame:
+    """(run_id, path, name, ext, size, mtime, plot_kind) of all matching files below root; contents are not read.
+
+    folders: a text is a folder of parts, as `export.write_texts` leaves it: sizes add up, the newest part dates it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    if folders:
+        files = files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+    parts = F.split("path", "/")
+    name = F.regexp_replace(F.element_at(parts, -1), "^name=", "") if folders else F.element_at(parts, -1)
+    files = files.select(F.element_at(parts, -2).alias("run_id"), "path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return with_kind(files.where(_matches(F.col("name"), patterns))).dropDuplicates(["path"])
+
+
+def scan_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, path, name) of the folders below root that hold a file at some depth; run_id is the folder around."""
+    base = qualified(spark, root).rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    steps = F.slice(F.split(F.expr(f"substring(path, {len(base) + 2})"), "/"), 1, F.size(F.split(F.expr(f"substring(path, {len(base) + 2})"), "/")) - 1)
+    above = F.explode(F.transform(steps, lambda _, i: F.concat_ws("/", F.lit(base), F.slice(steps, F.lit(1), i + 1))))
+    found = files.select(above.alias("path")).distinct()
     parts = F.split("path", "/")
-    files = files.select(F.element_at(parts, -2).alias("run_id"), "path", F.element_at(parts, -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return with_kind(files).dropDuplicates(["path"])
+    return found.select(F.element_at(parts, -2).alias("run_id"), "path", F.element_at(parts, -1).alias("name"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, status) of two snapshots (path, size, mtime): new, gone, changed or same."""
+    old = before.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.lit(1).alias("_was"))
+    both = after.select("path", "size", "mtime", F.lit(1).alias("_is")).join(old, "path", "full")
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime"))
+    return both.select("path", F.when(F.col("_was").isNull(), "new").when(F.col("_is").isNull(), "gone").when(same, "same").otherwise("changed").alias("status"))
+
+
+def to_read(changed: DataFrame) -> list[str]:
+    """Paths of the new and changed files, for a reader.  Spark's own listing of a scan holds as many on the driver."""
+    return [r.path for r in changed.where(F.col("status").isin("new", "changed")).select("path").collect()]
 
 
 def plot_kind(name: Column) -> Column:
     """Kind of plot by file name; the first rule that fits decides, and case matters."""
     pdf = name.contains("PDF") & name.endswith(".csv")
+    # fixed values, in order
     return (
         F.when(name.endswith("_FT_XFQ1.csv"), "xpdf")
         .when(pdf & name.contains("PDFpartials"), "pdf_partials")
@@ -45,6 +85,11 @@ def pdf_index(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(name, r"PDF(\d+)\.csv$", 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
+def neutron_tag(index: Column) -> Column:
+    """What tells several neutron data sets apart in a title: nothing for numbers 0 and 1, else ` #` and the number."""
+    return F.when(index.isin(0, 1), "").otherwise(F.concat(F.lit(" #"), index.cast("string")))
+
+
 def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 

@@ -1,44 +1,74 @@
 """Readers of run files: labelled curves, convergence logs, plain tables, configurations, fractional tables.
 
 Each reader takes raw_lines (path, line_no, line) and returns typed rows.  A file that breaks its format gives no
-rows and one row in ingest_errors instead of an exception, so that one bad file cannot fail a batch.
+rows and one row in ingest_errors instead of an exception, so that one bad file cannot fail a batch.  Files are cut
+into blocks wherever their size asks for it: no reader needs a file's lines in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cells, to_double, to_int, tokens
+from ..functions.expressions import cells, header_cells, to_double, to_int, tokens
+from ..functions.storage import ranked, small_side, staged
 
+SPLIT = "spark.sql.files.maxPartitionBytes"
 
-def raw_lines(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
-    """(path, line_no, line) of whole text files; line ends may be LF, CRLF or CR."""
+
+def raw_lines(spark: SparkSession, paths, glob: str | None = None, folders: bool = False, split_bytes: int | None = None) -> DataFrame:
+    """(path, line_no, line) of text files of any size; line ends may be LF, CRLF or CR.
+
+    A file is read in byte blocks (`split_bytes`, else the session's setting), each by a task of its own.  The lines are
+    written once with their block and their place in it; a line's number is its place plus the running total of the
+    lines in the blocks before.  folders: the files of one folder are one text, in the order of their names, as
+    `export.write_texts` leaves them; path is the folder then.
+    """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
-    return text
+    text = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    before = spark.conf.get(SPLIT)
+    try:
+        spark.conf.set(SPLIT, split_bytes or before)
+        held = staged(text)
+    finally:
+        spark.conf.set(SPLIT, before)
+    path = F.regexp_replace("file", "/[^/]*$", "") if folders else F.col("file")
+    counts = held.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("path", path)
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = small_side(staged(counts.select("file", "block", "path", (earlier - F.col("first")).alias("shift"))))  # a row per block
+    return held.join(counts, ["file", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), "line")
+
+
+def even(rows: DataFrame, values: str, least: int = 2) -> DataFrame:
+    """The rows of files all of whose rows have equally many numbers, `least` at least, and nothing else."""
+    v = F.col(values)
+    good = rows.groupBy("path").agg(F.min(F.size(v)).alias("lo"), F.max(F.size(v)).alias("hi"), F.max(F.exists(v, lambda x: x.isNull())).alias("odd"))
+    return rows.join(good.where((F.col("lo") == F.col("hi")) & ~F.col("odd") & (F.col("lo") >= least)).select("path"), "path", "left_semi")
 
 
 def csv_points(lines: DataFrame) -> DataFrame:
     """(path, point_no, col_no, label, x, y) of labelled comma-separated curves.
 
-    Line 0 has the labels; blank cells are left out, which moves later values to the left; column 0 is x.
-    Files with a cell that is no number, or rows of different length, give no rows.
+    Line 0 has the labels, which keep their places: a blank one becomes `Series` and its column's number.  In data
+    lines blank cells are left out, which moves later values to the left; column 0 is x.  Files with a cell that is no
+    number, with rows of different length or with fewer than two columns give no rows.
     """
-    rows = lines.withColumn("cells", cells(F.col("line"))).where((F.size("cells") > 0) | (F.col("line_no") == 0))
-    heads = rows.where("line_no = 0").select("path", F.col("cells").alias("labels"))
-    data = rows.where("line_no > 0").select("path", "line_no", F.transform("cells", to_double).alias("v"))
-    good = data.groupBy("path").agg(F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi"), F.max(F.exists("v", lambda x: x.isNull())).alias("odd")).where("lo = hi and not odd").select("path")
-    data = data.join(good, "path", "left_semi").join(heads, "path")
-    # data lines are numbered in order per file; a file is in one row, so the window follows its lines
-    data = data.withColumn("point_no", F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1)
-    out = data.select("path", "point_no", "labels", F.get("v", F.lit(0)).alias("x"), F.posexplode("v").alias("col_no", "y")).where("col_no > 0")
-    label = F.coalesce(F.nullif(F.trim(F.get("labels", F.col("col_no"))), F.lit("")), F.concat(F.lit("Series "), F.col("col_no").cast("string")))
+    heads = lines.where("line_no = 0").select("path", header_cells(F.col("line")).alias("labels"))
+    data = lines.where("line_no > 0").select("path", "line_no", F.transform(cells(F.col("line")), to_double).alias("v")).where(F.size("v") > 0)
+    data = ranked(even(data, "v"), ["path"], ["line_no"], point_no=["path"]).join(heads, "path")
+    out = data.select("path", F.col("point_no").cast("int").alias("point_no"), "labels", F.get("v", F.lit(0)).alias("x"), F.posexplode("v").alias("col_no", "y")).where("col_no > 0")
+    label = F.coalesce(F.nullif(F.get("labels", F.col("col_no")), F.lit("")), F.concat(F.lit("Series "), F.col("col_no").cast("string")))
     return out.select("path", "point_no", "col_no", label.alias("label"), "x", "y")
 
 
+def log_place(path: Column) -> tuple[Column, Column]:
+    """(run_id, name) of a log file by its path: the folder and the file's name."""
+    parts = F.split(path, "/")
+    return F.element_at(parts, -2), F.element_at(parts, -1)
+
+
 def chi_rows(lines: DataFrame) -> DataFrame:
     """(path, line_no, chi_q, chi_r): the last two tokens of each line from the third; a bad number drops the file."""
     rows = lines.where("line_no >= 2").withColumn("t", tokens(F.col("line"))).where(F.size("t") >= 2)
@@ -47,12 +77,25 @@ def chi_rows(lines: DataFrame) -> DataFrame:
     return rows.join(bad, "path", "left_anti")
 
 
+def run_logs(rows: DataFrame, place=log_place) -> DataFrame:
+    """(run_id, file_no, line_no, chi_q, chi_r) of chi_rows: the logs of a run follow one another by name.
+
+    place: run_id and the name that orders a run's files, from the path; numbers are given over files, not lines.
+    """
+    run, name = place(F.col("path"))
+    files = rows.select("path").distinct().select("path", run.alias("run_id"), name.alias("name"))
+    files = files.withColumn("file_no", F.row_number().over(Window.partitionBy("run_id").orderBy("name", "path")) - 1)
+    return rows.join(small_side(staged(files)), "path").select("run_id", "file_no", "line_no", "chi_q", "chi_r")
+
+
 def stog_points(lines: DataFrame) -> DataFrame:
-    """(path, point_no, x, y, cols): white-space separated numbers from the third line."""
-    rows = lines.where("line_no >= 2").withColumn("t", tokens(F.col("line"))).where(F.size("t") >= 2).withColumn("cols", F.transform("t", to_double))
-    good = rows.groupBy("path").agg(F.min(F.size("cols")).alias("lo"), F.max(F.size("cols")).alias("hi"), F.max(F.exists("cols", lambda x: x.isNull())).alias("odd")).where("lo = hi and not odd").select("path")
-    rows = rows.join(good, "path", "left_semi").withColumn("point_no", F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1)
-    return rows.select("path", "point_no", F.get("cols", F.lit(0)).alias("x"), F.get("cols", F.lit(1)).alias("y"), "cols")
+    """(path, point_no, x, y, cols): white-space separated numbers from the third line.
+
+    Every line with a token counts: files with rows of different length, of one column, or with a token that is no number give no rows.
+    """
+    rows = lines.where("line_no >= 2").select("path", "line_no", F.transform(tokens(F.col("line")), to_double).alias("cols")).where(F.size("cols") >= 1)
+    rows = ranked(even(rows, "cols"), ["path"], ["line_no"], point_no=["path"])
+    return rows.select("path", F.col("point_no").cast("int").alias("point_no"), F.get("cols", F.lit(0)).alias("x"), F.get("cols", F.lit(1)).alias("y"), "cols")
 
 
 def atoms(lines: DataFrame) -> DataFrame:
@@ -60,9 +103,7 @@ def atoms(lines: DataFrame) -> DataFrame:
 
     Lines with a token that does not parse are left out.
     """
-    t = lines.withColumn("t", tokens(F.col("line")))
-    start = t.where(F.get("t", F.lit(0)) == "Atoms:").groupBy("path").agg(F.min("line_no").alias("start"))
-    rows = t.join(start, "path").where((F.col("line_no") > F.col("start")) & (F.size("t") >= 10))
+    rows = atom_lines(lines).where(F.size("t") >= 10)
     at = lambda i: F.get("t", F.lit(i))
     rows = rows.select(
         "path", F.col("line_no").cast("long").alias("seq"), to_int(at(0)).alias("atom_number"), at(1).alias("element"), at(2).alias("type_label"),
@@ -72,17 +113,39 @@ def atoms(lines: DataFrame) -> DataFrame:
     return rows.dropna()
 
 
-def cell_metadata(lines: DataFrame) -> DataFrame:
-    """(path, supercell, lattice): of the last `Supercell` and `Lattice` lines; files without either are left out."""
+def atom_lines(lines: DataFrame) -> DataFrame:
+    """(path, line_no, t): the tokens of the lines after the one that begins with `Atoms:`."""
     t = lines.withColumn("t", tokens(F.col("line")))
-    order = Window.partitionBy("path").orderBy("line_no")
-    t = t.withColumn("next", F.array(*[F.lead("t", i).over(order) for i in (1, 2, 3)]))
-    three = lambda x: F.transform(F.slice(x, -3, 3), to_double)
-    head = F.get("t", F.lit(0))
-    sizes = t.where((head == "Supercell") & (F.size("t") >= 4)).groupBy("path").agg(F.max_by(three(F.col("t")), "line_no").alias("supercell"))
-    vectors = F.transform("next", lambda r: F.transform(F.slice(r, 1, 3), to_double))
-    lattice = t.where((head == "Lattice")).groupBy("path").agg(F.max_by(vectors, "line_no").alias("lattice"))
-    return sizes.join(lattice, "path")
+    start = t.where(F.get("t", F.lit(0)) == "Atoms:").groupBy("path").agg(F.min("line_no").alias("start"))
+    return t.join(start, "path").where(F.col("line_no") > F.col("start")).select("path", "line_no", "t")
+
+
+def site_index(lines: DataFrame) -> DataFrame:
+    """(path, element, sites) of configuration files: the sorted sites of each element.
+
+    The site is the fourth token from the end of a line of five tokens and more, the element the second; unlike `atoms` this asks for nothing else of the
+    line.  Lines whose site is no whole number are left out.
+    """
+    rows = atom_lines(lines).where(F.size("t") >= 5).select("path", F.get("t", F.lit(1)).alias("element"), to_int(F.element_at("t", -4)).alias("site")).where("site is not null")
+    return rows.distinct().groupBy("path", "element").agg(F.sort_array(F.collect_list("site")).alias("sites"))
+
+
+def cell_metadata(lines: DataFrame) -> DataFrame:
+    """(path, supercell, lattice): of the last `Supercell` and `Lattice` lines.
+
+    Files without either, or whose last ones do not give three and nine numbers, are left out.
+    """
+    head = F.regexp_extract("line", r"^\s*(\S+)", 1)
+    heads = lines.where(head.isin("Supercell", "Lattice")).select("path", "line_no", head.alias("head"), tokens(F.col("line")).alias("t"))
+    three = F.transform(F.slice("t", -3, 3), to_double)
+    sizes = heads.where("head = 'Supercell'").groupBy("path").agg(F.max_by(three, "line_no").alias("supercell"))
+    # only the three lines after the last `Lattice` line are fetched, wherever they stand
+    last = heads.where("head = 'Lattice'").groupBy("path").agg(F.max("line_no").alias("from"))
+    wanted = last.select("path", F.posexplode(F.array(*[F.col("from") + i for i in (1, 2, 3)])).alias("row", "line_no"))
+    numbers = F.transform(F.slice(tokens(F.col("line")), 1, 3), to_double)
+    lattice = lines.join(wanted, ["path", "line_no"]).groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", numbers.alias("v")))), lambda r: r["v"]).alias("lattice"))
+    whole = lambda a, n: (F.size(a) == n) & ~F.exists(a, lambda x: x.isNull())
+    return sizes.join(lattice, "path").where(whole(F.col("supercell"), 3) & whole(F.flatten("lattice"), 9) & (F.size("lattice") == 3))
 
 
 def frac_rows(lines: DataFrame) -> DataFrame:
@@ -106,8 +169,8 @@ FIRST_LINE = {"csv": 1, "chi": 2, "stog": 2, "atoms": 0, "cell": 0, "frac": 5}
 def ingest_errors(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     """(path, reason) of files that break the format of their kind. kinds: (path, kind).
 
-    All lines are read once, and every fault is counted in one aggregate over the files.  Logs and tables that merely
-    hold no rows are no errors, except for curves and plain tables, which need one.
+    All lines are read once, and every fault is counted in one aggregate over the files; the numbers of a cell come from
+    its own reader.  Logs and tables that merely hold no rows are no errors, except for curves and plain tables, which need one.
     """
     kind = F.col("kind")
     first = F.coalesce(*[F.when(kind == k, n) for k, n in FIRST_LINE.items()])
@@ -120,12 +183,15 @@ def ingest_errors(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     got = own.groupBy("path", "kind").agg(
         any_(data).alias("rows"), any_(odd).alias("odd"), F.min(width).alias("lo"), F.max(width).alias("hi"), any_(F.trim("line") != "").alias("text"),
-        any_(head == "Atoms:").alias("atoms"), any_((head == "Supercell") & (F.size("t") >= 4)).alias("supercell"), any_(head == "Lattice").alias("lattice"),
+        any_(head == "Atoms:").alias("atoms"), any_(head == "Supercell").alias("supercell"), any_(head == "Lattice").alias("lattice"),
     )
+    read = cell_metadata(lines.join(kinds.where("kind = 'cell'"), "path", "left_semi")).select("path", F.lit(True).alias("read"))
+    got = got.join(read, "path", "left")
+    table = kind.isin("csv", "stog")
     reason = (
-        F.when(kind.isin("csv", "stog") & ~F.col("text"), "empty file").when(kind.isin("csv", "stog") & ~F.col("rows"), "no numeric rows").when(F.col("odd"), "not a number")
-        .when(F.col("lo") < F.col("hi"), "rows of different length").when((kind == "atoms") & ~F.col("atoms"), "no Atoms section")
-        .when((kind == "cell") & ~(F.col("supercell") & F.col("lattice")), "no lattice or supercell")
+        F.when(table & ~F.col("text"), "empty file").when(table & ~F.col("rows"), "no numeric rows").when(F.col("odd"), "not a number")
+        .when(F.col("lo") < F.col("hi"), "rows of different length").when(F.col("hi") < 2, "fewer than two numeric columns").when((kind == "atoms") & ~F.col("atoms"), "no Atoms section")
+        .when((kind == "cell") & ~(F.col("supercell") & F.col("lattice")), "no lattice or supercell").when((kind == "cell") & F.col("read").isNull(), "lattice or supercell is not numeric")
     )
     missing = kinds.join(lines.select("path").distinct(), "path", "left_anti").select("path", F.lit("empty file").alias("reason"))
     return got.select("path", reason.alias("reason")).where("reason is not null").unionAll(missing)
