@@ -4,7 +4,7 @@ Whitened, a group's kernel is exp(-|u - v|^2 / 2).  Points are summed up in cell
 places about the cell's centre up to ORDER along each axis; the kernel's Taylor series takes the moments of one cell to a
 series about the centre of another, axis by axis; a point's density is its own cell's series at its place.  Cells
 farther than REACH bandwidths apart do not meet.  With the values below a pair of points contributes its kernel to
-within 1e-11 of the kernel's peak, wherever the two lie in their cells, so a density is as exact as that times the
+within 3e-10 of the kernel's peak (1e-10 along each axis), wherever the two lie in their cells, so a density is as exact as that times the
 peak of one kernel (tests hold it against sums over all pairs).
 
 Work grows with the points and with the occupied cells times the neighbours of a cell along one axis.  Moments of a cell are added up in

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellframe.operators import contours, curves, density, structure
 from cellframe.plans import adapters
-from cellframe.sources import catalog, ingest
+from cellframe.sources import catalog, export, ingest
 from cellframe.streaming import monitor
 
 
@@ -67,28 +67,29 @@ def test_pdf_index(spark):
     assert [r[0] for r in got] == [12, 0]
 
 
-SEVEN = [(0.2, 0.2, 0.5), (0.3, 0.25, 0.5), (0.4, 0.6, 0.52), (0.7, 0.3, 0.48), (0.6, 0.8, 0.5), (0.5, 0.5, 0.54), (0.5, 0.5, 0.9)]
+#: Nine atoms along a diagonal of heights 1.0, 1.1 ... 1.8, and one far off.
+STAIRS = [(0.1 * i, 0.9 - 0.07 * i * i % 0.8, 1.0 + 0.1 * i) for i in range(9)] + [(0.4, 0.4, 7.0)]
 
 
-def atoms7(spark):
-    return spark.createDataFrame([(0, "Ga", i, *p) for i, p in enumerate(SEVEN)], "structure_id int, element string, seq int, px double, py double, pz double")
+def stairs(spark, n=10):
+    return spark.createDataFrame([(0, "Ga", i, *p) for i, p in enumerate(STAIRS[:n])], "structure_id int, element string, seq int, px double, py double, pz double")
 
 
 def one_slab(spark, z=0.5, dz=0.08):
     return spark.createDataFrame([(0, z, dz)], "slab_id int, z_center double, dz double")
 
 
-def test_slab_of_seven_holds_six(spark):
-    inside = density.slab_filter(atoms7(spark), one_slab(spark), 0.05)
-    assert inside.count() == 6
-    grid = density.kde_slice(inside, bw=0.2, grid=32)
+def test_slab_takes_both_faces_and_its_density_says_how_many(spark):
+    inside = density.slab_filter(stairs(spark), one_slab(spark, 1.375, 0.75))  # 1.0 and 1.75 are its faces
+    assert sorted(r.seq for r in inside.collect()) == list(range(8))
+    grid = density.kde_slice(inside, bw=0.2, grid=20)
     stats = density.kde_slice_stats(grid, density.slab_cov(inside, 0.2)).first()
-    assert (stats.slab_count, stats.fit_count) == (6, 6) and stats.vmax > stats.vmin
-    assert grid.count() == 32 * 32
+    assert (stats.slab_count, stats.fit_count) == (8, 8) and stats.vmax > stats.vmin
+    assert grid.count() == 400
 
 
 def test_few_and_singular_slabs(spark):
-    few = density.kde_slice(density.slab_filter(atoms7(spark).limit(3), one_slab(spark)), grid=2)
+    few = density.kde_slice(density.slab_filter(stairs(spark, 3), one_slab(spark, 1.0, 1.0)), grid=2)
     assert few.count() == 256 and {r.density for r in few.collect()} == {0.0}
     line = spark.createDataFrame([(0, "Ga", 0.1 * i, 0.1 * i, 0.5) for i in range(8)], "structure_id int, element string, px double, py double, pz double")
     got = density.kde_slice(density.slab_filter(line, one_slab(spark)), grid=16)
@@ -164,7 +165,8 @@ def folder(tmp_path_factory):
     d.mkdir()
     files = {
         "A_FQ1.csv": "Q, F(Q)_RMC, F(Q)_Expt\r\n0.5, -1.0, -0.6, \r\n1.0, 2.0, 3.0, \r\n", "B_FQ1.csv": "Q,a,b\n1,2,3\n1,,3\n", "C_FQ1.csv": "", "D_FQ1.csv": "Q,a\n", "E-1.log": "h\nh\nt 1 2 3\n4\nt 5 6\n", "F-1.log": "h\nh\n1 x\n",
-        "scale_ft.gr": "h\nh\n 1 2 9\n 3 4 9\n", "stog_input.dat": "title\n scale_ft.gr raw\n", "G.rmc6f": CONFIG, "H.rmc6f": "no atoms\n", "Frac_x.txt": "h\n" * 5 + "  4    0.07507    0.07511    0.07275  0  0  0\nbad\n", "notes.txt": "x",
+        "I_FQ1.csv": "Q,,F\n1,2,3\n4,5,6", "J_FQ1.csv": "Q\n1\n2\n", "scale_ft.sq": "h\nh\n1 2\n3\n4 5\n", "scale_ft_rmc.fq": "h\nh\n1\n2\n", "K.rmc6f": "Supercell 2 2 2\nLattice\n1 0 0\n0 x 0\n0 0 1\nAtoms:\n",
+        "L.rmc6f": "Supercell 2 2 2\nLattice\n1 0 0\n0 1 0\n0 0 1\nSupercell 3 3\nAtoms:\n 9 Ga 7 0 0 0\n 9 Ga 3 0 0 0\n 9 Nb x 0 0 0\n1 Nb 2 0\n", "scale_ft.gr": "h\nh\n 1 2 9\n 3 4 9\n", "stog_input.dat": "title\n scale_ft.gr raw\n", "G.rmc6f": CONFIG, "H.rmc6f": "no atoms\n", "Frac_x.txt": "h\n" * 5 + "  4    0.07507    0.07511    0.07275  0  0  0\nbad\n", "notes.txt": "x",
     }
     for name, text in files.items():
         (d / name).write_bytes(text.encode())
@@ -177,7 +179,11 @@ def name_of(df):
 
 def test_ingest(spark, folder):
     lines = name_of(ingest.raw_lines(spark, folder)).cache()
-    csv = ingest.csv_points(lines.where("path like '%.csv'"))
+    blank = ingest.csv_points(lines.where("path = 'I_FQ1.csv'")).orderBy("point_no", "col_no").collect()
+    assert [(r.label, r.y) for r in blank] == [("Series 1", 2.0), ("F", 3.0), ("Series 1", 5.0), ("F", 6.0)]
+    assert ingest.stog_points(lines.where("path in ('scale_ft.sq', 'scale_ft_rmc.fq')")).count() == 0
+    assert [(r.element, r.sites) for r in ingest.site_index(lines.where("path = 'L.rmc6f'")).collect()] == [("Ga", [3, 7])]
+    csv = ingest.csv_points(lines.where("path like '%.csv' and path <> 'I_FQ1.csv'"))
     assert sorted((r.path, r.point_no, r.col_no, r.label, r.x, r.y) for r in csv.collect()) == [
         ("A_FQ1.csv", 0, 1, "F(Q)_RMC", 0.5, -1.0), ("A_FQ1.csv", 0, 2, "F(Q)_Expt", 0.5, -0.6), ("A_FQ1.csv", 1, 1, "F(Q)_RMC", 1.0, 2.0), ("A_FQ1.csv", 1, 2, "F(Q)_Expt", 1.0, 3.0),
     ]
@@ -188,12 +194,13 @@ def test_ingest(spark, folder):
     cell = ingest.cell_metadata(lines.where("path like '%.rmc6f'")).collect()
     assert len(cell) == 1 and list(cell[0].supercell) == [10.0] * 3 and cell[0].lattice[1][1] == 104.0
     assert [(r.rn, r.fx) for r in ingest.frac_rows(lines.where("path = 'Frac_x.txt'")).collect()] == [(4, 0.07507)]
-    kinds = spark.createDataFrame([(f"{c}_FQ1.csv", "csv") for c in "ABCD"] + [("E-1.log", "chi"), ("F-1.log", "chi"), ("H.rmc6f", "atoms")], "path string, kind string")
+    kinds = spark.createDataFrame([(f"{c}_FQ1.csv", "csv") for c in "ABCDIJ"] + [("E-1.log", "chi"), ("F-1.log", "chi"), ("H.rmc6f", "atoms"), ("scale_ft.sq", "stog"), ("scale_ft_rmc.fq", "stog")], "path string, kind string")
     assert sorted(tuple(r) for r in ingest.ingest_errors(lines, kinds).collect()) == [
-        ("B_FQ1.csv", "rows of different length"), ("C_FQ1.csv", "empty file"), ("D_FQ1.csv", "no numeric rows"), ("F-1.log", "not a number"), ("H.rmc6f", "no Atoms section"),
+        ("B_FQ1.csv", "rows of different length"), ("C_FQ1.csv", "empty file"), ("D_FQ1.csv", "no numeric rows"), ("F-1.log", "not a number"), ("H.rmc6f", "no Atoms section"), ("J_FQ1.csv", "fewer than two numeric columns"),
+        ("scale_ft.sq", "rows of different length"), ("scale_ft_rmc.fq", "fewer than two numeric columns"),
     ]
-    cell = spark.createDataFrame([("H.rmc6f", "cell"), ("G.rmc6f", "cell")], "path string, kind string")
-    assert [tuple(r) for r in ingest.ingest_errors(lines, cell).collect()] == [("H.rmc6f", "no lattice or supercell")]
+    cell = spark.createDataFrame([(f"{c}.rmc6f", "cell") for c in "GHKL"], "path string, kind string")
+    assert sorted(tuple(r) for r in ingest.ingest_errors(lines, cell).collect()) == [("H.rmc6f", "no lattice or supercell"), ("K.rmc6f", "lattice or supercell is not numeric"), ("L.rmc6f", "lattice or supercell is not numeric")]
 
 
 def test_titles_and_labels(spark):
@@ -243,11 +250,13 @@ def test_frac_lines_and_write(spark, tmp_path):
     t = structure.frac_table(a, adapters.cells(spark))
     assert structure.frac_lines(t).first().line == "  4    0.07507    0.07511    0.07275  0  0  0"
     out = str(tmp_path / "f")
-    structure.write_frac_lines(t, out)
-    assert spark.read.text(out).first().value == "  4    0.07507    0.07511    0.07275  0  0  0"
+    export.write_frac(t, out)
+    got = ingest.raw_lines(spark, out, folders=True).orderBy("line_no").collect()
+    assert [r.line_no for r in got] == list(range(6)) and [r.line for r in got[:5]] == list(export.FRAC_HEADER) and got[5].line == "  4    0.07507    0.07511    0.07275  0  0  0"
+    assert got[0].path.endswith("name=Frac_coord_0.txt")
     with pytest.raises(Exception):
-        structure.write_frac_lines(t, out)
-    structure.write_frac_lines(t, out, overwrite=True)
+        export.write_frac(t, out)
+    export.write_frac(t, out, overwrite=True)
 
 
 def test_monitor_stream_equals_batch(spark, tmp_path):
