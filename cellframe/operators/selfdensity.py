@@ -7,8 +7,8 @@ farther than REACH bandwidths apart do not meet.  With the values below a pair o
 within 3e-10 of the kernel's peak (1e-10 along each axis), wherever the two lie in their cells, so a density is as exact as that times the
 peak of one kernel (tests hold it against sums over all pairs).
 
-Work grows with the points and with the occupied cells times the neighbours of a cell along one axis.  Moments of a cell are added up in
-each task before the shuffle, and cells with many points are read in parts.
+Work grows with the points and with the occupied cells times the neighbours of a cell along one axis.  Cells with many
+points are summed and read in parts.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from ..functions.storage import small_side, staged
 from .density import whitened
 
 WIDTH, ORDER, REACH = 1.0, 14, 8.0
-#: Cells whose moments a task holds before it hands them on; points of a cell that one task reads.
-HELD, PART = 500, 100_000
+#: Cells whose moments a task holds before it hands them on; points of a cell that one task sums or reads; places of a line at once.
+HELD, PART, LINE = 500, 100_000, 64
 CELL = ["grp", "gx", "gy", "gz"]
 FACTORIALS = np.array([math.factorial(k) for k in range(2 * ORDER)], dtype=float)
 
@@ -92,24 +92,30 @@ def passed(cells: DataFrame, axis: int, wanted: DataFrame) -> DataFrame:
     """Series along one axis at the places where they are asked for; wanted: (grp, axes done, places array)."""
     along, lines = CELL[1 + axis], ["grp", *[CELL[1 + i] for i in range(3) if i != axis]]
     far = int(REACH / WIDTH) + 1
-    names = "abc"
-    rule = f"kabc,{names[axis]}d->k{names.replace(names[axis], 'd')}"
+    shifts = np.stack([shift(d) for d in range(-far, far + 1)] + [np.zeros((ORDER, ORDER))])
 
     def line(key, tab):
         import pyarrow as pa
 
         at = np.asarray(tab.column(along))
         order = np.argsort(at)
-        at, held = at[order], tensors(tab)[order]
+        at, held = at[order], np.moveaxis(tensors(tab)[order], 1 + axis, -1)  # the axis in hand last
         to = np.sort(np.array(tab.column("places")[0].as_py(), dtype=np.int64))
-        out, met = np.zeros((len(to), ORDER, ORDER, ORDER)), np.zeros(len(to), dtype=bool)
-        for d in range(-far, far + 1):
-            src = np.minimum(np.searchsorted(at, to - d), len(at) - 1)
-            hit = at[src] == to - d
-            if hit.any():
-                out[hit] += np.einsum(rule, held[src[hit]], shift(d), optimize=True)
-                met |= hit
-        own = {c: pa.array(np.full(met.sum(), k.as_py()), pa.int64()) for c, k in zip(lines, key)} | {along: pa.array(to[met]), "tensor": pa.array([t.tobytes() for t in out[met]], pa.binary())}
+        met, found = [], []
+        for i in range(0, len(to), LINE):
+            t = to[i : i + LINE]
+            a, b = np.searchsorted(at, (t[0] - far, t[-1] + far + 1))
+            if a == b:
+                continue
+            d = t[None, :] - at[a:b, None]
+            near = np.abs(d) <= far
+            rule = shifts[np.where(near, d + far, 2 * far + 1)].transpose(0, 2, 1, 3).reshape((b - a) * ORDER, len(t) * ORDER)
+            own = held[a:b].transpose(1, 2, 0, 3).reshape(ORDER * ORDER, (b - a) * ORDER) @ rule
+            own = np.moveaxis(own.reshape(ORDER, ORDER, len(t), ORDER), 2, 0)[near.any(axis=0)]
+            found += [x.tobytes() for x in np.ascontiguousarray(np.moveaxis(own, -1, 1 + axis))]
+            met.append(t[near.any(axis=0)])
+        met = np.concatenate(met) if met else to[:0]
+        own = {c: pa.array(np.full(len(met), k.as_py()), pa.int64()) for c, k in zip(lines, key)} | {along: pa.array(met), "tensor": pa.array(found, pa.binary())}
         return pa.table({c: own[c] for c in [*CELL, "tensor"]})
 
     keys = [c for c in wanted.columns if c != "places"]
@@ -128,14 +134,16 @@ def kde_self(points: DataFrame) -> DataFrame:
     cell = lambda a: F.floor(c(f"w{a}") / WIDTH).cast("long")
     pts = staged(pts.select("grp", *[cell(a).alias(f"g{a}") for a in "xyz"], *[(c(f"w{a}") / WIDTH - cell(a) - 0.5).alias(f"s{a}") for a in "xyz"], "point_id"))
     occupied = staged(pts.groupBy(*CELL).agg(F.count(F.lit(1)).alias("points")))
-    series = added(pts.select(*CELL, "sx", "sy", "sz").mapInArrow(moments, SCHEMA))
+    parts = F.ceil(c("points") / PART).cast("int")
+    asked = pts.join(small_side(occupied), CELL).withColumn("salt", F.pmod(F.xxhash64("sx", "sy", "sz", F.monotonically_increasing_id()), parts).cast("int")).drop("points")
+    # a cell's points meet first, so that a task makes few of these large rows
+    dealt = asked.select(*CELL, "sx", "sy", "sz", "salt").repartition(*CELL, "salt").sortWithinPartitions(*CELL).drop("salt")
+    series = added(dealt.mapInArrow(moments, SCHEMA))
     for axis in range(3):
         # places along an axis that are read: as many as the group is wide, whatever its number of points
         places = occupied.groupBy(*CELL[: 1 + axis]).agg(F.collect_set(CELL[1 + axis]).alias("places"))
-        series = staged(passed(series, axis, places))
-    parts = F.ceil(c("points") / PART).cast("int")
+        series = passed(series, axis, places)
     salted = series.join(occupied, CELL).withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).select(*CELL, "salt", "tensor")
-    asked = pts.join(small_side(occupied), CELL).withColumn("salt", F.pmod(F.xxhash64("sx", "sy", "sz", F.monotonically_increasing_id()), parts).cast("int")).drop("points")
 
     def read(left, right):
         import pyarrow as pa

@@ -13,7 +13,8 @@ from ..sources import export, ingest
 #: Slabs: three that overlap, an empty one and a very thin one.  Parameters of the density queries.
 SLABS = [(0, 5.0, 0.52), (1, 5.2, 0.52), (2, 2.6, 1.04), (3, 500.0, 0.5), (4, 0.013, 0.0004)]
 LATTICES = {0: [[104.116, 0.0, 0.0], [0.0, 104.116, 0.0], [0.0, 0.0, 104.116]], 3: [[104.116, 0.0, 0.0], [20.0, 100.0, 0.0], [0.0, 10.0, 104.116]]}
-PROBES = (3.4, 31.5, 70.0)
+#: Text files that the lines of a table make; they grow with it.
+FILES = 60
 SUFFIXES = ("_FT_XFQ1.csv", "_PDF1.csv", "_PDF12.csv", "_PDFpartials.csv", "_FQ1.csv", "_SQ1.csv", "_bragg.csv", "-02.log", "scale_ft.gr", ".rmc6f", "notes.txt")
 
 
@@ -93,14 +94,14 @@ def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Text lines of one file per supplier, built from integers: csv, chi, stog, atoms, frac, cell.
+    """Text lines of FILES files, dealt by supplier and built from integers: csv, chi, stog, atoms, frac, cell.
 
-    Some files break their format or use its odd cases: curves with a blank label (suppliers 5k + 1) or one column (7k + 3), tables with rows
+    Some files break their format or use its odd cases: curves with a blank label (numbers 5k + 1) or one column (7k + 3), tables with rows
     of one token (5k + 1), lines of atoms too short for an atom but not for a site, cells with a bad number (9k + 4) or two sizes (11k + 5).
     """
-    t = _table(spark, sf_dir, "lineitem")
     c = F.col
-    number = F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    t = _table(spark, sf_dir, "lineitem").withColumn("l_suppkey", c("l_suppkey") % FILES)
+    number = F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"))
     every = lambda n, k: c("l_suppkey") % n == k
     path = F.concat(F.lit("f"), c("l_suppkey").cast("string")).alias("path")
     if kind == "cell":
@@ -166,7 +167,8 @@ SQL = {
   coalesce(try_cast(nullif(regexp_extract(name, 'PDF([0-9]+)\\.csv$', 1), '') as int), 0) as pdf_index from (
   select (o_custkey % 50)::int as run_id, 'd/' || o_orderkey as path, o_orderkey % 2 = 0 as is_directory,
   case when o_orderkey % 11 = 8 then 'scale_ft.gr' else 'S' || o_orderkey || ({list(SUFFIXES)})[(o_orderkey % 11)::int + 1] end as name from orders) o)""",
-    "numbered": """numbered as (select distinct l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag, dense_rank() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey)::int as no from lineitem)""",
+    "numbered": f"""numbered as (select distinct l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag, dense_rank() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_returnflag)::int as no
+  from (select * replace (l_suppkey % {FILES} as l_suppkey) from lineitem))""",
 }
 NEEDS = {"pairs": ["cp"], "folded": ["atoms"], "points": ["folded", "cells"], "inslab": ["points", "slabs"]}
 

@@ -656,7 +656,7 @@ def frac_parse(spark, d):
 
 
 @query(
-    """select 'f' || l_suppkey as path, count(*)::double as supercell_x, max(l_orderkey)::double as lattice_xx, min(l_partkey)::double as lattice_yy from lineitem where l_suppkey % 9 <> 4 and l_suppkey % 11 <> 5 group by l_suppkey"""
+    f"""select 'f' || l_suppkey as path, count(*)::double as supercell_x, max(l_orderkey)::double as lattice_xx, min(l_partkey)::double as lattice_yy from (select * replace (l_suppkey % {A.FILES} as l_suppkey) from lineitem) where l_suppkey % 9 <> 4 and l_suppkey % 11 <> 5 group by l_suppkey"""
 )
 def cell_metadata(spark, d):
     """The last lattice and supercell of each file; files with a bad number give nothing."""
@@ -671,7 +671,7 @@ select 't' || f as path, (row_number() over (partition by f order by l_orderkey,
 def line_numbers(spark, d):
     """Three large texts, read in blocks of 64 KB each."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(*keys).distinct()
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("l_suppkey", F.col("l_suppkey") % A.FILES).select(*keys).distinct()
     lines = rows.select(F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("path"), F.struct(*keys).alias("line_no"), F.concat_ws(" ", *keys).alias("line"))
     return A.landed(spark, lines, 1 << 16)
 
@@ -734,7 +734,7 @@ def catalog_changes(spark, d):
 
 
 @query(
-    f"""with k as (select distinct l_suppkey as k from lineitem), n as (select 'run' || k % 3 as run_id, {_CATALOGUED} as name, false as is_directory from k union all select distinct 'root', 'run' || k % 3, true from k),
+    f"""with k as (select distinct l_suppkey % {A.FILES} as k from lineitem), n as (select 'run' || k % 3 as run_id, {_CATALOGUED} as name, false as is_directory from k union all select distinct 'root', 'run' || k % 3, true from k),
 files as (select *, case when ends_with(name, '_FT_XFQ1.csv') then 'xpdf' when contains(name, 'PDF') and ends_with(name, '.csv') then case when contains(name, 'PDFpartials') then 'pdf_partials' else 'npdf' end
   when ends_with(name, '_FQ1.csv') then 'xray_sq' when ends_with(name, '_SQ1.csv') then 'neutron_sq' when ends_with(name, '_bragg.csv') then 'bragg' when ends_with(name, '.log') then 'r_value' end as plot_kind from n)
 select run_id, name, is_directory, plot_kind, row_number() over (partition by run_id order by lower(name), name)::int as position from files where is_directory or ends_with(name, '.csv') or ends_with(name, '.log') or ends_with(name, '.rmc6f')"""
