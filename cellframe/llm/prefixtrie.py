@@ -82,8 +82,9 @@ def earlier(blocks: DataFrame, values: dict, total, longest: int, reverse: bool
     return out.drop("_stretch")
 
 
-def hashed(seed: int, upto=WIDTH):
-    """Exclusive-or of the hashes of (position, turn id) of a block's first turns."""
+def hashed(seed: int, upto: int | None = None):
+    """Exclusive-or of the hashes of (position, turn id) of a block's first turns, all by default."""
+    upto = WIDTH if upto is None else upto
     one = [F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(F.lit(seed), F.col("blk") * WIDTH + i, F.col(f"t{i}"))).otherwise(F.lit(0)) for i in range(upto)]
     return reduce(lambda a, b: a.bitwiseXOR(b), one, F.lit(0).cast("long"))
 
