@@ -41,7 +41,6 @@ MIN_PAGES = 5
 CONSTANT = 0.8
 #: Share of the varying text that a child must hold for the content to lie within it.
 MAJORITY = 0.75
-DEEP = 100
 #: Bytes up to which a table of layouts is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8_000_000
 #: Tags whose presence tells layouts apart.
@@ -69,16 +68,16 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("symbol", "tag", "children", "number", "never", "noise", "hard", "main", "depth", "parent")
+    __slots__ = ("symbol", "tag", "children", "number", "never", "noise", "hard", "main", "parent")
 
-    def __init__(self, symbol, tag, number, never, noise, hard, main, depth, parent):
+    def __init__(self, symbol, tag, number, never, noise, hard, main, parent):
         self.symbol, self.tag, self.children, self.number, self.never, self.noise, self.hard = symbol, tag, [], number, never, noise, hard
-        self.main, self.depth, self.parent = main, depth, parent
+        self.main, self.parent = main, parent
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]], int]:
     """(root, blocks, nodes): each block is the element it stands in and its text, in page order."""
-    root = Node("", "", 0, False, False, False, False, 0, None)
+    root = Node("", "", 0, False, False, False, False, None)
     stack, blocks, text, count, at = [root], [], [], 1, 0
 
     def flush():
@@ -142,39 +141,86 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]], int]:
             never = never or "hidden" in found or found.get("aria-hidden") == "true"
         # hard: also noise if the names of what is around the article do not count
         noise, hard = up.noise or never or named, up.hard or never or (named and up.main)
-        node = Node(f"{tag}.{words}" if words else tag, tag, count, up.never or never, noise, hard, up.main or tag in MAIN, min(up.depth + 1, DEEP), up)
+        node = Node(f"{tag}.{words}" if words else tag, tag, count, up.never or never, noise, hard, up.main or tag in MAIN, up)
         count += 1
-        if up.depth < DEEP:
-            up.children.append(node)
+        up.children.append(node)
         stack.append(node)
     flush()
     return root, blocks, count
 
 
-def outline(node: Node) -> tuple:
-    return (node.symbol, node.number, tuple(outline(c) for c in node.children))
+# Trees are walked with lists of what is to be done, not by calls: pages nest as deep as they like.
+def outline(root: Node) -> tuple:
+    """(symbol, number, children) of a tree; numbers count its nodes in page order."""
+    order, todo, made = [], [root], {}
+    while todo:
+        order.append(todo.pop())
+        todo += order[-1].children
+    for node in reversed(order):
+        made[node.number] = (node.symbol, node.number, tuple(made[c.number] for c in node.children))
+    return made[root.number]
+
+
+def in_order(seed: tuple) -> list[tuple]:
+    """The nodes of an outline in page order."""
+    out, todo = [], [seed]
+    while todo:
+        out.append(todo.pop())
+        todo += reversed(out[-1][2])
+    return out
+
+
+def packed(seed: tuple) -> bytes:
+    """An outline as bytes: each node's symbol and the place of its parent, in page order."""
+    nodes = in_order(seed)
+    parent = {c[1]: k for k, node in enumerate(nodes) for c in node[2]}
+    return pickle.dumps([(node[0], parent.get(node[1], -1)) for node in nodes])
+
+
+def unpacked(data: bytes) -> tuple:
+    flat = pickle.loads(data)
+    children: list[list] = [[] for _ in flat]
+    for k in range(len(flat) - 1, -1, -1):
+        symbol, parent = flat[k]
+        node = (symbol, k, tuple(reversed(children[k])))
+        children[k] = []
+        if parent < 0:
+            return node
+        children[parent].append(node)
+    raise ValueError("an outline without a root")
 
 
 def match(a: Node, b: tuple, found: dict[int, int], memo: dict) -> None:
     """Simple tree matching of page node a with seed node b (equal symbols): found[page node] = seed node."""
-    found[a.number] = b[1]
-    pairs = memo.get((a.number, b[1]))
-    if pairs is None:
-        weigh(a, b, memo)
-        pairs = memo[a.number, b[1]]
-    for x, y in pairs[1]:
-        match(x, y, found, memo)
+    weigh(a, b, memo)
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        found[x.number] = y[1]
+        if (x.number, y[1]) in memo:
+            todo += memo[x.number, y[1]][1]
 
 
 def weigh(a: Node, b: tuple, memo: dict) -> int:
     """Size of the largest match of two nodes with equal symbols; keeps their matched children in memo."""
-    key = (a.number, b[1])
-    if key in memo:
-        return memo[key][0]
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        if (x.number, y[1]) in memo:
+            continue
+        if ready or not x.children or not y[2]:
+            memo[x.number, y[1]] = _aligned(x, y, memo)
+            continue
+        todo.append((x, y, True))
+        todo += [(c, d, False) for c in x.children if c.children for d in y[2] if d[2] and c.symbol == d[0] and (c.number, d[1]) not in memo]
+    return memo[a.number, b[1]][0]
+
+
+def _aligned(a: Node, b: tuple, memo: dict) -> tuple[int, tuple]:
+    """(size of the largest match, matched children) of two nodes whose children are weighed already."""
     xs, ys = a.children, b[2]
     if not xs or not ys:
-        memo[key] = (1, ())
-        return 1
+        return 1, ()
     m, n = len(xs), len(ys)
     best = [[0] * (n + 1)]
     weights = []
@@ -182,7 +228,7 @@ def weigh(a: Node, b: tuple, memo: dict) -> int:
         above, row, own = best[-1], [0], []
         leaf, symbol, left = not x.children, x.symbol, 0
         for j, y in enumerate(ys):
-            w = 0 if symbol != y[0] else 1 if leaf or not y[2] else weigh(x, y, memo)
+            w = 0 if symbol != y[0] else 1 if leaf or not y[2] else memo[x.number, y[1]][0]
             own.append(w)
             top = above[j + 1]
             both = above[j] + w
@@ -200,8 +246,7 @@ def weigh(a: Node, b: tuple, memo: dict) -> int:
             i -= 1
         else:
             j -= 1
-    memo[key] = (1 + best[m][n], tuple(reversed(pairs)))
-    return memo[key][0]
+    return 1 + best[m][n], tuple(reversed(pairs))
 
 
 #: Kinds of blocks: ruled out by the page's own elements, by names, outside the marked article; sure to be looked at.
@@ -218,8 +263,8 @@ def page_blocks(page: str | None, seed: bytes | None) -> list[tuple[int, int, in
     spared = not inside and any(node.main and not node.hard for node, _ in blocks)
     slots: dict[int, int] = {}
     if seed and blocks:
-        match(root, pickle.loads(seed), slots, {})
-    out = []
+        match(root, unpacked(seed), slots, {})
+    out, anchors = [], {}
     for node, text in blocks:
         if node.never:
             kind = ELEMENT
@@ -227,10 +272,13 @@ def page_blocks(page: str | None, seed: bytes | None) -> list[tuple[int, int, in
             kind = NAMED
         else:
             kind = OUTSIDE if (inside or spared) and not node.main else OPEN
-        up = node
-        while up is not None and up.number not in slots:
+        up, path = node, []
+        while up is not None and up.number not in slots and up.number not in anchors:
+            path.append(up.number)
             up = up.parent
-        out.append((slots.get(node.number, -1), slots[up.number] if up is not None else -1, kind, node.tag == "h1", text))
+        anchor = -1 if up is None else slots[up.number] if up.number in slots else anchors[up.number]
+        anchors.update(dict.fromkeys(path, anchor))
+        out.append((slots.get(node.number, -1), anchor, kind, node.tag == "h1", text))
     return out
 
 
@@ -238,15 +286,9 @@ def region_of(seed: tuple, mass: dict[int, int], majority: float = MAJORITY, mar
     """First and last node number of the part of a seed under which the varying text stands; marks: a marked article is not split."""
     total: dict[int, int] = {}
     last: dict[int, int] = {}
-
-    def weigh_(node):
-        total[node[1]], last[node[1]] = mass.get(node[1], 0), node[1]
-        for c in node[2]:
-            weigh_(c)
-            total[node[1]] += total[c[1]]
-            last[node[1]] = last[c[1]]
-
-    weigh_(seed)
+    for node in reversed(in_order(seed)):  # children before their parents
+        total[node[1]] = mass.get(node[1], 0) + sum(total[c[1]] for c in node[2])
+        last[node[1]] = last[node[2][-1][1]] if node[2] else node[1]
     node = seed
     while node[2]:
         best = max(node[2], key=lambda c: total[c[1]])
@@ -281,7 +323,7 @@ def seeds_of(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            made = [pickle.dumps(outline(parse(x or "")[0])) for x in batch.column(2).to_pylist()]
+            made = [packed(outline(parse(x or "")[0])) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["_host", "_layout", "_seed"])
 
     return chosen.select("_host", "_layout", "_html").mapInArrow(outlines, "_host string, _layout long, _seed binary").dropDuplicates(["_host", "_layout"])
@@ -304,7 +346,7 @@ def templates(blocks: DataFrame, seeds: DataFrame, min_pages: int, constant: flo
         import pyarrow as pa
 
         for batch in batches:
-            at = [region_of(pickle.loads(s), dict(m), majority, marks) for s, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            at = [region_of(unpacked(s), dict(m), majority, marks) for s, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             ends = [pa.array([x[k] for x in at], pa.int32()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ends], names=["_host", "_layout", "_first", "_last"])
 

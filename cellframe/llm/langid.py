@@ -4,8 +4,9 @@ Every language has probabilities over the pieces of a fixed public vocabulary.
 sum over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words (the
 vocabulary's pieces do not cross white space).  The probabilities are learned by expectation maximisation:
 expected piece counts by forward and backward sums over the training words, added up by Spark per language and
-piece.  The forward sums run in numpy over all distinct words of a batch at once; words of more than WIDE characters
-are summed one by one in logarithms, which do not underflow.  All pieces of the vocabulary count, as they are; a word
+piece.  The forward sums run in numpy over all distinct words of a batch at once, every character's share of a weight
+scaled by TILT, so that no sum of up to WIDE characters leaves the range of a double; longer words are summed one by
+one in logarithms.  Both give the same sums, and no probability has a floor.  All pieces of the vocabulary count, as they are; a word
 is never cut, so the sum has every segmentation.  Texts are lower-cased, so that capitals do not hide a language.
 
 Training uses at most `max_train_docs` labelled documents (those with the smallest hash of doc_id); prediction
@@ -35,8 +36,8 @@ MAX_TRAIN_DOCS = 4000
 ROUNDS = 3
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
-#: Words of more characters, with the blank in front, are summed one by one.
-WIDE = 64
+#: Words of more characters, with the blank in front, are summed one by one: TILT ** WIDE is within 1e224 both ways.
+WIDE, TILT = 64, UNKNOWN**0.5
 #: Distinct words whose scores a task keeps between batches.
 CACHE = 250_000
 
@@ -151,14 +152,14 @@ def log_forward(spans: list[tuple[int, int, int]], logs: np.ndarray, n: int) ->
 
 
 def forward(edges, table_: np.ndarray, n: int, width: int) -> np.ndarray:
-    """alpha[position, word, language]: summed probability of all segmentations up to there."""
+    """alpha[position, word, language]: summed probability of all segmentations up to there, over TILT ** position."""
     alpha = np.zeros((width + 1, n, table_.shape[1]))
     alpha[0] = 1.0
     for s, e, p in edges:
         weight = table_[p]  # row -1, the last one, is 0
         if e == s + 1:
             weight = np.where((p < 0)[:, None], UNKNOWN, weight)
-        alpha[e] += alpha[s] * weight
+        alpha[e] += alpha[s] * (weight * TILT ** (s - e))
     return alpha
 
 
@@ -170,7 +171,7 @@ def word_scores(vocab: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarra
     wide = [i for i in order if len(words[i]) >= WIDE]
     order = order[: len(order) - len(wide)]
     if wide:
-        logs = np.log(np.maximum(probs, 1e-300))
+        logs = np.log(probs)
         for i in wide:
             out[i] = log_forward(spans_of(vocab, words[i]), logs, len(words[i]) + 1)[-1]
     for part in np.array_split(order, max(1, len(order) // 4000)):
@@ -178,7 +179,7 @@ def word_scores(vocab: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarra
             continue
         codes, length = letters_of([words[i] for i in part])
         alpha = forward(lattice(vocab, codes), padded, len(part), codes.shape[1])
-        out[part] = np.log(np.maximum(alpha[length, np.arange(len(part))], 1e-300))
+        out[part] = np.log(alpha[length, np.arange(len(part))]) + (length * np.log(TILT))[:, None]
     return out
 
 
@@ -190,7 +191,7 @@ def expected_counts(vocab: Pieces, probs: np.ndarray, words: list[str], counts:
     wide = [i for i in order if len(words[i]) >= WIDE]
     order = order[: len(order) - len(wide)]
     if wide:
-        logs = np.log(np.maximum(probs[:, [lang]], 1e-300))
+        logs = np.log(probs[:, [lang]])
         for i in wide:
             spans, n = spans_of(vocab, words[i]), len(words[i]) + 1
             la = log_forward(spans, logs, n)[:, 0]
@@ -211,15 +212,22 @@ def expected_counts(vocab: Pieces, probs: np.ndarray, words: list[str], counts:
             weight = p[q, 0]
             if e == s + 1:
                 weight = np.where(q < 0, UNKNOWN, weight)
-            beta[s] += beta[e] * weight
-        whole = np.maximum(alpha[length, np.arange(n)], 1e-300)
-        share = counts[part] / whole
+            beta[s] += beta[e] * (weight * TILT ** (s - e))
+        whole = alpha[length, np.arange(n)]
         for s, e, q in edges:
             ok = q >= 0
-            np.add.at(out, q[ok], (alpha[s] * p[q, 0] * beta[e] * share)[ok])
+            # a part of a word's whole sum, at most 1, before it is weighted by the count
+            np.add.at(out, q[ok], (alpha[s] * (p[q, 0] * TILT ** (s - e)) * beta[e] / whole * counts[part])[ok])
     return out
 
 
+def lower_words(text):
+    """The words of an Arrow column of texts: one rule for training and prediction."""
+    import pyarrow.compute as pc
+
+    return pc.utf8_split_whitespace(pc.utf8_lower(text))
+
+
 def train(docs: DataFrame, path: str, rounds: int = ROUNDS, max_train_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities by language) from docs (doc_id, text, lang) with non-null text and lang.
 
@@ -228,7 +236,18 @@ def train(docs: DataFrame, path: str, rounds: int = ROUNDS, max_train_docs: int
     spark = docs.sparkSession
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).distinct()
     sample = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("_c"))), F.col("doc_id") == F.col("_c"), "left_semi")
-    counted = sample.select("lang", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+
+    def split(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = lower_words(batch.column(1))
+            words, lang = lists.flatten(), batch.column(0).take(pc.list_parent_indices(lists))
+            some = pc.not_equal(words, "")
+            yield pa.RecordBatch.from_arrays([lang.filter(some), words.filter(some)], names=["lang", "word"])
+
+    counted = sample.select("lang", "text").mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.repartition(8, "word").persist()
     try:
         langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
@@ -273,7 +292,7 @@ def _judged(batches, column: int, handed, path: str):
         n = batch.num_rows
         text = pc.fill_null(batch.column(column), "")
         judged = np.asarray(pc.match_substring_regex(text, r"\p{L}"), dtype=bool) if names else np.zeros(n, bool)
-        lists = pc.utf8_split_whitespace(pc.utf8_lower(text))
+        lists = lower_words(text)
         words = pc.dictionary_encode(lists.flatten())
         where = np.asarray(lists.offsets)
         vocabulary, at = words.dictionary.to_pylist(), np.asarray(words.indices)
@@ -302,7 +321,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
     """docs with lang_pred and score; score is the predicted language's share of the mean word likelihoods."""
     langs, probs = model
     handed = docs.sparkSession.sparkContext.broadcast((list(langs), probs))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
     def predict(batches):
         import pyarrow as pa

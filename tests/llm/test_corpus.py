@@ -382,6 +382,18 @@ def test_tree_matching_by_force(trial):
     assert memo[0, 0][0] == best(a, b) == len(found)
 
 
+@pytest.mark.parametrize("deep", [150, 5000])
+def test_constant_blocks_below_any_depth_are_template(spark, deep):
+    page = lambda k: f"<body><h1>T {k}</h1>{'<div>' * deep}<p>the same note</p><section><p>own words {k} {k * 7}</p><p>more {k * k}</p></section>"
+    seed = html.packed(html.outline(html.parse(page(0))[0]))
+    flat = lambda t: [(n[0], n[1], [c[1] for c in n[2]]) for n in html.in_order(t)]
+    assert flat(html.unpacked(seed)) == flat(html.outline(html.parse(page(0))[0]))
+    assert all(slot >= 0 for slot, *_ in html.page_blocks(page(3), seed))
+    rows = [(k, f"http://d.com/{k}", page(k)) for k in range(8)]
+    got = {x.page_id: x.text for x in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), marks=False).collect()}
+    assert got == {k: f"T {k}\nown words {k} {k * 7}\nmore {k * k}" for k in range(8)}
+
+
 def test_tree_matching():
     a = html.parse("<div><ul><li>1</li><li>2</li></ul><p>x</p></div>")[0]
     b = html.outline(html.parse("<div><h1>t</h1><ul><li>1</li></ul><p>y</p><p>z</p></div>")[0])
@@ -553,6 +565,26 @@ def test_long_words_are_summed_whole(monkeypatch):
     assert np.isfinite(long).all() and (long < -3000).all()
 
 
+@pytest.mark.parametrize("n", [40, 43, 44, 60, 62, 63, 69])
+def test_letters_outside_the_vocabulary_leave_the_rest_to_decide(n):
+    """However many of them a word has, its known pieces tell the languages apart, and counts add up."""
+    vocab, names = langid.loaded(langid.vocabulary_path()), langid.pieces(langid.vocabulary_path())
+    probs = np.full((vocab.size, 2), 1.0 / vocab.size)
+    probs[names.index("the"), 0] *= 50
+    word = "the" * 3 + "\U0001f0a1" * n
+    few = langid.word_scores(vocab, probs, ["the" * 3 + "\U0001f0a1" * 5])[0]
+    got = langid.word_scores(vocab, probs, [word])[0]
+    assert got[0] - got[1] == pytest.approx(few[0] - few[1]) and got[0] - few[0] == pytest.approx((n - 5) * np.log(langid.UNKNOWN))
+    counts = langid.expected_counts(vocab, probs, [word], np.array([2.0]), 0)
+    assert counts.sum() == pytest.approx(langid.expected_counts(vocab, probs, ["the" * 3], np.array([2.0]), 0).sum())
+
+
+def test_a_column_called_score_in_any_case_is_replaced(spark):
+    model = (["en"], np.full((langid.loaded(langid.vocabulary_path()).size, 1), 1e-4))
+    got = langid.identify(spark.createDataFrame([(1, "some words", 7.0)], "doc_id long, text string, Score double"), model, langid.vocabulary_path())
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and got.first().score == 1.0
+
+
 def test_expected_counts_by_force():
     path = langid.vocabulary_path()
     vocab, names = langid.loaded(path), langid.pieces(path)
