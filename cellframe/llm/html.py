@@ -20,7 +20,9 @@ The pages of a host never meet in one task: slots are counted by Spark per (host
 layout's region and template slots (at most the seed's nodes) come back to its pages.
 
 Defined cases: null and empty pages have the empty text; copies of a page count once; unclosed and stray tags are
-mended as browsers do, roughly; a repeated page_id is extracted row by row.  The whole page is read; nothing is capped.
+mended as browsers do, roughly; a repeated page_id is extracted row by row.  The whole page is read, to any depth; nothing
+is capped.  Of pages with the same smallest hash any may be the seed: the hash is of key, url and length, so they are copies or
+rare.  An empty table gives an empty result; columns other than key, url and html are not read.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ shingle), however large a group of near copies is.
 Defined cases: null texts and texts without words have an empty set and link with nothing; with fewer words than the
 shingle's size the whole sequence is the one shingle; rows that repeat a doc_id are rows of their own, whether their
 texts are equal or not, as classes are numbered by their sets and not by ids; a component's id is the smallest doc_id
-in it; a null doc_id is never a component's id unless all are null.
+in it; a null doc_id is never a component's id unless all are null.  Ties need no rule: links are by exact counts.  Texts of
+any length count whole; an empty table gives an empty result; columns other than doc_id and text are not read, but
+one_of_each keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ def _unpacked(tab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def prefix_rows(texts: DataFrame, common: DataFrame, n_buckets: int, n_packs: int, size: int, percent: int) -> DataFrame:
     """(shingle, class) for the shared shingles of the prefix of each class that may have a partner."""
-    listed = sorted((r.n, r.k1) for r in common.collect())  # at most size of COMMON's share: see common_shingles
+    listed = sorted((r.n, r.k1) for r in common.collect())  # at most the mean size of a set over COMMON: see _components
     handed = texts.sparkSession.sparkContext.broadcast(np.array([k for _, k in listed], dtype=np.int64).view(np.uint64))
 
     def deal(batches):

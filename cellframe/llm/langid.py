@@ -15,7 +15,8 @@ covers every whole text.  The model holds pieces x languages numbers, whatever t
 Defined cases: a text that is null or has no letter is `und` with score 0; without training rows every text is
 `und`; characters outside the vocabulary get a fixed small probability; ties go to the language first by code
 point; a repeated doc_id is judged row by row; rows without a doc_id are predicted, but do not train; other columns
-are kept, but for lang_pred and score, which the results replace.
+are kept, but for lang_pred and score, whatever their case, which the results replace.  Texts of any length are judged
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

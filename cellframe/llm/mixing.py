@@ -6,7 +6,9 @@ That coin is an MD5 hash of seed and doc_id, so reruns and retried tasks toss it
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source of size 0
 has target 0 and rate 1 (its documents have no words); an empty table gives an empty mix; rows that repeat a
-doc_id share its coin, whatever their texts; columns of the input are kept whatever their names.
+doc_id share its coin, whatever their texts; columns of the input are kept whatever their names; texts of any length
+count whole.  Over D documents of mean size m a source's taken words deviate from its target by about
+m * sqrt(D * p * (1 - p)), p the fraction of its rate.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ smallest hash of doc_id; corpus counts cover every document.
 
 Defined cases: a null text is empty; a text without words has score 0 and fails the base rules; without labels
 both multinomials are the raw one, so every score is 0; a repeated doc_id is judged row by row; other columns
-are kept, whatever their names, but for those that the results replace.
+are kept, whatever their names, but for those that the results replace.  Texts of any length are judged whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@
 
 Defined cases: null texts are empty; texts shorter than `length` keep all their bytes; strings never cross texts; a
 text of one repeated byte repeats itself from the second byte on, so all of it goes once it is longer than `length`;
-rows that repeat a doc_id are rows of their own, and copies of each other if their texts are equal.
+rows that repeat a doc_id are rows of their own, and copies of each other if their texts are equal.  Ties need no rule:
+every copy of a repeated string goes.  A text is never cut, and takes about 50 times its bytes of a task's memory while its
+anchors are found.  An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ texts are cut there, the distinct cuts of a batch are encoded once by the tokeni
 put together again.  A text with a blank before other white space is encoded whole.
 
 Defined cases: a null text has no ids but the end id; an empty table writes no file; rows that repeat a doc_id
-are documents of their own, in an order fixed by their text; null doc_ids come first.
+are documents of their own, in an order fixed by the hashes of their texts between tasks and by their texts within one;
+null doc_ids come first; columns other than doc_id and text are not read.  `tokenread` gives any sequence by its number.
 """
 
 from __future__ import annotations

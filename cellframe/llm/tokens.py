@@ -14,7 +14,8 @@ given as a function from text to byte boundaries.
 
 Defined cases: a null or empty text has one section, number 0, of no tokens; a line without text still is a section
 (its newline's tokens fall to it); a token that begins inside a character (byte-level pieces of it) counts to the
-section of that byte; rows that repeat a doc_id are counted row by row.
+section of that byte; rows that repeat a doc_id are counted row by row.  Texts of any length are encoded whole; an
+empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ and each level is written to the shared folder, so that it is computed once.
 Defined cases: a url that is null or has no `://` has an empty host and path and is allowed; a url without
 a label counts for the tree's shape only; a host without any label is allowed, but for the rules; the same
 url in many rows is judged once; other columns of the input are kept, whatever their names, but for host, path, rule,
-verdict, template and bad_share, which the results replace.
+verdict, template and bad_share, which the results replace.  Urls of any length are read whole; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
