@@ -28,12 +28,16 @@ def edge_dir(spark, edge_rows, tmp_path_factory):
     spark.createDataFrame([(0, item), (1, None), (2, "short"), (3, item), (None, "x" * 30)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     pages = [(0, None, None), (1, "", ""), (2, "nohost", "<p>a"), (3, "http://H.Net", "<article><p>x &amp; y<p>z</article>"), (4, "http://h.net/de/1?x#y", "<" * 50), (4, "http://h.net/de/1?x#y", "<div>" * 3000 + "deep"), (None, "x://a.org/fr/2", "<article><h1>t</h1><div class='comments'>no</div></article>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    vectors = [(0, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.001], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [1.0, 2.0], None), (6, [1.0, None], 1), (7, [float("nan"), 1.0], 1), (8, [2.0, -1.0], 1), (9, [1.0, 2.0], 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    turns = [(20, 0, "user", "a b"), (20, 1, None, None), (21, None, "x", "null turn"), (21, 0, "user", "one"), (21, 1, "user", "two " * 3000), (22, 5, "user", "a b"), (22, 6, "bot", ""), (22, 6, "bot", ""), (None, 0, "user", "none")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, edge_dir, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{edge_dir}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
     return d

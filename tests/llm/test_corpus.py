@@ -43,7 +43,7 @@ def test_odd_rows_and_empty_tables(spark, edge_dir, empty_dir, edge_rows, name):
 def test_sql(spark, sf_dir, edge_dir, name, which):
     d = sf_dir if which == "sf" else edge_dir
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings", "conversations"):
         p = f"{d}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     got, want = registry.queries()[name](spark, d).toPandas(), con.execute(registry.oracle_sql()[name]).df()
