@@ -16,8 +16,9 @@
 Defined cases: null texts are empty; texts shorter than `length` keep all their bytes; strings never cross texts; a
 text of one repeated byte repeats itself from the second byte on, so all of it goes once it is longer than `length`;
 rows that repeat a doc_id are rows of their own, and copies of each other if their texts are equal.  Ties need no rule:
-every copy of a repeated string goes.  A text is never cut, and takes about 50 times its bytes of a task's memory while its
-anchors are found.  An empty table gives an empty result; columns other than doc_id and text are not read.
+every copy of a repeated string goes.  Anchors of a long text are found PIECE windows at a time, about 50 bytes of memory a
+window, with the bytes that the last of them reach over the piece's end; segments end there too.  An empty table gives
+an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ GRAM = 32
 SHARD = 3_000_000
 #: Bytes of spread segments, and so windows at most, whose fingerprints are merged in one task.
 PART = 200_000
+#: Windows of a text whose anchors are found at a time.
+PIECE = 1 << 20
 BUCKET = 1_000_000
 COMMON, SLICE_SHARE, SLICE_LEAST = 0.002, 0.004, 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
@@ -81,6 +84,28 @@ def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return slide(h, length - GRAM + 1, np.minimum), h
 
 
+def pieces(data: np.ndarray, length: int, piece: int = PIECE):
+    """(first place, anchors of the windows from there, hashes of the grams that no later piece has) of a text, by pieces."""
+    end = len(data) - length + 1
+    for a in range(0, end, piece):
+        z = min(end, a + piece)
+        m, h = window_anchors(data[a : z + length - 1], length)
+        yield a, m, h if z == end else h[: z - a]
+
+
+def anchors_of(data: np.ndarray, length: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted anchors of a text, whether each stands at more than one place of it)."""
+    one = len(data) - length < piece
+    found = list(pieces(data, length, piece)) if one else pieces(data, length, piece)
+    v = np.unique(np.concatenate([np.unique(m[_runs(m)[0]]) for _, m, _ in found]))
+    places = np.zeros(len(v), dtype=np.int64)
+    # a text of several pieces is hashed again, as an anchor of one piece may stand in any other
+    for _, _, h in found if one else pieces(data, length, piece):
+        low = h[h <= v[-1]]  # only grams no larger than the largest anchor can be one
+        places += np.bincount(np.searchsorted(v, low)[is_in(low, v)], minlength=len(v))
+    return v, places > 1
+
+
 def texts_of(batch, column: int, length: int):
     """(row, bytes) of the texts of at least `length` bytes."""
     data, offs, _ = doc_bytes(batch.column(column))
@@ -182,13 +207,10 @@ def suspects(reps: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 ids = np.asarray(batch.column(0))
                 owner, value, many = [], [], []
                 for i, data in texts_of(batch, 1, length):
-                    m, h = window_anchors(data, length)
-                    v = np.unique(m[_runs(m)[0]])
+                    v, twice = anchors_of(data, length)
                     owner.append(np.full(len(v), ids[i]))
                     value.append(v)
-                    # places of the anchors in this text; only grams no larger than the largest anchor can be one
-                    low = h[h <= v[-1]]
-                    many.append(np.bincount(np.searchsorted(v, low)[is_in(low, v)], minlength=len(v)) > 1)
+                    many.append(twice)
                 if not owner:
                     continue
                 owner, value, many = np.concatenate(owner), np.concatenate(value), np.concatenate(many)
@@ -279,15 +301,14 @@ def segments(texts: DataFrame, common, n_fine: int, length: int) -> DataFrame:
                 ids, anchors, rows = np.asarray(batch.column(0)), batch.column(2), {}
                 for i, data in texts_of(batch, 1, length):
                     own = np.frombuffer(anchors[i].as_py() or b"", dtype=np.uint64)
-                    m, _ = window_anchors(data, length)
-                    first, n = _runs(m)
-                    value = m[first]
-                    hot = is_in(value, common.value)
-                    take = hot | is_in(value, own)
-                    raw = data.tobytes()
-                    for a, c, v, h in zip(first[take].tolist(), n[take].tolist(), value[take].tolist(), hot[take].tolist()):
-                        shard = (int(mix(ids[i : i + 1].astype(np.uint64))[0]) if h else v) % n_fine
-                        rows.setdefault((shard, h), {}).setdefault(raw[a : a + c - 1 + length], []).append((ids[i], a))
+                    for start, m, _ in pieces(data, length):
+                        first, n = _runs(m)
+                        value = m[first]
+                        hot = is_in(value, common.value)
+                        take = hot | is_in(value, own)
+                        for a, c, v, h in zip((start + first[take]).tolist(), n[take].tolist(), value[take].tolist(), hot[take].tolist()):
+                            shard = (int(mix(ids[i : i + 1].astype(np.uint64))[0]) if h else v) % n_fine
+                            rows.setdefault((shard, h), {}).setdefault(data[a : a + c - 1 + length].tobytes(), []).append((ids[i], a))
                 out = [[] for _ in range(7)]
                 for (shard, h), found in rows.items():
                     # equal segments of a slice are sent once, with all their places
@@ -461,10 +482,10 @@ def cut_texts(reps: DataFrame, length: int) -> DataFrame:
                 first, last = first[order], np.maximum.accumulate(last[order])
                 new = np.append(True, first[1:] > last[:-1])
                 a, z = first[new], last[np.append(np.flatnonzero(new)[1:], len(first)) - 1]
-                gone = np.zeros(len(data) + 1, dtype=np.int64)
-                gone[a] += 1
-                gone[z] -= 1
-                kept.append(hashlib.sha256(data[np.cumsum(gone)[:-1] == 0].tobytes()).hexdigest())
+                left = hashlib.sha256()
+                for z0, a1 in zip([0, *z.tolist()], [*a.tolist(), len(data)]):
+                    left.update(data[z0:a1].tobytes())
+                kept.append(left.hexdigest())
                 spans.append([{"a": x, "z": y} for x, y in zip(a.tolist(), z.tolist())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.string())], names=["class", "spans", "kept"])
 

@@ -255,6 +255,40 @@ def test_suffix_dedup(spark, spread, monkeypatch):
     assert sorted(tuple(x) for x in got.collect()) == cut_by_force(rows, 400)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 100, 699, 700, 701, 5_000])
+def test_anchors_by_pieces(piece):
+    r = np.random.default_rng(piece)
+    base = r.integers(97, 101, 300).astype(np.uint8)
+    for data in (np.concatenate([base, r.integers(97, 123, 250).astype(np.uint8), base, base[:90]]), np.full(940, 97, np.uint8), base[:100]):
+        m, h = suffixdedup.window_anchors(data, 100)
+        v, many = suffixdedup.anchors_of(data, 100, piece)
+        assert v.tolist() == sorted(set(m.tolist()))
+        assert many.tolist() == [int((h == x).sum()) > 1 for x in v]
+        parts = list(suffixdedup.pieces(data, 100, piece))
+        assert np.concatenate([x for _, x, _ in parts]).tolist() == m.tolist() and np.concatenate([x for _, _, x in parts]).tolist() == h.tolist()
+        assert [a for a, _, _ in parts] == list(range(0, len(m), piece))
+
+
+def test_suffix_dedup_of_texts_beyond_a_piece(spark):
+    r, n, length = np.random.default_rng(3), 2 * suffixdedup.PIECE + 70_000, 400
+    text = r.integers(97, 123, n).astype(np.uint8)
+    edge = suffixdedup.PIECE - 300
+    text[2 * suffixdedup.PIECE - 100 :][:900] = text[edge : edge + 900]  # copies that stand over the edges of pieces
+    text[5_000:5_400] = text[n - 400 :]
+    other = np.concatenate([r.integers(97, 123, 3_000).astype(np.uint8), text[edge + 200 :][:700]])
+    raw = {0: text.tobytes(), 1: other.tobytes(), 2: b"a" * n}
+    many = collections.Counter(hash(b[i : i + length]) for k, b in raw.items() if k < 2 for i in range(len(b) - length + 1))
+    want = [(2, n, n, 1, hashlib.sha256(b"").hexdigest())]
+    for k in (0, 1):
+        gone = np.zeros(len(raw[k]), bool)
+        for i in (i for i in range(len(raw[k]) - length + 1) if many[hash(raw[k][i : i + length])] > 1):
+            gone[i : i + length] = True
+        spans = int((np.diff(np.append(False, gone).astype(int)) == 1).sum())
+        want.append((k, len(raw[k]), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw[k], np.uint8)[~gone].tobytes()).hexdigest()))
+    got = suffixdedup.dedup(docs_of(spark, [(k, b.decode()) for k, b in raw.items()])).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256")
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
 # ---- op6 ----------------------------------------------------------------------------------------------------------
 def test_mixing(spark, sf_dir):
     out = mixing.query(spark, sf_dir).toPandas()
