@@ -105,31 +105,34 @@ def kde_slice(in_slab: DataFrame, bw: float = 0.03, grid: int = 120, xlim=(0.0,
 
     fit_cap: of slabs with more atoms only that many, drawn by `fit_sample`, are fitted: moments, kernels and the divisor are theirs.
 
-    The moments are one aggregate.  Then an atom reaches only the nodes inside the box that bounds its kernel at
-    `reach` deviations; it is exploded into those and summed by node, with partial sums on the map side.  Atoms of
-    one structure may be most of the table: sums by node spread over keys and combine before the shuffle.
+    The moments are one aggregate.  With the factor L of a kernel's covariance, L L', its exponent is u * u + v * v, and u is the
+    same along a column of nodes; so an atom is exploded into the columns it reaches, and in each into the nodes within `reach`
+    deviations, an ellipse and not its box, whatever the correlation.  Nodes are summed by two integers, with partial sums on the
+    map side; every node is in the sum with a zero, so that no join is needed for empty ones.  Atoms of one structure may be
+    most of the table: sums by node spread over keys and combine before the shuffle.
     """
-    n = clamp_grid(grid)
+    n, c = clamp_grid(grid), F.col
     (x0, x1), (y0, y1) = xlim, ylim
     sx, sy = (x1 - x0) / (n - 1), (y1 - y0) / (n - 1)
     if fit_cap:
         in_slab = staged(fit_sample(in_slab, fit_cap, seed).select(*KEYS, "px", "py"))
-    cov = staged(slab_cov(in_slab, bw))  # a row a slab, read for the atoms and for the nodes
-    pts = in_slab.select(*KEYS, "px", "py").join(cov.where("status = 'ok'"), list(KEYS))
-    span = lambda p, s, lo, d: F.sequence(
-        F.greatest(F.lit(0), F.ceil((F.col(p) - reach * F.sqrt(s) - lo) / d).cast("int")), F.least(F.lit(n - 1), F.floor((F.col(p) + reach * F.sqrt(s) - lo) / d).cast("int"))
-    )
-    some = lambda p, s, lo, d: F.greatest(F.lit(0), F.ceil((F.col(p) - reach * F.sqrt(s) - lo) / d).cast("int")) <= F.least(F.lit(n - 1), F.floor((F.col(p) + reach * F.sqrt(s) - lo) / d).cast("int"))
-    pts = pts.where(some("px", "sxx", x0, sx) & some("py", "syy", y0, sy))
-    pts = pts.withColumn("ix", F.explode(span("px", "sxx", x0, sx))).withColumn("iy", F.explode(span("py", "syy", y0, sy)))
-    dx, dy = F.lit(x0) + F.col("ix") * sx - F.col("px"), F.lit(y0) + F.col("iy") * sy - F.col("py")
-    form = (F.col("syy") * dx * dx - 2 * F.col("sxy") * dx * dy + F.col("sxx") * dy * dy) / F.col("det")
-    sums = pts.withColumn("k", F.exp(-0.5 * form)).groupBy(*KEYS, "ix", "iy").agg(F.sum("k").alias("k"))
-    # all nodes of every slab, so that empty ones are there too: one row a slab, exploded
-    nodes = cov.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    density = F.coalesce(F.col("k") / (F.col("n") * 2 * math.pi * F.sqrt("det")), F.lit(0.0))
-    density = F.when(F.col("status") == "singular", F.lit(None)).otherwise(F.when(F.col("status") == "few", 0.0).otherwise(density))
-    got = nodes.join(sums, [*KEYS, "ix", "iy"], "left").select(*KEYS, "ix", "iy", density.cast("double").alias("density"), "status")
+    # a row a slab, read for the atoms, the nodes and the densities
+    cov = staged(slab_cov(in_slab, bw).withColumn("slab_no", F.monotonically_increasing_id()))
+    root = cov.where("status = 'ok'").select(*KEYS, "slab_no", F.sqrt("sxx").alias("l1"), (c("sxy") / F.sqrt("sxx")).alias("l2"), F.sqrt(c("det") / c("sxx")).alias("l3"))
+    within = lambda middle, half, lo, step: (F.greatest(F.lit(0), F.ceil((middle - half - lo) / step)), F.least(F.lit(n - 1), F.floor((middle + half - lo) / step)))
+    first, last = within(c("px"), reach * c("l1"), x0, sx)
+    pts = in_slab.select(*KEYS, "px", "py").join(root, list(KEYS)).where(first <= last)
+    pts = pts.select("slab_no", "px", "py", "l1", "l2", "l3", F.explode(F.sequence(first, last)).alias("ix"))
+    pts = pts.withColumn("u", (F.lit(x0) + c("ix") * sx - c("px")) / c("l1"))
+    pts = pts.select("slab_no", "ix", "l3", (c("u") * c("u")).alias("uu"), (c("py") + c("l2") * c("u")).alias("middle"))
+    first, last = within(c("middle"), F.sqrt(F.greatest(F.lit(0.0), reach * reach - c("uu"))) * c("l3"), y0, sy)
+    pts = pts.where(first <= last).select("slab_no", "ix", "l3", "uu", "middle", F.explode(F.sequence(first, last)).alias("iy"))
+    v = (F.lit(y0) + c("iy") * sy - c("middle")) / c("l3")
+    kernels = pts.select("slab_no", (c("iy") * n + c("ix")).alias("node"), F.exp(-0.5 * (c("uu") + v * v)).alias("k"))
+    nodes = cov.select("slab_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * n - 1).cast("long"))).alias("node"), F.lit(0.0).alias("k"))
+    sums = kernels.unionAll(nodes).groupBy("slab_no", "node").agg(F.sum("k").alias("k"))
+    density = F.when(c("status") == "singular", F.lit(None)).otherwise(F.when(c("status") == "few", 0.0).otherwise(c("k") / (c("n") * 2 * math.pi * F.sqrt("det"))))
+    got = sums.join(cov, "slab_no").select(*KEYS, (c("node") % n).cast("int").alias("ix"), F.floor(c("node") / n).cast("int").alias("iy"), density.cast("double").alias("density"), "status")
     return log_density(got) if log else got
 
 

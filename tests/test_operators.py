@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,23 @@ def test_truncated_kernel_is_near_exact_and_integrates_to_one(spark):
     assert sum(a.values()) * (2 / 59) ** 2 == pytest.approx(1.0, abs=1e-3)
 
 
+@pytest.mark.parametrize("tilt", [-0.99, 0.0, 0.9999])
+def test_density_of_correlated_atoms_by_force(spark, tilt):
+    """Kernels far from round, a view that is not square and cuts through the atoms, and two slabs, of which one is too small."""
+    r, lims = np.random.default_rng(4), ((0.2, 0.9), (-1.0, 0.6))
+    x = r.normal(0.5, 0.1, 150)
+    y = tilt * (x - 0.5) * 3 + math.sqrt(1 - tilt * tilt) * r.normal(0, 0.3, 150)
+    rows = [(0, "Ga", float(a), float(b), 0.5, 0) for a, b in zip(x, y)] + [(0, "N", 0.5, 0.1 * i, 0.5, 1) for i in range(4)]
+    inside = spark.createDataFrame(rows, "structure_id int, element string, px double, py double, pz double, slab_id int")
+    got = density.kde_slice(inside, bw=0.25, grid=40, xlim=lims[0], ylim=lims[1]).toPandas()
+    assert len(got) == 2 * 1600 and set(got[got.element == "N"].density) == {0.0} and got.groupby("element").status.first().to_dict() == {"Ga": "ok", "N": "few"}
+    inverse = np.linalg.inv(np.cov(x, y) * 0.25**2)
+    at = np.stack(np.meshgrid(*[np.linspace(*lim, 40) for lim in lims], indexing="ij"), axis=-1)[:, :, None, :] - np.stack([x, y], axis=-1)
+    want = np.exp(-0.5 * np.einsum("xyni,ij,xynj->xyn", at, inverse, at)).mean(axis=2) * math.sqrt(np.linalg.det(inverse)) / (2 * math.pi)
+    ga = got[got.element == "Ga"]
+    assert np.allclose(ga.density, want[ga.ix, ga.iy], rtol=1e-7, atol=1e-11)
+
+
 def test_contour_ends_lie_on_the_level(spark):
     rows = [(0, "Ga", 0, x, y, math.exp(-((x - 4) ** 2 + (y - 5) ** 2) / 9)) for x in range(12) for y in range(12)]
     grid = spark.createDataFrame(rows, "structure_id int, element string, slab_id int, ix int, iy int, density double")
