@@ -48,6 +48,7 @@ def finite(x: Column) -> Column:
 def axis_label(label: Column) -> Column:
     """A readable axis label, without white space around it."""
     label = F.regexp_replace(label, r"^\s+|\s+$", "")
+    # fixed values
     return (
         F.when(label == "Q", "Q (Å^{-1})")
         .when(label.isin("r", "R"), "r (Å)")
