@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.expressions import axis_label
 
 #: Names of run files, order of kinds on a dashboard, kinds whose curves are compared by Rwp.
-# fixed values, in order
 PATTERNS = ("*.csv", "*.log", "*.rmc6f", "Frac*.txt", "scale_ft.*", "stog_input.dat")
 KIND_ORDER = ("r_value", "bragg", "xray_sq", "neutron_sq", "xpdf", "npdf", "pdf_partials", "stog")
 COMPARED = ("xpdf", "npdf", "xray_sq", "neutron_sq", "bragg")
