@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite, floor_mod
-from ..functions.storage import ranked
+from ..functions.storage import ranked, small_side, staged
 
 AXES = ("x", "y", "z")
 
@@ -38,7 +38,10 @@ def cell_lengths(cells: DataFrame) -> DataFrame:
 
 
 def with_cells(atoms: DataFrame, cells: DataFrame) -> DataFrame:
-    """Joins each structure's constants; Spark broadcasts them while they are under its size limit."""
+    """Joins each structure's constants; Spark broadcasts them while they are under its size limit, or by a hint on cells.
+
+    Give the hint with cells that are not read from a table: their size is not known, and a join by few structures has few large tasks.
+    """
     return atoms.join(cells, "structure_id")
 
 
@@ -90,7 +93,7 @@ def site_lists(atoms: DataFrame) -> DataFrame:
 def element_semi(frac: DataFrame, site_table: DataFrame, element: str) -> DataFrame:
     """Rows of a fractional table (structure_id, rn, ...) at the sites of one element; none if there is no such element."""
     own = site_table.where(F.col("element") == element).select("structure_id", F.col("reference_number").alias("rn"))
-    return frac.join(own, ["structure_id", "rn"], "left_semi")
+    return frac.join(small_side(staged(own)), ["structure_id", "rn"], "left_semi")  # a row a site
 
 
 def element_errors(frac: DataFrame, site_table: DataFrame, element: str) -> DataFrame:
