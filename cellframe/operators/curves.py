@@ -96,9 +96,9 @@ def nearest_point(points: DataFrame, probes: DataFrame) -> DataFrame:
     asked = seen.select(*keys).distinct().join(probes.select("path", "probe").where("probe is not null").distinct(), "path")
     stream = own.unionAll(asked.select(*keys, F.col("probe").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast(own.schema["p"].dataType).alias("p")))
     held = staged(stream.repartitionByRange(*keys, "at", "asks").withColumn("_part", F.spark_partition_id()))
-    near = Window.partitionBy(*keys, "_part").orderBy("at", "asks")
-    last = F.last("p", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("p", ignorenulls=True).over(near.rowsBetween(0, Window.unboundedFollowing))
+    # either way a frame that ends at the row: one that starts there is read anew for each row
+    near, back = (Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("at", "asks"), (F.desc("at"), F.desc("asks"))))
+    last, following = (F.last("p", ignorenulls=True).over(w) for w in (near, back))
     parts = held.groupBy(*keys, "_part").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("at"))).alias("_last"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("at"))).alias("_first"))
     over = Window.partitionBy(*keys).orderBy("_part")  # a row a part
     parts = parts.select(*keys, "_part", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
