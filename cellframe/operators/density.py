@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite, interior_levels
-from ..functions.storage import staged
+from ..functions.storage import small_side, staged
 
 KEYS = ("structure_id", "element", "slab_id")
 #: Fewer atoms than this in a slab give the density 0 everywhere.
@@ -87,6 +87,7 @@ def fit_sample(in_slab: DataFrame, cap: int = 6000, seed: int = 0) -> DataFrame:
     before = F.sum("_n").over(Window.partitionBy(*[f"_{k}" for k in KEYS]).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     last = counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap).groupBy(*[f"_{k}" for k in KEYS]).agg(F.max("_bin").alias("_last"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
+    last = small_side(staged(last))  # a row a slab: no atom is shuffled that is not near
     near = drawn.join(last, [*same, F.col("_bin") <= F.col("_last")]).drop("_bin", "_last", *[f"_{k}" for k in KEYS])
     order = Window.partitionBy(*KEYS).orderBy("_digest", "seq_key")
     return near.withColumn("fit_no", F.row_number().over(order)).where(F.col("fit_no") <= cap).drop("_digest")
