@@ -247,14 +247,13 @@ def z_histogram(points: DataFrame, bins: int = 150) -> DataFrame:
 
     Only finite z count; n_odd says how many others there are.
     """
-    odd = points.groupBy("structure_id").agg(F.count_if(~finite(F.col("pz"))).alias("n_odd"))
-    points = points.where(finite(F.col("pz")))
-    ends = points.groupBy("structure_id").agg(F.min("pz").alias("lo"), F.max("pz").alias("hi"), F.count(F.lit(1)).alias("total"))
-    counts = points.join(ends, "structure_id").groupBy("structure_id", _bin(F.col("pz"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    ok, z = finite(F.col("pz")), F.when(finite(F.col("pz")), F.col("pz"))
+    ends = points.groupBy("structure_id").agg(F.min(z).alias("lo"), F.max(z).alias("hi"), F.count(z).alias("total"), F.count_if(~ok).alias("n_odd"))
+    ends = small_side(staged(ends.where("total > 0 and structure_id is not null")))  # a row a structure
+    counts = points.where(ok).join(ends, "structure_id").groupBy("structure_id", _bin(F.col("pz"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     full = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, ["structure_id", "bin"], "left")
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) / bins
-    full = full.select("structure_id", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density"))
-    return full.join(odd, "structure_id")
+    return full.select("structure_id", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density"), "n_odd")
 
 
 def xz_histogram(points: DataFrame, bins: int = 150, xlim=(0.0, 1.0), zlim=(0.0, 1.0)) -> DataFrame:
