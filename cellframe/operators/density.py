@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import finite, interior_levels
 from ..functions.storage import small_side, staged
+from .gridsums import kernel_sums
 
 KEYS = ("structure_id", "element", "slab_id")
 #: Fewer atoms than this in a slab give the density 0 everywhere.
@@ -106,11 +107,9 @@ def kde_slice(in_slab: DataFrame, bw: float = 0.03, grid: int = 120, xlim=(0.0,
 
     fit_cap: of slabs with more atoms only that many, drawn by `fit_sample`, are fitted: moments, kernels and the divisor are theirs.
 
-    The moments are one aggregate.  With the factor L of a kernel's covariance, L L', its exponent is u * u + v * v, and u is the
-    same along a column of nodes; so an atom is exploded into the columns it reaches, and in each into the nodes within `reach`
-    deviations, an ellipse and not its box, whatever the correlation.  Nodes are summed by two integers, with partial sums on the
-    map side; every node is in the sum with a zero, so that no join is needed for empty ones.  Atoms of one structure may be
-    most of the table: sums by node spread over keys and combine before the shuffle.
+    The moments are one aggregate.  With the factor L of a kernel's covariance, L L', kernels are round and are summed by
+    `gridsums.kernel_sums`: atoms by cells in the task that reads them, cells over the nodes within `reach` deviations.  Atoms of one
+    structure may be most of the table: no atom is shuffled.  Every node is in the sum with a zero, so that no join is needed for empty ones.
     """
     n, c = clamp_grid(grid), F.col
     (x0, x1), (y0, y1) = xlim, ylim
@@ -120,20 +119,14 @@ def kde_slice(in_slab: DataFrame, bw: float = 0.03, grid: int = 120, xlim=(0.0,
     # a row a slab, read for the atoms, the nodes and the densities
     cov = staged(slab_cov(in_slab, bw).withColumn("slab_no", F.monotonically_increasing_id()))
     root = cov.where("status = 'ok'").select(*KEYS, "slab_no", F.sqrt("sxx").alias("l1"), (c("sxy") / F.sqrt("sxx")).alias("l2"), F.sqrt(c("det") / c("sxx")).alias("l3"))
-    within = lambda middle, half, lo, step: (F.greatest(F.lit(0), F.ceil((middle - half - lo) / step)), F.least(F.lit(n - 1), F.floor((middle + half - lo) / step)))
-    first, last = within(c("px"), reach * c("l1"), x0, sx)
-    pts = in_slab.select(*KEYS, "px", "py").join(root, list(KEYS)).where(first <= last)
-    pts = pts.select("slab_no", "px", "py", "l1", "l2", "l3", F.explode(F.sequence(first, last)).alias("ix"))
-    pts = pts.withColumn("u", (F.lit(x0) + c("ix") * sx - c("px")) / c("l1"))
-    pts = pts.select("slab_no", "ix", "l3", (c("u") * c("u")).alias("uu"), (c("py") + c("l2") * c("u")).alias("middle"))
-    first, last = within(c("middle"), F.sqrt(F.greatest(F.lit(0.0), reach * reach - c("uu"))) * c("l3"), y0, sy)
-    pts = pts.where(first <= last).select("slab_no", "ix", "l3", "uu", "middle", F.explode(F.sequence(first, last)).alias("iy"))
-    v = (F.lit(y0) + c("iy") * sy - c("middle")) / c("l3")
-    kernels = pts.select("slab_no", (c("iy") * n + c("ix")).alias("node"), F.exp(-0.5 * (c("uu") + v * v)).alias("k"))
+    u = (c("px") - x0) / c("l1")
+    pts = in_slab.select(*KEYS, "px", "py").join(small_side(root), list(KEYS)).select("slab_no", u.alias("u"), ((c("py") - y0 - c("l2") * u) / c("l3")).alias("v")).where(finite(c("u")) & finite(c("v")))
+    kernels = kernel_sums(pts, small_side(root.select("slab_no", "l1", "l2", "l3")), n, (sx, sy), reach)
     nodes = cov.select("slab_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * n - 1).cast("long"))).alias("node"), F.lit(0.0).alias("k"))
-    sums = kernels.unionAll(nodes).groupBy("slab_no", "node").agg(F.sum("k").alias("k"))
+    # no sum of kernels is below 0
+    sums = kernels.unionAll(nodes).groupBy("slab_no", "node").agg(F.greatest(F.sum("k"), F.lit(0.0)).alias("k"))
     density = F.when(c("status") == "singular", F.lit(None)).otherwise(F.when(c("status") == "few", 0.0).otherwise(c("k") / (c("n") * 2 * math.pi * F.sqrt("det"))))
-    got = sums.join(cov, "slab_no").select(*KEYS, (c("node") % n).cast("int").alias("ix"), F.floor(c("node") / n).cast("int").alias("iy"), density.cast("double").alias("density"), "status")
+    got = sums.join(small_side(cov), "slab_no").select(*KEYS, (c("node") % n).cast("int").alias("ix"), F.floor(c("node") / n).cast("int").alias("iy"), density.cast("double").alias("density"), "status")
     return log_density(got) if log else got
 
 
@@ -151,8 +144,9 @@ def kde_slice_stats(density: DataFrame, cov: DataFrame, fit_cap: int | None = No
 
 def normalised(density: DataFrame) -> DataFrame:
     """Adds level (0 to 1 between a slab's least and greatest density) and index (0 to 255)."""
+    density = staged(density)  # read for the ends and for the levels
     ends = density.groupBy(*KEYS).agg(F.min("density").alias("lo"), F.max("density").alias("hi"))
-    got = density.join(ends, list(KEYS))
+    got = density.join(small_side(staged(ends)), list(KEYS))
     level = (F.col("density") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
     got = got.withColumn("level", level)
     return got.withColumn("index", F.least(F.greatest(F.floor(F.col("level") * 255 + 0.5), F.lit(0)), F.lit(255)).cast("int")).drop("lo", "hi")

@@ -37,3 +37,19 @@ def test_z_histogram_shuffles_no_atoms(spark):
     got = density.z_histogram(spark.createDataFrame(rows, "structure_id int, pz double"), 5)
     assert plan(got).count("SortMergeJoin") < 2  # the counts, not the atoms
     assert sorted((r.structure_id, r.bin, r.n, r.n_odd) for r in got.collect()) == [(k, b, 3 if b == 4 else 2, 1 - k) for k in (0, 1) for b in range(5)]
+
+
+def test_kernel_sums_shuffle_cells_not_atoms(spark):
+    r = np.random.default_rng(5)
+    rows = [(0, "Ga", 0, float(x), float(y)) for x, y in r.normal(0.5, 0.1, (300, 2))]
+    schema = "structure_id int, element string, slab_id int, px double, py double"
+    one = spark.createDataFrame(rows, schema)
+    got = density.kde_slice(one, 0.25, 30)
+    assert plan(got).count("Generate explode") == 1  # the empty nodes, not those that an atom reaches
+    x, y = (np.array([row[i] for row in rows]) for i in (3, 4))
+    inverse = np.linalg.inv(np.cov(x, y) * 0.25**2)
+    at = np.linspace(0, 1, 30)
+    for row in got.collect():
+        d = np.stack([at[row.ix] - x, at[row.iy] - y], axis=1)
+        want = np.exp(-0.5 * np.einsum("ni,ij,nj->n", d, inverse, d)).mean() * math.sqrt(np.linalg.det(inverse)) / (2 * math.pi)
+        assert row.density == pytest.approx(want, abs=1e-13 * math.sqrt(np.linalg.det(inverse)))
