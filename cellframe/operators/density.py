@@ -197,8 +197,8 @@ def whitened(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = m.where("n >= 5").select(*keys, "n", "ax", "ay", "az", *[(c(f"m{k}") * factor).alias(k) for k, _, _ in v]).where("xx > 0")
     m = m.withColumn("l1", F.sqrt("xx")).withColumns({"l2": c("xy") / c("l1"), "l4": c("xz") / c("l1")}).withColumn("s3", c("yy") - c("l2") * c("l2")).where("s3 > 0")
     m = m.withColumn("l3", F.sqrt("s3")).withColumn("l5", (c("yz") - c("l4") * c("l2")) / c("l3")).withColumn("s6", c("zz") - c("l4") * c("l4") - c("l5") * c("l5")).where("s6 > 0")
-    m = m.withColumn("l6", F.sqrt("s6")).select(*keys, "n", "ax", "ay", "az", "l1", "l2", "l3", "l4", "l5", "l6")
-    pts = points.join(m, keys).withColumn("wx", (c("px") - c("ax")) / c("l1")).withColumn("wy", (c("py") - c("ay") - c("l2") * c("wx")) / c("l3"))
+    m = staged(m.withColumn("l6", F.sqrt("s6")).select(*keys, "n", "ax", "ay", "az", "l1", "l2", "l3", "l4", "l5", "l6"))  # a row a group
+    pts = points.join(small_side(m), keys).withColumn("wx", (c("px") - c("ax")) / c("l1")).withColumn("wy", (c("py") - c("ay") - c("l2") * c("wx")) / c("l3"))
     pts = pts.withColumn("wz", (c("pz") - c("az") - c("l4") * c("wx") - c("l5") * c("wy")) / c("l6"))
     return pts, m
 
@@ -216,10 +216,14 @@ def kde_self_grid(points: DataFrame, step: float = 0.25, reach: float = 4.0) ->
     keys, c = ["structure_id", "element"], F.col
     pts, m = whitened(points)
     pts = pts.select(*keys, "point_id", *[F.floor(c(f"w{a}") / step).cast("int").alias(f"b{a}") for a in "xyz"], *[(c(f"w{a}") / step - F.floor(c(f"w{a}") / step)).alias(f"f{a}") for a in "xyz"])
-    corner = F.explode(F.array(*[F.struct(*[(c(f"b{a}") + o).alias(f"g{a}") for a, o in zip("xyz", at)], prod([c(f"f{a}") if o else 1 - c(f"f{a}") for a, o in zip("xyz", at)]).alias("s"))
-                                 for at in product((0, 1), repeat=3)]))
-    near = staged(pts.select(*keys, "point_id", corner.alias("q")).select(*keys, "point_id", "q.*"))  # read five times
-    grid = near.groupBy(*keys, "gx", "gy", "gz").agg(F.sum("s").alias("w"))
+    pts = staged(pts)  # read for the nodes and for the densities
+    share = lambda at: prod([c(f"f{a}") if o else 1 - c(f"f{a}") for a, o in zip("xyz", at)])
+    corners = list(product((0, 1), repeat=3))
+    # points of one cell are summed first: a row a cell, not eight a point
+    cells = staged(pts.groupBy(*keys, "bx", "by", "bz").agg(*[F.sum(share(at)).alias(f"s{i}") for i, at in enumerate(corners)]))
+    corner = F.explode(F.array(*[F.struct(*[(c(f"b{a}") + o).alias(f"g{a}") for a, o in zip("xyz", at)], c(f"s{i}").alias("s")) for i, at in enumerate(corners)]))
+    near = staged(cells.select(*keys, corner.alias("q")).select(*keys, "q.*").groupBy(*keys, "gx", "gy", "gz").agg(F.sum("s").alias("w")))
+    grid = near
     far = int(math.ceil(reach / step))
     kernel = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(math.exp(-0.5 * (i * step) ** 2)).alias("e")) for i in range(-far, far + 1)])
     for a in "xyz":
@@ -227,7 +231,11 @@ def kde_self_grid(points: DataFrame, step: float = 0.25, reach: float = 4.0) ->
         spread = spread.select(*keys, *[f"g{b}" for b in "xyz" if b != a], (c("g") + c("k.i")).alias(f"g{a}"), (c("w") * c("k.e")).alias("w"))
         # only nodes that a point lies next to along this axis are read in the end
         grid = spread.join(near.select(*keys, f"g{a}").distinct(), [*keys, f"g{a}"], "left_semi").groupBy(*keys, "gx", "gy", "gz").agg(F.sum("w").alias("w"))
-    got = near.join(grid, [*keys, "gx", "gy", "gz"]).groupBy(*keys, "point_id").agg(F.sum(c("s") * c("w")).alias("k")).join(m, keys)
+    # a cell's eight nodes in one row, so that points meet one row each and are not grouped again
+    back = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[(c(f"g{a}") - o).alias(f"b{a}") for a, o in zip("xyz", at)]) for i, at in enumerate(corners)]))
+    held = grid.select(*keys, "w", back.alias("q")).select(*keys, "w", "q.*").join(cells.select(*keys, "bx", "by", "bz"), [*keys, "bx", "by", "bz"], "left_semi")
+    held = small_side(staged(held.groupBy(*keys, "bx", "by", "bz").agg(*[F.sum(F.when(c("i") == i, c("w"))).alias(f"w{i}") for i in range(8)])))
+    got = pts.join(held, [*keys, "bx", "by", "bz"]).join(small_side(m), keys).withColumn("k", sum((share(at) * c(f"w{i}") for i, at in enumerate(corners)), F.lit(0.0)))
     return got.select(*keys, "point_id", (c("k") / (c("n") * c("l1") * c("l3") * c("l6") * (2 * math.pi) ** 1.5)).alias("density"))
 
 

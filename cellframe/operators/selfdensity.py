@@ -26,12 +26,14 @@ WIDTH, ORDER, REACH = 1.0, 14, 8.0
 #: Cells whose moments a task holds before it hands them on; points of a cell that one task sums or reads; places of a line at once.
 HELD, PART, LINE = 500, 100_000, 64
 CELL = ["grp", "gx", "gy", "gz"]
-FACTORIALS = np.array([math.factorial(k) for k in range(2 * ORDER)], dtype=float)
 
 
 def powers(x: np.ndarray) -> np.ndarray:
     """x^k / k! for k below ORDER, a row per value."""
-    return x[:, None] ** np.arange(ORDER) / FACTORIALS[:ORDER]
+    out = np.ones((ORDER, len(x)))
+    for k in range(1, ORDER):
+        np.multiply(out[k - 1], x / k, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
 def shift(d: int) -> np.ndarray:

@@ -53,3 +53,24 @@ def test_kernel_sums_shuffle_cells_not_atoms(spark):
         d = np.stack([at[row.ix] - x, at[row.iy] - y], axis=1)
         want = np.exp(-0.5 * np.einsum("ni,ij,nj->n", d, inverse, d)).mean() * math.sqrt(np.linalg.det(inverse)) / (2 * math.pi)
         assert row.density == pytest.approx(want, abs=1e-13 * math.sqrt(np.linalg.det(inverse)))
+
+
+def test_groups_meet_their_points_without_a_shuffle_by_group(spark):
+    r = np.random.default_rng(6)
+    rows = [(0, "Ga", i, *map(float, x)) for i, x in enumerate(r.normal(size=(60, 3)))]
+    points = spark.createDataFrame(rows, "structure_id int, element string, point_id int, px double, py double, pz double")
+    pts, _ = density.whitened(points)
+    assert "SortMergeJoin" not in plan(pts)
+    got = density.kde_self_grid(points, 0.2, 4.0)
+    assert "SortMergeJoin" not in plan(got) and "Exchange hashpartitioning" not in plan(got) and got.count() == 60
+
+
+def test_a_place_of_several_atoms_has_one_density(spark):
+    """Places are points: copies of an atom count in the sum once each, and do not multiply the density at their place."""
+    r = np.random.default_rng(7)
+    p = np.vstack([r.normal(size=(40, 3)), [[0.5, 0.5, 0.5]] * 3])
+    points = spark.createDataFrame([(0, "Ga", 40 if i >= 40 else i, *map(float, x)) for i, x in enumerate(p)], "structure_id int, element string, point_id int, px double, py double, pz double")
+    got = {x.point_id: x.density for x in density.kde_self_grid(points, step=0.1, reach=5.0).collect()}
+    s = np.cov(p.T) * len(p) ** (-2 / 7)
+    want = np.exp(-0.5 * np.einsum("ni,ij,nj->n", p - p[40], np.linalg.inv(s), p - p[40])).mean() / np.sqrt(np.linalg.det(s) * (2 * np.pi) ** 3)
+    assert got[40] == pytest.approx(want, rel=0.02)
