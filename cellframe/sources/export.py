@@ -22,12 +22,26 @@ def write_texts(lines: DataFrame, root: str, mode: str = "errorifexists") -> Non
 
     Lines are dealt by ranges of (name, place): a large text lies in many parts, whose names follow their order, and
     small ones share a task.  `ingest.raw_lines(root, folders=True)` reads a text's parts as one file.  Spark commits
-    all texts of a call together: readers see none of them before _SUCCESS.
+    all texts of a call together: readers see none of them before _SUCCESS.  Each text costs a file at least; where their
+    number grows with the input, write_packs is the way.
     """
     dealt = lines.select("name", "place", "line").repartitionByRange("name", "place").sortWithinPartitions("name", "place")
     dealt.select("name", "line").write.mode(mode).partitionBy("name").text(root)
 
 
+def write_packs(lines: DataFrame, root: str) -> None:
+    """Write lines (name, place, line) as packs, files that hold many texts one after another; fails if root exists.
+
+    There are as many files as tasks, however many texts.  Each line stands behind the encoded name of its text and a tab.
+    Texts lie in the order of name, their lines in the order of place, and a large text may go on in the next packs.  A line
+    break inside a line starts a line, as it does in a file of its own.  `ingest.packed_lines` reads them.
+    """
+    dealt = lines.select("name", "place", "line").repartitionByRange("name", "place").sortWithinPartitions("name", "place")
+    own = F.explode(F.split(F.regexp_replace(F.coalesce("line", F.lit("")), r"\r\z", ""), r"\r\n|\r|\n"))
+    own = dealt.select(F.url_encode(F.coalesce("name", F.lit(""))).alias("name"), own.alias("line"))
+    own.select(F.concat("name", F.lit("\t"), "line")).write.text(root)
+
+
 def text_name(path: Column) -> Column:
     """The name under which write_texts wrote the text that lies in this folder."""
     return F.regexp_extract(path, r"name=([^/]*)$", 1)

@@ -2,12 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellframe.operators import curves, density, structure
-from cellframe.plans import adapters
+from cellframe.plans import adapters, queries
 
 
 def plan(df):
@@ -74,3 +75,13 @@ def test_a_place_of_several_atoms_has_one_density(spark):
     s = np.cov(p.T) * len(p) ** (-2 / 7)
     want = np.exp(-0.5 * np.einsum("ni,ij,nj->n", p - p[40], np.linalg.inv(s), p - p[40])).mean() / np.sqrt(np.linalg.det(s) * (2 * np.pi) ** 3)
     assert got[40] == pytest.approx(want, rel=0.02)
+
+
+def test_files_of_chi_history_do_not_grow_with_its_runs(spark, tmp_path, monkeypatch):
+    made = "select range as event_id, timestamp '2024-01-01' + to_seconds(range * 7919 % 600) as ts, case when range % 40 < 39 then range % 40 end as user_id, range / 8 as value from range(600)"
+    duckdb.execute(f"copy ({made}) to '{tmp_path}/events.parquet' (format parquet)")
+    monkeypatch.setattr(adapters, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    got = queries.chi_history(spark, str(tmp_path)).select("run_id", "step", "file_no", "chi_r").collect()
+    want = duckdb.execute(queries.SQL["chi_history"].replace("from events", f"from '{tmp_path}/events.parquet'")).fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert len(list((tmp_path / "shared").rglob("*.txt"))) < 10  # of 120 logs

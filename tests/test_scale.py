@@ -44,6 +44,24 @@ def test_texts_of_many_parts_read_as_one(spark, tmp_path):
     assert len(list((tmp_path / "t").glob("name=n1/*.txt"))) > 1
 
 
+def test_packs_hold_texts_of_any_number_and_size(spark, tmp_path):
+    names = ["a b/ü\t%", "plain", "p+q", None, *(f"s{k}" for k in range(300))]
+    rows = [(n, i, f"\t{n}: {i} é" if i % 5 else "") for n in names for i in range(3)] + [("long", i, f"x{i}") for i in range(5000)]
+    rows += [("breaks", 0, "a\rb\r\nc\n"), ("breaks", 1, None), ("breaks", 2, "d\r"), ("breaks", 3, "e")]
+    df = spark.createDataFrame(rows, "name string, place int, line string").repartition(9)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many packs as there are partitions
+    try:
+        export.write_packs(df, str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = {(n, i, x) for n, i, x in rows if n != "breaks"} | {("breaks", i, x) for i, x in enumerate(["a", "b", "c", "", "", "d", "e"])}
+    packs = list((tmp_path / "p").glob("*.txt"))
+    assert 1 < len(packs) < 10 and sum(b"long\t" in p.read_bytes() for p in packs) > 1
+    for size in (None, 97, 1000):
+        got = ingest.packed_lines(spark, str(tmp_path / "p"), split_bytes=size).collect()
+        assert len(got) == len(want) and {(x.path, x.line_no, x.line) for x in got} == want
+
+
 def test_logs_of_a_run_follow_by_name(spark):
     rows = spark.createDataFrame([("a/r1/x-10.log", 2, 1.0, 3.0), ("a/r1/x-02.log", 2, 1.0, 1.0), ("a/r1/x-02.log", 3, 1.0, 2.0), ("b/r2/y.log", 5, 1.0, 9.0)], "path string, line_no long, chi_q double, chi_r double")
     got = curves.chi_steps(ingest.run_logs(rows)).orderBy("run_id", "step").collect()
